@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlake.operators import reports as R
 from ledgerlake.sources.fixture import AS_OF, PARAMS, Fixture, oracle_with
@@ -178,3 +179,178 @@ register("branch_payroll",
 
 register("user_directory", "SELECT id, username, nome, role, cpf, matricula FROM usuario")(
     lambda fx: R.user_directory(bank(fx)))
+
+
+# --------------------------------------------------------- integrity audits
+
+from ledgerlake.functions import exprs as X  # noqa: E402
+from ledgerlake.functions.formatting import format_dates  # noqa: E402
+from ledgerlake.operators import access as N  # noqa: E402
+from ledgerlake.operators import quality as Q  # noqa: E402
+from ledgerlake.schema import CREDIT_KINDS, DEBIT_KINDS, ENUM_COLUMNS, MAX_LENGTHS, TABLES  # noqa: E402
+
+
+def _in_list(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+register("check_unique",
+         "SELECT matricula_func, nome_completo, COUNT(*) AS n FROM dependente "
+         "WHERE matricula_func IS NOT NULL AND nome_completo IS NOT NULL "
+         "GROUP BY matricula_func, nome_completo HAVING COUNT(*) > 1")(
+    lambda fx: Q.check_unique(fx.bank().dependente, ["matricula_func", "nome_completo"]))
+
+register("check_fk",
+         "SELECT d.* FROM dependente_dirty d WHERE d.matricula_func IS NOT NULL "
+         "AND NOT EXISTS (SELECT 1 FROM funcionario f WHERE f.matricula = d.matricula_func)")(
+    lambda fx: Q.check_fk(fx.view("dependente_dirty"), fx.bank().funcionario, ["matricula_func"], ["matricula"]))
+
+_SCHEMA_CHECKS = [("conta", ["num_conta"]), ("funcionario", ["matricula"]), ("cliente", ["cpf"]),
+                  ("titularidade_conta", ["num_conta", "cpf_cliente"])]
+
+
+def _schema_oracle() -> str:
+    parts = []
+    for table, key in _SCHEMA_CHECKS:
+        rk = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in key)
+        rules = [(f"not_null:{f.name}", f"{f.name} IS NULL") for f in TABLES[table].fields if not f.nullable]
+        rules += [(f"enum:{c}", f"{c} IS NOT NULL AND {c} NOT IN ({_in_list(d)})")
+                  for c, d in ENUM_COLUMNS.get(table, {}).items()]
+        rules += [(f"length:{c}", f"length({c}) > {n}") for c, n in MAX_LENGTHS.get(table, {}).items()]
+        for name, cond in rules:
+            parts.append(f"SELECT '{table}' AS tabela, {rk} AS row_key, '{name}' AS rule FROM {table} WHERE {cond}")
+    return " UNION ALL ".join(parts)
+
+
+def _schema_spark(fx: Fixture):
+    from functools import reduce as _reduce
+
+    b = fx.bank()
+    return _reduce(DataFrame.unionByName, [Q.check_schema(getattr(b, t), t, k) for t, k in _SCHEMA_CHECKS])
+
+
+register("check_schema", _schema_oracle())(_schema_spark)
+
+register("check_salary", "SELECT matricula, salario FROM funcionario_dirty WHERE salario < 2286")(
+    lambda fx: Q.check_salary(fx.view("funcionario_dirty")))
+
+register("multi_account_violations",
+         "SELECT tc.cpf_cliente, c.num_ag, COUNT(*) AS n_contas FROM titularidade_conta tc "
+         "JOIN conta c ON tc.num_conta = c.num_conta GROUP BY tc.cpf_cliente, c.num_ag HAVING COUNT(*) > 1")(
+    lambda fx: Q.multi_account_violations(fx.bank()))
+
+register("check_holders",
+         "SELECT num_conta, COUNT(*) AS n_titulares, COUNT(DISTINCT tipo_titular) AS n_slots "
+         "FROM titularidade_conta GROUP BY num_conta "
+         "HAVING COUNT(*) > 2 OR COUNT(*) > COUNT(DISTINCT tipo_titular)")(
+    lambda fx: Q.check_holders(fx.bank()))
+
+_FIELDS_ORACLE = " UNION ALL ".join([
+    "SELECT 'cliente' AS tabela, cpf AS row_key, 'cpf_11_digitos' AS rule FROM cliente "
+    "WHERE cpf IS NULL OR NOT regexp_matches(cpf, '^[0-9]{11}$')",
+    "SELECT 'cliente', cpf, 'cep_8_digitos' FROM cliente WHERE cep IS NOT NULL AND NOT regexp_matches(cep, '^[0-9]{8}$')",
+    f"SELECT 'cliente', cpf, 'nascimento_fora_do_intervalo' FROM cliente "
+    f"WHERE data_nascimento < DATE '1900-01-01' OR data_nascimento > DATE '{AS_OF_DATE}'",
+    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'taxa_fora_0_100' FROM conta "
+    "WHERE taxa_juros IS NOT NULL AND (taxa_juros < 0 OR taxa_juros > 100)",
+    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'limite_negativo' FROM conta "
+    "WHERE limite_credito IS NOT NULL AND limite_credito < 0",
+    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'saldo_inicial_negativo' FROM conta WHERE saldo IS NOT NULL AND saldo < 0",
+])
+register("check_fields", _FIELDS_ORACLE)(
+    lambda fx: Q.check_fields(fx.bank().cliente, "cliente", ["cpf"], AS_OF).unionByName(
+        Q.check_fields(fx.bank().conta, "conta", ["num_conta"], AS_OF)))
+
+_SIGNED_SQL = (f"CASE WHEN tipo IN ({_in_list(DEBIT_KINDS)}) THEN -CAST(valor AS DECIMAL(18,2)) "
+               f"WHEN tipo IN ({_in_list(CREDIT_KINDS)}) THEN CAST(valor AS DECIMAL(18,2)) "
+               "ELSE CAST(0 AS DECIMAL(18,2)) END")
+register("reconcile_balances",
+         "SELECT c.num_conta, c.saldo, CAST(COALESCE(t.calc, 0) AS DOUBLE) AS saldo_calc, "
+         "CAST(CAST(c.saldo AS DECIMAL(18,2)) - COALESCE(t.calc, 0) AS DOUBLE) AS diferenca FROM conta c "
+         f"LEFT JOIN (SELECT num_conta, SUM({_SIGNED_SQL}) AS calc FROM transacao GROUP BY num_conta) t "
+         "ON c.num_conta = t.num_conta WHERE CAST(c.saldo AS DECIMAL(18,2)) - COALESCE(t.calc, 0) <> 0")(
+    lambda fx: Q.reconcile_balances(fx.bank()))
+
+_PAYROLL_SQL = ("SELECT a.num_ag, a.nome_ag, CAST(COALESCE(SUM(CAST(f.salario AS DECIMAL(18,2))), 0) AS DOUBLE) "
+                "AS sal_total_calc FROM agencia a LEFT JOIN funcionario f ON f.num_ag = a.num_ag "
+                "GROUP BY a.num_ag, a.nome_ag")
+register("reconcile_payroll",
+         "SELECT a.num_ag, a.sal_total, p.sal_total_calc, CAST(CAST(p.sal_total_calc AS DECIMAL(18,2)) "
+         "- COALESCE(CAST(a.sal_total AS DECIMAL(18,2)), 0) AS DOUBLE) AS diferenca "
+         f"FROM agencia a JOIN ({_PAYROLL_SQL}) p ON a.num_ag = p.num_ag "
+         "WHERE CAST(p.sal_total_calc AS DECIMAL(18,2)) - COALESCE(CAST(a.sal_total AS DECIMAL(18,2)), 0) <> 0")(
+    lambda fx: Q.reconcile_payroll(fx.bank()))
+
+register("role_drift",
+         "SELECT u.matricula, u.username, u.role, f.cargo FROM usuario u JOIN funcionario f "
+         "ON u.matricula = f.matricula WHERE u.role <> f.cargo AND NOT (u.role = 'admin' AND f.cargo = 'gerente')")(
+    lambda fx: Q.role_drift(fx.bank()))
+
+_HEX = "'^[0-9a-f]{64}$'"
+register("unhashed_secrets",
+         f"SELECT 'funcionario' AS tabela, matricula AS chave FROM funcionario WHERE NOT regexp_matches(senha, {_HEX}) "
+         f"UNION ALL SELECT 'conta', CAST(num_conta AS VARCHAR) FROM conta WHERE NOT regexp_matches(senha, {_HEX}) "
+         f"UNION ALL SELECT 'usuario', username FROM usuario WHERE NOT regexp_matches(senha, {_HEX})")(
+    lambda fx: Q.unhashed_secrets(fx.bank()))
+
+
+# ------------------------------------------------------------------- access
+
+register("visible_accounts",
+         "SELECT u.username, u.role, 'conta' AS scope, tc.num_conta, CAST(NULL AS INT) AS num_ag FROM usuario u "
+         "JOIN titularidade_conta tc ON tc.cpf_cliente = u.cpf WHERE u.role = 'client' "
+         "UNION ALL SELECT u.username, u.role, 'agencia', CAST(NULL AS INT), f.num_ag FROM usuario u "
+         "JOIN funcionario f ON f.matricula = u.matricula WHERE u.role IN ('caixa', 'atendente') "
+         "UNION ALL SELECT u.username, u.role, 'conta', c.num_conta, CAST(NULL AS INT) FROM usuario u "
+         "JOIN conta c ON c.matricula_gerente = u.matricula WHERE u.role = 'gerente' "
+         "UNION ALL SELECT username, role, 'todas', CAST(NULL AS INT), CAST(NULL AS INT) FROM usuario "
+         "WHERE role = 'admin'")(
+    lambda fx: N.visible_accounts(fx.bank()))
+
+register("statements_for",
+         "SELECT u.username, t.num_conta, t.num_transacao, t.tipo, t.data_hora, t.valor FROM usuario u "
+         "JOIN titularidade_conta tc ON tc.cpf_cliente = u.cpf JOIN transacao t ON t.num_conta = tc.num_conta "
+         "WHERE u.role = 'client'")(
+    lambda fx: N.statements_for(fx.bank(), fx.bank().usuario.where("role = 'client'")))
+
+_REQ_COLS = "r.seq, r.solicitante, r.conta_origem, r.conta_destino, r.valor, r.num_trans_origem, r.num_trans_destino"
+AUTHORIZE_SQL = (
+    f"SELECT {_REQ_COLS}, CASE WHEN u.role IS NULL THEN 'USER_NOT_FOUND' "
+    "WHEN u.role IN ('gerente', 'atendente') THEN 'ROLE_NOT_ALLOWED' "
+    "WHEN u.role = 'client' AND NOT EXISTS (SELECT 1 FROM titularidade_conta tc "
+    "     WHERE tc.num_conta = r.conta_origem AND tc.cpf_cliente = u.cpf) THEN 'NOT_HOLDER' "
+    "WHEN u.role = 'caixa' AND (f.num_ag IS NULL OR o.num_ag IS NULL OR f.num_ag <> o.num_ag) THEN 'BRANCH_MISMATCH' "
+    "WHEN r.conta_origem = r.conta_destino THEN 'SAME_ACCOUNT' "
+    "WHEN o.num_conta IS NULL OR d.num_conta IS NULL THEN 'UNKNOWN_ACCOUNT' END AS reason "
+    "FROM transfer_req r LEFT JOIN usuario u ON u.username = r.solicitante "
+    "LEFT JOIN funcionario f ON f.matricula = u.matricula "
+    "LEFT JOIN conta o ON o.num_conta = r.conta_origem LEFT JOIN conta d ON d.num_conta = r.conta_destino")
+register("authorize", AUTHORIZE_SQL)(lambda fx: N.authorize(fx.bank(), fx.view("transfer_req")))
+
+
+# ------------------------------------------------------- scalar helpers (H)
+
+register("format_dates",
+         "SELECT num_conta, num_transacao, tipo, strftime(data_hora, '%d/%m/%Y') AS data_hora, valor FROM transacao")(
+    lambda fx: format_dates(R.v_statement(fx.bank())))
+
+_MASK_SQL = ("CASE WHEN {c} IS NULL OR {c} = '' THEN '' "
+             "WHEN length(regexp_replace({c}, '[^0-9]', '', 'g')) = 11 THEN "
+             "substr(regexp_replace({c}, '[^0-9]', '', 'g'), 1, 3) || '.' || "
+             "substr(regexp_replace({c}, '[^0-9]', '', 'g'), 4, 3) || '.' || "
+             "substr(regexp_replace({c}, '[^0-9]', '', 'g'), 7, 3) || '-' || "
+             "substr(regexp_replace({c}, '[^0-9]', '', 'g'), 10, 2) ELSE {c} END")
+_SHOWN_PHONE = "'(' || substr(telefone, 1, 2) || ') ' || substr(telefone, 3)"
+register("normalize_identity",
+         f"SELECT cpf_cliente, telefone, {_MASK_SQL.format(c='cpf_cliente')} AS cpf_fmt, "
+         f"regexp_replace({_MASK_SQL.format(c='cpf_cliente')}, '[^0-9]', '', 'g') AS cpf_limpo, "
+         f"substr(regexp_replace({_SHOWN_PHONE}, '[^0-9]', '', 'g'), 1, 11) AS telefone_limpo "
+         "FROM telefone_cliente")(
+    lambda fx: fx.bank().telefone_cliente.select(
+        "cpf_cliente", "telefone", X.cpf_mask("cpf_cliente").alias("cpf_fmt"),
+        X.digits_only(X.cpf_mask("cpf_cliente")).alias("cpf_limpo"),
+        X.phone_digits(F.concat(F.lit("("), F.substring("telefone", 1, 2), F.lit(") "),
+                                F.substring("telefone", 3, 1 << 20))).alias("telefone_limpo")))
+
+register("hash_secrets", "SELECT num_conta, sha256(senha) AS senha_hash FROM conta")(
+    lambda fx: fx.bank().conta.select("num_conta", X.sha256_hex("senha").alias("senha_hash")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -206,23 +206,40 @@ MAX_LENGTHS: dict[str, dict[str, int]] = {
 }
 
 
-@dataclass(frozen=True)
 class Bank:
-    """An immutable snapshot of the ten bank tables as DataFrames."""
-
-    agencia: DataFrame
-    funcionario: DataFrame
-    dependente: DataFrame
-    cliente: DataFrame
-    telefone_cliente: DataFrame
-    email_cliente: DataFrame
-    conta: DataFrame
-    titularidade_conta: DataFrame
-    transacao: DataFrame
-    usuario: DataFrame
+    """An immutable snapshot of the ten bank tables as DataFrames.
+
+    Tables may be given as DataFrames or as zero-argument callables; a
+    callable is resolved on first access, so a report only plans the
+    tables it reads.
+    """
+
+    TABLE_NAMES = tuple(TABLES)
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        missing = set(self.TABLE_NAMES) - set(tables)
+        if missing:
+            raise TypeError(f"missing tables: {sorted(missing)}")
+        object.__setattr__(self, "_src", dict(tables))
+        object.__setattr__(self, "_cache", {})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        src = self.__dict__.get("_src", {})
+        if name not in src:
+            raise AttributeError(name)
+        cache = self.__dict__["_cache"]
+        if name not in cache:
+            v = src[name]
+            cache[name] = v() if callable(v) and not isinstance(v, DataFrame) else v
+        return cache[name]
+
+    def __setattr__(self, name, value):
+        raise AttributeError("Bank is immutable; use with_tables")
 
     def with_tables(self, **tables: DataFrame) -> "Bank":
-        return replace(self, **tables)
+        merged = dict(self.__dict__["_src"])
+        merged.update(tables)
+        return Bank(**merged)
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {n: getattr(self, n) for n in self.TABLE_NAMES}

@@ -28,7 +28,17 @@ PARAMS = {
     "account": 50512,
 }
 
-RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders"]
+# Fixed schemas of the driver's tables (no inference at read time).
+RAW_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+}
+RAW_TABLES = list(RAW_SCHEMAS)
 
 
 @dataclass(frozen=True)
@@ -279,8 +289,13 @@ class Fixture:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    _raw_cache: dict
+
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cache = self.__dict__.setdefault("_raw_cache", {})
+        if name not in cache:
+            cache[name] = self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        return cache[name]
 
     def _build(self, v: View) -> DataFrame:
         table, alias, _, _ = v.sources[0]
@@ -298,8 +313,8 @@ class Fixture:
         return self._build(v)
 
     def bank(self) -> Bank:
-        tables = {n: self.view(n) for n in BANK_TABLES}
-        tables["dependente"] = tables["dependente"].drop("seq")
+        tables = {n: (lambda n=n: self.view(n)) for n in BANK_TABLES}
+        tables["dependente"] = lambda: self.view("dependente").drop("seq")
         return Bank(**tables)
 
 
