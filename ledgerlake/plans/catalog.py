@@ -354,3 +354,64 @@ register("normalize_identity",
 
 register("hash_secrets", "SELECT num_conta, sha256(senha) AS senha_hash FROM conta")(
     lambda fx: fx.bank().conta.select("num_conta", X.sha256_hex("senha").alias("senha_hash")))
+
+
+# ------------------------------------------------------------------- ledger
+
+from ledgerlake.operators import ledger as K  # noqa: E402
+
+_DEBIT_SQL = _in_list(DEBIT_KINDS)
+_CREDIT_SQL = _in_list(CREDIT_KINDS)
+_REJECT_SQL = ("COALESCE(x.tipo IN ({d}) AND ({bal} - x.v < a.floor), FALSE)")
+_NEWBAL_SQL = ("CASE WHEN {rej} THEN {bal} WHEN x.tipo IN ({d}) THEN {bal} - x.v "
+               "WHEN x.tipo IN ({c}) THEN {bal} + x.v ELSE {bal} END")
+
+
+def _step(bal: str) -> tuple[str, str]:
+    rej = _REJECT_SQL.format(d=_DEBIT_SQL, bal=bal)
+    return rej, _NEWBAL_SQL.format(rej=rej, d=_DEBIT_SQL, c=_CREDIT_SQL, bal=bal)
+
+
+_R1, _B1 = _step("a.s0")
+_RN, _BN = _step("s.bal")
+POST_SQL = f"""
+, x AS (SELECT id_transacao, num_conta, tipo, valor, CAST(valor AS DECIMAL(18,2)) AS v,
+              row_number() OVER (PARTITION BY num_conta ORDER BY id_transacao) AS rn FROM transacao),
+a AS (SELECT num_conta, CAST(saldo AS DECIMAL(18,2)) AS s0, tipo_conta,
+             CASE WHEN tipo_conta = 'conta especial' THEN -CAST(COALESCE(limite_credito, 0) AS DECIMAL(18,2))
+                  ELSE CAST(0 AS DECIMAL(18,2)) END AS floor FROM conta),
+steps AS (
+  SELECT x.num_conta, x.rn, x.id_transacao, {_R1} AS rej, {_B1} AS bal
+  FROM x JOIN a ON a.num_conta = x.num_conta WHERE x.rn = 1
+  UNION ALL
+  SELECT x.num_conta, x.rn, x.id_transacao, {_RN}, {_BN}
+  FROM steps s JOIN x ON x.num_conta = s.num_conta AND x.rn = s.rn + 1 JOIN a ON a.num_conta = x.num_conta)
+SELECT x.id_transacao, x.num_conta, x.tipo, x.valor,
+       CASE WHEN NOT s.rej THEN 'ACCEPTED' WHEN a.tipo_conta = 'conta especial' THEN 'CREDIT_LIMIT_EXCEEDED'
+            ELSE 'INSUFFICIENT_FUNDS' END AS status, CAST(s.bal AS DOUBLE) AS saldo_apos
+FROM steps s JOIN x ON x.id_transacao = s.id_transacao JOIN a ON a.num_conta = s.num_conta
+UNION ALL
+SELECT x.id_transacao, x.num_conta, x.tipo, x.valor, 'UNKNOWN_ACCOUNT', CAST(NULL AS DOUBLE)
+FROM x WHERE NOT EXISTS (SELECT 1 FROM conta c WHERE c.num_conta = x.num_conta)
+"""
+
+
+def _post_oracle() -> str:
+    base = oracle_with("SELECT 1", ["conta", "transacao"]).rsplit("\nSELECT 1", 1)[0]
+    return "WITH RECURSIVE" + base[len("WITH"):] + POST_SQL
+
+
+def _post_spark(fx: Fixture):
+    b = fx.bank()
+    t = b.transacao.select("id_transacao", "num_conta", "tipo", "valor")
+    return K.post(b.conta, t, seq="id_transacao").decisions
+
+
+register("post")(_post_spark)
+ORACLE["post"] = _post_oracle()
+
+register("running_balance",
+         f"SELECT id_transacao, num_conta, CAST(SUM({_SIGNED_SQL}) OVER (PARTITION BY num_conta "
+         "ORDER BY id_transacao ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS saldo_corrente "
+         "FROM transacao")(
+    lambda fx: K.running_balance(fx.bank()))
