@@ -415,3 +415,20 @@ register("running_balance",
          "ORDER BY id_transacao ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS saldo_corrente "
          "FROM transacao")(
     lambda fx: K.running_balance(fx.bank()))
+
+from ledgerlake.operators import transfers as K2  # noqa: E402
+
+
+def _singles(b):
+    return b.transacao.where(F.col("tipo") != "transferência").select(
+        F.col("id_transacao").alias("seq"), "num_conta", "tipo", "valor")
+
+
+def _post_transfers(fx: Fixture, mode: str = "as_written"):
+    b = fx.bank()
+    out, _ = K2.run_transfers(b, _singles(b), fx.view("transfer_req"), mode)
+    return out
+
+
+register("post_transfers")(_post_transfers)
+register("post_transfers_double_entry")(lambda fx: _post_transfers(fx, "double_entry"))
