@@ -432,3 +432,122 @@ def _post_transfers(fx: Fixture, mode: str = "as_written"):
 
 register("post_transfers")(_post_transfers)
 register("post_transfers_double_entry")(lambda fx: _post_transfers(fx, "double_entry"))
+
+
+# ------------------------------------------------------------------ changes
+
+from ledgerlake.operators import changes as I  # noqa: E402
+from ledgerlake.schema import CLIENTE  # noqa: E402
+
+_CLIENTE_COLS = [f.name for f in CLIENTE.fields]
+
+
+def _apply_updates(fx: Fixture):
+    return I.apply_updates(fx.bank().cliente, fx.view("cliente_changes"), ["cpf"], ["bairro", "cidade"])
+
+
+register("apply_updates",
+         "SELECT " + ", ".join(
+             f"CASE WHEN l.set_{c} THEN l.new_{c} ELSE c.{c} END AS {c}" if c in ("bairro", "cidade") else f"c.{c}"
+             for c in _CLIENTE_COLS)
+         + " FROM cliente c LEFT JOIN (SELECT cpf, "
+           "max_by(bairro, seq) FILTER (WHERE bairro IS NOT NULL) AS new_bairro, "
+           "bool_or(bairro IS NOT NULL) AS set_bairro, "
+           "max_by(cidade, seq) FILTER (WHERE cidade IS NOT NULL) AS new_cidade, "
+           "bool_or(cidade IS NOT NULL) AS set_cidade FROM cliente_changes GROUP BY cpf) l ON l.cpf = c.cpf")(
+    _apply_updates)
+
+register("upsert_contacts",
+         "SELECT cpf_cliente, telefone, descricao FROM telefone_cliente UNION ALL "
+         "SELECT r.cpf_cliente, r.telefone, r.descricao FROM (SELECT *, row_number() OVER "
+         "(PARTITION BY cpf_cliente, telefone ORDER BY seq) AS rn FROM telefone_req) r "
+         "WHERE r.rn = 1 AND NOT EXISTS (SELECT 1 FROM telefone_cliente t "
+         "WHERE t.cpf_cliente = r.cpf_cliente AND t.telefone = r.telefone)")(
+    lambda fx: I.upsert_contacts(fx.bank().telefone_cliente, fx.view("telefone_req"), ["cpf_cliente", "telefone"]))
+
+register("delete_rows",
+         "SELECT nome_completo, matricula_func, data_nascimento, parentesco, idade FROM dependente d "
+         "WHERE NOT EXISTS (SELECT 1 FROM dependente k WHERE k.seq % 10 = 0 "
+         "AND k.matricula_func = d.matricula_func AND k.nome_completo = d.nome_completo)")(
+    lambda fx: I.delete_rows(fx.bank().dependente,
+                             fx.view("dependente").where("seq % 10 = 0").select("matricula_func", "nome_completo")))
+
+register("cascade_users",
+         "SELECT * FROM usuario u WHERE NOT EXISTS (SELECT 1 FROM cliente c WHERE c.cpf = u.cpf "
+         "AND CAST(c.rg_numero AS BIGINT) % 9 = 0) AND NOT EXISTS (SELECT 1 FROM funcionario f "
+         "WHERE f.matricula = u.matricula AND CAST(f.cep AS BIGINT) % 5 = 0)")(
+    lambda fx: I.cascade_users(fx.bank().usuario,
+                               fx.bank().cliente.where("CAST(rg_numero AS BIGINT) % 9 = 0"),
+                               fx.bank().funcionario.where("CAST(cep AS BIGINT) % 5 = 0")))
+
+register("sync_users",
+         "SELECT row_number() OVER (ORDER BY src, ord) AS id, username, nome, senha, role, cpf, matricula FROM ("
+         "SELECT 0 AS src, matricula AS ord, matricula AS username, nome_completo AS nome, senha, cargo AS role, "
+         "CAST(NULL AS VARCHAR) AS cpf, matricula FROM funcionario UNION ALL "
+         "SELECT 1, c.cpf, c.cpf, c.nome_completo, COALESCE(s.s, 'hashsenha123'), 'client', c.cpf, CAST(NULL AS VARCHAR) "
+         "FROM cliente c LEFT JOIN (SELECT tc.cpf_cliente AS cpf, arg_min(co.senha, co.num_conta) AS s "
+         "FROM titularidade_conta tc JOIN conta co ON co.num_conta = tc.num_conta GROUP BY tc.cpf_cliente) s "
+         "ON s.cpf = c.cpf UNION ALL "
+         "SELECT 2, '', 'Admin', 'Administrador DBA', sha256('Root'), 'admin', CAST(NULL AS VARCHAR), "
+         "CAST(NULL AS VARCHAR)) u")(
+    lambda fx: I.sync_users(fx.bank()))
+
+
+def _next_numbers(fx: Fixture):
+    t = fx.bank().transacao
+    cut = X.as_of_literal(AS_OF)
+    req = t.where(F.col("data_hora") >= cut).select(F.col("id_transacao").alias("seq"), "num_conta")
+    return I.assign_next(req, t.where(F.col("data_hora") < cut)).select("seq", "num_conta", "num_transacao")
+
+
+register("next_numbers",
+         "SELECT r.seq, r.num_conta, CAST(COALESCE(m.mx, 0) + row_number() OVER (PARTITION BY r.num_conta "
+         "ORDER BY r.seq) AS INT) AS num_transacao FROM (SELECT id_transacao AS seq, num_conta FROM transacao "
+         f"WHERE data_hora >= {TS}) r LEFT JOIN (SELECT num_conta, max(num_transacao) AS mx FROM transacao "
+         f"WHERE data_hora < {TS} GROUP BY num_conta) m ON m.num_conta = r.num_conta")(_next_numbers)
+
+
+def _global_numbers(fx: Fixture):
+    b = fx.bank()
+    req = b.cliente.where("CAST(rg_numero AS BIGINT) % 10 = 0").select(
+        F.col("rg_numero").cast("long").alias("seq"), "cpf")
+    return I.assign_global(req, I.next_account_base(b.conta).scalar(), out="num_conta_nova")
+
+
+register("global_numbers",
+         "SELECT seq, cpf, (SELECT CASE WHEN COALESCE(max(num_conta), 0) = 0 THEN 50501 ELSE max(num_conta) END "
+         "FROM conta) + row_number() OVER (ORDER BY seq) AS num_conta_nova FROM "
+         "(SELECT CAST(rg_numero AS BIGINT) AS seq, cpf FROM cliente WHERE CAST(rg_numero AS BIGINT) % 10 = 0) r")(
+    _global_numbers)
+
+register("account_terms",
+         "SELECT num_conta, tipo_conta, CASE WHEN tipo_conta = 'poupança' THEN CAST(0.5 AS DOUBLE) END AS taxa_juros, "
+         "CASE WHEN tipo_conta = 'conta especial' THEN CAST(1000.0 AS DOUBLE) END AS limite_credito FROM conta")(
+    lambda fx: I.conform_account_terms(fx.bank().conta.select(
+        "num_conta", "tipo_conta", F.lit(0.5).cast("double").alias("taxa_juros"),
+        F.lit(1000.0).cast("double").alias("limite_credito"))))
+
+_DEP_COLS = "nome_completo, matricula_func, data_nascimento, parentesco, idade, seq"
+register("accept_dependents",
+         "WITH e AS (SELECT * FROM dependente WHERE seq % 2 = 0), r AS (SELECT * FROM dependente WHERE seq % 2 = 1), "
+         "have AS (SELECT matricula_func, count(*) AS n FROM e GROUP BY matricula_func), "
+         "rr AS (SELECT r.*, EXISTS (SELECT 1 FROM e WHERE e.matricula_func = r.matricula_func "
+         "  AND e.nome_completo = r.nome_completo) AS in_e, row_number() OVER "
+         "  (PARTITION BY r.matricula_func, r.nome_completo ORDER BY r.seq) AS k FROM r), "
+         "ok AS (SELECT rr.*, row_number() OVER (PARTITION BY matricula_func ORDER BY seq) AS rk FROM rr "
+         "  WHERE NOT in_e AND k = 1) "
+         f"SELECT ok.nome_completo, ok.matricula_func, ok.data_nascimento, ok.parentesco, ok.idade, ok.seq, "
+         "COALESCE(h.n, 0) + ok.rk <= 5 AS accepted, "
+         "CASE WHEN COALESCE(h.n, 0) + ok.rk <= 5 THEN NULL ELSE 'DEPENDENT_LIMIT' END AS reason "
+         "FROM ok LEFT JOIN have h ON h.matricula_func = ok.matricula_func "
+         f"UNION ALL SELECT {_DEP_COLS}, FALSE, 'DUPLICATE_KEY' FROM rr WHERE in_e OR k > 1")(
+    lambda fx: I.accept_dependents(fx.view("dependente").where("seq % 2 = 0"),
+                                   fx.view("dependente").where("seq % 2 = 1")))
+
+
+def _accept_holders(fx: Fixture):
+    out, _ = I.accept_holders(fx.bank(), fx.view("holder_req"))
+    return out
+
+
+register("accept_holders")(_accept_holders)

@@ -242,6 +242,43 @@ VIEWS: dict[str, View | UnionView] = {
     ),
 }
 
+# More request batches derived from the driver's tables (changes and holders).
+VIEWS.update({
+    "cliente_changes": UnionView([
+        View(sources=[("customer", "c", None, "inner")],
+             cols=[("seq", "CAST(c.c_custkey AS BIGINT)"), ("cpf", _cpf("c.c_custkey")),
+                   ("bairro", "'Novo ' || c.c_mktsegment"), ("cidade", "CAST(NULL AS STRING)")],
+             where="c.c_custkey % 7 = 0"),
+        View(sources=[("customer", "c", None, "inner")],
+             cols=[("seq", "CAST(c.c_custkey + 100000000 AS BIGINT)"), ("cpf", _cpf("c.c_custkey")),
+                   ("bairro", "CAST(NULL AS STRING)"), ("cidade", "'SOBRAL'")],
+             where="c.c_custkey % 14 = 0"),
+    ]),
+    "telefone_req": UnionView([
+        View(sources=[("customer", "c", None, "inner")],
+             cols=[("seq", "CAST(c.c_custkey AS BIGINT)"), ("cpf_cliente", _cpf("c.c_custkey")),
+                   ("telefone", "'88' || lpad(CAST(c.c_custkey AS STRING), 9, '0')"), ("descricao", "'novo'")],
+             where="c.c_custkey % 4 = 0"),
+        View(sources=[("customer", "c", None, "inner")],
+             cols=[("seq", "CAST(c.c_custkey + 100000000 AS BIGINT)"), ("cpf_cliente", _cpf("c.c_custkey")),
+                   ("telefone", "'87' || lpad(CAST(c.c_custkey AS STRING), 9, '0')"), ("descricao", "'recado'")],
+             where="c.c_custkey % 4 = 0"),
+        View(sources=[("customer", "c", None, "inner")],
+             cols=[("seq", "CAST(c.c_custkey + 200000000 AS BIGINT)"), ("cpf_cliente", _cpf("c.c_custkey")),
+                   ("telefone", "'87' || lpad(CAST(c.c_custkey AS STRING), 9, '0')"), ("descricao", "'repetido'")],
+             where="c.c_custkey % 8 = 0"),
+    ]),
+    # Holder inserts: customer c asks for a holder slot on the account of customer (7c + 3) % 97.
+    "holder_req": View(
+        sources=[("customer", "c", None, "inner"),
+                 ("customer", "c2", "c2.c_custkey = (c.c_custkey * 7 + 3) % 97", "inner")],
+        cols=[("seq", "CAST(c.c_custkey AS BIGINT)"),
+              ("num_conta", "CAST(50501 + c2.c_custkey AS INT)"),
+              ("cpf_cliente", _cpf("c.c_custkey")),
+              ("tipo_titular", "CASE WHEN c.c_custkey % 2 = 0 THEN '2º titular' ELSE '1º titular' END")],
+    ),
+})
+
 BANK_TABLES = ["agencia", "funcionario", "dependente", "cliente", "telefone_cliente", "email_cliente",
                "conta", "titularidade_conta", "transacao", "usuario"]
 
@@ -271,6 +308,9 @@ def oracle_with(body: str, views: list[str] | None = None) -> str:
     if not names:
         return body
     ctes = ",\n".join(f"{n} AS ({view_sql(n)})" for n in names)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
