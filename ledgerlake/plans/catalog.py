@@ -551,3 +551,69 @@ def _accept_holders(fx: Fixture):
 
 
 register("accept_holders")(_accept_holders)
+
+
+# ---------------------------------------------------------------- streaming
+
+from ledgerlake.sources.fixture import stream_view  # noqa: E402
+from ledgerlake.streaming import posting as L  # noqa: E402
+from ledgerlake.streaming import transfers as L3  # noqa: E402
+from ledgerlake.streaming.staging import stage_in_order  # noqa: E402
+
+
+def _post_stream(fx: Fixture):
+    src = stream_view(fx.spark, fx.sf_dir, "transacao", drop=("num_transacao",)).withColumnRenamed("id_transacao", "seq")
+    return L.run_to_table(L.post_stream(src, fx.bank().conta), "post-stream")
+
+
+def payroll_changes(fx: Fixture):
+    """Employee change log from the supplier table: hire everyone, then move some, then dismiss some."""
+    f = fx.bank().funcionario.withColumn("_k", F.col("cep").cast("long"))
+    hire = f.select((F.col("_k") * 3).alias("seq"), F.lit("I").alias("op"),
+                    F.lit(None).cast("int").alias("old_num_ag"), F.lit(None).cast("double").alias("old_salario"),
+                    F.col("num_ag").alias("new_num_ag"), F.col("salario").alias("new_salario"))
+    moved = f.where("_k % 4 = 0")
+    move = moved.select((F.lit(1 << 40) + F.col("_k") * 3 + 1).alias("seq"), F.lit("U").alias("op"),
+                        F.col("num_ag").alias("old_num_ag"), F.col("salario").alias("old_salario"),
+                        ((F.col("num_ag") + 1) % 25).cast("int").alias("new_num_ag"),
+                        (F.col("salario") + 100).alias("new_salario"))
+    fire = f.where("_k % 9 = 0").select(
+        (F.lit(2 << 40) + F.col("_k") * 3 + 2).alias("seq"), F.lit("D").alias("op"),
+        F.when(F.col("_k") % 4 == 0, ((F.col("num_ag") + 1) % 25).cast("int")).otherwise(F.col("num_ag")).alias("old_num_ag"),
+        F.when(F.col("_k") % 4 == 0, F.col("salario") + 100).otherwise(F.col("salario")).alias("old_salario"),
+        F.lit(None).cast("int").alias("new_num_ag"), F.lit(None).cast("double").alias("new_salario"))
+    return hire.unionByName(move).unionByName(fire)
+
+
+def _payroll_stream(fx: Fixture):
+    cdc = payroll_changes(fx)
+    staged = stage_in_order(cdc, "seq", [1 << 40, 2 << 40], "payroll-cdc")
+    src = fx.spark.readStream.schema(cdc.schema).option("maxFilesPerTrigger", 1).parquet(staged)
+    return L.run_to_table(L.payroll_stream(src), "payroll-stream", mode="complete")
+
+
+def transfer_requests(fx: Fixture):
+    """Singles and transfers as one request stream schema, in arrival order."""
+    b = fx.bank()
+    singles = _singles(b).select("seq", F.lit("single").alias("kind"), "num_conta", "tipo", "valor",
+                                 F.lit(None).cast("string").alias("solicitante"),
+                                 F.lit(None).cast("int").alias("conta_origem"),
+                                 F.lit(None).cast("int").alias("conta_destino"))
+    tr = fx.view("transfer_req").select("seq", F.lit("transfer").alias("kind"), F.lit(None).cast("int").alias("num_conta"),
+                                        F.lit("transferência").alias("tipo"), "valor", "solicitante",
+                                        "conta_origem", "conta_destino")
+    return singles.unionByName(tr)
+
+
+def _post_transfers_stream(fx: Fixture):
+    req = transfer_requests(fx)
+    mid = req.agg(F.percentile_approx("seq", 0.5)).collect()[0][0]
+    staged = stage_in_order(req, "seq", [int(mid)], "transfer-req")
+    src = fx.spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(staged)
+    out = L3.post_transfers_stream(fx.bank(), src)
+    return fx.spark.read.parquet(f"{out}/decisions").select("seq", "kind", "status", "batch")
+
+
+register("post_stream")(_post_stream)
+register("payroll_stream")(_payroll_stream)
+register("post_transfers_stream")(_post_transfers_stream)

@@ -360,3 +360,22 @@ class Fixture:
 
 def fixture_bank(spark: SparkSession, sf_dir: str) -> Bank:
     return Fixture(spark, sf_dir).bank()
+
+
+def stream_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream (one micro-batch per file; the folder holds one file per table)."""
+    d = sf_dir.rstrip("/")
+    return (spark.readStream.schema(RAW_SCHEMAS[name]).option("basePath", d)
+            .option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}*.parquet"))
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """A single-source fixture view over a file stream (stateless expressions only)."""
+    v = VIEWS[name]
+    if isinstance(v, UnionView) or len(v.sources) != 1:
+        raise ValueError(f"{name} is not a single-source view")
+    table, alias, _, _ = v.sources[0]
+    df = stream_raw(spark, sf_dir, table).alias(alias)
+    if v.where:
+        df = df.where(v.where)
+    return df.selectExpr(*[f"{expr} AS {n}" for n, expr in v.cols if n not in drop])
