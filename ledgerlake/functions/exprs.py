@@ -108,7 +108,7 @@ def date_br(col: str | Column) -> Column:
 def text_date_br(col: str | Column) -> Column:
     """H4 for text: 'yyyy-M-d' or 'yyyy-M-d H:m:s' become dd/MM/yyyy; anything else stays as given."""
     c = _col(col)
-    as_date = F.try_to_date(c, F.lit("yyyy-M-d"))
+    as_date = F.try_to_date(c, "yyyy-M-d")
     as_ts = F.try_to_timestamp(c, F.lit("yyyy-M-d H:m:s"))
     return (F.when(c.isNull() | (c == ""), F.lit(""))
             .otherwise(F.coalesce(date_br(as_date), date_br(as_ts), c)))
