@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.functions.exprs import money
 from ledgerlake.operators.access import authorize
@@ -70,18 +71,15 @@ def build_legs(singles: DataFrame | None, transfers: DataFrame | None, mode: str
     return out
 
 
-_FOLD_COLS = ["seq", "sub", "num_conta", "_delta", "_debit", "_floor", "_s0", "_partner_ok", "_live"]
-
-
 def _fold_accounts(batches):
     """Per-account sequential pass over legs sorted by (num_conta, seq, sub).
 
-    A leg's own test uses the balance from the legs accepted before it in
+    A leg's own test uses the balance from the legs applied before it in
     this pass; a leg is applied only when its own test passes and the other
-    legs of its request passed in the previous round.
+    legs of its request passed in the previous round. Every state column is
+    carried through, so the round needs no join back.
     """
     import numpy as np
-    import pandas as pd
 
     cur = None
     bal = 0
@@ -107,19 +105,22 @@ def _fold_accounts(batches):
             own[i] = ok
             if ok and partner[i] and not bal_null:
                 bal += int(delta[i])
-        yield pd.DataFrame({"seq": pdf["seq"], "sub": pdf["sub"], "_own": own})
+        out = pdf.drop(columns=["_partner_ok"])
+        out["_own"] = own
+        yield out
 
 
 def _round(state: DataFrame) -> DataFrame:
     """One Jacobi step across accounts, sequential within each account."""
     w_req = Window.partitionBy("seq")
     passing = F.sum(F.col("_own").cast("int")).over(w_req) - F.col("_own").cast("int")
-    with_partner = state.withColumn("_partner_ok", passing == F.count(F.lit(1)).over(w_req) - 1)
-    folded = (with_partner.select(*_FOLD_COLS).repartition("num_conta")
-              .sortWithinPartitions("num_conta", "seq", "sub")
-              .mapInPandas(_fold_accounts, "seq long, sub int, _own boolean"))
-    return (with_partner.drop("_partner_ok").withColumnRenamed("_own", "_prev")
-            .join(folded, ["seq", "sub"]))
+    with_partner = (state.withColumn("_partner_ok", passing == F.count(F.lit(1)).over(w_req) - 1)
+                    .withColumnRenamed("_own", "_prev"))
+    out_schema = T.StructType([f for f in with_partner.schema.fields if f.name != "_partner_ok"]
+                              + [T.StructField("_own", T.BooleanType())])
+    return (with_partner.repartition("num_conta")
+            .sortWithinPartitions("num_conta", "seq", "sub")
+            .mapInPandas(_fold_accounts, out_schema))
 
 
 def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
@@ -134,6 +135,7 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_00
            .when(F.col("_known").isNull(), F.lit(UNKNOWN_ACCOUNT)))
     cur = (legs.join(acc, "num_conta", "left").withColumn("_pre", pre)
            .withColumn("_live", F.col("_pre").isNull())
+           .withColumn("_s0", F.col("_s0").cast("double"))
            .withColumn("_own", F.col("_live")))
     cur = cut_lineage(cur)
     rounds = 0

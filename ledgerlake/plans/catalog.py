@@ -561,11 +561,17 @@ from ledgerlake.streaming import transfers as L3  # noqa: E402
 from ledgerlake.streaming.staging import stage_in_order  # noqa: E402
 
 
-def _post_stream(fx: Fixture):
+def _post_stream_stateful(fx: Fixture):
     src = stream_view(fx.spark, fx.sf_dir, "transacao", drop=("num_transacao",)).withColumnRenamed("id_transacao", "seq")
     return L.run_to_table(L.post_stream(src, fx.bank().conta), "post-stream")
 
 
+def _post_stream(fx: Fixture):
+    src = stream_view(fx.spark, fx.sf_dir, "transacao", drop=("num_transacao",)).withColumnRenamed("id_transacao", "seq")
+    out = L.post_stream_versioned(src, fx.bank().conta)
+    return fx.spark.read.parquet(f"{out}/decisions").select("seq", "num_conta", "tipo", "valor", "status", "saldo_apos")
+
+
 def payroll_changes(fx: Fixture):
     """Employee change log from the supplier table: hire everyone, then move some, then dismiss some."""
     f = fx.bank().funcionario.withColumn("_k", F.col("cep").cast("long"))
@@ -615,5 +621,99 @@ def _post_transfers_stream(fx: Fixture):
 
 
 register("post_stream")(_post_stream)
+register("post_stream_stateful")(_post_stream_stateful)
 register("payroll_stream")(_payroll_stream)
 register("post_transfers_stream")(_post_transfers_stream)
+
+
+# ------------------------------------------------- composite requests
+
+from ledgerlake.operators import requests as RQ  # noqa: E402
+
+
+def _cust(fx: Fixture):
+    return fx.raw("customer")
+
+
+def open_account_requests(fx: Fixture):
+    c = _cust(fx).where("c_custkey % 10 = 0")
+    new_cpf = F.col("c_custkey") % 30 == 0
+    return c.select(
+        F.col("c_custkey").alias("seq"),
+        F.when(new_cpf, F.lpad((F.col("c_custkey") + 10 ** 9).cast("string"), 11, "0"))
+        .otherwise(F.lpad(F.col("c_custkey").cast("string"), 11, "0")).alias("cpf"),
+        F.when(new_cpf, F.col("c_name")).alias("nome_completo"),
+        F.when(new_cpf, F.lit("1990-01-01").cast("date")).alias("data_nascimento"),
+        F.lit("poupança").alias("tipo_conta"), (F.col("c_acctbal") / 10).alias("saldo_inicial"),
+        F.md5(F.col("c_name")).alias("senha_hash"),
+        F.when(F.col("c_custkey") % 20 == 0, F.col("c_nationkey")).otherwise((F.col("c_nationkey") + 1) % 25)
+        .cast("int").alias("num_ag"),
+        F.lit(0.5).alias("taxa_juros"), F.lit(None).cast("double").alias("limite_credito"),
+        F.lit("gerente").alias("requester_role"), F.lit("MAT1004").alias("requester_matricula"))
+
+
+def registration_requests(fx: Fixture):
+    c = _cust(fx).where("c_custkey % 25 = 0")
+    existing = F.col("c_custkey") % 50 == 0
+    return c.select(
+        F.col("c_custkey").alias("seq"),
+        F.when(existing, F.lpad(F.col("c_custkey").cast("string"), 11, "0"))
+        .otherwise(F.lpad((F.col("c_custkey") + 5 * 10 ** 8).cast("string"), 11, "0")).alias("cpf"),
+        F.col("c_name").alias("nome_completo"), F.lit("1985-05-05").cast("date").alias("data_nascimento"),
+        F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("username"),
+        F.col("c_name").alias("senha"),
+        F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("(85) 9"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("telefone"))
+
+
+def employee_requests(fx: Fixture):
+    s = fx.raw("supplier")
+    hires = s.where("s_suppkey % 3 = 0").select(
+        F.col("s_suppkey").alias("seq"), F.lit("hire").alias("op"), F.lit(None).cast("string").alias("matricula"),
+        F.concat(F.lit("Novo "), F.col("s_name")).alias("nome_completo"), F.lit("caixa").alias("cargo"),
+        F.lit("feminino").alias("genero"), F.lit("1991-01-01").cast("date").alias("data_nascimento"),
+        (F.lit(2000.0) + F.abs(F.col("s_acctbal")) / 10).alias("salario"), F.col("s_nationkey").alias("num_ag"),
+        F.md5(F.col("s_name")).alias("senha_hash"))
+    edits = fx.bank().funcionario.where("CAST(cep AS BIGINT) % 5 = 0").select(
+        (F.col("cep").cast("long") + 10 ** 9).alias("seq"), F.lit("edit").alias("op"), "matricula", "nome_completo",
+        "cargo", "genero", "data_nascimento", (F.col("salario") + 10).alias("salario"), "num_ag",
+        F.lit("").alias("senha_hash"))
+    return hires.unionByName(edits)
+
+
+def promotion_requests(fx: Fixture):
+    return fx.bank().usuario.where("role = 'client' AND CAST(cpf AS BIGINT) % 40 = 0").select(
+        F.col("id").alias("seq"), F.col("id").alias("id_usuario"), F.lit("gerente").alias("novo_cargo"),
+        F.lit(1).cast("long").alias("requester_id"), F.lit("admin").alias("requester_role"))
+
+
+def dependent_requests(fx: Fixture):
+    p = fx.raw("part")
+    adds = p.where("p_size BETWEEN 30 AND 39").select(
+        F.col("p_partkey").alias("seq"), F.lit("add").alias("op"),
+        F.concat(F.lit("MAT"), (1001 + F.col("p_partkey") % 7).cast("string")).alias("matricula_func"),
+        F.lit(None).cast("string").alias("nome_antigo"), F.col("p_name").alias("nome_completo"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 4000).cast("int")).alias("data_nascimento"),
+        F.lit("filho(a)").alias("parentesco"))
+    edits = fx.view("dependente").where("seq % 5 = 0").select(
+        (F.col("seq") + 10 ** 9).alias("seq"), F.lit("edit").alias("op"), "matricula_func",
+        F.col("nome_completo").alias("nome_antigo"), F.concat(F.col("nome_completo"), F.lit(" Jr")).alias("nome_completo"),
+        "data_nascimento", "parentesco")
+    return adds.unionByName(edits)
+
+
+def fee_requests(fx: Fixture):
+    o = fx.raw("orders").where("o_orderkey % 50 = 0")
+    return o.select(
+        F.col("o_orderkey").alias("seq"), (50501 + F.col("o_custkey")).cast("int").alias("num_conta"),
+        F.round(F.col("o_totalprice") / 100, 2).alias("valor"), F.lit("MAT1002").alias("requester_matricula"),
+        F.when(F.col("o_orderkey") % 100 == 0, F.lit("MAT1002")).otherwise(F.lit("MAT1005")).alias("authorizer_username"))
+
+
+register("open_accounts")(lambda fx: RQ.open_accounts(fx.bank(), open_account_requests(fx), AS_OF).decisions)
+register("register_customers")(
+    lambda fx: RQ.register_customers(fx.bank(), registration_requests(fx), AS_OF).decisions)
+register("apply_employees")(lambda fx: RQ.apply_employees(fx.bank(), employee_requests(fx)).decisions)
+register("apply_promotions")(lambda fx: RQ.apply_promotions(fx.bank(), promotion_requests(fx)).decisions)
+register("apply_dependents")(lambda fx: RQ.apply_dependents(fx.bank(), dependent_requests(fx), AS_OF).decisions)
+register("post_fees")(lambda fx: RQ.post_fees(fx.bank(), fee_requests(fx), AS_OF).decisions)

@@ -48,41 +48,45 @@ def _cents(c) -> F.Column:
 
 
 def _post_group(key, pdfs: Iterator[pd.DataFrame], state):
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
+    frames = list(pdfs)
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    if len(pdf) > 1:
+        pdf = pdf.sort_values("seq", kind="stable")
+    seq = pdf["seq"].tolist()
+    pre = pdf["_pre"].tolist()
+    delta = pdf["_delta"].tolist()
+    debit = pdf["_debit"].tolist()
+    floor = pdf["_floor"].iloc[0]
+    special = pdf["_tipo_conta"].iloc[0] == SPECIAL
     if state.exists:
         bal, bal_null = state.get
         bal_null = bool(bal_null)
         bal = int(bal or 0)
     else:
-        first_s0 = pdf["_s0"].iloc[0]
-        bal_null = pd.isna(first_s0)
-        bal = 0 if bal_null else int(first_s0)
-    n = len(pdf)
-    status = np.empty(n, dtype=object)
-    after = np.full(n, np.nan)
-    pre = pdf["_pre"].to_numpy(dtype=object)
-    delta = pdf["_delta"].fillna(0).to_numpy(dtype=np.int64)
-    debit = pdf["_debit"].eq(True).to_numpy()
-    floor = pdf["_floor"].fillna(0).to_numpy(dtype=np.int64)
-    special = (pdf["_tipo_conta"] == SPECIAL).to_numpy()
-    for i in range(n):
-        if pre[i] is not None and not (isinstance(pre[i], float) and np.isnan(pre[i])):
-            status[i] = pre[i]
+        s0 = pdf["_s0"].iloc[0]
+        bal_null = bool(pd.isna(s0))
+        bal = 0 if bal_null else int(s0)
+    floor = 0 if pd.isna(floor) else int(floor)
+    refuse = CREDIT_LIMIT_EXCEEDED if special else INSUFFICIENT_FUNDS
+    status = []
+    after = []
+    for i in range(len(seq)):
+        if isinstance(pre[i], str):
+            status.append(pre[i])
+            after.append(None)
             continue
         if bal_null:
-            status[i] = ACCEPTED
-        elif debit[i] and bal + delta[i] < floor[i]:
-            status[i] = CREDIT_LIMIT_EXCEEDED if special[i] else INSUFFICIENT_FUNDS
+            status.append(ACCEPTED)
+        elif debit[i] and bal + delta[i] < floor:
+            status.append(refuse)
         else:
-            status[i] = ACCEPTED
+            status.append(ACCEPTED)
             bal += int(delta[i])
-        if not bal_null:
-            after[i] = bal / 100.0
-    if pdf["_known"].eq(True).any():
+        after.append(None if bal_null else bal / 100.0)
+    if pdf["_known"].iloc[0] is True:
         state.update((bal, bal_null))
-    yield pd.DataFrame({"seq": pdf["seq"].astype("int64"), "num_conta": pdf["num_conta"],
-                        "tipo": pdf["tipo"], "valor": pdf["valor"], "status": status,
-                        "saldo_apos": after})
+    yield pd.DataFrame({"seq": seq, "num_conta": pdf["num_conta"].tolist(), "tipo": pdf["tipo"].tolist(),
+                        "valor": pdf["valor"].tolist(), "status": status, "saldo_apos": after})
 
 
 def post_stream(txn_stream: DataFrame, accounts: DataFrame, seq: str = "seq") -> DataFrame:
@@ -150,3 +154,36 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", fmt: str =
     if q.exception():
         raise q.exception()
     return spark.read.format(fmt).load(out)
+
+
+def post_stream_versioned(txn_stream: DataFrame, accounts: DataFrame, seq: str = "seq", name: str = "post") -> str:
+    """L1, batch-vectorised form: each micro-batch runs K1 against the previous balance snapshot.
+
+    Micro-batch n reads ``balances/v=<n-1>`` (the given accounts for n = 0),
+    posts its rows with the batch operator (one shuffle, sorted fold) and
+    writes ``decisions/batch=<n>`` and ``balances/v=<n>`` with overwrite, so
+    a replayed batch rewrites the same files. Per-key state is avoided: a
+    per-group Python call per account costs far more than one vectorised
+    pass over the batch. Returns the output folder.
+    """
+    from ledgerlake.operators.ledger import balances_after, post
+
+    spark = txn_stream.sparkSession
+    out = scratch_path(spark, f"{name}-out")
+    ckpt = scratch_path(spark, f"{name}-ckpt")
+    acc_cols = ["num_conta", "saldo", "tipo_conta", "limite_credito"]
+    initial = accounts.select(*acc_cols)
+
+    def run_batch(df: DataFrame, batch_id: int) -> None:
+        acc = initial if batch_id == 0 else spark.read.parquet(f"{out}/balances/v={batch_id - 1}")
+        p = post(acc, df.select(seq, "num_conta", "tipo", "valor"), seq=seq)
+        (p.decisions.withColumn("batch", F.lit(batch_id))
+         .write.mode("overwrite").parquet(f"{out}/decisions/batch={batch_id}"))
+        balances_after(acc, p).select(*acc_cols).write.mode("overwrite").parquet(f"{out}/balances/v={batch_id}")
+
+    q = (txn_stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+         .foreachBatch(run_batch).start())
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return out

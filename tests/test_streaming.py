@@ -49,3 +49,16 @@ def test_transfer_stream_equals_batch(spark):
     got = {r["seq"]: r["status"] for r in QUERIES["post_transfers_stream"](spark, SF).collect()}
     exp = {r["seq"]: r["status"] for r in _post_transfers(Fixture(spark, SF)).collect()}
     assert got == exp
+
+
+def test_versioned_post_stream_three_batches_equals_batch(spark):
+    b = Fixture(spark, SF).bank()
+    t = b.transacao.select(F.col("id_transacao").alias("seq"), "num_conta", "tipo", "valor")
+    staged = stage_in_order(t, "seq", [2000, 4000], "test-post-v")
+    src = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(staged)
+    out = L.post_stream_versioned(src, b.conta)
+    dec = spark.read.parquet(f"{out}/decisions")
+    assert sorted({r["batch"] for r in dec.select("batch").distinct().collect()}) == [0, 1, 2]
+    got = {r["seq"]: (r["status"], r["saldo_apos"]) for r in dec.collect()}
+    exp = {r["seq"]: (r["status"], r["saldo_apos"]) for r in K.post(b.conta, t, seq="seq").decisions.collect()}
+    assert got == exp
