@@ -292,3 +292,9 @@ def user_directory(b: Bank) -> DataFrame:
     """users, highest role first, then name. The secret column never appears."""
     return (b.usuario.select("id", "username", "nome", "role", "cpf", "matricula")
             .orderBy(enum_rank("role", ROLE).desc(), F.col("nome").asc()))
+
+
+def first_by_key(df: DataFrame, key: list[str], order: str, cols: list[str]) -> DataFrame:
+    """one row per key, the one with the lowest ``order`` (deterministic stand-in for LIMIT 1)."""
+    others = [c for c in cols if c not in key]
+    return df.groupBy(*key).agg(*[(F.min(c) if c == order else F.min_by(c, order)).alias(c) for c in others])

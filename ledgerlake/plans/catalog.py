@@ -717,3 +717,39 @@ register("apply_employees")(lambda fx: RQ.apply_employees(fx.bank(), employee_re
 register("apply_promotions")(lambda fx: RQ.apply_promotions(fx.bank(), promotion_requests(fx)).decisions)
 register("apply_dependents")(lambda fx: RQ.apply_dependents(fx.bank(), dependent_requests(fx), AS_OF).decisions)
 register("post_fees")(lambda fx: RQ.post_fees(fx.bank(), fee_requests(fx), AS_OF).decisions)
+
+
+# ------------------------------------------------------ more inventory items
+
+from ledgerlake.sources.tables import conform  # noqa: E402
+
+register("accounts_per_branch",
+         "SELECT tc.cpf_cliente, c.num_ag, COUNT(*) AS n_contas FROM titularidade_conta tc "
+         "JOIN conta c ON c.num_conta = tc.num_conta GROUP BY tc.cpf_cliente, c.num_ag")(
+    lambda fx: R.accounts_per_branch(fx.bank()))
+
+register("dependents_per_employee",
+         "SELECT matricula_func, COUNT(*) AS n_dependentes FROM dependente GROUP BY matricula_func")(
+    lambda fx: R.dependents_per_employee(fx.bank()))
+
+register("lookup",
+         "SELECT f.matricula, f.nome_completo, f.num_ag FROM funcionario f "
+         "WHERE f.matricula IN (SELECT matricula_gerente FROM conta)")(
+    lambda fx: R.lookup(fx.bank().funcionario, fx.bank().conta.select(F.col("matricula_gerente").alias("matricula")))
+    .select("matricula", "nome_completo", "num_ag"))
+
+register("conform_insert",
+         "SELECT CAST(50501 + 100000000 + c_custkey AS INT) AS num_conta, CAST(0.0 AS DOUBLE) AS saldo, "
+         "md5(c_name) AS senha, 'conta-corrente' AS tipo_conta, CAST(NULL AS DOUBLE) AS taxa_juros, "
+         "CAST(NULL AS DOUBLE) AS limite_credito, CAST(NULL AS DATE) AS data_aniversario_contrato, "
+         "CAST(c_nationkey AS INT) AS num_ag, 'MAT1004' AS matricula_gerente FROM customer")(
+    lambda fx: conform(fx.raw("customer").select(
+        (F.lit(50501 + 100000000) + F.col("c_custkey")).alias("NUM_CONTA"), F.md5("c_name").alias("senha"),
+        F.lit("conta-corrente").alias("tipo_conta"), F.col("c_nationkey").alias("num_ag"),
+        F.lit("MAT1004").alias("matricula_gerente")), "conta"))
+
+register("first_by_key",
+         "SELECT cpf_cliente, arg_min(telefone, telefone) AS telefone, arg_min(descricao, telefone) AS descricao "
+         "FROM telefone_cliente GROUP BY cpf_cliente")(
+    lambda fx: R.first_by_key(fx.bank().telefone_cliente, ["cpf_cliente"], "telefone",
+                              ["cpf_cliente", "telefone", "descricao"]))
