@@ -238,7 +238,7 @@ def accept_dependents(existing: DataFrame, requests: DataFrame, seq: str = "seq"
          .withColumn("_first", first_in_batch))
     dup = F.col("_dupe").isNotNull() | ~F.col("_first")
     slots = r.where(~dup)
-    slots = prefix_sum(slots, "matricula_func", seq, F.lit(1).cast("long"), "_rank", inclusive=True, chunk_span=None)
+    slots = prefix_sum(slots, "matricula_func", seq, F.lit(1).cast("long"), "_rank", inclusive=True)
     slots = slots.join(have, "matricula_func", "left").withColumn(
         "_ok", F.coalesce(F.col("_have"), F.lit(0)) + F.col("_rank") <= limit)
     cols = list(requests.columns)

@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 def test_post_stream_three_batches_equals_batch(spark):
     b = Fixture(spark, SF).bank()
     t = b.transacao.select(F.col("id_transacao").alias("seq"), "num_conta", "tipo", "valor")
-    staged = stage_in_order(t, "seq", [2000, 4000], "test-post")
+    staged = stage_in_order(t, "seq", [500, 1000], "test-post")
     src = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(staged)
     got = {r["seq"]: (r["status"], r["saldo_apos"]) for r in L.run_to_table(L.post_stream(src, b.conta), "t").collect()}
     exp = {r["seq"]: (r["status"], r["saldo_apos"]) for r in K.post(b.conta, t, seq="seq").decisions.collect()}
@@ -54,7 +54,7 @@ def test_transfer_stream_equals_batch(spark):
 def test_versioned_post_stream_three_batches_equals_batch(spark):
     b = Fixture(spark, SF).bank()
     t = b.transacao.select(F.col("id_transacao").alias("seq"), "num_conta", "tipo", "valor")
-    staged = stage_in_order(t, "seq", [2000, 4000], "test-post-v")
+    staged = stage_in_order(t, "seq", [500, 1000], "test-post-v")
     src = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(staged)
     out = L.post_stream_versioned(src, b.conta)
     dec = spark.read.parquet(f"{out}/decisions")
