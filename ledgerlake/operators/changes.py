@@ -269,7 +269,7 @@ def sync_users(b: Bank, default_secret_digest: F.Column | None = None) -> DataFr
                    F.coalesce("_s", F.lit(DEFAULT_PASSWORD_LITERAL)).alias("senha"), F.lit("client").alias("role"),
                    "cpf", F.lit(None).cast("string").alias("matricula")))
     admin_secret = default_secret_digest if default_secret_digest is not None else F.sha2(F.lit("Root"), 256)
-    admin = b.agencia.limit(1).select(
+    admin = b.agencia.sparkSession.range(1).select(
         F.lit(2).alias("_src"), F.lit("").alias("_ord"), F.lit(ADMIN_USERNAME).alias("username"),
         F.lit(ADMIN_NAME).alias("nome"), admin_secret.alias("senha"), F.lit("admin").alias("role"),
         F.lit(None).cast("string").alias("cpf"), F.lit(None).cast("string").alias("matricula"))
