@@ -6,7 +6,7 @@ refused, the refusals with a reason). The reference applies requests one
 by one; here the rule is applied to the whole batch with joins, partial
 aggregates and windows. Where a request's fate depends on earlier accepted
 requests (unique keys, per-customer-per-branch limits) the batch is solved
-by rounds of window minima (``greedy_unique``).
+by rounds of per-key minima (``greedy_unique``).
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ def upsert_contacts(base: DataFrame, changes: DataFrame, key: list[str], seq: st
     The value is part of the key, so this is "append if absent"; within the
     batch the first request per key inserts, later ones hit the duplicate.
     """
-    w = Window.partitionBy(*key).orderBy(seq)
-    first = (changes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    first_seq = changes.groupBy(*key).agg(F.min(seq).alias("_fseq"))
+    first = (changes.join(first_seq, key).where(F.col(seq) == F.col("_fseq"))
              .select(*base.columns))
     return base.unionByName(first.join(base.select(*key), key, "left_anti"))
 
@@ -152,8 +152,9 @@ def greedy_unique(requests: DataFrame, seq: str, keys: list[list[str]], max_roun
     Rounds: among pending rows accept those minimal in ``seq`` on every key
     they hold, drop pending rows sharing a key with a newly accepted row,
     repeat until none is pending. The first pending row overall is always
-    accepted, so every round makes progress; each round is two windows per
-    key plus a reliable checkpoint. Returns (requests with boolean
+    accepted, so every round makes progress; each round is, per key, a
+    partial aggregate (minimal pending seq) and a distinct of taken values,
+    both joined back, plus a reliable checkpoint. Returns (requests with boolean
     ``accepted``, rounds).
     """
     key_ids = []
@@ -171,19 +172,26 @@ def greedy_unique(requests: DataFrame, seq: str, keys: list[list[str]], max_roun
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError("greedy acceptance did not settle")
+        # Minimal pending seq per key value: partial aggregates joined back (a hot key value is
+        # pre-aggregated map-side, and AQE can split its partition in the join).
+        step = cur
         minimal = F.lit(True)
         for k in key_ids:
-            w = Window.partitionBy(k)
-            m = F.min(F.when(F.col("_state") == 0, F.col(seq))).over(w)
-            minimal = minimal & (F.col(k).isNull() | (m == F.col(seq)))
-        step = cur.withColumn("_state", F.when((F.col("_state") == 0) & minimal, F.lit(1)).otherwise(F.col("_state")))
-        # A pending row sharing a key with a row accepted this round (or earlier) is refused.
+            mins = (cur.where((F.col("_state") == 0) & F.col(k).isNotNull()).groupBy(k)
+                    .agg(F.min(seq).alias(f"_min{k}")))
+            step = step.join(mins, k, "left")
+            minimal = minimal & (F.col(k).isNull() | (F.col(f"_min{k}") == F.col(seq)))
+        step = step.withColumn("_state", F.when((F.col("_state") == 0) & minimal, F.lit(1)).otherwise(F.col("_state")))
+        step = step.drop(*[f"_min{k}" for k in key_ids])
+        # A pending row sharing a key with an accepted row (this round or earlier) is refused.
         clash = F.lit(False)
         for k in key_ids:
-            w = Window.partitionBy(k)
-            taken = F.max(F.when(F.col("_state") == 1, F.lit(1)).otherwise(F.lit(0))).over(w) == 1
-            clash = clash | (F.col(k).isNotNull() & taken)
-        step = step.withColumn("_state", F.when((F.col("_state") == 0) & clash, F.lit(2)).otherwise(F.col("_state")))
+            taken = step.where((F.col("_state") == 1) & F.col(k).isNotNull()).select(k).distinct() \
+                .withColumn(f"_t{k}", F.lit(True))
+            step = step.join(taken, k, "left")
+            clash = clash | F.col(f"_t{k}").isNotNull()
+        step = (step.withColumn("_state", F.when((F.col("_state") == 0) & clash, F.lit(2)).otherwise(F.col("_state")))
+                .drop(*[f"_t{k}" for k in key_ids]))
         cur = cut_lineage(step)
     return cur.withColumn("accepted", F.col("_state") == 1).drop("_state", *key_ids), rounds
 
@@ -233,9 +241,10 @@ def accept_dependents(existing: DataFrame, requests: DataFrame, seq: str = "seq"
     """
     have = existing.groupBy("matricula_func").agg(F.count(F.lit(1)).alias("_have"))
     stored_keys = existing.select("matricula_func", "nome_completo").distinct().withColumn("_dupe", F.lit(True))
-    first_in_batch = F.row_number().over(Window.partitionBy("matricula_func", "nome_completo").orderBy(seq)) == 1
+    first_seq = requests.groupBy("matricula_func", "nome_completo").agg(F.min(seq).alias("_fseq"))
     r = (requests.join(stored_keys, ["matricula_func", "nome_completo"], "left")
-         .withColumn("_first", first_in_batch))
+         .join(first_seq, ["matricula_func", "nome_completo"], "left")
+         .withColumn("_first", F.col(seq) == F.col("_fseq")).drop("_fseq"))
     dup = F.col("_dupe").isNotNull() | ~F.col("_first")
     slots = r.where(~dup)
     slots = prefix_sum(slots, "matricula_func", seq, F.lit(1).cast("long"), "_rank", inclusive=True)
