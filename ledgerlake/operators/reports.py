@@ -204,7 +204,17 @@ def account_profile(b: Bank) -> DataFrame:
 # -------------------------------------------------------------------- D1-D6
 
 def _recent(b: Bank, as_of, days: int) -> DataFrame:
-    return b.transacao.where(since("data_hora", as_of, days))
+    return recent_transactions(b.transacao, as_of, days)
+
+
+def recent_transactions(t: DataFrame, as_of, days: int) -> DataFrame:
+    """Rows with ``data_hora >= as_of - days``; when the log is stored by month (``ano_mes``), the
+    same bound on the month column prunes older partitions before any file is read."""
+    out = t.where(since("data_hora", as_of, days))
+    if "ano_mes" in t.columns:
+        start = (as_of if not isinstance(as_of, str) else dt.datetime.fromisoformat(as_of)) - dt.timedelta(days=days)
+        out = out.where(F.col("ano_mes") >= start.year * 100 + start.month)
+    return out
 
 
 def activity_count(b: Bank, as_of, days: int, limit: int | None = None) -> DataFrame:
@@ -257,7 +267,7 @@ def activity_profile(b: Bank, as_of, days: tuple[int, ...] = (7, 30, 365)) -> Da
     than it are skipped.
     """
     widest = max(days)
-    t = b.transacao.where(since("data_hora", as_of, widest)).select("num_conta", "data_hora", "valor")
+    t = recent_transactions(b.transacao, as_of, widest).select("num_conta", "data_hora", "valor")
     aggs: list[Column] = []
     for d in days:
         aggs.append(F.count_if(F.col("data_hora") >= window_start(as_of, d)).alias(f"count_{d}"))
