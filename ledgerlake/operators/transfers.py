@@ -15,9 +15,12 @@ pass is sequential; across accounts it is a Jacobi step. A decision depends
 only on requests with a smaller ``seq``, so the fixed point is unique and
 equals the sequential result; rounds continue until no leg's result
 changes, and the count of rounds follows the depth of cross-account
-transfer chains. Each round is cut with a reliable checkpoint in the
-session's checkpoint folder, so a lost executor recomputes one round, not
-the whole chain.
+transfer chains. After the first round the iteration is semi-naive: only
+accounts holding a partner of a leg whose result just changed are folded
+again, and their results overlay the checkpointed first round, so a round
+costs a scan of that base plus work proportional to what changed. Each
+round is cut with a reliable checkpoint in the session's checkpoint folder,
+so a lost executor recomputes one round, not the whole chain.
 """
 
 from __future__ import annotations
@@ -123,8 +126,17 @@ def _round(state: DataFrame) -> DataFrame:
             .mapInPandas(_fold_accounts, out_schema))
 
 
-def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
-    """Run the fixpoint over ``legs``; returns (legs with _acc/_pass/_bal and status, rounds)."""
+def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_000,
+                   full_round_fraction: float = 0.02, min_incremental_legs: int = 5_000_000
+                   ) -> tuple[DataFrame, int]:
+    """Run the fixpoint over ``legs``; returns (legs with _acc/_pass/_bal and status, rounds).
+
+    A round after the first is a full round when the legs changed by the previous round exceed
+    ``full_round_fraction`` of all legs, or when there are fewer than ``min_incremental_legs`` legs
+    (below that size the fixed cost of the extra jobs of an incremental round outweighs a full
+    reshuffle); otherwise it is incremental. Both compute the same function, so the fixed point
+    does not depend on the choice.
+    """
     acc = accounts.select("num_conta", _cents("saldo").alias("_s0"), F.col("tipo_conta").alias("_tipo_conta"),
                           F.when(F.col("tipo_conta") == SPECIAL,
                                  -_cents(F.coalesce(F.col("limite_credito"), F.lit(0.0))))
@@ -138,16 +150,57 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_00
            .withColumn("_s0", F.col("_s0").cast("double"))
            .withColumn("_own", F.col("_live")))
     cur = cut_lineage(cur)
-    rounds = 0
+    # Round 1: every account folded once (partners assumed passing).
+    first = cut_lineage(_round(cur))
+    rounds = 1
+    base = first.drop("_prev")
+    frontier = first.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
+    empty_overlay = first.sparkSession.createDataFrame([], "seq long, sub int, _own_o boolean")
+    overlay = empty_overlay
+    legs_key = base.select("seq", "sub", "num_conta")
+    n_legs = max(base.count(), 1)
+    # Later rounds: an account's fold changes only if a partner leg's result changed. While many legs
+    # change, a full round is cheapest; once the frontier is small, only the accounts of partners of
+    # the legs that just changed are folded again (semi-naive), over the checkpointed base.
     while True:
-        rounds += 1
-        nxt = cut_lineage(_round(cur))
-        changed = nxt.where(F.col("_own") != F.col("_prev")).limit(1).count()
-        cur = nxt.drop("_prev")
-        if changed == 0:
+        n_front = frontier.count()
+        if n_front == 0:
             break
-        if rounds >= max_rounds:
+        rounds += 1
+        if rounds > max_rounds:
             raise RuntimeError(f"transfer fixpoint did not settle in {max_rounds} rounds")
+        if n_legs < min_incremental_legs or n_front > full_round_fraction * n_legs:
+            state = (base.join(overlay, ["seq", "sub"], "left")
+                     .withColumn("_own", F.coalesce(F.col("_own_o"), F.col("_own"))).drop("_own_o"))
+            nxt = cut_lineage(_round(state))
+            base = nxt.drop("_prev")
+            legs_key = base.select("seq", "sub", "num_conta")
+            frontier = nxt.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
+            overlay = empty_overlay
+            continue
+        partners = (legs_key.join(frontier.select("seq").distinct(), "seq", "left_semi")
+                    .join(frontier, ["seq", "sub"], "left_anti"))
+        dirty = partners.select("num_conta").distinct()
+        current = F.coalesce(F.col("_own_o"), F.col("_own"))
+        d = (base.join(dirty, "num_conta", "left_semi").join(overlay, ["seq", "sub"], "left")
+             .withColumn("_own", current).drop("_own_o"))
+        req = (base.select("seq", "sub", "_own").join(d.select("seq").distinct(), "seq", "left_semi")
+               .join(overlay, ["seq", "sub"], "left")
+               .groupBy("seq").agg(F.count(F.lit(1)).alias("_n"), F.sum(current.cast("int")).alias("_np")))
+        d = (d.join(req, "seq")
+             .withColumn("_partner_ok", F.col("_np") - F.col("_own").cast("int") == F.col("_n") - 1)
+             .drop("_n", "_np").withColumnRenamed("_own", "_prev"))
+        out_schema = T.StructType([f for f in d.schema.fields if f.name != "_partner_ok"]
+                                  + [T.StructField("_own", T.BooleanType())])
+        folded = cut_lineage(d.repartition("num_conta").sortWithinPartitions("num_conta", "seq", "sub")
+                             .mapInPandas(_fold_accounts, out_schema))
+        frontier = folded.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
+        # The overlay is a short chain of anti-joins and unions over checkpointed fold results,
+        # so it is not checkpointed itself: recomputing it only re-reads checkpoints.
+        overlay = (overlay.join(folded.select("seq", "sub"), ["seq", "sub"], "left_anti")
+                   .unionByName(folded.select("seq", "sub", F.col("_own").alias("_own_o"))))
+    cur = (base.join(overlay, ["seq", "sub"], "left")
+           .withColumn("_own", F.coalesce(F.col("_own_o"), F.col("_own"))).drop("_own_o"))
     req_ok = F.min(F.col("_own").cast("int")).over(Window.partitionBy("seq")) == 1
     reason = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
               .when(F.col("_tipo_conta") == SPECIAL, F.lit(CREDIT_LIMIT_EXCEEDED))

@@ -66,3 +66,20 @@ def test_accept_holders_matches_model(spark):
             held_slot.add((acct, slot))
             held_pk.add((acct, cpf))
     assert got == exp
+
+
+def test_incremental_rounds_match_model_on_fixture(spark):
+    from ledgerlake.operators import transfers as K2
+
+    fx = Fixture(spark, SF)
+    b = fx.bank()
+    singles_df = b.transacao.where(F.col("tipo") != "transferência").select(
+        F.col("id_transacao").alias("seq"), "num_conta", "tipo", "valor")
+    auth = authorize(b, fx.view("transfer_req"))
+    ok_df = auth.where("reason IS NULL").drop("reason")
+    done, rounds = K2.post_transfers(b.conta, K2.build_legs(singles_df, ok_df, "as_written"),
+                                     min_incremental_legs=0, full_round_fraction=1.0)
+    got = {r["seq"]: r["status"] for r in K2.decisions(done).collect()}
+    ok = [(r["seq"], r["conta_origem"], r["conta_destino"], r["valor"]) for r in ok_df.collect()]
+    exp = transfers_model(_accounts(b), [tuple(r) for r in singles_df.collect()], ok, "as_written")
+    assert got == exp and rounds >= 2

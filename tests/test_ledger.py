@@ -82,9 +82,10 @@ def test_running_balance_chunked_equals_plain(spark):
     assert a == p
 
 
+@pytest.mark.parametrize("incremental", [False, True])
 @pytest.mark.parametrize("mode", ["as_written", "double_entry"])
 @pytest.mark.parametrize("seed", range(3))
-def test_transfers_equal_sequential_model(spark, mode, seed):
+def test_transfers_equal_sequential_model(spark, mode, seed, incremental):
     rng = random.Random(100 + seed)
     accounts, singles = _random_case(rng, n_acc=5, n_tx=60)
     singles = [(s, a, t, v) for s, a, t, v in singles if a != 999]
@@ -96,7 +97,8 @@ def test_transfers_equal_sequential_model(spark, mode, seed):
     acc_df = spark.createDataFrame([(k, *v) for k, v in accounts.items()], ACC_SCHEMA)
     s_df = spark.createDataFrame(singles, TX_SCHEMA)
     t_df = spark.createDataFrame(transfers, "seq long, conta_origem int, conta_destino int, valor double")
-    done, rounds = K2.post_transfers(acc_df, K2.build_legs(s_df, t_df, mode))
+    kw = {"min_incremental_legs": 0, "full_round_fraction": 1.0} if incremental else {}
+    done, rounds = K2.post_transfers(acc_df, K2.build_legs(s_df, t_df, mode), **kw)
     got = {r["seq"]: r["status"] for r in K2.decisions(done).collect()}
     exp = transfers_model(accounts, singles, transfers, mode)
     assert got == exp
