@@ -753,3 +753,34 @@ register("first_by_key",
          "FROM telefone_cliente GROUP BY cpf_cliente")(
     lambda fx: R.first_by_key(fx.bank().telefone_cliente, ["cpf_cliente"], "telefone",
                               ["cpf_cliente", "telefone", "descricao"]))
+
+
+# ------------------------------------------- planted violations, bulk forms
+
+def _schema_dirty_oracle() -> str:
+    table, key = "conta", ["num_conta"]
+    rk = "CAST(num_conta AS VARCHAR)"
+    rules = [(f"not_null:{f.name}", f"{f.name} IS NULL") for f in TABLES[table].fields if not f.nullable]
+    rules += [(f"enum:{c}", f"{c} IS NOT NULL AND {c} NOT IN ({_in_list(d)})")
+              for c, d in ENUM_COLUMNS.get(table, {}).items()]
+    rules += [(f"length:{c}", f"length({c}) > {n}") for c, n in MAX_LENGTHS.get(table, {}).items()]
+    return " UNION ALL ".join(
+        f"SELECT 'conta' AS tabela, {rk} AS row_key, '{name}' AS rule FROM conta_dirty WHERE {cond}"
+        for name, cond in rules)
+
+
+register("check_schema_dirty", _schema_dirty_oracle())(
+    lambda fx: Q.check_schema(fx.view("conta_dirty"), "conta", ["num_conta"]))
+
+register("customer_activity_count_all_30",
+         "SELECT tc.cpf_cliente, t.num_conta, COUNT(t.id_transacao) AS total FROM transacao t "
+         "JOIN titularidade_conta tc ON t.num_conta = tc.num_conta JOIN conta c ON t.num_conta = c.num_conta "
+         f"WHERE c.tipo_conta = 'conta-corrente' AND t.data_hora >= {TS} - INTERVAL 30 DAY "
+         "GROUP BY tc.cpf_cliente, t.num_conta")(
+    lambda fx: R.customer_activity_count(fx.bank(), None, AS_OF, 30))
+
+register("customer_activity_volume_all_30",
+         "SELECT tc.cpf_cliente, t.num_conta, CAST(SUM(CAST(t.valor AS DECIMAL(18,2))) AS DOUBLE) AS volume "
+         "FROM transacao t JOIN titularidade_conta tc ON t.num_conta = tc.num_conta "
+         f"WHERE t.data_hora >= {TS} - INTERVAL 30 DAY GROUP BY tc.cpf_cliente, t.num_conta")(
+    lambda fx: R.customer_activity_volume(fx.bank(), None, AS_OF, 30))

@@ -279,6 +279,14 @@ VIEWS.update({
     ),
 })
 
+# A dirty copy of the accounts with planted schema violations (for the integrity checks).
+_conta_cols = dict(VIEWS["conta"].cols)
+_conta_cols["tipo_conta"] = f"CASE WHEN c.c_custkey % 13 = 0 THEN 'conta salario' ELSE {_CONTA_TIPO} END"
+_conta_cols["matricula_gerente"] = (f"CASE WHEN c.c_custkey % 17 = 0 THEN CAST(NULL AS STRING) "
+                                    f"ELSE {_mat('1001 + 3 * (c.c_custkey % 4)')} END")
+_conta_cols["senha"] = f"CASE WHEN c.c_custkey % 19 = 0 THEN repeat('x', 300) ELSE {_CONTA_SENHA} END"
+VIEWS["conta_dirty"] = View(sources=VIEWS["conta"].sources, cols=list(_conta_cols.items()))
+
 BANK_TABLES = ["agencia", "funcionario", "dependente", "cliente", "telefone_cliente", "email_cliente",
                "conta", "titularidade_conta", "transacao", "usuario"]
 
