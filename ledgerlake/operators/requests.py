@@ -186,9 +186,6 @@ def apply_employees(b: Bank, requests: DataFrame) -> Result:
     edits = ok.where(c("op") == "edit").withColumn("senha", F.when(c("senha_hash") != "", c("senha_hash")))
     upd_cols = ["nome_completo", "cargo", "genero", "data_nascimento", "salario", "num_ag", "senha"]
     funcionario = I.apply_updates(b.funcionario, edits, ["matricula"], upd_cols).unionByName(new_emp)
-    role_changes = (edits.select("matricula", "seq", c("cargo").alias("role"), c("nome_completo").alias("nome"))
-                    .unionByName(hires.select("matricula", "seq", c("cargo").alias("role"),
-                                              c("nome_completo").alias("nome"))))
     usuario = I.apply_updates(b.usuario, edits.select("matricula", "seq", c("cargo").alias("role"),
                                                       c("nome_completo").alias("nome")), ["matricula"], ["role", "nome"])
     new_users = hires.select(c("matricula").alias("username"), c("nome_completo").alias("nome"),
@@ -198,8 +195,7 @@ def apply_employees(b: Bank, requests: DataFrame) -> Result:
         hires.select("seq", "matricula"), "seq", "left")
         .unionByName(r.where(c("_pre").isNotNull()).select("seq", c("_pre").alias("status"),
                                                            F.lit(None).cast("string").alias("matricula"))))
-    return Result(decisions, {"funcionario": funcionario, "usuario": usuario, "new_usuario": new_users,
-                              "role_changes": role_changes})
+    return Result(decisions, {"funcionario": funcionario, "usuario": usuario, "new_usuario": new_users})
 
 
 # ------------------------------------------------------------------- I12

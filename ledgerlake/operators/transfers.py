@@ -149,8 +149,7 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_00
            .withColumn("_live", F.col("_pre").isNull())
            .withColumn("_s0", F.col("_s0").cast("double"))
            .withColumn("_own", F.col("_live")))
-    cur = cut_lineage(cur)
-    # Round 1: every account folded once (partners assumed passing).
+    # Round 1: every account folded once (partners assumed passing); its checkpoint is the first cut.
     first = cut_lineage(_round(cur))
     rounds = 1
     base = first.drop("_prev")

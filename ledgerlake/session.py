@@ -20,7 +20,14 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
-    # Per-account streaming state (L1) grows with the number of accounts: keep it off-heap.
+}
+
+
+# For the per-account state of ``post_stream`` at scale, set
+# spark.sql.streaming.stateStore.providerClass =
+#   org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider
+# so the state lives off-heap and checkpoints incrementally.
+STATEFUL_STREAMING = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
