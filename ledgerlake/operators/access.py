@@ -92,3 +92,24 @@ def authorize(b: Bank, requests: DataFrame) -> DataFrame:
               .when(F.col("conta_origem") == F.col("conta_destino"), F.lit("SAME_ACCOUNT"))
               .when(F.col("orig_ag").isNull() | F.col("dest_exists").isNull(), F.lit("UNKNOWN_ACCOUNT")))
     return r.select(*requests.columns, reason.alias("reason"))
+
+
+def authorize_cash(b: Bank, requests: DataFrame) -> DataFrame:
+    """N2 for deposits and withdrawals: only caixa (own branch) and admin may post them.
+
+    ``requests``: seq, solicitante (username), num_conta, tipo, valor. Order of checks:
+    requester unknown; role other than caixa/admin; amount not positive; account unknown;
+    caixa outside own branch. ``reason`` is NULL when the request may proceed to posting.
+    """
+    u = b.usuario.select(F.col("username").alias("solicitante"), "role", F.col("matricula").alias("u_matricula"))
+    emp = b.funcionario.select(F.col("matricula").alias("u_matricula"), F.col("num_ag").alias("emp_ag"))
+    acc = b.conta.select("num_conta", F.col("num_ag").alias("acc_ag"), F.lit(True).alias("_acc"))
+    r = (requests.join(u, "solicitante", "left").join(emp, "u_matricula", "left")
+         .join(acc, "num_conta", "left"))
+    reason = (F.when(F.col("role").isNull(), F.lit("USER_NOT_FOUND"))
+              .when(~F.col("role").isin("caixa", "admin"), F.lit("ROLE_NOT_ALLOWED"))
+              .when(F.col("valor").isNull() | (F.col("valor") <= 0), F.lit("INVALID_AMOUNT"))
+              .when(F.col("_acc").isNull(), F.lit("UNKNOWN_ACCOUNT"))
+              .when((F.col("role") == "caixa") & (F.col("emp_ag").isNull() | (F.col("emp_ag") != F.col("acc_ag"))),
+                    F.lit("BRANCH_MISMATCH")))
+    return r.select(*requests.columns, reason.alias("reason"))

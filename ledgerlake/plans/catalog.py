@@ -784,3 +784,30 @@ register("customer_activity_volume_all_30",
          "FROM transacao t JOIN titularidade_conta tc ON t.num_conta = tc.num_conta "
          f"WHERE t.data_hora >= {TS} - INTERVAL 30 DAY GROUP BY tc.cpf_cliente, t.num_conta")(
     lambda fx: R.customer_activity_volume(fx.bank(), None, AS_OF, 30))
+
+
+def cash_requests(fx: Fixture):
+    """Deposits and withdrawals entered by staff: the orders of kinds 0 and 1, requester by order key."""
+    o = fx.raw("orders").where("o_orderkey % 6 IN (0, 1)")
+    return o.select(F.col("o_orderkey").alias("seq"),
+                    F.when(F.col("o_orderkey") % 97 == 0, F.lit("Admin"))
+                    .otherwise(F.concat(F.lit("MAT"), (1001 + F.col("o_orderkey") % 13).cast("string"))).alias("solicitante"),
+                    (50501 + F.col("o_custkey")).cast("int").alias("num_conta"),
+                    F.when(F.col("o_orderkey") % 6 == 0, F.lit("saque")).otherwise(F.lit("depósito")).alias("tipo"),
+                    F.col("o_totalprice").alias("valor"))
+
+
+register("authorize_cash",
+         "SELECT r.seq, r.solicitante, r.num_conta, r.tipo, r.valor, CASE WHEN u.role IS NULL THEN 'USER_NOT_FOUND' "
+         "WHEN u.role NOT IN ('caixa', 'admin') THEN 'ROLE_NOT_ALLOWED' "
+         "WHEN r.valor IS NULL OR r.valor <= 0 THEN 'INVALID_AMOUNT' "
+         "WHEN c.num_conta IS NULL THEN 'UNKNOWN_ACCOUNT' "
+         "WHEN u.role = 'caixa' AND (f.num_ag IS NULL OR f.num_ag <> c.num_ag) THEN 'BRANCH_MISMATCH' END AS reason "
+         "FROM (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 97 = 0 THEN 'Admin' "
+         "      ELSE 'MAT' || CAST(1001 + o_orderkey % 13 AS VARCHAR) END AS solicitante, "
+         "      CAST(50501 + o_custkey AS INT) AS num_conta, "
+         "      CASE WHEN o_orderkey % 6 = 0 THEN 'saque' ELSE 'depósito' END AS tipo, o_totalprice AS valor "
+         "      FROM orders WHERE o_orderkey % 6 IN (0, 1)) r "
+         "LEFT JOIN usuario u ON u.username = r.solicitante LEFT JOIN funcionario f ON f.matricula = u.matricula "
+         "LEFT JOIN conta c ON c.num_conta = r.num_conta")(
+    lambda fx: N.authorize_cash(fx.bank(), cash_requests(fx)))

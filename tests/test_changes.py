@@ -94,8 +94,12 @@ def test_apply_updates_latest_change_per_column(spark):
 
 
 def test_sync_users_first_wins_on_any_key(spark):
-    b = seed_bank(spark)
-    # A customer whose CPF equals an employee's matricula string as a username clash.
+    import datetime as dt
+
+    # A customer whose CPF text equals an employee's matricula clashes on username: the employee
+    # (inserted first) keeps it and the customer row is ignored.
+    clash = ("MAT1002", "Zeca", "1", "SSP", "CE", dt.date(1990, 1, 1), None, None, None, None, None, None, None, None)
+    b = seed_bank(spark, {"cliente": [clash]})
     users = I.sync_users(b).collect()
     names = [u["username"] for u in sorted(users, key=lambda u: u["id"])]
     assert names == ["MAT1001", "MAT1002", "MAT1003", "01234567890", "Admin"]
