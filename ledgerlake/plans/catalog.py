@@ -811,3 +811,30 @@ register("authorize_cash",
          "LEFT JOIN usuario u ON u.username = r.solicitante LEFT JOIN funcionario f ON f.matricula = u.matricula "
          "LEFT JOIN conta c ON c.num_conta = r.num_conta")(
     lambda fx: N.authorize_cash(fx.bank(), cash_requests(fx)))
+
+
+def _post_incremental(fx: Fixture):
+    """Post the log in two batches split at half the largest id: batch 2 runs against the balances
+    and the accepted log left by batch 1, and must decide exactly as one pass over the whole log."""
+    b = fx.bank()
+    t = b.transacao.select("id_transacao", "num_transacao", "num_conta", "tipo", "valor")
+    # One aggregate value (not data) fetched once, so the split is a literal that reaches the scan.
+    cut = int(t.agg(F.max("id_transacao")).collect()[0][0] // 2)
+    from ledgerlake.session import cut_lineage
+
+    # Batch 1's decisions feed both the new balances and the existing log: materialise them once.
+    first = K.Posting(cut_lineage(K.post(b.conta, t.where(F.col("id_transacao") < cut), seq="id_transacao").decisions))
+    after = K.balances_after(b.conta, first)
+    second = K.post(after, t.where(F.col("id_transacao") >= cut), seq="id_transacao",
+                    existing_log=first.accepted.select("num_conta", "num_transacao"))
+    return second.decisions.select("id_transacao", "num_conta", "tipo", "valor", "status", "saldo_apos")
+
+
+def _post_incremental_oracle() -> str:
+    # One recursive pass over the whole log, restricted to the second half (id_transacao is o_orderkey).
+    return (f"SELECT * FROM ({ORACLE['post']}) p WHERE p.id_transacao >= "
+            "(SELECT floor(max(o_orderkey) / 2) FROM orders)")
+
+
+register("post_incremental")(_post_incremental)
+ORACLE["post_incremental"] = _post_incremental_oracle()
