@@ -257,6 +257,21 @@ def accept_dependents(existing: DataFrame, requests: DataFrame, seq: str = "seq"
     return accepted.unionByName(refused)
 
 
+# ---------------------------------------------------------------------- I5
+
+def ensure_admin(users: DataFrame, secret_digest: Column | None = None) -> DataFrame:
+    """Make sure the fixed administrator row exists (anti-join on its username, then union);
+    a missing row gets the next id (table max + 1)."""
+    spark = users.sparkSession
+    secret = secret_digest if secret_digest is not None else F.sha2(F.lit("Root"), 256)
+    next_id = users.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    row = spark.range(1).select(next_id.cast("long").alias("id"), F.lit(ADMIN_USERNAME).alias("username"),
+                                F.lit(ADMIN_NAME).alias("nome"), secret.alias("senha"), F.lit("admin").alias("role"),
+                                F.lit(None).cast("string").alias("cpf"), F.lit(None).cast("string").alias("matricula"))
+    missing = row.join(users.select("username"), "username", "left_anti")
+    return users.unionByName(missing.select(*users.columns))
+
+
 # ---------------------------------------------------------------------- I4
 
 def sync_users(b: Bank, default_secret_digest: F.Column | None = None) -> DataFrame:

@@ -838,3 +838,10 @@ def _post_incremental_oracle() -> str:
 
 register("post_incremental")(_post_incremental)
 ORACLE["post_incremental"] = _post_incremental_oracle()
+
+
+register("ensure_admin",
+         "SELECT * FROM usuario WHERE username <> 'Admin' UNION ALL "
+         "SELECT (SELECT max(id) + 1 FROM usuario WHERE username <> 'Admin'), 'Admin', 'Administrador DBA', "
+         "sha256('Root'), 'admin', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)")(
+    lambda fx: I.ensure_admin(fx.bank().usuario.where(F.col("username") != "Admin")))
