@@ -129,7 +129,7 @@ def _round(state: DataFrame) -> DataFrame:
 def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_000,
                    full_round_fraction: float = 0.02, min_incremental_legs: int = 5_000_000
                    ) -> tuple[DataFrame, int]:
-    """Run the fixpoint over ``legs``; returns (legs with _acc/_pass/_bal and status, rounds).
+    """Run the fixpoint over ``legs``; returns (legs with their result ``_own``/``_pass`` and ``_leg_reason``, rounds).
 
     A round after the first is a full round when the legs changed by the previous round exceed
     ``full_round_fraction`` of all legs, or when there are fewer than ``min_incremental_legs`` legs
@@ -200,25 +200,30 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_00
                    .unionByName(folded.select("seq", "sub", F.col("_own").alias("_own_o"))))
     cur = (base.join(overlay, ["seq", "sub"], "left")
            .withColumn("_own", F.coalesce(F.col("_own_o"), F.col("_own"))).drop("_own_o"))
-    req_ok = F.min(F.col("_own").cast("int")).over(Window.partitionBy("seq")) == 1
     reason = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
               .when(F.col("_tipo_conta") == SPECIAL, F.lit(CREDIT_LIMIT_EXCEEDED))
               .otherwise(F.lit(INSUFFICIENT_FUNDS)))
-    done = cur.withColumn("_acc", req_ok).withColumn("_pass", F.col("_own"))
+    done = cur.withColumn("_pass", F.col("_own"))
     return done.withColumn("_leg_reason", F.when(~F.col("_pass"), reason)), rounds
 
 
+def accepted_legs(legs_done: DataFrame) -> DataFrame:
+    """Legs of requests whose every leg passed (a request is applied as a whole)."""
+    ok = legs_done.groupBy("seq").agg(F.min(F.col("_own").cast("int")).alias("_ok")).where("_ok = 1")
+    return legs_done.join(ok.select("seq"), "seq", "left_semi")
+
+
 def decisions(legs_done: DataFrame) -> DataFrame:
     """One row per request: status ACCEPTED or the reason of its first failing leg."""
     first_fail = F.min_by(F.col("_leg_reason"), F.when(F.col("_leg_reason").isNotNull(), F.col("sub")))
     return (legs_done.groupBy("seq", "kind")
-            .agg(F.max(F.col("_acc").cast("int")).alias("_ok"), first_fail.alias("_why"))
+            .agg(F.min(F.col("_own").cast("int")).alias("_ok"), first_fail.alias("_why"))
             .select("seq", "kind", F.when(F.col("_ok") == 1, F.lit(ACCEPTED)).otherwise(F.col("_why")).alias("status")))
 
 
 def balances(accounts: DataFrame, legs_done: DataFrame) -> DataFrame:
     """Account snapshot after the accepted legs."""
-    d = legs_done.where("_acc").groupBy("num_conta").agg(F.sum("_delta").alias("_d"))
+    d = accepted_legs(legs_done).groupBy("num_conta").agg(F.sum("_delta").alias("_d"))
     return (accounts.join(d, "num_conta", "left")
             .withColumn("saldo", ((_cents("saldo") + F.coalesce("_d", F.lit(0))).cast("decimal(20,0)") / 100)
                         .cast("decimal(18,2)").cast("double"))
