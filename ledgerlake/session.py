@@ -73,3 +73,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 192 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a run over ``input_bytes`` on ``total_cores`` cores.
+
+    Aim for shuffle partitions of roughly ``target_partition_bytes`` (so a task's sort and window
+    buffers fit in executor memory and spill rarely), never fewer than 2 per core, and let AQE
+    coalesce the small ones. Scan splits follow the same target. At 100 TB over 8,000 cores this
+    gives about 550,000 shuffle partitions before coalescing; the example in the README uses 8.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        **RECOMMENDED,
+    }
