@@ -79,7 +79,7 @@ def _funcionario(salary: str) -> View:
         cols=[
             ("matricula", _mat("1001 + s.s_suppkey")),
             ("nome_completo", "s.s_name"),
-            ("senha", f"CASE WHEN s.s_suppkey % 7 = 5 THEN 'hashsenha123' ELSE {_digest('s.s_name', 's.s_suppkey')} END"),
+            ("senha", _FUNC_SENHA),
             ("tipo_logradouro", "'Rua'"),
             ("nome_logradouro", "'Rua ' || CAST(s.s_suppkey % 97 AS STRING)"),
             ("numero", "CAST(s.s_suppkey % 1000 AS STRING)"),
