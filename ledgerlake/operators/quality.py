@@ -34,7 +34,7 @@ def check_fk(child: DataFrame, parent: DataFrame, child_cols: list[str], parent_
 def check_schema(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     """NOT NULL, ENUM-domain and length rules of ``table`` in one pass.
 
-    Returns one row per (row key, failed rule).
+    Returns one row per (row key, failed rule), tagged ``origem='db'`` (rules the database enforces).
     """
     schema = TABLES[table]
     rules = []
@@ -51,7 +51,8 @@ def check_schema(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     row_key = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
     return (df.select(row_key.alias("row_key"), failed.alias("failed"))
             .where(F.size("failed") > 0)
-            .select(F.lit(table).alias("tabela"), "row_key", F.explode("failed").alias("rule")))
+            .select(F.lit(table).alias("tabela"), "row_key", F.explode("failed").alias("rule"),
+                    F.lit("db").alias("origem")))
 
 
 def check_salary(funcionario: DataFrame) -> DataFrame:
@@ -78,6 +79,7 @@ def check_fields(df: DataFrame, kind: str, key: list[str], today: dt.date | str)
 
     kind: 'cliente' (cpf 11 digits, cep 8 digits, birth date in range),
     'conta' (rate 0..100, limit >= 0, balance >= 0), 'transacao' (amount >= 0.01).
+    Tagged ``origem='app'``: these rules exist in the screens only, not in the database.
     """
     if isinstance(today, str):
         today = dt.date.fromisoformat(today[:10])
@@ -98,7 +100,8 @@ def check_fields(df: DataFrame, kind: str, key: list[str], today: dt.date | str)
     failed = F.filter(F.array(*[F.when(cond, F.lit(n)) for n, cond in rules]), lambda x: x.isNotNull())
     row_key = F.concat_ws("|", *[c(k).cast("string") for k in key])
     return (df.select(row_key.alias("row_key"), failed.alias("failed")).where(F.size("failed") > 0)
-            .select(F.lit(kind).alias("tabela"), "row_key", F.explode("failed").alias("rule")))
+            .select(F.lit(kind).alias("tabela"), "row_key", F.explode("failed").alias("rule"),
+                    F.lit("app").alias("origem")))
 
 
 def reconcile_balances(b: Bank) -> DataFrame:

@@ -218,7 +218,8 @@ def _schema_oracle() -> str:
                   for c, d in ENUM_COLUMNS.get(table, {}).items()]
         rules += [(f"length:{c}", f"length({c}) > {n}") for c, n in MAX_LENGTHS.get(table, {}).items()]
         for name, cond in rules:
-            parts.append(f"SELECT '{table}' AS tabela, {rk} AS row_key, '{name}' AS rule FROM {table} WHERE {cond}")
+            parts.append(f"SELECT '{table}' AS tabela, {rk} AS row_key, '{name}' AS rule, 'db' AS origem "
+                         f"FROM {table} WHERE {cond}")
     return " UNION ALL ".join(parts)
 
 
@@ -246,16 +247,16 @@ register("check_holders",
     lambda fx: Q.check_holders(fx.bank()))
 
 _FIELDS_ORACLE = " UNION ALL ".join([
-    "SELECT 'cliente' AS tabela, cpf AS row_key, 'cpf_11_digitos' AS rule FROM cliente "
+    "SELECT 'cliente' AS tabela, cpf AS row_key, 'cpf_11_digitos' AS rule, 'app' AS origem FROM cliente "
     "WHERE cpf IS NULL OR NOT regexp_matches(cpf, '^[0-9]{11}$')",
-    "SELECT 'cliente', cpf, 'cep_8_digitos' FROM cliente WHERE cep IS NOT NULL AND NOT regexp_matches(cep, '^[0-9]{8}$')",
-    f"SELECT 'cliente', cpf, 'nascimento_fora_do_intervalo' FROM cliente "
+    "SELECT 'cliente', cpf, 'cep_8_digitos', 'app' FROM cliente WHERE cep IS NOT NULL AND NOT regexp_matches(cep, '^[0-9]{8}$')",
+    f"SELECT 'cliente', cpf, 'nascimento_fora_do_intervalo', 'app' FROM cliente "
     f"WHERE data_nascimento < DATE '1900-01-01' OR data_nascimento > DATE '{AS_OF_DATE}'",
-    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'taxa_fora_0_100' FROM conta "
+    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'taxa_fora_0_100', 'app' FROM conta "
     "WHERE taxa_juros IS NOT NULL AND (taxa_juros < 0 OR taxa_juros > 100)",
-    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'limite_negativo' FROM conta "
+    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'limite_negativo', 'app' FROM conta "
     "WHERE limite_credito IS NOT NULL AND limite_credito < 0",
-    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'saldo_inicial_negativo' FROM conta WHERE saldo IS NOT NULL AND saldo < 0",
+    "SELECT 'conta', CAST(num_conta AS VARCHAR), 'saldo_inicial_negativo', 'app' FROM conta WHERE saldo IS NOT NULL AND saldo < 0",
 ])
 register("check_fields", _FIELDS_ORACLE)(
     lambda fx: Q.check_fields(fx.bank().cliente, "cliente", ["cpf"], AS_OF).unionByName(
@@ -765,7 +766,7 @@ def _schema_dirty_oracle() -> str:
               for c, d in ENUM_COLUMNS.get(table, {}).items()]
     rules += [(f"length:{c}", f"length({c}) > {n}") for c, n in MAX_LENGTHS.get(table, {}).items()]
     return " UNION ALL ".join(
-        f"SELECT 'conta' AS tabela, {rk} AS row_key, '{name}' AS rule FROM conta_dirty WHERE {cond}"
+        f"SELECT 'conta' AS tabela, {rk} AS row_key, '{name}' AS rule, 'db' AS origem FROM conta_dirty WHERE {cond}"
         for name, cond in rules)
 
 
