@@ -177,7 +177,8 @@ def post(accounts: DataFrame, txns: DataFrame, seq: str = "id_transacao",
     optionally num_transacao and other columns (passed through).
     Returns one decision per row: the input columns plus ``status``
     (ACCEPTED or the reason) and ``saldo_apos`` (balance after the row;
-    unchanged for a refused row, NULL when the account is unknown).
+    unchanged for a row refused by the balance rule; NULL for a row refused
+    before it: unknown account, NULL field, invalid type, number already used).
 
     ``skewed=None`` measures the largest account first: the default plan
     shuffles the transactions once on ``num_conta`` and runs every window on
