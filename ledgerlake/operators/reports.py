@@ -106,7 +106,7 @@ def employees_with_dependents(b: Bank, num_ag: int) -> DataFrame:
     return (f.join(deps, "matricula", "left")
             .select("nome_completo", "cargo", "tipo_logradouro", "nome_logradouro", "numero", "cidade",
                     "salario", F.coalesce("dependentes", F.lit(0)).alias("dependentes"))
-            .orderBy("nome_completo"))
+            .orderBy(ci_ai("nome_completo")))
 
 
 def customers_of_branch(b: Bank, num_ag: int) -> DataFrame:
@@ -301,7 +301,7 @@ def dependents_per_employee(b: Bank) -> DataFrame:
 def user_directory(b: Bank) -> DataFrame:
     """users, highest role first, then name. The secret column never appears."""
     return (b.usuario.select("id", "username", "nome", "role", "cpf", "matricula")
-            .orderBy(enum_rank("role", ROLE).desc(), F.col("nome").asc()))
+            .orderBy(enum_rank("role", ROLE).desc(), ci_ai("nome").asc()))
 
 
 def first_by_key(df: DataFrame, key: list[str], order: str, cols: list[str]) -> DataFrame:

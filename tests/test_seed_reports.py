@@ -64,3 +64,14 @@ def test_user_directory_never_returns_secret(spark):
     d = R.user_directory(b)
     assert "senha" not in d.columns
     assert [r["role"] for r in d.collect()][:2] == ["admin", "admin"]
+
+
+def test_name_sort_is_case_and_accent_insensitive(spark):
+    """T5: names sort as the server's default collation does (Álvaro, ana, Bruno)."""
+    b = seed_bank(spark)
+    users = spark.createDataFrame(
+        [(10, "u1", "ana", "x", "client", None, None), (11, "u2", "Bruno", "x", "client", None, None),
+         (12, "u3", "Álvaro", "x", "client", None, None)],
+        "id long, username string, nome string, senha string, role string, cpf string, matricula string")
+    out = [r["nome"] for r in R.user_directory(b.with_tables(usuario=users)).collect()]
+    assert out == ["Álvaro", "ana", "Bruno"]
