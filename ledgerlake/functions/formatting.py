@@ -39,3 +39,25 @@ def format_dates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def mask_cpfs(df: DataFrame, cols: list[str]) -> DataFrame:
     """H2 applied to the named columns."""
     return df.select(*[cpf_mask(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def normalize_identity(df: DataFrame, cpf_cols: tuple[str, ...] = (), phone_cols: tuple[str, ...] = ()) -> DataFrame:
+    """H1 + H3 at ingest: CPF columns keep digits only ('' for NULL); phone columns keep the first 11 digits."""
+    from ledgerlake.functions.exprs import digits_only, phone_digits
+
+    out = []
+    for c in df.columns:
+        if c in cpf_cols:
+            out.append(digits_only(c).alias(c))
+        elif c in phone_cols:
+            out.append(phone_digits(c).alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+def hash_secrets(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """H6 at ingest: replace plain secrets by their SHA-256 hex digest."""
+    from ledgerlake.functions.exprs import sha256_hex
+
+    return df.select(*[sha256_hex(c).alias(c) if c in cols else F.col(c) for c in df.columns])

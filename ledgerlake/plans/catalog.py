@@ -347,14 +347,28 @@ register("normalize_identity",
          f"regexp_replace({_MASK_SQL.format(c='cpf_cliente')}, '[^0-9]', '', 'g') AS cpf_limpo, "
          f"substr(regexp_replace({_SHOWN_PHONE}, '[^0-9]', '', 'g'), 1, 11) AS telefone_limpo "
          "FROM telefone_cliente")(
-    lambda fx: fx.bank().telefone_cliente.select(
+    lambda fx: _normalize_identity(fx))
+
+
+def _normalize_identity(fx: Fixture):
+    from ledgerlake.functions.formatting import normalize_identity
+
+    shown = fx.bank().telefone_cliente.select(
         "cpf_cliente", "telefone", X.cpf_mask("cpf_cliente").alias("cpf_fmt"),
-        X.digits_only(X.cpf_mask("cpf_cliente")).alias("cpf_limpo"),
-        X.phone_digits(F.concat(F.lit("("), F.substring("telefone", 1, 2), F.lit(") "),
-                                F.substring("telefone", 3, 1 << 20))).alias("telefone_limpo")))
+        X.cpf_mask("cpf_cliente").alias("cpf_limpo"),
+        F.concat(F.lit("("), F.substring("telefone", 1, 2), F.lit(") "),
+                 F.substring("telefone", 3, 1 << 20)).alias("telefone_limpo"))
+    # Masked CPFs and formatted phones (as typed on the screens) normalised back at ingest.
+    return normalize_identity(shown, cpf_cols=("cpf_limpo",), phone_cols=("telefone_limpo",))
+
+
+def _hash_secrets(fx: Fixture):
+    from ledgerlake.functions.formatting import hash_secrets
+
+    return hash_secrets(fx.bank().conta.select("num_conta", F.col("senha").alias("senha_hash")), ("senha_hash",))
+
 
-register("hash_secrets", "SELECT num_conta, sha256(senha) AS senha_hash FROM conta")(
-    lambda fx: fx.bank().conta.select("num_conta", X.sha256_hex("senha").alias("senha_hash")))
+register("hash_secrets", "SELECT num_conta, sha256(senha) AS senha_hash FROM conta")(_hash_secrets)
 
 
 # ------------------------------------------------------------------- ledger

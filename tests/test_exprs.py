@@ -55,3 +55,13 @@ def test_format_dates_from_schema(spark):
 def test_labels(spark):
     assert _one(spark, X.label_capitalize, "depósito") == "Depósito"
     assert _one(spark, X.label_upper, "admin") == "ADMIN"
+
+
+def test_normalize_identity_and_hash_secrets(spark):
+    import hashlib
+
+    from ledgerlake.functions.formatting import hash_secrets, normalize_identity
+
+    df = spark.createDataFrame([("012.345.678-90", "(88) 99123-4567", "pw")], "cpf string, tel string, senha string")
+    r = hash_secrets(normalize_identity(df, cpf_cols=("cpf",), phone_cols=("tel",)), ("senha",)).collect()[0]
+    assert (r["cpf"], r["tel"], r["senha"]) == ("01234567890", "88991234567", hashlib.sha256(b"pw").hexdigest())
