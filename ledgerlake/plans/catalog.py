@@ -860,3 +860,9 @@ register("ensure_admin",
          "SELECT (SELECT max(id) + 1 FROM usuario WHERE username <> 'Admin'), 'Admin', 'Administrador DBA', "
          "sha256('Root'), 'admin', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)")(
     lambda fx: I.ensure_admin(fx.bank().usuario.where(F.col("username") != "Admin")))
+
+
+register("role_drift_dirty",
+         "SELECT u.matricula, u.username, u.role, f.cargo FROM usuario_drift u JOIN funcionario f "
+         "ON u.matricula = f.matricula WHERE u.role <> f.cargo AND NOT (u.role = 'admin' AND f.cargo = 'gerente')")(
+    lambda fx: Q.role_drift(fx.bank().with_tables(usuario=fx.view("usuario_drift"))))

@@ -287,6 +287,15 @@ _conta_cols["matricula_gerente"] = (f"CASE WHEN c.c_custkey % 17 = 0 THEN CAST(N
 _conta_cols["senha"] = f"CASE WHEN c.c_custkey % 19 = 0 THEN repeat('x', 300) ELSE {_CONTA_SENHA} END"
 VIEWS["conta_dirty"] = View(sources=VIEWS["conta"].sources, cols=list(_conta_cols.items()))
 
+# Users whose role drifted from their employee row: some managers promoted to admin (the allowed pair),
+# some attendants recorded as tellers (a real disagreement).
+_drift_parts = list(VIEWS["usuario"].parts)
+_emp_cols = dict(_drift_parts[1].cols)
+_emp_cols["role"] = ("CASE WHEN s.s_suppkey % 6 = 0 THEN 'admin' WHEN s.s_suppkey % 6 = 1 THEN 'caixa' "
+                     f"ELSE {_CARGO.format(k='s.s_suppkey')} END")
+_drift_parts[1] = View(sources=_drift_parts[1].sources, cols=list(_emp_cols.items()))
+VIEWS["usuario_drift"] = UnionView(_drift_parts)
+
 BANK_TABLES = ["agencia", "funcionario", "dependente", "cliente", "telefone_cliente", "email_cliente",
                "conta", "titularidade_conta", "transacao", "usuario"]
 
