@@ -866,3 +866,10 @@ register("role_drift_dirty",
          "SELECT u.matricula, u.username, u.role, f.cargo FROM usuario_drift u JOIN funcionario f "
          "ON u.matricula = f.matricula WHERE u.role <> f.cargo AND NOT (u.role = 'admin' AND f.cargo = 'gerente')")(
     lambda fx: Q.role_drift(fx.bank().with_tables(usuario=fx.view("usuario_drift"))))
+
+
+register("check_holders_dirty",
+         "SELECT num_conta, COUNT(*) AS n_titulares, COUNT(DISTINCT tipo_titular) AS n_slots "
+         "FROM titularidade_dirty GROUP BY num_conta "
+         "HAVING COUNT(*) > 2 OR COUNT(*) > COUNT(DISTINCT tipo_titular)")(
+    lambda fx: Q.check_holders(fx.bank().with_tables(titularidade_conta=fx.view("titularidade_dirty"))))

@@ -296,6 +296,19 @@ _emp_cols["role"] = ("CASE WHEN s.s_suppkey % 6 = 0 THEN 'admin' WHEN s.s_suppke
 _drift_parts[1] = View(sources=_drift_parts[1].sources, cols=list(_emp_cols.items()))
 VIEWS["usuario_drift"] = UnionView(_drift_parts)
 
+# Holdings with planted violations: a third holder on accounts of customers divisible by 10, and a
+# second '1º titular' on accounts of customers divisible by 15 (slot used twice).
+VIEWS["titularidade_dirty"] = UnionView(list(VIEWS["titularidade_conta"].parts) + [
+    View(sources=[("customer", "c", None, "inner"), ("customer", "c3", "c3.c_custkey = c.c_custkey + 2", "inner")],
+         cols=[("num_conta", "CAST(50501 + c.c_custkey AS INT)"), ("cpf_cliente", _cpf("c3.c_custkey")),
+               ("tipo_titular", "'2º titular'")],
+         where="c.c_custkey % 10 = 0"),
+    View(sources=[("customer", "c", None, "inner"), ("customer", "c4", "c4.c_custkey = c.c_custkey + 3", "inner")],
+         cols=[("num_conta", "CAST(50501 + c.c_custkey AS INT)"), ("cpf_cliente", _cpf("c4.c_custkey")),
+               ("tipo_titular", "'1º titular'")],
+         where="c.c_custkey % 15 = 0"),
+])
+
 BANK_TABLES = ["agencia", "funcionario", "dependente", "cliente", "telefone_cliente", "email_cliente",
                "conta", "titularidade_conta", "transacao", "usuario"]
 
