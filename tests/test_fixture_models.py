@@ -83,3 +83,86 @@ def test_incremental_rounds_match_model_on_fixture(spark):
     ok = [(r["seq"], r["conta_origem"], r["conta_destino"], r["valor"]) for r in ok_df.collect()]
     exp = transfers_model(_accounts(b), [tuple(r) for r in singles_df.collect()], ok, "as_written")
     assert got == exp and rounds >= 2
+
+
+def test_open_accounts_matches_model(spark):
+    from ledgerlake.plans.catalog import open_account_requests
+
+    fx = Fixture(spark, SF)
+    b = fx.bank()
+    got = {r["seq"]: (r["status"], r["num_conta"]) for r in QUERIES["open_accounts"](spark, SF).collect()}
+    branch = {r[0]: r[1] for r in b.conta.select("num_conta", "num_ag").collect()}
+    held = {(r["cpf_cliente"], branch[r["num_conta"]]) for r in b.titularidade_conta.collect()}
+    known_cpf = {r[0] for r in b.cliente.select("cpf").collect()}
+    agencies = {r[0] for r in b.agencia.select("num_ag").collect()}
+    employees = {r[0] for r in b.funcionario.select("matricula").collect()}
+    next_num = max(branch)
+    exp = {}
+    for r in sorted(open_account_requests(fx).collect(), key=lambda r: r["seq"]):
+        if r["requester_role"] not in ("gerente", "admin"):
+            why = "ROLE_NOT_ALLOWED"
+        elif r["requester_matricula"] not in employees:
+            why = "MANAGER_NOT_FOUND"
+        elif r["cpf"] not in known_cpf and r["nome_completo"] is None:
+            why = "CUSTOMER_NOT_FOUND"
+        elif r["num_ag"] not in agencies:
+            why = "UNKNOWN_BRANCH"
+        elif r["saldo_inicial"] < 0:
+            why = "NEGATIVE_OPENING_BALANCE"
+        elif (r["cpf"], r["num_ag"]) in held:
+            why = "ONE_ACCOUNT_PER_BRANCH"
+        else:
+            why = None
+        if why is None:
+            held.add((r["cpf"], r["num_ag"]))
+            next_num += 1
+            exp[r["seq"]] = ("ACCEPTED", next_num)
+        else:
+            exp[r["seq"]] = (why, None)
+    assert got == exp
+
+
+def test_register_customers_matches_model(spark):
+    from ledgerlake.plans.catalog import registration_requests
+
+    fx = Fixture(spark, SF)
+    b = fx.bank()
+    got = {r["seq"]: (r["status"], r["num_conta"]) for r in QUERIES["register_customers"](spark, SF).collect()}
+    users = {r[0] for r in b.usuario.select("username").collect()}
+    cpfs = {r[0] for r in b.usuario.where("cpf IS NOT NULL").select("cpf").collect()}
+    next_num = max(r[0] for r in b.conta.select("num_conta").collect())
+    exp = {}
+    for r in sorted(registration_requests(fx).collect(), key=lambda r: r["seq"]):
+        if r["username"] in users or r["cpf"] in cpfs:
+            exp[r["seq"]] = ("USER_OR_CPF_EXISTS", None)
+        else:
+            users.add(r["username"])
+            cpfs.add(r["cpf"])
+            next_num += 1
+            exp[r["seq"]] = ("ACCEPTED", next_num)
+    assert got == exp
+
+
+def test_post_fees_matches_model(spark):
+    from ledgerlake.plans.catalog import fee_requests
+
+    fx = Fixture(spark, SF)
+    b = fx.bank()
+    got = {r["seq"]: r["status"] for r in QUERIES["post_fees"](spark, SF).collect()}
+    staff = {r["username"]: r["matricula"] for r in b.usuario.where("matricula IS NOT NULL AND role <> 'client'").collect()}
+    accounts = _accounts(b)
+    exp, to_post = {}, []
+    for r in sorted(fee_requests(fx).collect(), key=lambda r: r["seq"]):
+        auth = staff.get(r["authorizer_username"])
+        if auth is None:
+            exp[r["seq"]] = "AUTHORIZER_NOT_EMPLOYEE"
+        elif auth == r["requester_matricula"]:
+            exp[r["seq"]] = "SELF_AUTHORIZATION"
+        elif r["num_conta"] not in accounts:
+            exp[r["seq"]] = "UNKNOWN_ACCOUNT"
+        elif r["valor"] is None or r["valor"] <= 0:
+            exp[r["seq"]] = "INVALID_AMOUNT"
+        else:
+            to_post.append((r["seq"], r["num_conta"], "pagamento", r["valor"]))
+    exp.update({k: v[0] for k, v in post_model(accounts, to_post).items()})
+    assert got == exp
