@@ -166,3 +166,29 @@ def test_post_fees_matches_model(spark):
             to_post.append((r["seq"], r["num_conta"], "pagamento", r["valor"]))
     exp.update({k: v[0] for k, v in post_model(accounts, to_post).items()})
     assert got == exp
+
+
+def test_apply_dependents_accepts_as_sequential_screen(spark):
+    from ledgerlake.plans.catalog import dependent_requests
+
+    fx = Fixture(spark, SF)
+    b = fx.bank()
+    got = {r["seq"]: r["status"] for r in QUERIES["apply_dependents"](spark, SF).collect()}
+    keys = {(r["matricula_func"], r["nome_completo"]) for r in b.dependente.collect()}
+    count = {}
+    for r in b.dependente.collect():
+        count[r["matricula_func"]] = count.get(r["matricula_func"], 0) + 1
+    accepted = set()
+    reqs = sorted(dependent_requests(fx).collect(), key=lambda r: r["seq"])
+    for r in reqs:
+        if r["op"] != "add":
+            continue
+        k = (r["matricula_func"], r["nome_completo"])
+        if k in keys or count.get(r["matricula_func"], 0) >= 5:
+            continue
+        keys.add(k)
+        count[r["matricula_func"]] = count.get(r["matricula_func"], 0) + 1
+        accepted.add(r["seq"])
+    adds = {r["seq"] for r in reqs if r["op"] == "add"}
+    assert {s for s in adds if got[s] == "ACCEPTED"} == accepted
+    assert all(got[r["seq"]] == "ACCEPTED" for r in reqs if r["op"] == "edit")
