@@ -202,27 +202,27 @@ def accept_holders(b: Bank, requests: DataFrame, seq: str = "seq") -> tuple[Data
     ``requests``: seq, num_conta, cpf_cliente, tipo_titular. Rows clashing
     with stored holdings or without parent rows are refused first; the rest
     are accepted greedily in arrival order on the keys (cpf, branch) and
-    (account, slot), and (account, cpf) for the primary key.
+    (account, slot); the primary key (account, cpf) is implied by the first.
     """
     acc = b.conta.select("num_conta", "num_ag")
     r = requests.join(acc, "num_conta", "left")
     stored = b.titularidade_conta.join(acc, "num_conta")
     used_branch = stored.select("cpf_cliente", "num_ag").distinct().withColumn("_ub", F.lit(True))
     used_slot = stored.select("num_conta", "tipo_titular").distinct().withColumn("_us", F.lit(True))
-    used_pk = stored.select("num_conta", "cpf_cliente").distinct().withColumn("_up", F.lit(True))
     known_cpf = b.cliente.select(F.col("cpf").alias("cpf_cliente")).distinct().withColumn("_kc", F.lit(True))
+    # The primary key (account, cpf) needs no check of its own: the same account is in the same
+    # branch, so a repeated (account, cpf) is already a repeated (cpf, branch), stored or in the batch.
     r = (r.join(used_branch, ["cpf_cliente", "num_ag"], "left").join(used_slot, ["num_conta", "tipo_titular"], "left")
-         .join(used_pk, ["num_conta", "cpf_cliente"], "left").join(known_cpf, "cpf_cliente", "left"))
+         .join(known_cpf, "cpf_cliente", "left"))
     # Order of the server: enum value, BEFORE INSERT trigger (branch rule), then keys.
     reason = (F.when(~F.col("tipo_titular").isin("1º titular", "2º titular"), F.lit("INVALID_SLOT"))
               .when(F.col("_ub").isNotNull(), F.lit("ONE_ACCOUNT_PER_BRANCH"))
               .when(F.col("num_ag").isNull(), F.lit("UNKNOWN_ACCOUNT"))
               .when(F.col("_kc").isNull(), F.lit("UNKNOWN_CUSTOMER"))
-              .when(F.col("_up").isNotNull(), F.lit("DUPLICATE_HOLDER"))
               .when(F.col("_us").isNotNull(), F.lit("SLOT_TAKEN")))
     r = r.withColumn("_pre", reason)
     live, rounds = greedy_unique(r.where(F.col("_pre").isNull()), seq,
-                                 [["cpf_cliente", "num_ag"], ["num_conta", "tipo_titular"], ["num_conta", "cpf_cliente"]])
+                                 [["cpf_cliente", "num_ag"], ["num_conta", "tipo_titular"]])
     # The reason for a greedy refusal: the branch rule is checked first (BEFORE INSERT trigger).
     live = live.withColumn("reason", F.when(~F.col("accepted"), F.lit("CONFLICT_IN_BATCH")))
     out_cols = list(requests.columns) + ["accepted", "reason"]
