@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.exprs import age_years, phone_digits, sha256_hex
 from ledgerlake.operators import changes as I
 from ledgerlake.operators.ledger import post
-from ledgerlake.schema import (DEFAULT_PASSWORD_LITERAL, PROMOTION_SALARY, REGISTRATION_DEPOSIT, SALARY_FLOOR,
-                               TIPO_CONTA, Bank)
+from ledgerlake.session import cut_lineage
+from ledgerlake.schema import (DEFAULT_PASSWORD_LITERAL, MAX_DEPENDENTS, PROMOTION_SALARY, REGISTRATION_DEPOSIT,
+                               SALARY_FLOOR, TIPO_CONTA, Bank)
 
 ACCEPTED = "ACCEPTED"
 
@@ -246,34 +247,95 @@ def apply_promotions(b: Bank, requests: DataFrame) -> Result:
 
 # ------------------------------------------------------------------- I13
 
+_DEP_FOLD_SCHEMA = ("kind string, seq long, status string, nome_completo string, matricula_func string, "
+                    "data_nascimento date, parentesco string, idade int")
+
+
+def _fold_dependents(batches):
+    """Per-employee sequential pass over stored rows and requests sorted by (matricula_func, seq).
+
+    State: the employee's current dependents (a list, so duplicate stored keys are kept as they are).
+    add: refused if the name exists (key) or five are held; delete: removes the name (no-op if absent);
+    edit: renames/updates the name, refused if the new name is another existing key.
+    Emits one decision per request and, at the end of each employee, the resulting rows.
+    """
+    import pandas as pd
+
+    cur = None
+    rows: list[dict] = []
+    out: list[dict] = []
+
+    def flush():
+        for r in rows:
+            out.append({"kind": "row", "seq": None, "status": None, **r})
+
+    for pdf in batches:
+        for ev in pdf.to_dict("records"):
+            emp = ev["matricula_func"]
+            if emp != cur:
+                if cur is not None:
+                    flush()
+                cur, rows = emp, []
+            op, name = ev["op"], ev["nome_completo"]
+            attrs = {"nome_completo": name, "matricula_func": emp, "data_nascimento": ev["data_nascimento"],
+                     "parentesco": ev["parentesco"], "idade": ev["idade"]}
+            if op == "stored":
+                rows.append(attrs)
+                continue
+            names = [r["nome_completo"] for r in rows]
+            if op == "add":
+                status = ("DUPLICATE_KEY" if name in names else
+                          "DEPENDENT_LIMIT" if len(rows) >= MAX_DEPENDENTS else ACCEPTED)
+                if status == ACCEPTED:
+                    rows.append(attrs)
+            elif op == "delete":
+                rows = [r for r in rows if r["nome_completo"] != ev["nome_antigo"]]
+                status = ACCEPTED
+            elif op == "edit":
+                old = ev["nome_antigo"]
+                if name != old and name in names:
+                    status = "DUPLICATE_KEY"
+                else:
+                    rows = [attrs if r["nome_completo"] == old else r for r in rows]
+                    status = ACCEPTED
+            else:
+                status = "INVALID_OP"
+            out.append({"kind": "decision", "seq": ev["seq"], "status": status, "nome_completo": None,
+                        "matricula_func": emp, "data_nascimento": None, "parentesco": None, "idade": None})
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=["kind", "seq", "status", "nome_completo", "matricula_func",
+                                             "data_nascimento", "parentesco", "idade"])
+            out = []
+    if cur is not None:
+        flush()
+    if out:
+        yield pd.DataFrame(out, columns=["kind", "seq", "status", "nome_completo", "matricula_func",
+                                         "data_nascimento", "parentesco", "idade"])
+
+
 def apply_dependents(b: Bank, requests: DataFrame, as_of) -> Result:
-    """Add (limit five, computed age), edit (possibly renaming the key) or delete dependents.
+    """Add (limit five, computed age), edit (possibly renaming the key) or delete dependents,
+    in arrival order per employee, as the screen applies them one by one.
 
     ``requests``: seq, op ('add' | 'edit' | 'delete'), matricula_func, nome_antigo (edit/delete),
-    nome_completo, data_nascimento, parentesco.
+    nome_completo, data_nascimento, parentesco. The batch is hash-partitioned by employee and folded
+    in ``seq`` order; the state of one employee is its dependent list (bounded by the limit plus
+    any stored excess).
     """
     c = F.col
-    adds = requests.where(c("op") == "add").select(
-        "nome_completo", "matricula_func", "data_nascimento", "parentesco",
-        age_years("data_nascimento", as_of).alias("idade"), "seq")
-    added = I.accept_dependents(b.dependente, adds)
-    deletes = requests.where(c("op") == "delete").select("matricula_func", c("nome_antigo").alias("nome_completo"))
-    base = I.delete_rows(b.dependente, deletes)
-    edits = requests.where(c("op") == "edit").select(
-        "seq", "matricula_func", c("nome_antigo").alias("nome_completo"), c("nome_completo").alias("_novo"),
-        "data_nascimento", "parentesco", age_years("data_nascimento", as_of).alias("idade"))
-    edited = I.apply_updates(base, edits, ["matricula_func", "nome_completo"],
-                             ["data_nascimento", "parentesco", "idade"])
-    renames = (edits.groupBy("matricula_func", "nome_completo").agg(F.max_by("_novo", "seq").alias("_novo")))
-    edited = (edited.join(renames, ["matricula_func", "nome_completo"], "left")
-              .withColumn("nome_completo", F.coalesce(c("_novo"), c("nome_completo"))).drop("_novo")
-              .select(*b.dependente.columns))
-    new_rows = added.where("accepted").select(*b.dependente.columns)
-    decisions = (added.select("seq", F.when(c("accepted"), F.lit(ACCEPTED)).otherwise(c("reason")).alias("status"))
-                 .unionByName(requests.where(c("op").isin("edit", "delete")).select("seq", F.lit(ACCEPTED).alias("status")))
-                 .unionByName(requests.where(~c("op").isin("add", "edit", "delete")).select(
-                     "seq", F.lit("INVALID_OP").alias("status"))))
-    return Result(decisions, {"dependente": edited.unionByName(new_rows)})
+    stored = b.dependente.select(F.lit(None).cast("long").alias("seq"), F.lit("stored").alias("op"),
+                                 "matricula_func", F.lit(None).cast("string").alias("nome_antigo"),
+                                 "nome_completo", "data_nascimento", "parentesco", "idade")
+    reqs = requests.select(c("seq").cast("long").alias("seq"), "op", "matricula_func", "nome_antigo",
+                           "nome_completo", "data_nascimento", "parentesco",
+                           age_years("data_nascimento", as_of).alias("idade"))
+    folded = cut_lineage(
+        stored.unionByName(reqs).repartition("matricula_func")
+        .sortWithinPartitions("matricula_func", F.col("seq").asc_nulls_first())
+        .mapInPandas(_fold_dependents, _DEP_FOLD_SCHEMA))
+    decisions = folded.where(c("kind") == "decision").select("seq", "status")
+    rows = folded.where(c("kind") == "row").select(*b.dependente.columns)
+    return Result(decisions, {"dependente": rows})
 
 
 # ------------------------------------------------------------------- I14

@@ -95,3 +95,23 @@ def test_dependents_and_fees(spark):
     got = {x["seq"]: x["status"] for x in f.decisions.collect()}
     assert got == {1: "ACCEPTED", 2: "SELF_AUTHORIZATION", 3: "INSUFFICIENT_FUNDS", 4: "AUTHORIZER_NOT_EMPLOYEE"}
     assert [(x["num_transacao"], x["tipo"]) for x in f.rows["transacao"].collect()] == [(2, "pagamento")]
+
+
+def test_dependents_in_arrival_order(spark):
+    """A delete earlier in the batch frees a slot for a later add; an edit onto an existing name is refused."""
+    b = seed_bank(spark)
+    d = dt.date(2001, 1, 1)
+    rows = [(i, "add", "MAT1001", None, f"Dep {i}", d, "filho(a)") for i in range(1, 5)]  # 1 stored + 4 = 5
+    rows += [(5, "add", "MAT1001", None, "Extra", d, "filho(a)"),             # limit reached
+             (6, "delete", "MAT1001", "Dep 1", "Dep 1", d, "filho(a)"),      # frees a slot
+             (7, "add", "MAT1001", None, "Extra", d, "filho(a)"),             # now accepted
+             (8, "edit", "MAT1001", "Dep 2", "Extra", d, "filho(a)"),        # new name exists
+             (9, "edit", "MAT1001", "Dep 3", "Dep 3b", d, "cônjuge")]
+    req = spark.createDataFrame(rows, "seq long, op string, matricula_func string, nome_antigo string, "
+                                      "nome_completo string, data_nascimento date, parentesco string")
+    r = RQ.apply_dependents(b, req, AS_OF)
+    got = {x["seq"]: x["status"] for x in r.decisions.collect()}
+    assert got == {1: "ACCEPTED", 2: "ACCEPTED", 3: "ACCEPTED", 4: "ACCEPTED", 5: "DEPENDENT_LIMIT",
+                   6: "ACCEPTED", 7: "ACCEPTED", 8: "DUPLICATE_KEY", 9: "ACCEPTED"}
+    names = sorted(x["nome_completo"] for x in r.rows["dependente"].where("matricula_func = 'MAT1001'").collect())
+    assert names == ["Davi Lima", "Dep 2", "Dep 3b", "Dep 4", "Extra"]
