@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import reports as R
+from ledgerlake.session import ship_package
 from ledgerlake.sources.fixture import AS_OF, PARAMS, Fixture, oracle_with
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +28,14 @@ TS = f"TIMESTAMP '{AS_OF}'"
 AS_OF_DATE = AS_OF[:10]
 
 
+def _run(fn: Callable[[Fixture], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)  # Python workers must be able to import the package
+    return fn(Fixture(spark, sf_dir))
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Fixture], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Fixture(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _run(fn, spark, sf_dir)
         if sql is not None:
             ORACLE[name] = oracle_with(sql)
         return fn

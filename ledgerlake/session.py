@@ -90,3 +90,34 @@ def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes:
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         **RECOMMENDED,
     }
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ledgerlake`` importable on the Python workers (once per application).
+
+    Operators that run Python on executors (``mapInPandas``, ``applyInPandasWithState``) refer to
+    functions of this package; workers do not share the driver's ``sys.path``. On a cluster, install
+    the package on the executors or pass it with ``--py-files``; this ships a zip of the package
+    through ``SparkContext.addPyFile``, which distributes it to every executor.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="ledgerlake-pyfiles-"), "ledgerlake.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
