@@ -73,7 +73,9 @@ def compare(spark, con, sf_dir: str, name: str, queries, oracle) -> dict:
 
 
 def main(argv: list[str]) -> int:
-    sys.path.insert(0, ".")
+    import os
+
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from __spark_entry__ import oracle_sql, queries
 
     from ledgerlake.session import build_local_session
