@@ -90,7 +90,8 @@ def pivotal_rounds(items: DataFrame, seed: int, fan_in: int = FAN_IN) -> DataFra
         start = F.struct(F.expr(f"cast(array() as array<struct<row:{kinds},extra:int>>)").alias("done"),
                          F.expr(f"cast(null as struct<key:bigint,size:double,mass:double,row:{kinds}>)").alias("open"))
         folded = written(items.groupBy("source", "bucket").agg(
-            F.aggregate(F.array_sort(F.collect_list(item)), start, lambda acc, x: _meet(acc, x, seed)).alias("f")),
+            F.aggregate(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("order")), start,
+                        lambda acc, x: _meet(acc, x, seed)).alias("f")),
             "pivotal")
         results.append(folded.select(F.explode("f.done").alias("d")).select("d.row", "d.extra"))
         opened = folded.select("source", F.floor(F.col("bucket") / fan_in).cast("long").alias("bucket"), "f.open.*")
