@@ -72,3 +72,17 @@ def op7_substring_dedup(spark, sf_dir):
     from ledgerlake.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    from ledgerlake.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    from ledgerlake.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("covers")
