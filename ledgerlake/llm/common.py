@@ -39,12 +39,8 @@ def n_words(text: Column) -> Column:
 
 
 def row_key(df: DataFrame) -> DataFrame:
-    """Add ``_h``, a hash of the text: with ``doc_id`` it tells apart rows that repeat a document number.
+    """Add ``_h``, a hash of the text (and of a missing number): with ``doc_id`` it tells apart rows that repeat a number.
 
     Rows equal in both are the same document for every operator that joins its decisions back.
     """
-    return df.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-
-
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_h"] == b["_h"])
+    return df.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import row_key, written
+from ledgerlake.llm.common import SPACE_CLASS, row_key, written
 from ledgerlake.llm.components import components
 from ledgerlake.llm.sketch import BITS, shingle_counts, slots
 from ledgerlake.llm.wordhash import mix, windows, words
@@ -130,7 +130,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: doc_id, _h, n_shingles, component_id (smallest number of its group)."""
+    """Per row of ``docs``: doc_id, _h, n_shingles, component_id (smallest number of its group), group (a key of it)."""
     sets = written(document_sets(docs, size, percent), "document-sets")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h"))
     nodes = written(sets.where("n > 0").groupBy("a", "b").agg(
@@ -140,35 +140,51 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     postings = postings.select("token", F.struct("id", "n", "pos").alias("p"))
     buckets = postings.groupBy("token").agg(F.min("p").alias("pivot"), F.count("*").alias("k")).where("k > 1")
     shared = written(postings.join(buckets, "token"), "shared")
-    links = known = None
-    for step in range(PIVOT_ROUNDS):
-        near = shared.where((F.col("p.id") != F.col("pivot.id"))
-                            & _bounds(F.col("p.n"), F.col("p.pos"), F.col("pivot.n"), F.col("pivot.pos"), percent))
-        pairs = near.select(*_pair(F.col("p.id"), F.col("pivot.id"))).distinct()
-        pairs = written(pairs.join(known, ["x", "y"], "left_anti") if known is not None else pairs, "candidates")
-        known = pairs if known is None else known.unionByName(pairs)
+    links = known = written(postings.sparkSession.createDataFrame([], "x long, y long"), "links")
+    groups = links.toDF("node", "component")
+    for step in range(PIVOT_ROUNDS + 1):
+        if shared.isEmpty():
+            break
+        if step < PIVOT_ROUNDS:
+            near = shared.where((F.col("p.id") != F.col("pivot.id"))
+                                & _bounds(F.col("p.n"), F.col("p.pos"), F.col("pivot.n"), F.col("pivot.pos"), percent))
+            pairs = near.select(*_pair(F.col("p.id"), F.col("pivot.id"))).distinct()
+        else:
+            pairs = _between_components(shared, percent).distinct()
+        pairs = written(pairs.join(known, ["x", "y"], "left_anti"), "candidates")
+        known = known.unionByName(pairs)
         found = verified(pairs, nodes, docs, size, percent)
-        links = found if links is None else links.unionByName(found)
-        groups = written(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
-        shared = _open_buckets(shared, groups, drop_pivot=True)
-    rest = _between_components(shared, percent).join(known, ["x", "y"], "left_anti").distinct()
-    found = verified(written(rest, "candidates"), nodes, docs, size, percent)
-    links = written(links.unionByName(found), "links")
-    groups = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            groups = written(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
+        if step < PIVOT_ROUNDS:
+            shared = _open_buckets(shared, groups)
     named = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     first = written(named.groupBy("component").agg(F.min("rep.doc_id").alias("smallest")), "smallest")
-    label = written(named.join(first, "component").select("a", "b", "smallest"), "labels")
+    label = written(named.join(first, "component").select("a", "b", "smallest", F.col("component").alias("group")), "labels")
     out = sets.select("doc_id", "_h", "a", "b", "n").join(label, ["a", "b"], "left")
     return out.select("doc_id", "_h", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"), "group")
+
+
+def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` with one row of each group, the one with the smallest number; rows without shingles stay."""
+    found = written(near_duplicates(docs, size, percent), "near-duplicates")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
+    kept = found.where("n_shingles > 0").groupBy("group").agg(F.min(order).alias("r")).select(
+        F.coalesce("r.doc_id", F.lit(0)).alias("_d"), F.col("r._h").alias("_h"))
+    kept = written(kept, "kept").withColumnRenamed("_h", "_k").withColumnRenamed("_d", "_e")
+    d = row_key(docs).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    has_words = F.col("text").rlike(f"[^{SPACE_CLASS}]")
+    one = d.where(has_words).join(kept, (F.col("_d") == F.col("_e")) & (F.col("_h") == F.col("_k"))).dropDuplicates(["_d", "_h"])
+    return one.select(*docs.columns).unionByName(docs.where(~F.coalesce(has_words, F.lit(False))))
 
 
-def _open_buckets(shared: DataFrame, groups: DataFrame, drop_pivot: bool) -> DataFrame:
+def _open_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """Buckets that still hold members of different components, without their pivots, with the next pivot."""
     g = groups.select(F.col("node").alias("_node"), "component")
-    left = shared.where(F.col("p.id") != F.col("pivot.id")) if drop_pivot else shared
-    left = left.select("token", "p").join(g, F.col("p.id") == F.col("_node"), "left").select(
+    left = shared.where(F.col("p.id") != F.col("pivot.id")).select("token", "p").join(g, F.col("p.id") == F.col("_node"), "left").select(
         "token", "p", F.coalesce("component", "p.id").alias("component"))
     left = written(left, "members")
     state = left.groupBy("token").agg(F.min("p").alias("pivot"), F.count("*").alias("k"),

@@ -86,3 +86,19 @@ def op9_license_scan(spark, sf_dir):
     from ledgerlake.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents")).drop("covers")
+
+
+@query
+def op4_url_templates(spark, sf_dir):
+    from ledgerlake.llm.url_templates import judge
+
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("key"), F.when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1).alias("bad"))
+    return judge(table(spark, sf_dir, "pages"), labels)
+
+
+@query
+def op8_html_extract(spark, sf_dir):
+    from ledgerlake.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
