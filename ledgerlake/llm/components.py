@@ -15,8 +15,9 @@ def components(links: DataFrame) -> DataFrame:
     star around its smallest node. Each step is a minimum per node (partial aggregate) joined back; steps are
     written to the shared folder. Nulls and loops are dropped; no links give no rows.
     """
-    edges = written(links.select("u", "v").where("u <> v").distinct(), "links")
-    state = None
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
+                    "links")
+    state = _state(edges)
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -27,9 +28,13 @@ def components(links: DataFrame) -> DataFrame:
         small = (down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         edges = written(small, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _state(edges)
         if now == state:
             break
         state = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
