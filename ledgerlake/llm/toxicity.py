@@ -32,7 +32,7 @@ from ledgerlake.llm.wordhash import Words, alphabet, mix, windows, words
 KIND = "alnum_lower"
 SAMPLE_ROWS = 20_000
 STEMS = (4, 5, 6)
-LEAST_SUPPORT, LEAST_GAIN, LEAST_ODDS, MOST_ENTRIES = 6, 2.0, 30.0, 400
+LEAST_SUPPORT, LEAST_GAIN, LEAST_ODDS, MOST_ENTRIES = 5, 2.0, 30.0, 400
 FADE = 0.5
 CANDIDATES = 5_000
 THRESHOLD = 0.3
