@@ -320,8 +320,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for w in words(batch.column("_text"), KIND):
-                z = np.clip(_matches(w, lexicon, automaton) @ weights + bias, -700, 700)
-                scores[w.first:w.first + w.rows] = 1 / (1 + np.exp(-z))
+                z = _matches(w, lexicon, automaton) @ weights + bias
+                scores[w.first:w.first + w.rows] = np.exp(-np.logaddexp(0, -z))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
                 [*(f"c{i}" for i in range(len(names))), "score", "predicted"])

@@ -99,7 +99,7 @@ def branch_purity(rows: DataFrame) -> DataFrame:
     leaf = leaf.withColumn("_rate", rate).withColumn("branch", branch)
     group = Window.partitionBy("host", "parent", "branch")
     host = leaf.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("_hn"), F.sum("b").alias("_hb"))
-    every = leaf.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("r")).first().r
+    every = leaf.agg((F.coalesce(F.sum("b"), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("r")).first().r or 0.0
     towards = (F.col("_hb") + SMOOTHING * F.lit(float(every))) / (F.col("_hn") + SMOOTHING)
     share = (F.sum("b").over(group) + SMOOTHING * towards) / (F.sum("n").over(group) + SMOOTHING)
     return (leaf.join(host, F.col("host") == F.col("_host")).withColumn("bad_share", share)
