@@ -54,15 +54,19 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Pieces are lower-cased and cut already: encode them without the normalizer and the pattern.
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        mark = self.bare.encode(_MARK, add_special_tokens=False).ids
         sample = "It's the Éclair, 42 times: don't (stop)!"
         self.mark = mark[0] if len(mark) == 1 else None
         self.by_piece = self.mark is not None and self.tokenizer.encode(sample, add_special_tokens=False).ids == [
-            i for p in _PIECES.findall(sample.lower()) for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
+            i for p in _PIECES.findall(sample.lower()) for i in self.bare.encode(p, add_special_tokens=False).ids]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -72,7 +76,7 @@ class Encoder:
         new = [p for p in dict.fromkeys(p for ps in cut for p in ps) if p not in self.pieces]
         for k in range(0, len(new), 2000):
             some = new[k:k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids,
+            ids = np.array(self.bare.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids,
                            self.dtype)
             parts = np.split(ids, np.flatnonzero(ids == self.mark))
             for i, (p, got) in enumerate(zip(some, parts, strict=True)):
