@@ -119,9 +119,15 @@ def sha256_hex(col: str | Column) -> Column:
     return F.sha2(_col(col).cast("string"), 256)
 
 
+def _rest(col: str | Column, start: int) -> Column:
+    """The text from character ``start`` to its end."""
+    c = _col(col)
+    return F.substring(c, F.lit(start), F.char_length(c))
+
+
 def trailing_number(col: str | Column, start: int = 4) -> Column:
     """H9: ``CAST(SUBSTRING(col, start) AS UNSIGNED)``: leading digits after optional blanks, else 0."""
-    digits = F.regexp_extract(F.substring(_col(col), start, 1 << 20), r"^\s*([0-9]+)", 1)
+    digits = F.regexp_extract(_rest(col, start), r"^\s*([0-9]+)", 1)
     return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.cast("decimal(20,0)").cast("bigint"))
 
 
@@ -133,4 +139,4 @@ def label_upper(col: str | Column) -> Column:
 def label_capitalize(col: str | Column) -> Column:
     """Python ``str.capitalize``: first character upper, the rest lower."""
     c = _col(col)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(_rest(c, 2)))

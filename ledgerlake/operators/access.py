@@ -19,13 +19,18 @@ from ledgerlake.schema import Bank
 SCOPE_ACCOUNT = "conta"
 SCOPE_BRANCH = "agencia"
 SCOPE_ALL = "todas"
+# Which roles have the statement screen, and the names of the screens.
+STATEMENT_ROLES = ["client", "caixa", "admin"]
+SCREEN_STATEMENT, SCREEN_BALANCE, SCREEN_MANAGER = "extrato", "saldos", "gerencia"
 
 
 def visible_accounts(b: Bank) -> DataFrame:
-    """(username, role, scope, num_conta, num_ag) per visibility grant.
+    """(username, role, screen, scope, num_conta, num_ag) per visibility grant.
 
     client: own holdings; caixa/atendente: own branch; gerente: managed
-    accounts; admin: all accounts.
+    accounts; admin: all accounts. ``screen`` says what the role sees there:
+    statements for client, caixa and admin, account numbers and balances for
+    atendente, the manager's report for gerente.
     """
     u = b.usuario.select("username", "role", "cpf", "matricula")
     client = (u.where(F.col("role") == "client")
@@ -43,25 +48,30 @@ def visible_accounts(b: Bank) -> DataFrame:
     admin = (u.where(F.col("role") == "admin")
              .select("username", "role", F.lit(SCOPE_ALL).alias("scope"),
                      F.lit(None).cast("int").alias("num_conta"), F.lit(None).cast("int").alias("num_ag")))
-    return reduce(DataFrame.unionByName, [client, branch, manager, admin])
+    every = reduce(DataFrame.unionByName, [client, branch, manager, admin])
+    screen = (F.when(F.col("role").isin(STATEMENT_ROLES), F.lit(SCREEN_STATEMENT))
+              .when(F.col("role") == "atendente", F.lit(SCREEN_BALANCE)).otherwise(F.lit(SCREEN_MANAGER)))
+    return every.select("username", "role", screen.alias("screen"), "scope", "num_conta", "num_ag")
 
 
 def statements_for(b: Bank, users: DataFrame) -> DataFrame:
-    """Statement rows each requested user may see (``users`` has a ``username`` column).
+    """Statement rows the requested users may see (``users`` has a ``username`` column).
 
-    Account grants join the log on ``num_conta``; branch grants join the
-    branch's accounts first. Admin grants are not expanded here: an admin
-    sees the whole log, which is ``v_statement`` itself, and tagging every
-    row once per admin would only repeat it.
+    Only roles with the statement screen see rows: clients those of their
+    accounts, tellers those of their branch. Admins see all rows; these are
+    returned once, with scope 'todas' and no username, if an admin is among
+    the users, instead of once per admin.
     """
-    grants = visible_accounts(b).join(users.select("username").distinct(), "username", "left_semi")
+    grants = (visible_accounts(b).where(F.col("screen") == SCREEN_STATEMENT)
+              .join(users.select("username").distinct(), "username", "left_semi"))
     t = b.transacao.select("num_conta", "num_transacao", "tipo", "data_hora", "valor")
-    by_account = (grants.where(F.col("scope") == SCOPE_ACCOUNT).select("username", "num_conta")
-                  .join(t, "num_conta"))
-    by_branch = (grants.where(F.col("scope") == SCOPE_BRANCH).select("username", "num_ag")
+    by_account = grants.where(F.col("scope") == SCOPE_ACCOUNT).select("username", "scope", "num_conta").join(t, "num_conta")
+    by_branch = (grants.where(F.col("scope") == SCOPE_BRANCH).select("username", "scope", "num_ag")
                  .join(b.conta.select("num_conta", "num_ag"), "num_ag").join(t, "num_conta"))
-    cols = ["username", "num_conta", "num_transacao", "tipo", "data_hora", "valor"]
-    return by_account.select(*cols).unionByName(by_branch.select(*cols))
+    everything = grants.where(F.col("scope") == SCOPE_ALL).groupBy("scope").agg(F.lit(None).cast("string").alias("username"))
+    by_all = t.withColumn("scope", F.lit(SCOPE_ALL)).join(everything, "scope")
+    cols = ["username", "scope", "num_conta", "num_transacao", "tipo", "data_hora", "valor"]
+    return reduce(DataFrame.unionByName, [x.select(*cols) for x in (by_account, by_branch, by_all)])
 
 
 def authorize(b: Bank, requests: DataFrame) -> DataFrame:
@@ -69,7 +79,8 @@ def authorize(b: Bank, requests: DataFrame) -> DataFrame:
 
     Order of checks: requester unknown; role without money movement
     (gerente, atendente); client not a holder of the origin; caixa outside
-    own branch; same account; unknown origin or destination account.
+    own branch; amount not positive; same account; unknown origin or
+    destination account.
     ``reason`` is NULL when the request may proceed to posting.
     """
     u = b.usuario.select(F.col("username").alias("solicitante"), "role", F.col("cpf").alias("u_cpf"),
@@ -89,6 +100,7 @@ def authorize(b: Bank, requests: DataFrame) -> DataFrame:
               .when((F.col("role") == "client") & F.col("is_holder").isNull(), F.lit("NOT_HOLDER"))
               .when((F.col("role") == "caixa") & (F.col("emp_ag").isNull() | F.col("orig_ag").isNull()
                                                   | (F.col("emp_ag") != F.col("orig_ag"))), F.lit("BRANCH_MISMATCH"))
+              .when(F.col("valor").isNull() | (F.col("valor") <= 0), F.lit("INVALID_AMOUNT"))
               .when(F.col("conta_origem") == F.col("conta_destino"), F.lit("SAME_ACCOUNT"))
               .when(F.col("orig_ag").isNull() | F.col("dest_exists").isNull(), F.lit("UNKNOWN_ACCOUNT")))
     return r.select(*requests.columns, reason.alias("reason"))

@@ -25,6 +25,7 @@ from ledgerlake.session import cut_lineage
 # The built-in administrator row.
 ADMIN_USERNAME = "Admin"
 ADMIN_NAME = "Administrador DBA"
+ADMIN_SECRET = "Root"
 
 
 # ---------------------------------------------------------------- I1, I2, I3
@@ -101,8 +102,7 @@ def global_rank(df: DataFrame, seq: str, out: str = "_grank") -> DataFrame:
     the offset to the position. The offsets table is bounded by the number
     of partitions, so it is broadcast.
     """
-    n = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    tagged = (df.repartitionByRange(n, seq).sortWithinPartitions(seq)
+    tagged = (df.repartitionByRange(seq).sortWithinPartitions(seq)
               .withColumn("_mid", F.monotonically_increasing_id()))
     # Materialised once, so the counts and the positions come from one partitioning.
     tagged = cut_lineage(tagged.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
@@ -145,55 +145,74 @@ def conform_account_terms(df: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------- greedy
 
-def greedy_unique(requests: DataFrame, seq: str, keys: list[list[str]], max_rounds: int = 10_000) -> tuple[DataFrame, int]:
+MERGE_EVERY = 8
+
+
+class _Decided:
+    """Decided rows of many rounds: parts are merged by size class, so plans stay short and rows are rewritten seldom."""
+
+    def __init__(self) -> None:
+        self.levels: list[list[DataFrame]] = []
+
+    def add(self, part: DataFrame, level: int = 0) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(part)
+        if len(self.levels[level]) == MERGE_EVERY:
+            merged = cut_lineage(reduce(DataFrame.unionByName, self.levels[level]))
+            self.levels[level] = []
+            self.add(merged, level + 1)
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p for level in self.levels for p in level])
+
+
+def greedy_unique(requests: DataFrame, seq: str, keys: list[list[str]]) -> tuple[DataFrame, int]:
     """Accept requests in ``seq`` order, refusing any that shares a key with an earlier accepted one.
 
     ``keys`` is a list of key column groups; NULL key parts never clash.
-    Rounds: among pending rows accept those minimal in ``seq`` on every key
-    they hold, drop pending rows sharing a key with a newly accepted row,
-    repeat until none is pending. The first pending row overall is always
-    accepted, so every round makes progress; each round is, per key, a
-    partial aggregate (minimal pending seq) and a distinct of taken values,
-    both joined back, plus a reliable checkpoint. Returns (requests with boolean
-    ``accepted``, rounds).
+    One key group needs no rounds: the smallest ``seq`` per value wins.
+    Otherwise, per round: among pending rows accept those minimal in ``seq``
+    on every key they hold, refuse pending rows sharing a key with a newly
+    accepted row, and carry on with the rest until none is left. The first
+    pending row overall is always accepted, so every round makes progress,
+    whatever the depth of the chain. A round touches pending rows only: per
+    key, a partial aggregate and a distinct of newly taken values, joined
+    back, and a reliable checkpoint. Returns (requests with boolean
+    ``accepted`` and ``_clash``, the index of the key that an earlier
+    accepted request had taken first; rounds).
     """
-    key_ids = []
+    ids = [f"_k{i}" for i in range(len(keys))]
     cur = requests
-    for i, k in enumerate(keys):
+    for name, k in zip(ids, keys):
         valid = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
-        cur = cur.withColumn(f"_k{i}", F.when(valid, F.struct(*[F.col(c) for c in k])))
-        key_ids.append(f"_k{i}")
-    cur = cut_lineage(cur.withColumn("_state", F.lit(0)))  # 0 pending, 1 accepted, 2 refused
-    rounds = 0
-    while True:
-        pending = cur.where("_state = 0").limit(1).count()
-        if pending == 0:
-            break
+        cur = cur.withColumn(name, F.when(valid, F.struct(*[F.col(c) for c in k])))
+    if len(keys) == 1:
+        mins = cur.where("_k0 is not null").groupBy("_k0").agg(F.min(seq).alias("_min"))
+        won = F.col("_k0").isNull() | (F.col("_min") == F.col(seq))
+        out = cur.join(mins, "_k0", "left").withColumn("accepted", won)
+        return out.withColumn("_clash", F.when(~won, F.lit(0))).drop("_k0", "_min"), 1
+    pending = cut_lineage(cur)
+    decided, rounds = _Decided(), 0
+    decided.add(pending.where("false").withColumn("accepted", F.lit(True)).withColumn("_clash", F.lit(None).cast("int")))
+    while not pending.isEmpty():
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("greedy acceptance did not settle")
-        # Minimal pending seq per key value: partial aggregates joined back (a hot key value is
-        # pre-aggregated map-side, and AQE can split its partition in the join).
-        step = cur
-        minimal = F.lit(True)
-        for k in key_ids:
-            mins = (cur.where((F.col("_state") == 0) & F.col(k).isNotNull()).groupBy(k)
-                    .agg(F.min(seq).alias(f"_min{k}")))
+        step, minimal, clash = pending, F.lit(True), F.lit(None).cast("int")
+        for k in ids:
+            mins = pending.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(seq).alias(f"_min{k}"))
             step = step.join(mins, k, "left")
             minimal = minimal & (F.col(k).isNull() | (F.col(f"_min{k}") == F.col(seq)))
-        step = step.withColumn("_state", F.when((F.col("_state") == 0) & minimal, F.lit(1)).otherwise(F.col("_state")))
-        step = step.drop(*[f"_min{k}" for k in key_ids])
-        # A pending row sharing a key with an accepted row (this round or earlier) is refused.
-        clash = F.lit(False)
-        for k in key_ids:
-            taken = step.where((F.col("_state") == 1) & F.col(k).isNotNull()).select(k).distinct() \
-                .withColumn(f"_t{k}", F.lit(True))
+        step = step.withColumn("accepted", minimal).drop(*[f"_min{k}" for k in ids])
+        for i, k in reversed(list(enumerate(ids))):
+            taken = (step.where(F.col("accepted") & F.col(k).isNotNull()).groupBy(k).agg(F.min(seq).alias(f"_t{k}")))
             step = step.join(taken, k, "left")
-            clash = clash | F.col(f"_t{k}").isNotNull()
-        step = (step.withColumn("_state", F.when((F.col("_state") == 0) & clash, F.lit(2)).otherwise(F.col("_state")))
-                .drop(*[f"_t{k}" for k in key_ids]))
-        cur = cut_lineage(step)
-    return cur.withColumn("accepted", F.col("_state") == 1).drop("_state", *key_ids), rounds
+            clash = F.when(F.col(f"_t{k}").isNotNull(), F.lit(i)).otherwise(clash)
+        step = step.withColumn("_clash", F.when(~F.col("accepted"), clash)).drop(*[f"_t{k}" for k in ids])
+        step = cut_lineage(step)
+        done = F.col("accepted") | F.col("_clash").isNotNull()
+        decided.add(step.where(done))
+        pending = step.where(~done).drop("accepted", "_clash")
+    return decided.rows().drop(*ids), rounds
 
 
 def accept_holders(b: Bank, requests: DataFrame, seq: str = "seq") -> tuple[DataFrame, int]:
@@ -214,8 +233,9 @@ def accept_holders(b: Bank, requests: DataFrame, seq: str = "seq") -> tuple[Data
     # branch, so a repeated (account, cpf) is already a repeated (cpf, branch), stored or in the batch.
     r = (r.join(used_branch, ["cpf_cliente", "num_ag"], "left").join(used_slot, ["num_conta", "tipo_titular"], "left")
          .join(known_cpf, "cpf_cliente", "left"))
-    # Order of the server: enum value, BEFORE INSERT trigger (branch rule), then keys.
-    reason = (F.when(~F.col("tipo_titular").isin("1º titular", "2º titular"), F.lit("INVALID_SLOT"))
+    # Order of the server: enum value (never NULL), BEFORE INSERT trigger (branch rule), then keys.
+    known_slot = F.coalesce(F.col("tipo_titular").isin("1º titular", "2º titular"), F.lit(False))
+    reason = (F.when(~known_slot, F.lit("INVALID_SLOT"))
               .when(F.col("_ub").isNotNull(), F.lit("ONE_ACCOUNT_PER_BRANCH"))
               .when(F.col("num_ag").isNull(), F.lit("UNKNOWN_ACCOUNT"))
               .when(F.col("_kc").isNull(), F.lit("UNKNOWN_CUSTOMER"))
@@ -223,8 +243,11 @@ def accept_holders(b: Bank, requests: DataFrame, seq: str = "seq") -> tuple[Data
     r = r.withColumn("_pre", reason)
     live, rounds = greedy_unique(r.where(F.col("_pre").isNull()), seq,
                                  [["cpf_cliente", "num_ag"], ["num_conta", "tipo_titular"]])
-    # The reason for a greedy refusal: the branch rule is checked first (BEFORE INSERT trigger).
-    live = live.withColumn("reason", F.when(~F.col("accepted"), F.lit("CONFLICT_IN_BATCH")))
+    # Of two taken keys the branch rule is reported: an earlier accepted request of the customer in the branch.
+    won = live.where("accepted").groupBy("cpf_cliente", "num_ag").agg(F.min(seq).alias("_won"))
+    live = live.join(won, ["cpf_cliente", "num_ag"], "left").withColumn(
+        "reason", F.when(F.col("accepted"), F.lit(None)).when(F.col("_won") < F.col(seq), F.lit("ONE_ACCOUNT_PER_BRANCH"))
+        .otherwise(F.lit("SLOT_TAKEN")))
     out_cols = list(requests.columns) + ["accepted", "reason"]
     refused = r.where(F.col("_pre").isNotNull()).withColumn("accepted", F.lit(False)).withColumn("reason", F.col("_pre"))
     return live.select(*out_cols).unionByName(refused.select(*out_cols)), rounds
@@ -232,29 +255,27 @@ def accept_holders(b: Bank, requests: DataFrame, seq: str = "seq") -> tuple[Data
 
 def accept_dependents(existing: DataFrame, requests: DataFrame, seq: str = "seq",
                       limit: int = MAX_DEPENDENTS) -> DataFrame:
-    """Add dependents while the employee has fewer than ``limit``.
+    """Add dependents one by one: first the limit, then the key (matricula_func, nome_completo).
 
-    A request whose key (matricula_func, nome_completo) already exists, or
-    repeats an earlier request of the batch, is refused first and uses no
-    slot; the rest are ranked per employee by ``seq`` and accepted while
-    stored + rank <= limit.
+    Only accepted requests use a slot. Until the limit is reached, the first
+    request of each name that is not stored is accepted and any other is a
+    duplicate; from then on every request is over the limit.
     """
     have = existing.groupBy("matricula_func").agg(F.count(F.lit(1)).alias("_have"))
     stored_keys = existing.select("matricula_func", "nome_completo").distinct().withColumn("_dupe", F.lit(True))
     first_seq = requests.groupBy("matricula_func", "nome_completo").agg(F.min(seq).alias("_fseq"))
     r = (requests.join(stored_keys, ["matricula_func", "nome_completo"], "left")
-         .join(first_seq, ["matricula_func", "nome_completo"], "left")
-         .withColumn("_first", F.col(seq) == F.col("_fseq")).drop("_fseq"))
-    dup = F.col("_dupe").isNotNull() | ~F.col("_first")
-    slots = r.where(~dup)
-    slots = prefix_sum(slots, "matricula_func", seq, F.lit(1).cast("long"), "_rank", inclusive=True)
-    slots = slots.join(have, "matricula_func", "left").withColumn(
-        "_ok", F.coalesce(F.col("_have"), F.lit(0)) + F.col("_rank") <= limit)
-    cols = list(requests.columns)
-    accepted = slots.select(*cols, F.col("_ok").alias("accepted"),
-                            F.when(~F.col("_ok"), F.lit("DEPENDENT_LIMIT")).alias("reason"))
-    refused = r.where(dup).select(*cols, F.lit(False).alias("accepted"), F.lit("DUPLICATE_KEY").alias("reason"))
-    return accepted.unionByName(refused)
+         .join(first_seq, ["matricula_func", "nome_completo"], "left").join(have, "matricula_func", "left")
+         .withColumn("_new", F.col("_dupe").isNull() & (F.col(seq) == F.col("_fseq")))
+         .withColumn("_free", limit - F.coalesce(F.col("_have"), F.lit(0))))
+    slots = prefix_sum(r.where("_new"), "matricula_func", seq, F.lit(1).cast("long"), "_rank", inclusive=True)
+    full = slots.where(F.col("_rank") == F.col("_free")).select("matricula_func", F.col(seq).alias("_full"))
+    ranked = slots.select("matricula_func", F.col(seq).alias("_s"), "_rank").withColumnRenamed("matricula_func", "_m")
+    r = (r.join(full, "matricula_func", "left")
+         .join(ranked, (F.col("matricula_func") == F.col("_m")) & (F.col(seq) == F.col("_s")), "left"))
+    over = (F.col("_free") <= 0) | (F.col(seq) > F.col("_full"))
+    reason = (F.when(F.coalesce(over, F.lit(False)), F.lit("DEPENDENT_LIMIT")).when(~F.col("_new"), F.lit("DUPLICATE_KEY")))
+    return r.select(*requests.columns, reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 # ---------------------------------------------------------------------- I5
@@ -263,7 +284,7 @@ def ensure_admin(users: DataFrame, secret_digest: Column | None = None) -> DataF
     """Make sure the fixed administrator row exists (anti-join on its username, then union);
     a missing row gets the next id (table max + 1)."""
     spark = users.sparkSession
-    secret = secret_digest if secret_digest is not None else F.sha2(F.lit("Root"), 256)
+    secret = secret_digest if secret_digest is not None else F.sha2(F.lit(ADMIN_SECRET), 256)
     next_id = users.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
     row = spark.range(1).select(next_id.cast("long").alias("id"), F.lit(ADMIN_USERNAME).alias("username"),
                                 F.lit(ADMIN_NAME).alias("nome"), secret.alias("senha"), F.lit("admin").alias("role"),
@@ -292,7 +313,7 @@ def sync_users(b: Bank, default_secret_digest: F.Column | None = None) -> DataFr
            .select(F.lit(1).alias("_src"), F.col("cpf").alias("_ord"), F.col("cpf").alias("username"), "nome",
                    F.coalesce("_s", F.lit(DEFAULT_PASSWORD_LITERAL)).alias("senha"), F.lit("client").alias("role"),
                    "cpf", F.lit(None).cast("string").alias("matricula")))
-    admin_secret = default_secret_digest if default_secret_digest is not None else F.sha2(F.lit("Root"), 256)
+    admin_secret = default_secret_digest if default_secret_digest is not None else F.sha2(F.lit(ADMIN_SECRET), 256)
     admin = b.agencia.sparkSession.range(1).select(
         F.lit(2).alias("_src"), F.lit("").alias("_ord"), F.lit(ADMIN_USERNAME).alias("username"),
         F.lit(ADMIN_NAME).alias("nome"), admin_secret.alias("senha"), F.lit("admin").alias("role"),

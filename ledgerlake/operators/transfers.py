@@ -126,16 +126,17 @@ def _round(state: DataFrame) -> DataFrame:
             .mapInPandas(_fold_accounts, out_schema))
 
 
-def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_000,
-                   full_round_fraction: float = 0.02, min_incremental_legs: int = 5_000_000
-                   ) -> tuple[DataFrame, int]:
+MERGE_EVERY = 4
+
+
+def post_transfers(accounts: DataFrame, legs: DataFrame) -> tuple[DataFrame, int]:
     """Run the fixpoint over ``legs``; returns (legs with their result ``_own``/``_pass`` and ``_leg_reason``, rounds).
 
-    A round after the first is a full round when the legs changed by the previous round exceed
-    ``full_round_fraction`` of all legs, or when there are fewer than ``min_incremental_legs`` legs
-    (below that size the fixed cost of the extra jobs of an incremental round outweighs a full
-    reshuffle); otherwise it is incremental. Both compute the same function, so the fixed point
-    does not depend on the choice.
+    The first round folds every account once. Each later round folds only
+    the accounts of partners of the legs that just changed, and lays their
+    results over the first round's. Rounds go on until no leg changes. The
+    overlay is written out every ``MERGE_EVERY`` rounds, so plans stay short
+    however deep the chain of transfers is.
     """
     acc = accounts.select("num_conta", _cents("saldo").alias("_s0"), F.col("tipo_conta").alias("_tipo_conta"),
                           F.when(F.col("tipo_conta") == SPECIAL,
@@ -154,29 +155,12 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_00
     rounds = 1
     base = first.drop("_prev")
     frontier = first.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
-    empty_overlay = first.sparkSession.createDataFrame([], "seq long, sub int, _own_o boolean")
-    overlay = empty_overlay
+    overlay = first.sparkSession.createDataFrame([], "seq long, sub int, _own_o boolean")
     legs_key = base.select("seq", "sub", "num_conta")
-    n_legs = max(base.count(), 1)
-    # Later rounds: an account's fold changes only if a partner leg's result changed. While many legs
-    # change, a full round is cheapest; once the frontier is small, only the accounts of partners of
-    # the legs that just changed are folded again (semi-naive), over the checkpointed base.
-    while True:
-        n_front = frontier.count()
-        if n_front == 0:
-            break
+    # Later rounds: an account's fold changes only if a partner leg's result changed, so only the accounts
+    # of partners of the legs that just changed are folded again (semi-naive), over the checkpointed base.
+    while not frontier.isEmpty():
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"transfer fixpoint did not settle in {max_rounds} rounds")
-        if n_legs < min_incremental_legs or n_front > full_round_fraction * n_legs:
-            state = (base.join(overlay, ["seq", "sub"], "left")
-                     .withColumn("_own", F.coalesce(F.col("_own_o"), F.col("_own"))).drop("_own_o"))
-            nxt = cut_lineage(_round(state))
-            base = nxt.drop("_prev")
-            legs_key = base.select("seq", "sub", "num_conta")
-            frontier = nxt.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
-            overlay = empty_overlay
-            continue
         partners = (legs_key.join(frontier.select("seq").distinct(), "seq", "left_semi")
                     .join(frontier, ["seq", "sub"], "left_anti"))
         dirty = partners.select("num_conta").distinct()
@@ -194,10 +178,10 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, max_rounds: int = 10_00
         folded = cut_lineage(d.repartition("num_conta").sortWithinPartitions("num_conta", "seq", "sub")
                              .mapInPandas(_fold_accounts, out_schema))
         frontier = folded.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
-        # The overlay is a short chain of anti-joins and unions over checkpointed fold results,
-        # so it is not checkpointed itself: recomputing it only re-reads checkpoints.
         overlay = (overlay.join(folded.select("seq", "sub"), ["seq", "sub"], "left_anti")
                    .unionByName(folded.select("seq", "sub", F.col("_own").alias("_own_o"))))
+        if rounds % MERGE_EVERY == 0:
+            overlay = cut_lineage(overlay)
     cur = (base.join(overlay, ["seq", "sub"], "left")
            .withColumn("_own", F.coalesce(F.col("_own_o"), F.col("_own"))).drop("_own_o"))
     reason = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))

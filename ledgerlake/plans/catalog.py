@@ -304,21 +304,26 @@ register("unhashed_secrets",
 # ------------------------------------------------------------------- access
 
 register("visible_accounts",
-         "SELECT u.username, u.role, 'conta' AS scope, tc.num_conta, CAST(NULL AS INT) AS num_ag FROM usuario u "
+         "SELECT u.username, u.role, 'extrato' AS screen, 'conta' AS scope, tc.num_conta, CAST(NULL AS INT) AS num_ag FROM usuario u "
          "JOIN titularidade_conta tc ON tc.cpf_cliente = u.cpf WHERE u.role = 'client' "
-         "UNION ALL SELECT u.username, u.role, 'agencia', CAST(NULL AS INT), f.num_ag FROM usuario u "
+         "UNION ALL SELECT u.username, u.role, CASE WHEN u.role = 'caixa' THEN 'extrato' ELSE 'saldos' END, 'agencia', CAST(NULL AS INT), f.num_ag FROM usuario u "
          "JOIN funcionario f ON f.matricula = u.matricula WHERE u.role IN ('caixa', 'atendente') "
-         "UNION ALL SELECT u.username, u.role, 'conta', c.num_conta, CAST(NULL AS INT) FROM usuario u "
+         "UNION ALL SELECT u.username, u.role, 'gerencia', 'conta', c.num_conta, CAST(NULL AS INT) FROM usuario u "
          "JOIN conta c ON c.matricula_gerente = u.matricula WHERE u.role = 'gerente' "
-         "UNION ALL SELECT username, role, 'todas', CAST(NULL AS INT), CAST(NULL AS INT) FROM usuario "
+         "UNION ALL SELECT username, role, 'extrato', 'todas', CAST(NULL AS INT), CAST(NULL AS INT) FROM usuario "
          "WHERE role = 'admin'")(
     lambda fx: N.visible_accounts(fx.bank()))
 
 register("statements_for",
-         "SELECT u.username, t.num_conta, t.num_transacao, t.tipo, t.data_hora, t.valor FROM usuario u "
+         "SELECT u.username, 'conta' AS scope, t.num_conta, t.num_transacao, t.tipo, t.data_hora, t.valor FROM usuario u "
          "JOIN titularidade_conta tc ON tc.cpf_cliente = u.cpf JOIN transacao t ON t.num_conta = tc.num_conta "
-         "WHERE u.role = 'client'")(
-    lambda fx: N.statements_for(fx.bank(), fx.bank().usuario.where("role = 'client'")))
+         "WHERE u.role = 'client' "
+         "UNION ALL SELECT u.username, 'agencia', t.num_conta, t.num_transacao, t.tipo, t.data_hora, t.valor "
+         "FROM usuario u JOIN funcionario f ON f.matricula = u.matricula JOIN conta c ON c.num_ag = f.num_ag "
+         "JOIN transacao t ON t.num_conta = c.num_conta WHERE u.role = 'caixa' "
+         "UNION ALL SELECT CAST(NULL AS STRING), 'todas', t.num_conta, t.num_transacao, t.tipo, t.data_hora, t.valor "
+         "FROM transacao t WHERE EXISTS (SELECT 1 FROM usuario WHERE role = 'admin')")(
+    lambda fx: N.statements_for(fx.bank(), fx.bank().usuario))
 
 _REQ_COLS = "r.seq, r.solicitante, r.conta_origem, r.conta_destino, r.valor, r.num_trans_origem, r.num_trans_destino"
 AUTHORIZE_SQL = (
@@ -327,6 +332,7 @@ AUTHORIZE_SQL = (
     "WHEN u.role = 'client' AND NOT EXISTS (SELECT 1 FROM titularidade_conta tc "
     "     WHERE tc.num_conta = r.conta_origem AND tc.cpf_cliente = u.cpf) THEN 'NOT_HOLDER' "
     "WHEN u.role = 'caixa' AND (f.num_ag IS NULL OR o.num_ag IS NULL OR f.num_ag <> o.num_ag) THEN 'BRANCH_MISMATCH' "
+    "WHEN r.valor IS NULL OR r.valor <= 0 THEN 'INVALID_AMOUNT' "
     "WHEN r.conta_origem = r.conta_destino THEN 'SAME_ACCOUNT' "
     "WHEN o.num_conta IS NULL OR d.num_conta IS NULL THEN 'UNKNOWN_ACCOUNT' END AS reason "
     "FROM transfer_req r LEFT JOIN usuario u ON u.username = r.solicitante "
@@ -363,7 +369,7 @@ def _normalize_identity(fx: Fixture):
         "cpf_cliente", "telefone", X.cpf_mask("cpf_cliente").alias("cpf_fmt"),
         X.cpf_mask("cpf_cliente").alias("cpf_limpo"),
         F.concat(F.lit("("), F.substring("telefone", 1, 2), F.lit(") "),
-                 F.substring("telefone", 3, 1 << 20)).alias("telefone_limpo"))
+                 F.substring("telefone", F.lit(3), F.char_length("telefone"))).alias("telefone_limpo"))
     # Masked CPFs and formatted phones (as typed on the screens) normalised back at ingest.
     return normalize_identity(shown, cpf_cols=("cpf_limpo",), phone_cols=("telefone_limpo",))
 
@@ -548,22 +554,23 @@ register("account_terms",
         "num_conta", "tipo_conta", F.lit(0.5).cast("double").alias("taxa_juros"),
         F.lit(1000.0).cast("double").alias("limite_credito"))))
 
-_DEP_COLS = "nome_completo, matricula_func, data_nascimento, parentesco, idade, seq"
+# Every hundredth part is stored before, all others are requests. The limit is reached at the seq of the
+# accepted request that takes the last free slot.
 register("accept_dependents",
-         "WITH e AS (SELECT * FROM dependente WHERE seq % 2 = 0), r AS (SELECT * FROM dependente WHERE seq % 2 = 1), "
+         "WITH e AS (SELECT * FROM dependente WHERE seq % 100 = 0), r AS (SELECT * FROM dependente WHERE seq % 100 <> 0), "
          "have AS (SELECT matricula_func, count(*) AS n FROM e GROUP BY matricula_func), "
-         "rr AS (SELECT r.*, EXISTS (SELECT 1 FROM e WHERE e.matricula_func = r.matricula_func "
-         "  AND e.nome_completo = r.nome_completo) AS in_e, row_number() OVER "
-         "  (PARTITION BY r.matricula_func, r.nome_completo ORDER BY r.seq) AS k FROM r), "
-         "ok AS (SELECT rr.*, row_number() OVER (PARTITION BY matricula_func ORDER BY seq) AS rk FROM rr "
-         "  WHERE NOT in_e AND k = 1) "
-         f"SELECT ok.nome_completo, ok.matricula_func, ok.data_nascimento, ok.parentesco, ok.idade, ok.seq, "
-         "COALESCE(h.n, 0) + ok.rk <= 5 AS accepted, "
-         "CASE WHEN COALESCE(h.n, 0) + ok.rk <= 5 THEN NULL ELSE 'DEPENDENT_LIMIT' END AS reason "
-         "FROM ok LEFT JOIN have h ON h.matricula_func = ok.matricula_func "
-         f"UNION ALL SELECT {_DEP_COLS}, FALSE, 'DUPLICATE_KEY' FROM rr WHERE in_e OR k > 1")(
-    lambda fx: I.accept_dependents(fx.view("dependente").where("seq % 2 = 0"),
-                                   fx.view("dependente").where("seq % 2 = 1")))
+         "rr AS (SELECT r.*, NOT EXISTS (SELECT 1 FROM e WHERE e.matricula_func = r.matricula_func "
+         "  AND e.nome_completo = r.nome_completo) AND row_number() OVER "
+         "  (PARTITION BY r.matricula_func, r.nome_completo ORDER BY r.seq) = 1 AS fresh, "
+         "  5 - COALESCE(h.n, 0) AS free FROM r LEFT JOIN have h ON h.matricula_func = r.matricula_func), "
+         "k AS (SELECT rr.*, CASE WHEN fresh THEN row_number() OVER (PARTITION BY matricula_func, fresh ORDER BY seq) END "
+         "  AS rk FROM rr), full_at AS (SELECT matricula_func, seq AS s FROM k WHERE fresh AND rk = free), "
+         "d AS (SELECT k.*, CASE WHEN free <= 0 OR k.seq > f.s THEN 'DEPENDENT_LIMIT' WHEN NOT fresh THEN 'DUPLICATE_KEY' END "
+         "  AS reason FROM k LEFT JOIN full_at f ON f.matricula_func = k.matricula_func) "
+         "SELECT nome_completo, matricula_func, data_nascimento, parentesco, idade, seq, reason IS NULL AS accepted, reason "
+         "FROM d")(
+    lambda fx: I.accept_dependents(fx.view("dependente").where("seq % 100 = 0"),
+                                   fx.view("dependente").where("seq % 100 <> 0")))
 
 
 def _accept_holders(fx: Fixture):
@@ -643,7 +650,17 @@ def _post_transfers_stream(fx: Fixture):
 
 register("post_stream")(_post_stream)
 register("post_stream_stateful")(_post_stream_stateful)
-register("payroll_stream")(_payroll_stream)
+for _name in ("post_stream", "post_stream_stateful"):  # the same rule as the batch form, with id_transacao named seq
+    ORACLE[_name] = f"SELECT id_transacao AS seq, num_conta, tipo, valor, status, saldo_apos FROM ({ORACLE['post']}) p"
+register("payroll_stream",
+         "WITH d AS (SELECT num_ag, CAST(salario AS DECIMAL(18, 2)) AS s FROM funcionario UNION ALL "
+         "SELECT num_ag, -CAST(salario AS DECIMAL(18, 2)) FROM funcionario WHERE CAST(cep AS BIGINT) % 4 = 0 UNION ALL "
+         "SELECT CAST((num_ag + 1) % 25 AS INT), CAST(salario + 100 AS DECIMAL(18, 2)) FROM funcionario "
+         "WHERE CAST(cep AS BIGINT) % 4 = 0 UNION ALL "
+         "SELECT CASE WHEN CAST(cep AS BIGINT) % 4 = 0 THEN CAST((num_ag + 1) % 25 AS INT) ELSE num_ag END, "
+         "-CAST(CASE WHEN CAST(cep AS BIGINT) % 4 = 0 THEN salario + 100 ELSE salario END AS DECIMAL(18, 2)) FROM funcionario "
+         "WHERE CAST(cep AS BIGINT) % 9 = 0) "
+         "SELECT num_ag, CAST(SUM(s) AS DOUBLE) AS sal_total FROM d GROUP BY num_ag")(_payroll_stream)
 register("post_transfers_stream")(_post_transfers_stream)
 
 
@@ -657,87 +674,123 @@ def _cust(fx: Fixture):
 
 
 def open_account_requests(fx: Fixture):
-    c = _cust(fx).where("c_custkey % 10 = 0")
-    new_cpf = F.col("c_custkey") % 30 == 0
-    return c.select(
-        F.col("c_custkey").alias("seq"),
-        F.when(new_cpf, F.lpad((F.col("c_custkey") + 10 ** 9).cast("string"), 11, "0"))
-        .otherwise(F.lpad(F.col("c_custkey").cast("string"), 11, "0")).alias("cpf"),
+    """One request per customer: existing customers in their own or another branch, new customers (a CPF asked for twice,
+    in two branches), and a known customer's CPF that has no registration; every fourth requester is an admin."""
+    k = F.col("c_custkey")
+    new_cpf, later = k % 3 == 0, k % 3 == 1
+    shared = F.lpad((F.floor(k / 6) + 10 ** 9).cast("string"), 11, "0")
+    return _cust(fx).select(
+        k.cast("long").alias("seq"),
+        F.when(new_cpf | (later & (k % 5 == 0)), shared).otherwise(F.lpad(k.cast("string"), 11, "0")).alias("cpf"),
         F.when(new_cpf, F.col("c_name")).alias("nome_completo"),
         F.when(new_cpf, F.lit("1990-01-01").cast("date")).alias("data_nascimento"),
-        F.lit("poupança").alias("tipo_conta"), (F.col("c_acctbal") / 10).alias("saldo_inicial"),
+        F.lit("poupança").alias("tipo_conta"), F.col("c_acctbal").alias("saldo_inicial"),
         F.md5(F.col("c_name")).alias("senha_hash"),
-        F.when(F.col("c_custkey") % 20 == 0, F.col("c_nationkey")).otherwise((F.col("c_nationkey") + 1) % 25)
-        .cast("int").alias("num_ag"),
+        F.when(k % 20 == 0, F.col("c_nationkey")).otherwise((F.col("c_nationkey") + 1) % 25).cast("int").alias("num_ag"),
         F.lit(0.5).alias("taxa_juros"), F.lit(None).cast("double").alias("limite_credito"),
-        F.lit("gerente").alias("requester_role"), F.lit("MAT1004").alias("requester_matricula"))
+        F.when(k % 4 == 0, F.lit("admin")).otherwise(F.lit("gerente")).alias("requester_role"),
+        F.when(k % 8 == 0, F.lit(None)).otherwise(F.lit("MAT1004")).alias("requester_matricula"))
 
 
 def registration_requests(fx: Fixture):
-    c = _cust(fx).where("c_custkey % 25 = 0")
-    existing = F.col("c_custkey") % 50 == 0
-    return c.select(
-        F.col("c_custkey").alias("seq"),
-        F.when(existing, F.lpad(F.col("c_custkey").cast("string"), 11, "0"))
-        .otherwise(F.lpad((F.col("c_custkey") + 5 * 10 ** 8).cast("string"), 11, "0")).alias("cpf"),
+    """One request per customer: known CPFs, new ones, user names asked for twice, and malformed CPFs."""
+    k = F.col("c_custkey")
+    return _cust(fx).select(
+        k.cast("long").alias("seq"),
+        F.when(k % 2 == 0, F.lpad(k.cast("string"), 11, "0")).when(k % 35 == 5, F.lit("12"))
+        .otherwise(F.lpad((k + 5 * 10 ** 8).cast("string"), 11, "0")).alias("cpf"),
         F.col("c_name").alias("nome_completo"), F.lit("1985-05-05").cast("date").alias("data_nascimento"),
-        F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("username"),
+        F.concat(F.lit("user"), F.when(k % 9 == 0, k - 2).otherwise(k).cast("string")).alias("username"),
         F.col("c_name").alias("senha"),
-        F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("(85) 9"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("telefone"))
+        F.concat(F.lit("u"), k.cast("string"), F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("(85) 9"), F.lpad(k.cast("string"), 8, "0")).alias("telefone"))
 
 
 def employee_requests(fx: Fixture):
-    s = fx.raw("supplier")
-    hires = s.where("s_suppkey % 3 = 0").select(
-        F.col("s_suppkey").alias("seq"), F.lit("hire").alias("op"), F.lit(None).cast("string").alias("matricula"),
+    """One hire per supplier (every ninth below the salary floor) and one edit per stored employee (every fifth with a new secret)."""
+    k = F.col("s_suppkey")
+    hires = fx.raw("supplier").select(
+        k.cast("long").alias("seq"), F.lit("hire").alias("op"), F.lit(None).cast("string").alias("matricula"),
         F.concat(F.lit("Novo "), F.col("s_name")).alias("nome_completo"), F.lit("caixa").alias("cargo"),
         F.lit("feminino").alias("genero"), F.lit("1991-01-01").cast("date").alias("data_nascimento"),
-        (F.lit(2000.0) + F.abs(F.col("s_acctbal")) / 10).alias("salario"), F.col("s_nationkey").alias("num_ag"),
-        F.md5(F.col("s_name")).alias("senha_hash"))
-    edits = fx.bank().funcionario.where("CAST(cep AS BIGINT) % 5 = 0").select(
-        (F.col("cep").cast("long") + 10 ** 9).alias("seq"), F.lit("edit").alias("op"), "matricula", "nome_completo",
-        "cargo", "genero", "data_nascimento", (F.col("salario") + 10).alias("salario"), "num_ag",
-        F.lit("").alias("senha_hash"))
+        F.when(k % 9 == 0, F.lit(1000.0)).otherwise(F.lit(2300.0) + F.abs(F.col("s_acctbal"))).alias("salario"),
+        F.col("s_nationkey").alias("num_ag"), F.md5(F.col("s_name")).alias("senha_hash"))
+    e = F.col("cep").cast("long")
+    edits = fx.bank().funcionario.select(
+        (e + 10 ** 9).alias("seq"), F.lit("edit").alias("op"), "matricula", "nome_completo",
+        "cargo", "genero", "data_nascimento", (F.col("salario") + 10).alias("salario"),
+        ((F.col("num_ag") + F.when(e % 4 == 0, 1).otherwise(0)) % 25).cast("int").alias("num_ag"),
+        F.when(e % 5 == 0, F.md5(F.col("matricula"))).otherwise(F.lit("")).alias("senha_hash"))
     return hires.unionByName(edits)
 
 
 def promotion_requests(fx: Fixture):
-    return fx.bank().usuario.where("role = 'client' AND CAST(cpf AS BIGINT) % 40 = 0").select(
-        F.col("id").alias("seq"), F.col("id").alias("id_usuario"), F.lit("gerente").alias("novo_cargo"),
-        F.lit(1).cast("long").alias("requester_id"), F.lit("admin").alias("requester_role"))
+    """Per client: to manager, then to admin (by an admin, or by a manager, who may not), and once more to manager."""
+    u = fx.bank().usuario.where("role = 'client'").select(F.col("id").cast("long").alias("id_usuario"))
+    i = F.col("id_usuario")
+    step = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    return u.select("id_usuario", step.alias("k")).select(
+        (i * 3 + F.col("k")).alias("seq"), "id_usuario",
+        F.when(F.col("k") == 1, F.lit("admin")).otherwise(F.lit("gerente")).alias("novo_cargo"),
+        F.when((F.col("k") == 0) & (i % 11 == 0), i).otherwise(F.lit(1)).cast("long").alias("requester_id"),
+        F.when(i % 2 == 0, F.lit("admin")).otherwise(F.lit("gerente")).alias("requester_role"))
 
 
 def dependent_requests(fx: Fixture):
-    p = fx.raw("part")
-    adds = p.where("p_size BETWEEN 30 AND 39").select(
-        F.col("p_partkey").alias("seq"), F.lit("add").alias("op"),
-        F.concat(F.lit("MAT"), (1001 + F.col("p_partkey") % 7).cast("string")).alias("matricula_func"),
-        F.lit(None).cast("string").alias("nome_antigo"), F.col("p_name").alias("nome_completo"),
-        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 4000).cast("int")).alias("data_nascimento"),
-        F.lit("filho(a)").alias("parentesco"))
-    edits = fx.view("dependente").where("seq % 5 = 0").select(
-        (F.col("seq") + 10 ** 9).alias("seq"), F.lit("edit").alias("op"), "matricula_func",
-        F.col("nome_completo").alias("nome_antigo"), F.concat(F.col("nome_completo"), F.lit(" Jr")).alias("nome_completo"),
-        "data_nascimento", "parentesco")
+    """One new name per part for three employees and some unknown ones, then one rename and one removal per stored name."""
+    k = F.col("p_partkey").cast("long")
+    adds = fx.raw("part").select(
+        k.alias("seq"), F.lit("add").alias("op"),
+        F.when(k % 11 == 0, F.lit("MAT9999999")).otherwise(F.concat(F.lit("MAT"), (1008 + k % 3).cast("string"))).alias("matricula_func"),
+        F.lit(None).cast("string").alias("nome_antigo"),
+        F.when(k % 4 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("nome_completo"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (k % 4000).cast("int")).alias("data_nascimento"),
+        F.when(k % 17 == 0, F.lit("primo")).otherwise(F.lit("filho(a)")).alias("parentesco"))
+    stored = fx.view("dependente")
+    edits = stored.select(
+        (F.col("seq") + 10 ** 9).alias("seq"), F.when(F.col("seq") % 5 == 0, F.lit("delete")).otherwise(F.lit("edit")).alias("op"),
+        "matricula_func", F.col("nome_completo").alias("nome_antigo"),
+        F.concat(F.col("nome_completo"), F.lit(" Jr")).alias("nome_completo"), "data_nascimento", "parentesco")
     return adds.unionByName(edits)
 
 
 def fee_requests(fx: Fixture):
-    o = fx.raw("orders").where("o_orderkey % 50 = 0")
-    return o.select(
-        F.col("o_orderkey").alias("seq"), (50501 + F.col("o_custkey")).cast("int").alias("num_conta"),
-        F.round(F.col("o_totalprice") / 100, 2).alias("valor"), F.lit("MAT1002").alias("requester_matricula"),
-        F.when(F.col("o_orderkey") % 100 == 0, F.lit("MAT1002")).otherwise(F.lit("MAT1005")).alias("authorizer_username"))
+    """One fee per order; the authoriser is named by user name, matricula or CPF, and is sometimes the requester or a client."""
+    k = F.col("o_orderkey")
+    who = (F.when(k % 10 == 0, F.lit("MAT1002")).when(k % 10 == 3, F.lpad(F.col("o_custkey").cast("string"), 11, "0"))
+           .when(k % 10 == 7, F.lit("nobody")).otherwise(F.lit("MAT1005")))
+    return fx.raw("orders").select(
+        k.cast("long").alias("seq"), (50501 + F.col("o_custkey")).cast("int").alias("num_conta"),
+        F.round(F.col("o_totalprice") / 1000, 2).alias("valor"), F.lit("MAT1002").alias("requester_matricula"),
+        who.alias("authorizer_username"))
 
 
-register("open_accounts")(lambda fx: RQ.open_accounts(fx.bank(), open_account_requests(fx), AS_OF).decisions)
-register("register_customers")(
-    lambda fx: RQ.register_customers(fx.bank(), registration_requests(fx), AS_OF).decisions)
-register("apply_employees")(lambda fx: RQ.apply_employees(fx.bank(), employee_requests(fx)).decisions)
-register("apply_promotions")(lambda fx: RQ.apply_promotions(fx.bank(), promotion_requests(fx)).decisions)
-register("apply_dependents")(lambda fx: RQ.apply_dependents(fx.bank(), dependent_requests(fx), AS_OF).decisions)
-register("post_fees")(lambda fx: RQ.post_fees(fx.bank(), fee_requests(fx), AS_OF).decisions)
+def _open(fx: Fixture):
+    return RQ.open_accounts(fx.bank(), open_account_requests(fx), AS_OF)
+
+
+def _registered(fx: Fixture):
+    return RQ.register_customers(fx.bank(), registration_requests(fx), AS_OF)
+
+
+def _of(make, part: str):
+    return lambda fx: make(fx).decisions if part == "decisions" else make(fx).rows[part]
+
+
+for _name, _make, _parts in (
+        ("open_accounts", _open, ("conta", "titularidade_conta", "cliente", "transacao")),
+        ("register_customers", _registered, ("conta", "titularidade_conta", "cliente", "email_cliente", "telefone_cliente",
+                                             "usuario", "transacao")),
+        ("apply_employees", lambda fx: RQ.apply_employees(fx.bank(), employee_requests(fx)), ("funcionario", "usuario", "agencia")),
+        ("apply_promotions", lambda fx: RQ.apply_promotions(fx.bank(), promotion_requests(fx)), ("funcionario", "usuario")),
+        ("apply_dependents", lambda fx: RQ.apply_dependents(fx.bank(), dependent_requests(fx), AS_OF), ("dependente",)),
+        ("post_fees", lambda fx: RQ.post_fees(fx.bank(), fee_requests(fx), AS_OF), ("transacao",))):
+    register(_name)(_of(_make, "decisions"))
+    for _part in _parts:
+        register(f"{_name}_{_part}")(_of(_make, _part))
+from ledgerlake.plans.change_oracles import change_oracles  # noqa: E402
+
+ORACLE.update(change_oracles())
 
 
 # ------------------------------------------------------ more inventory items
@@ -848,17 +901,12 @@ def _post_incremental(fx: Fixture):
     after = K.balances_after(b.conta, first)
     second = K.post(after, t.where(F.col("id_transacao") >= cut), seq="id_transacao",
                     existing_log=first.accepted.select("num_conta", "num_transacao"))
-    return second.decisions.select("id_transacao", "num_conta", "tipo", "valor", "status", "saldo_apos")
-
-
-def _post_incremental_oracle() -> str:
-    # One recursive pass over the whole log, restricted to the second half (id_transacao is o_orderkey).
-    return (f"SELECT * FROM ({ORACLE['post']}) p WHERE p.id_transacao >= "
-            "(SELECT floor(max(o_orderkey) / 2) FROM orders)")
+    cols = ["id_transacao", "num_conta", "tipo", "valor", "status", "saldo_apos"]
+    return first.decisions.select(*cols).unionByName(second.decisions.select(*cols))
 
 
 register("post_incremental")(_post_incremental)
-ORACLE["post_incremental"] = _post_incremental_oracle()
+ORACLE["post_incremental"] = ORACLE["post"]  # two batches give the decisions of one pass
 
 
 register("ensure_admin",

@@ -179,6 +179,9 @@ FOREIGN_KEYS: list[tuple[str, list[str], str, list[str]]] = [
     ("usuario", ["matricula"], "funcionario", ["matricula"]),
 ]
 
+# Fixed value: the manager of accounts that an administrator opens.
+DEFAULT_MANAGER = "MAT1001"
+
 ENUM_COLUMNS: dict[str, dict[str, list[str]]] = {
     "funcionario": {"cargo": CARGO, "genero": GENERO},
     "dependente": {"parentesco": PARENTESCO},

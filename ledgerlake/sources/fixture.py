@@ -108,7 +108,6 @@ def _dependente(modulus: int) -> View:
             ("idade", "CAST(NULL AS INT)"),
             ("seq", "CAST(p.p_partkey AS BIGINT)"),
         ],
-        where="p.p_size >= 40",
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import changes as I
-from tests.seed import seed_bank
+from tests.seed import MARTA, TIAGO, seed_bank
 
 
 def _greedy_model(rows, keys):
@@ -40,21 +40,24 @@ def test_accept_holders_rules(spark):
     extra = {
         "cliente": [("11111111111", "Gil", "1", "SSP", "CE", dt.date(1990, 1, 1), None, None, None, None, None,
                      None, None, None)],
-        "conta": [(50502, 10.0, "x" * 64, "poupança", 0.5, None, None, 1, "MAT1001"),
-                  (50503, 10.0, "x" * 64, "conta-corrente", None, None, None, 2, "MAT1001")],
+        "conta": [(61020, 10.0, "x" * 64, "poupança", 0.5, None, None, 3, "MAT2040"),
+                  (61021, 10.0, "x" * 64, "conta-corrente", None, None, None, 9, "MAT2040")],
     }
     b = seed_bank(spark, extra)
     req = spark.createDataFrame([
-        (1, 50502, "01234567890", "2º titular"),   # same branch as the stored 50501 holding -> refused
-        (2, 50503, "11111111111", "1º titular"),   # accepted
-        (3, 50503, "01234567890", "1º titular"),   # slot taken by seq 2 in this batch
-        (4, 50503, "01234567890", "2º titular"),   # accepted
+        (1, 61020, MARTA, "2º titular"),   # same branch as her stored account -> refused
+        (2, 61021, "11111111111", "1º titular"),   # accepted
+        (3, 61021, MARTA, "1º titular"),   # slot taken by seq 2 in this batch
+        (4, 61021, MARTA, "2º titular"),   # accepted
         (5, 59999, "11111111111", "2º titular"),   # unknown account
+        (6, 61021, TIAGO, None),                   # no slot
+        (7, 61021, "11111111111", "2º titular"),   # holds this branch since seq 2, and the slot is taken
     ], "seq long, num_conta int, cpf_cliente string, tipo_titular string")
     out, _ = I.accept_holders(b, req)
     got = {r["seq"]: (r["accepted"], r["reason"]) for r in out.collect()}
-    assert got == {1: (False, "ONE_ACCOUNT_PER_BRANCH"), 2: (True, None), 3: (False, "CONFLICT_IN_BATCH"),
-                   4: (True, None), 5: (False, "UNKNOWN_ACCOUNT")}
+    assert got == {1: (False, "ONE_ACCOUNT_PER_BRANCH"), 2: (True, None), 3: (False, "SLOT_TAKEN"),
+                   4: (True, None), 5: (False, "UNKNOWN_ACCOUNT"), 6: (False, "INVALID_SLOT"),
+                   7: (False, "ONE_ACCOUNT_PER_BRANCH")}
 
 
 def test_accept_dependents_limit_and_duplicates(spark):
@@ -63,12 +66,15 @@ def test_accept_dependents_limit_and_duplicates(spark):
     b = seed_bank(spark)
     d = dt.date(2000, 1, 1)
     req = spark.createDataFrame(
-        [(f"Dep {i}", "MAT1001", d, "filho(a)", None, i) for i in range(1, 7)]
-        + [("Davi Lima", "MAT1001", d, "filho(a)", None, 50), ("Dep 1", "MAT1001", d, "filho(a)", None, 51)],
+        [("Rui Costa", "MAT2040", d, "filho(a)", None, 0)] + [(f"Dep {i}", "MAT2040", d, "filho(a)", None, i) for i in range(1, 5)]
+        + [("Rui Costa", "MAT2040", d, "filho(a)", None, 50), ("Dep 1", "MAT2041", d, "filho(a)", None, 51),
+           ("Dep 1", "MAT2041", d, "filho(a)", None, 52)],
         "nome_completo string, matricula_func string, data_nascimento date, parentesco string, idade int, seq long")
     got = {r["seq"]: (r["accepted"], r["reason"]) for r in I.accept_dependents(b.dependente, req).collect()}
-    assert [got[i][0] for i in range(1, 7)] == [True, True, True, True, False, False]
-    assert got[50] == (False, "DUPLICATE_KEY") and got[51] == (False, "DUPLICATE_KEY")
+    assert got[0] == (False, "DUPLICATE_KEY")  # stored name, slots left
+    assert [got[i] for i in range(1, 5)] == [(True, None)] * 3 + [(False, "DEPENDENT_LIMIT")]
+    assert got[50] == (False, "DEPENDENT_LIMIT")  # the limit is checked before the key
+    assert got[51] == (True, None) and got[52] == (False, "DUPLICATE_KEY")
 
 
 def test_global_rank_is_dense_and_ordered(spark):
@@ -86,10 +92,9 @@ def test_assign_next_continues_per_account(spark):
 
 def test_apply_updates_latest_change_per_column(spark):
     b = seed_bank(spark)
-    ch = spark.createDataFrame([("01234567890", 1, "X", None), ("01234567890", 2, None, "Y"),
-                                ("01234567890", 3, "Z", None)],
+    ch = spark.createDataFrame([(MARTA, 1, "X", None), (MARTA, 2, None, "Y"), (MARTA, 3, "Z", None)],
                                "cpf string, seq long, bairro string, cidade string")
-    r = I.apply_updates(b.cliente, ch, ["cpf"], ["bairro", "cidade"]).collect()[0]
+    r = I.apply_updates(b.cliente, ch, ["cpf"], ["bairro", "cidade"]).where(F.col("cpf") == MARTA).collect()[0]
     assert (r["bairro"], r["cidade"]) == ("Z", "Y")
 
 
@@ -98,9 +103,24 @@ def test_sync_users_first_wins_on_any_key(spark):
 
     # A customer whose CPF text equals an employee's matricula clashes on username: the employee
     # (inserted first) keeps it and the customer row is ignored.
-    clash = ("MAT1002", "Zeca", "1", "SSP", "CE", dt.date(1990, 1, 1), None, None, None, None, None, None, None, None)
+    clash = ("MAT2041", "Zeca", "1", "SSP", "CE", dt.date(1990, 1, 1), None, None, None, None, None, None, None, None)
     b = seed_bank(spark, {"cliente": [clash]})
     users = I.sync_users(b).collect()
     names = [u["username"] for u in sorted(users, key=lambda u: u["id"])]
-    assert names == ["MAT1001", "MAT1002", "MAT1003", "01234567890", "Admin"]
-    assert [u["role"] for u in sorted(users, key=lambda u: u["id"])][:3] == ["gerente", "caixa", "atendente"]
+    assert names == ["MAT2040", "MAT2041", "MAT2042", "MAT2043", TIAGO, MARTA, "Admin"]
+    assert [u["role"] for u in sorted(users, key=lambda u: u["id"])][:4] == ["gerente", "caixa", "atendente", "gerente"]
+
+
+def test_greedy_unique_follows_deep_chains(spark):
+    """Requests that chain over two keys need a round for every other one; all are settled, whatever the depth."""
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(41)]
+    out, rounds = I.greedy_unique(spark.createDataFrame(rows, "seq long, a string, b string"), "seq", [["a"], ["b"]])
+    taken, expect = set(), {}
+    for i, a, b in rows:
+        expect[i] = a not in taken and b not in taken
+        if expect[i]:
+            taken |= {a, b}
+    assert {r["seq"]: r["accepted"] for r in out.collect()} == expect
+    assert rounds > I.MERGE_EVERY  # decided rows were merged on the way
+    one, _ = I.greedy_unique(spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None)], "seq long, a string"), "seq", [["a"]])
+    assert {r["seq"] for r in one.where("accepted").collect()} == {1, 3, 4}

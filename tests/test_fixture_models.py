@@ -68,88 +68,15 @@ def test_accept_holders_matches_model(spark):
     assert got == exp
 
 
-def test_incremental_rounds_match_model_on_fixture(spark):
-    from ledgerlake.operators import transfers as K2
-
-    fx = Fixture(spark, SF)
-    b = fx.bank()
-    singles_df = b.transacao.where(F.col("tipo") != "transferência").select(
-        F.col("id_transacao").alias("seq"), "num_conta", "tipo", "valor")
-    auth = authorize(b, fx.view("transfer_req"))
-    ok_df = auth.where("reason IS NULL").drop("reason")
-    done, rounds = K2.post_transfers(b.conta, K2.build_legs(singles_df, ok_df, "as_written"),
-                                     min_incremental_legs=0, full_round_fraction=1.0)
-    got = {r["seq"]: r["status"] for r in K2.decisions(done).collect()}
-    ok = [(r["seq"], r["conta_origem"], r["conta_destino"], r["valor"]) for r in ok_df.collect()]
-    exp = transfers_model(_accounts(b), [tuple(r) for r in singles_df.collect()], ok, "as_written")
-    assert got == exp and rounds >= 2
-
-
-def test_open_accounts_matches_model(spark):
-    from ledgerlake.plans.catalog import open_account_requests
-
-    fx = Fixture(spark, SF)
-    b = fx.bank()
-    got = {r["seq"]: (r["status"], r["num_conta"]) for r in QUERIES["open_accounts"](spark, SF).collect()}
-    branch = {r[0]: r[1] for r in b.conta.select("num_conta", "num_ag").collect()}
-    held = {(r["cpf_cliente"], branch[r["num_conta"]]) for r in b.titularidade_conta.collect()}
-    known_cpf = {r[0] for r in b.cliente.select("cpf").collect()}
-    agencies = {r[0] for r in b.agencia.select("num_ag").collect()}
-    employees = {r[0] for r in b.funcionario.select("matricula").collect()}
-    next_num = max(branch)
-    exp = {}
-    for r in sorted(open_account_requests(fx).collect(), key=lambda r: r["seq"]):
-        if r["requester_role"] not in ("gerente", "admin"):
-            why = "ROLE_NOT_ALLOWED"
-        elif r["requester_matricula"] not in employees:
-            why = "MANAGER_NOT_FOUND"
-        elif r["cpf"] not in known_cpf and r["nome_completo"] is None:
-            why = "CUSTOMER_NOT_FOUND"
-        elif r["num_ag"] not in agencies:
-            why = "UNKNOWN_BRANCH"
-        elif r["saldo_inicial"] < 0:
-            why = "NEGATIVE_OPENING_BALANCE"
-        elif (r["cpf"], r["num_ag"]) in held:
-            why = "ONE_ACCOUNT_PER_BRANCH"
-        else:
-            why = None
-        if why is None:
-            held.add((r["cpf"], r["num_ag"]))
-            next_num += 1
-            exp[r["seq"]] = ("ACCEPTED", next_num)
-        else:
-            exp[r["seq"]] = (why, None)
-    assert got == exp
-
-
-def test_register_customers_matches_model(spark):
-    from ledgerlake.plans.catalog import registration_requests
-
-    fx = Fixture(spark, SF)
-    b = fx.bank()
-    got = {r["seq"]: (r["status"], r["num_conta"]) for r in QUERIES["register_customers"](spark, SF).collect()}
-    users = {r[0] for r in b.usuario.select("username").collect()}
-    cpfs = {r[0] for r in b.usuario.where("cpf IS NOT NULL").select("cpf").collect()}
-    next_num = max(r[0] for r in b.conta.select("num_conta").collect())
-    exp = {}
-    for r in sorted(registration_requests(fx).collect(), key=lambda r: r["seq"]):
-        if r["username"] in users or r["cpf"] in cpfs:
-            exp[r["seq"]] = ("USER_OR_CPF_EXISTS", None)
-        else:
-            users.add(r["username"])
-            cpfs.add(r["cpf"])
-            next_num += 1
-            exp[r["seq"]] = ("ACCEPTED", next_num)
-    assert got == exp
-
-
 def test_post_fees_matches_model(spark):
     from ledgerlake.plans.catalog import fee_requests
 
     fx = Fixture(spark, SF)
     b = fx.bank()
     got = {r["seq"]: r["status"] for r in QUERIES["post_fees"](spark, SF).collect()}
-    staff = {r["username"]: r["matricula"] for r in b.usuario.where("matricula IS NOT NULL AND role <> 'client'").collect()}
+    staff = {}
+    for r in sorted(b.usuario.collect(), key=lambda r: -r["id"]):
+        staff |= {k: r["matricula"] for k in (r["username"], r["cpf"], r["matricula"]) if k}
     accounts = _accounts(b)
     exp, to_post = {}, []
     for r in sorted(fee_requests(fx).collect(), key=lambda r: r["seq"]):
@@ -168,27 +95,34 @@ def test_post_fees_matches_model(spark):
     assert got == exp
 
 
-def test_apply_dependents_accepts_as_sequential_screen(spark):
+def test_apply_dependents_as_the_screen_does(spark):
+    """Each request in arrival order against a list per employee: limit, kinship, name, employee."""
     from ledgerlake.plans.catalog import dependent_requests
 
     fx = Fixture(spark, SF)
     b = fx.bank()
     got = {r["seq"]: r["status"] for r in QUERIES["apply_dependents"](spark, SF).collect()}
-    keys = {(r["matricula_func"], r["nome_completo"]) for r in b.dependente.collect()}
-    count = {}
+    names = {}
     for r in b.dependente.collect():
-        count[r["matricula_func"]] = count.get(r["matricula_func"], 0) + 1
-    accepted = set()
-    reqs = sorted(dependent_requests(fx).collect(), key=lambda r: r["seq"])
-    for r in reqs:
-        if r["op"] != "add":
-            continue
-        k = (r["matricula_func"], r["nome_completo"])
-        if k in keys or count.get(r["matricula_func"], 0) >= 5:
-            continue
-        keys.add(k)
-        count[r["matricula_func"]] = count.get(r["matricula_func"], 0) + 1
-        accepted.add(r["seq"])
-    adds = {r["seq"] for r in reqs if r["op"] == "add"}
-    assert {s for s in adds if got[s] == "ACCEPTED"} == accepted
-    assert all(got[r["seq"]] == "ACCEPTED" for r in reqs if r["op"] == "edit")
+        names.setdefault(r["matricula_func"], []).append(r["nome_completo"].lower())
+    staff = {r["matricula"] for r in b.funcionario.collect()}
+    exp = {}
+    for r in sorted(dependent_requests(fx).collect(), key=lambda r: r["seq"]):
+        own = names.setdefault(r["matricula_func"], [])
+        new, old = r["nome_completo"].lower(), (r["nome_antigo"] or "").lower()
+        bad_kin = r["parentesco"] not in ("filho(a)", "cônjuge", "genitor(a)")
+        if r["op"] == "add":
+            why = ("DEPENDENT_LIMIT" if len(own) >= 5 else "INVALID_KINSHIP" if bad_kin else "DUPLICATE_KEY" if new in own
+                   else "UNKNOWN_EMPLOYEE" if r["matricula_func"] not in staff else "ACCEPTED")
+            if why == "ACCEPTED":
+                own.append(new)
+        elif r["op"] == "delete":
+            why, names[r["matricula_func"]] = "ACCEPTED", [n for n in own if n != old]
+        else:
+            others = [n for n in own if n != old]
+            why = "DUPLICATE_KEY" if old in own and new in others else "ACCEPTED"
+            if why == "ACCEPTED":
+                names[r["matricula_func"]] = [new if n == old else n for n in own]
+        exp[r["seq"]] = why
+    assert got == exp
+    assert {"ACCEPTED", "DEPENDENT_LIMIT", "INVALID_KINSHIP", "UNKNOWN_EMPLOYEE"} <= set(got.values())

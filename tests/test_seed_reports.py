@@ -1,11 +1,11 @@
-"""Golden seed: the seed's single-customer bank through the reports and audits."""
+"""The tiny bank of tests/seed.py through the reports and audits."""
 
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import ledger as K
 from ledgerlake.operators import quality as Q
 from ledgerlake.operators import reports as R
-from tests.seed import seed_bank
+from tests.seed import MARTA, seed_bank
 
 AS_OF = "2026-06-10 00:00:00"
 
@@ -13,24 +13,24 @@ AS_OF = "2026-06-10 00:00:00"
 def test_payroll_and_reconciliation(spark):
     b = seed_bank(spark)
     pay = {r["num_ag"]: r["sal_total_calc"] for r in R.branch_payroll(b).collect()}
-    assert pay == {1: 12700.0, 2: 0.0}
+    assert pay == {3: 10850.25, 8: 11914.5, 9: 0.0}
     assert Q.reconcile_balances(b).count() == 0
     rec = {r["num_ag"]: r["diferenca"] for r in Q.reconcile_payroll(b).collect()}
-    assert rec == {1: 12700.0}
+    assert rec == {3: 10850.25, 8: 11914.5}
     assert Q.role_drift(b).count() == 0  # admin over gerente is the allowed pair
 
 
 def test_activity_windows_and_coholders(spark):
     b = seed_bank(spark)
-    for d in (7, 30, 365):
-        assert [tuple(r) for r in R.activity_count(b, AS_OF, d).collect()] == [(50501, 1)]
-    assert R.co_holders(b, "01234567890").count() == 0
+    for d, n in ((7, 1), (30, 2), (365, 2)):
+        assert [tuple(r) for r in R.activity_count(b, AS_OF, d).collect()] == [(61007, n)]  # checking accounts only
+    assert R.co_holders(b, MARTA).count() == 1
 
 
 def test_withdrawals_against_seed_balance(spark):
     b = seed_bank(spark)
-    for amount, status, bal in [(1200.51, "INSUFFICIENT_FUNDS", 1200.50), (1200.50, "ACCEPTED", 0.0)]:
-        t = spark.createDataFrame([(10, 50501, "saque", amount)], "seq long, num_conta int, tipo string, valor double")
+    for amount, status, bal in [(310.76, "INSUFFICIENT_FUNDS", 310.75), (310.75, "ACCEPTED", 0.0)]:
+        t = spark.createDataFrame([(10, 61007, "saque", amount)], "seq long, num_conta int, tipo string, valor double")
         r = K.post(b.conta, t, seq="seq").decisions.collect()[0]
         assert (r["status"], r["saldo_apos"]) == (status, bal)
 
@@ -39,7 +39,7 @@ def test_window_has_no_upper_bound(spark):
     """Rows after as_of still count (lower bound only)."""
     import datetime as dt
 
-    b = seed_bank(spark, {"transacao": [(2, 2, 50501, "saque", dt.datetime(2030, 1, 1), 1.0)]})
+    b = seed_bank(spark, {"transacao": [(4, 3, 61007, "saque", dt.datetime(2030, 1, 1), 1.0)]})
     assert R.activity_count(b, AS_OF, 7).collect()[0]["total"] == 2
 
 
@@ -47,16 +47,16 @@ def test_enum_sort_and_collation(spark):
     """T4 enum rank order; T5 case/accent-insensitive city filter."""
     b = seed_bank(spark)
     out = [r["cargo"] for r in R.employees_by_city(b.with_tables(
-        agencia=b.agencia.withColumn("cidade", F.lit("Sobral"))), "SOBRAL").collect()]
-    assert out == ["gerente", "atendente", "caixa"]
+        agencia=b.agencia.withColumn("cidade", F.lit("Évora"))), "EVORA").collect()]
+    assert out == ["gerente", "caixa", "gerente", "atendente"]  # by branch, then by rank
     b2 = b.with_tables(agencia=b.agencia.withColumn("cidade", F.lit("São Paulo")))
-    assert R.branches_by_city(b2, "sao paulo").count() == 2
+    assert R.branches_by_city(b2, "sao paulo").count() == 3
 
 
 def test_dependents_left_join_keeps_zero(spark):
     b = seed_bank(spark)
-    got = {r["nome_completo"]: r["dependentes"] for r in R.employees_with_dependents(b, 1).collect()}
-    assert got == {"Ana Lima": 1, "Bruno Reis": 0, "Caio Dias": 0}
+    got = {r["nome_completo"]: r["dependentes"] for r in R.employees_with_dependents(b, 3).collect()}
+    assert got == {"Helena Costa": 2, "Igor Melo": 0}
 
 
 def test_user_directory_never_returns_secret(spark):
