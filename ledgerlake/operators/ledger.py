@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from ledgerlake.functions.exprs import money
 from ledgerlake.operators.prefix import DEFAULT_CHUNK_SPAN, prefix_sum
 from ledgerlake.schema import CREDIT_KINDS, DEBIT_KINDS, TIPO_TRANSACAO, Bank
+from ledgerlake.session import cut_lineage
 
 ACCEPTED = "ACCEPTED"
 # Reject reasons, in the order the checks apply.
@@ -80,7 +81,9 @@ def _prepare(accounts: DataFrame, txns: DataFrame, seq: str, existing_log: DataF
     t = txns.join(acc, "num_conta", "left")
     has_number = "num_transacao" in txns.columns
     if existing_log is not None and has_number:
-        used = existing_log.select("num_conta", "num_transacao").distinct().withColumn("_used", F.lit(True))
+        touched = txns.select("num_conta").distinct()  # the history of other accounts is not shuffled on the number
+        used = (existing_log.join(touched, "num_conta", "left_semi").select("num_conta", "num_transacao").distinct()
+                .withColumn("_used", F.lit(True)))
         t = t.join(used, ["num_conta", "num_transacao"], "left")
     else:
         t = t.withColumn("_used", F.lit(None).cast("boolean"))
@@ -99,16 +102,6 @@ def _prepare(accounts: DataFrame, txns: DataFrame, seq: str, existing_log: DataF
             .withColumn("_s0", _cents("_saldo0")))
 
 
-def hottest_key_rows(df: DataFrame, key: str = "num_conta") -> int:
-    """Rows of the largest group (a partial aggregate over one column; used to pick the skew-safe plan)."""
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0]
-    return int(r or 0)
-
-
-# Above this many rows in one account the fast path switches to chunked prefix sums.
-HOT_ACCOUNT_ROWS = 4_000_000
-
-
 _FOLD_OUT = [
     T.StructField("status", T.StringType()),
     T.StructField("_bal_after", T.LongType()),
@@ -168,8 +161,7 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def post(accounts: DataFrame, txns: DataFrame, seq: str = "id_transacao",
-         existing_log: DataFrame | None = None, skewed: bool | None = None,
-         chunk_span: int = DEFAULT_CHUNK_SPAN) -> Posting:
+         existing_log: DataFrame | None = None, chunk_span: int = DEFAULT_CHUNK_SPAN) -> Posting:
     """K1 + K4: post single-leg transactions in arrival order.
 
     ``accounts``: num_conta, saldo, tipo_conta, limite_credito.
@@ -180,67 +172,44 @@ def post(accounts: DataFrame, txns: DataFrame, seq: str = "id_transacao",
     unchanged for a row refused by the balance rule; NULL for a row refused
     before it: unknown account, NULL field, invalid type, number already used).
 
-    ``skewed=None`` measures the largest account first: the default plan
-    shuffles the transactions once on ``num_conta`` and runs every window on
-    that partitioning; with a hot account the fast path uses chunked prefix
-    sums so that account's accepted prefix is computed by many tasks.
+    Rows refused before the balance rule are split off first. Prefix sums
+    (cut into chunks for large accounts) give each row the balance under
+    "everything accepted", and each account its first row that might be
+    refused; that state is written once to the checkpoint folder. Rows
+    before that point are decided; only each account's rest is folded.
     """
     in_cols = txns.columns
-    has_number = "num_transacao" in in_cols
-    if skewed is None:
-        skewed = hottest_key_rows(txns.select("num_conta")) > HOT_ACCOUNT_ROWS
-    base = txns if skewed else txns.repartition("num_conta")
-    t = _prepare(accounts, base, seq, existing_log)
-
-    pre_rej = t.where(F.col("_pre").isNotNull())
-    # Default plan keeps every row in one stream (rejected rows masked out of
-    # the sums); the skewed plan splits them off before the chunked prefix.
-    live = t.where(F.col("_pre").isNull()) if skewed else t
-    ok = F.col("_pre").isNull()
-    by_acct = Window.partitionBy("num_conta")
-    if has_number:
+    t = _prepare(accounts, txns, seq, existing_log)
+    live = t.where(F.col("_pre").isNull())
+    if "num_transacao" in in_cols:
         # Rows sharing (account, number) inside the batch: the first accepted one
         # takes the number, so their outcome is left to the sorted pass.
-        same_number = F.count(F.when(ok, F.lit(1))).over(Window.partitionBy("num_conta", "num_transacao"))
-        live = live.withColumn("_dup", ok & F.col("num_transacao").isNotNull() & (same_number > 1))
+        same_number = F.count(F.lit(1)).over(Window.partitionBy("num_conta", "num_transacao"))
+        live = live.withColumn("_dup", F.col("num_transacao").isNotNull() & (same_number > 1))
     else:
         live = live.withColumn("_dup", F.lit(False))
-    live = live.withColumn("_delta", F.when(ok, F.col("_delta")).otherwise(F.lit(0)))
-    live = prefix_sum(live, "num_conta", seq, "_delta", "_before", inclusive=False,
-                      chunk_span=chunk_span if skewed else None)
+    live = prefix_sum(live, "num_conta", seq, "_delta", "_before", inclusive=False, chunk_span=chunk_span)
     bal_before = F.col("_s0") + F.col("_before")
-    uncertain = ok & (F.col("_dup") | (
-        F.col("_debit") & F.col("_s0").isNotNull() & (bal_before + F.col("_delta") < F.col("_floor"))))
-    live = live.withColumn("_uncertain", uncertain)
-    if skewed:
-        # First uncertain row per account and the exact balance before it (partial aggregate + join).
-        first = (live.where("_uncertain").groupBy("num_conta")
-                 .agg(F.min(seq).alias("_first"), F.min_by(bal_before, F.col(seq)).alias("_start")))
-        live = live.join(first, "num_conta", "left")
-    else:
-        live = (live.withColumn("_first", F.min(F.when(F.col("_uncertain"), F.col(seq))).over(by_acct))
-                .withColumn("_start", F.min_by(F.when(F.col("_uncertain"), bal_before),
-                                               F.when(F.col("_uncertain"), F.col(seq))).over(by_acct)))
-    sure = F.col("_first").isNull() | (F.col(seq) < F.col("_first"))
-    decided = (live.withColumn("_status", F.when(~ok, F.col("_pre")).when(sure, F.lit(ACCEPTED)))
-               .withColumn("_bal_known", F.when(ok & sure, bal_before + F.col("_delta"))))
+    uncertain = F.col("_dup") | (
+        F.col("_debit") & F.col("_s0").isNotNull() & (bal_before + F.col("_delta") < F.col("_floor")))
     keep = list(dict.fromkeys(in_cols + ["_delta", "_debit", "_floor", "_tipo_conta", "_dup"]))
-    fold_in = decided.select(*keep, F.col("_start").cast("double").alias("_start"), "_status",
-                             F.col("_bal_known").cast("double").alias("_bal_known"))
-    if skewed:
-        # Decided prefix rows skip the fold; only each account's suffix is shuffled to it.
-        fast = fold_in.where(F.col("_status").isNotNull()).select(
-            *in_cols, F.col("_status").alias("status"), F.col("_bal_known").cast("long").alias("_bal_after"))
-        fold_in = fold_in.where(F.col("_status").isNull()).repartition("num_conta")
-    fold_schema = T.StructType([f for f in fold_in.schema.fields if f.name not in ("_start", "_status", "_bal_known")]
-                               + _FOLD_OUT)
-    folded = (fold_in.sortWithinPartitions("num_conta", seq)
-              .mapInPandas(_fold_partition, fold_schema)
-              .select(*in_cols, "status", "_bal_after"))
-    if skewed:
-        folded = folded.unionByName(fast).unionByName(
-            pre_rej.select(*in_cols, F.col("_pre").alias("status"), F.lit(None).cast("long").alias("_bal_after")))
-    return Posting(folded.select(*in_cols, "status", _from_cents_expr(F.col("_bal_after")).alias("saldo_apos")))
+    refused = t.where(F.col("_pre").isNotNull()).select(
+        *in_cols, F.col("_pre").alias("status"), F.lit(None).cast("long").alias("_bal_after"))
+    state = cut_lineage(live.select(*keep, bal_before.alias("_bal_before"), uncertain.alias("_uncertain")))
+    # First uncertain row per account and the exact balance before it (partial aggregate, joined back).
+    first = (state.where("_uncertain").groupBy("num_conta")
+             .agg(F.min(seq).alias("_first"), F.min_by("_bal_before", F.col(seq)).alias("_start")))
+    state = state.join(first, "num_conta", "left")
+    sure = F.col("_first").isNull() | (F.col(seq) < F.col("_first"))
+    fast = state.where(sure).select(*in_cols, F.lit(ACCEPTED).alias("status"),
+                                    (F.col("_bal_before") + F.col("_delta")).cast("long").alias("_bal_after"))
+    rest = state.where(~sure).select(*keep, F.col("_start").cast("double").alias("_start"),
+                                     F.lit(None).cast("string").alias("_status"), F.lit(None).cast("double").alias("_bal_known"))
+    fold_schema = T.StructType([f for f in rest.schema.fields if f.name not in ("_start", "_status", "_bal_known")] + _FOLD_OUT)
+    folded = (rest.repartition("num_conta").sortWithinPartitions("num_conta", seq)
+              .mapInPandas(_fold_partition, fold_schema).select(*in_cols, "status", "_bal_after"))
+    done = folded.unionByName(fast).unionByName(refused)
+    return Posting(done.select(*in_cols, "status", _from_cents_expr(F.col("_bal_after")).alias("saldo_apos")))
 
 
 def _from_cents_expr(c: F.Column) -> F.Column:

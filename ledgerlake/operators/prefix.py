@@ -1,12 +1,12 @@
 """Prefix sums per key that stay parallel when one key holds most rows.
 
 A plain ``sum().over(partitionBy(key).orderBy(seq))`` puts every row of a
-key in one task. ``prefix_sum`` splits each key's sequence into chunks of a
-fixed ``seq`` span: chunk totals (a partial aggregate), an exclusive prefix
-over the much smaller chunk table, then a window within (key, chunk) offset
-by that prefix. The within-chunk window reuses the join's partitioning on
-(key, chunk), so the chunked form costs one extra aggregate and join, and a
-hot key is spread over as many tasks as it has chunks.
+key in one task. ``prefix_sum`` counts the rows per key (a partial aggregate
+over one column) and cuts the keys that hold many into chunks of a fixed
+``seq`` span; all other keys are one chunk. Rows are shuffled once, on
+(key, chunk), and summed there; chunks of large keys then add the sum of
+their earlier chunks. At most ``MOST_LARGE`` keys are large, since such a key
+holds at least that share of all rows, so their list is safe to broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_SPAN = 1 << 16
+MOST_LARGE = 10_000
 
 
 def prefix_sum(df: DataFrame, key: str, seq: str, value: str | Column, out: str,
@@ -22,18 +23,25 @@ def prefix_sum(df: DataFrame, key: str, seq: str, value: str | Column, out: str,
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``key`` (ordered by ``seq``).
 
     ``inclusive`` counts the current row. ``seq`` must be unique within a key
-    and integral when ``chunk_span`` is set (rows per chunk <= chunk_span).
+    and integral when ``chunk_span`` is set; a large key has more than
+    ``chunk_span`` rows and more than 1 / ``MOST_LARGE`` of all.
     """
     val = F.col(value) if isinstance(value, str) else value
     end = Window.currentRow if inclusive else -1
     if not chunk_span:
         w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(out, F.coalesce(F.sum(val).over(w), F.lit(0)))
-    d = df.withColumn("_v", val).withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk_span)).cast("long"))
-    totals = d.groupBy(key, "_chunk").agg(F.sum("_v").alias("_ctot"))
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    share = counts.agg((F.sum("_n") / MOST_LARGE).alias("_share"))
+    large = (counts.where(F.col("_n") > chunk_span).where(F.col("_n") > F.coalesce(share.scalar(), F.lit(0)))
+             .select("_key", F.lit(True).alias("_large")))
+    d = (df.withColumn("_v", val).join(F.broadcast(large), F.col(key) == F.col("_key"), "left").drop("_key")
+         .withColumn("_chunk", F.when(F.col("_large"), F.floor(F.col(seq) / F.lit(chunk_span)).cast("long"))
+                     .otherwise(F.lit(-1).cast("long"))))
+    totals = d.where("_large").groupBy(key, "_chunk").agg(F.sum("_v").alias("_ctot"))
     wc = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, "_chunk", F.coalesce(F.sum("_ctot").over(wc), F.lit(0)).alias("_off"))
     wr = Window.partitionBy(key, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, end)
-    return (d.join(offsets, [key, "_chunk"])
-            .withColumn(out, F.col("_off") + F.coalesce(F.sum("_v").over(wr), F.lit(0)))
-            .drop("_v", "_chunk", "_off"))
+    return (d.join(offsets, [key, "_chunk"], "left")
+            .withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.sum("_v").over(wr), F.lit(0)))
+            .drop("_v", "_chunk", "_off", "_large"))

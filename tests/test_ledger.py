@@ -27,14 +27,14 @@ def _random_case(rng, n_acc=6, n_tx=120):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("skewed", [False, True])
-def test_post_equals_sequential_model(spark, seed, skewed):
+@pytest.mark.parametrize("chunk_span", [8, 1 << 16])
+def test_post_equals_sequential_model(spark, seed, chunk_span):
     rng = random.Random(seed)
     accounts, txns = _random_case(rng)
     acc_df = spark.createDataFrame([(k, *v) for k, v in accounts.items()], ACC_SCHEMA)
     tx_df = spark.createDataFrame(txns, TX_SCHEMA)
     got = {r["seq"]: (r["status"], r["saldo_apos"])
-           for r in K.post(acc_df, tx_df, seq="seq", skewed=skewed, chunk_span=64).decisions.collect()}
+           for r in K.post(acc_df, tx_df, seq="seq", chunk_span=chunk_span).decisions.collect()}
     exp = post_model(accounts, txns)
     for s, (status, bal) in exp.items():
         assert got[s][0] == status, (s, got[s], status)
@@ -115,21 +115,19 @@ def test_as_written_debits_destination(spark):
             assert bal == {1: 50.0, 2: 50.0}
 
 
-def test_posting_plan_is_one_shuffle_and_no_cartesian(spark):
+def test_posting_plan_folds_only_what_is_left(spark):
     acc = spark.createDataFrame([(1, 10.0, "conta-corrente", None)], ACC_SCHEMA)
     tx = spark.createDataFrame([(1, 1, "saque", 5.0)], TX_SCHEMA)
-    plan = K.post(acc, tx, seq="seq", skewed=False).decisions._jdf.queryExecution().executedPlan().toString()
+    plan = K.post(acc, tx, seq="seq").decisions._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    # The transactions are shuffled once (by account); the other exchange, if any, is the
-    # accounts side of the join when it is too large (or unsized) to broadcast.
-    assert plan.count("REPARTITION_BY_COL") == 1
-    assert plan.count("Exchange hashpartitioning") <= 2
+    # Only the rows from each account's first doubtful one on are shuffled to the fold.
+    assert plan.count("REPARTITION_BY_COL") <= 1  # none where the written state is dealt by account already
     assert "SinglePartition" not in plan
     assert F is not None
 
 
-def test_hot_account_chunked_plan_equals_default(spark):
-    """A third of all orders remapped to one account: the chunked (skew) plan decides exactly as the default."""
+def test_hot_account_in_chunks_equals_whole(spark):
+    """A third of all orders remapped to one account: cut into chunks it is decided exactly as in one piece."""
     import os
 
     from ledgerlake.sources.fixture import Fixture
@@ -142,8 +140,8 @@ def test_hot_account_chunked_plan_equals_default(spark):
                            F.when(F.col("id_transacao") % 3 == 0, F.lit(50501)).otherwise(F.col("num_conta"))
                            .alias("num_conta"))
     default = {r["id_transacao"]: (r["status"], r["saldo_apos"])
-               for r in K.post(b.conta, t, skewed=False).decisions.collect()}
+               for r in K.post(b.conta, t).decisions.collect()}
     chunked = {r["id_transacao"]: (r["status"], r["saldo_apos"])
-               for r in K.post(b.conta, t, skewed=True, chunk_span=97).decisions.collect()}
+               for r in K.post(b.conta, t, chunk_span=97).decisions.collect()}
     assert default == chunked
     assert sum(1 for k in default if k % 3 == 0) >= 400  # the hot account really is hot
