@@ -59,8 +59,8 @@ def customers_by_city(b: Bank, city: str, as_of: str | dt.datetime) -> DataFrame
     """Customers of a city (case/accent-insensitive match) with age, youngest first."""
     return (b.cliente.where(ci_ai("cidade") == F.lit(city))
             .select("nome_completo", "tipo_logradouro", "nome_logradouro", "numero", "bairro",
-                    age_years("data_nascimento", as_of).alias("idade"))
-            .orderBy("idade"))
+                    age_years("data_nascimento", as_of).alias("idade"), "cpf")
+            .orderBy("idade", "cpf").drop("cpf"))
 
 
 def branches_by_city(b: Bank, city: str) -> DataFrame:
@@ -116,7 +116,7 @@ def customers_of_branch(b: Bank, num_ag: int) -> DataFrame:
             .join(b.titularidade_conta, F.col("cpf") == F.col("cpf_cliente"))
             .join(c, "num_conta")
             .select("nome_completo", "cpf", "num_conta", "tipo_conta")
-            .orderBy(enum_rank("tipo_conta", TIPO_CONTA)))
+            .orderBy(enum_rank("tipo_conta", TIPO_CONTA), "num_conta", "cpf"))
 
 
 def accounts_of_customer(b: Bank, cpf: str) -> DataFrame:

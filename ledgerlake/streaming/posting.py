@@ -155,30 +155,42 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", fmt: str =
     return spark.read.format(fmt).load(out)
 
 
-def post_stream_versioned(txn_stream: DataFrame, accounts: DataFrame, seq: str = "seq", name: str = "post") -> str:
-    """L1, batch-vectorised form: each micro-batch runs K1 against the previous balance snapshot.
-
-    Micro-batch n reads ``balances/v=<n-1>`` (the given accounts for n = 0),
-    posts its rows with the batch operator (one shuffle, sorted fold) and
-    writes ``decisions/batch=<n>`` and ``balances/v=<n>`` with overwrite, so
-    a replayed batch rewrites the same files. Per-key state is avoided: a
-    per-group Python call per account costs far more than one vectorised
-    pass over the batch. Returns the output folder.
+def stream_folders(spark: SparkSession, name: str, folder: str | None) -> tuple[str, str]:
+    """Output and checkpoint folders: below ``folder``, so that a stopped stream resumes, or fresh ones."""
+    root = folder.rstrip("/") if folder else scratch_path(spark, name)
+    return f"{root}/out", f"{root}/checkpoint"
+
+
+def post_stream_versioned(txn_stream: DataFrame, accounts: DataFrame, seq: str = "seq", name: str = "post",
+                          folder: str | None = None) -> str:
+    """L1, batch-vectorised form: each micro-batch runs K1 against the balances left by the ones before it.
+
+    Micro-batch n writes ``decisions/batch=<n>`` once, reads it back for the
+    new balances (see ``versions``) and refuses transaction numbers (column
+    ``num_transacao``, if the stream has it) that an earlier batch has
+    accepted. Give ``folder`` to be able to stop and resume: the same folder
+    continues after the last finished batch, and a replayed batch rewrites
+    the same files. Per-key state is avoided: a per-group Python call per
+    account costs far more than one vectorised pass over the batch. Returns
+    the output folder.
     """
-    from ledgerlake.operators.ledger import balances_after, post
+    from ledgerlake.operators.ledger import ACCEPTED, Posting, balances_after, post
+    from ledgerlake.streaming.versions import ACCOUNT_COLS, balances_before, write_balances
 
     spark = txn_stream.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    acc_cols = ["num_conta", "saldo", "tipo_conta", "limite_credito"]
-    initial = accounts.select(*acc_cols)
+    out, ckpt = stream_folders(spark, f"{name}-out", folder)
+    initial = accounts.select(*ACCOUNT_COLS)
+    cols = [seq, "num_conta", "tipo", "valor"] + ["num_transacao"] * ("num_transacao" in txn_stream.columns)
 
     def run_batch(df: DataFrame, batch_id: int) -> None:
-        acc = initial if batch_id == 0 else spark.read.parquet(f"{out}/balances/v={batch_id - 1}")
-        p = post(acc, df.select(seq, "num_conta", "tipo", "valor"), seq=seq)
-        (p.decisions.withColumn("batch", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{out}/decisions/batch={batch_id}"))
-        balances_after(acc, p).select(*acc_cols).write.mode("overwrite").parquet(f"{out}/balances/v={batch_id}")
+        acc = balances_before(initial, out, batch_id)
+        log = None
+        if batch_id and "num_transacao" in cols:
+            log = spark.read.parquet(*[f"{out}/decisions/batch={i}" for i in range(batch_id)]).where(F.col("status") == ACCEPTED)
+        decided = post(acc, df.select(*cols), seq=seq, existing_log=log).decisions
+        at = f"{out}/decisions/batch={batch_id}"
+        decided.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(at)
+        write_balances(acc, balances_after(acc, Posting(spark.read.parquet(at))), out, batch_id)
 
     q = (txn_stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
          .foreachBatch(run_batch).start())

@@ -2,11 +2,10 @@
 
 A transfer touches two accounts atomically, so per-key state cannot decide
 it. Each micro-batch instead runs the batch operator (N2 authorization, then
-the K2 fixpoint) against the balance snapshot written by the previous batch
-(``balances/v=<batch_id - 1>``) and writes its own snapshot
-``balances/v=<batch_id>`` and decisions ``decisions/batch=<batch_id>``, both
-with overwrite, so a replayed batch rewrites the same files. Requests must
-arrive in ``seq`` order across batches.
+the K2 fixpoint) against the balances left by the batches before it (see
+``versions``) and writes ``decisions/batch=<batch_id>`` and the accounts it
+changed, with overwrite, so a replayed batch rewrites the same files.
+Requests must arrive in ``seq`` order across batches.
 """
 
 from __future__ import annotations
@@ -16,30 +15,26 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import transfers as K2
 from ledgerlake.schema import Bank
-from ledgerlake.streaming.posting import scratch_path
+from ledgerlake.streaming.posting import stream_folders
+from ledgerlake.streaming.versions import ACCOUNT_COLS, balances_before, write_balances
 
 REQUEST_COLS = ["seq", "kind", "num_conta", "tipo", "valor", "solicitante", "conta_origem", "conta_destino"]
 
 
-def post_transfers_stream(b: Bank, requests: DataFrame, mode: str = "as_written", name: str = "transfers") -> str:
+def post_transfers_stream(b: Bank, requests: DataFrame, mode: str = "as_written", name: str = "transfers",
+                          folder: str | None = None) -> str:
     """Run the request stream (columns ``REQUEST_COLS``) to completion; returns the output folder.
 
     ``<out>/decisions`` holds one row per request (seq, kind, status, batch);
-    ``<out>/balances/v=<n>`` the account snapshot after batch n.
+    the balances are kept as ``versions`` describes. The same ``folder``
+    resumes a stopped stream.
     """
     spark = requests.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    acc_cols = ["num_conta", "saldo", "tipo_conta", "limite_credito"]
-    initial = b.conta.select(*acc_cols)
-
-    def accounts_before(batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return initial
-        return spark.read.parquet(f"{out}/balances/v={batch_id - 1}")
+    out, ckpt = stream_folders(spark, f"{name}-out", folder)
+    initial = b.conta.select(*ACCOUNT_COLS)
 
     def run_batch(df: DataFrame, batch_id: int) -> None:
-        accounts = accounts_before(batch_id)
+        accounts = balances_before(initial, out, batch_id)
         snap = b.with_tables(conta=b.conta.drop("saldo").join(accounts.select("num_conta", "saldo"), "num_conta"))
         singles = df.where(F.col("kind") == "single").select("seq", "num_conta", "tipo", "valor")
         transfers = (df.where(F.col("kind") == "transfer")
@@ -57,7 +52,7 @@ def post_transfers_stream(b: Bank, requests: DataFrame, mode: str = "as_written"
                 F.col("seq").cast("long").alias("seq"), F.lit("transfer").alias("kind"),
                 F.col("reason").alias("status")))
         dec.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/decisions/batch={batch_id}")
-        K2.balances(accounts, done).select(*acc_cols).write.mode("overwrite").parquet(f"{out}/balances/v={batch_id}")
+        write_balances(accounts, K2.balances(accounts, done), out, batch_id)
 
     q = (requests.select(*REQUEST_COLS).writeStream.option("checkpointLocation", ckpt)
          .trigger(availableNow=True).foreachBatch(run_batch).start())

@@ -62,3 +62,22 @@ def test_versioned_post_stream_three_batches_equals_batch(spark):
     got = {r["seq"]: (r["status"], r["saldo_apos"]) for r in dec.collect()}
     exp = {r["seq"]: (r["status"], r["saldo_apos"]) for r in K.post(b.conta, t, seq="seq").decisions.collect()}
     assert got == exp
+
+
+def test_post_stream_stops_and_resumes(spark, tmp_path):
+    """The first run ends after the first files; the second continues in the same folder, with its balances and numbers."""
+    b = Fixture(spark, SF).bank()
+    t = b.transacao.select(F.col("id_transacao").alias("seq"), "num_conta", "num_transacao", "tipo", "valor")
+    again = t.where("seq < 500 and seq % 7 = 0").withColumn("seq", F.col("seq") + 100_000)  # numbers used before
+    source, folder = f"{tmp_path}/source", f"{tmp_path}/stream"
+    t.where("seq < 700").coalesce(1).write.parquet(source)
+    src = spark.readStream.schema(t.schema).parquet(source)
+    first = L.post_stream_versioned(src, b.conta, folder=folder)
+    assert spark.read.parquet(f"{first}/decisions").count() == t.where("seq < 700").count()
+    t.where("seq >= 700").unionByName(again).coalesce(1).write.mode("append").parquet(source)
+    out = L.post_stream_versioned(src, b.conta, folder=folder)
+    got = {r["seq"]: (r["status"], r["saldo_apos"]) for r in spark.read.parquet(f"{out}/decisions").collect()}
+    exp = {r["seq"]: (r["status"], r["saldo_apos"]) for r in K.post(b.conta, t.unionByName(again), seq="seq").decisions.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in exp.items()}
+    assert {k: v for k, v in got.items() if v[0] != "DUPLICATE_NUMBER"} == {k: v for k, v in exp.items() if v[0] != "DUPLICATE_NUMBER"}
+    assert any(v[0] == "DUPLICATE_NUMBER" for v in got.values())
