@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.exprs import age_years, money, phone_digits, sha256_hex
 from ledgerlake.operators import changes as I
+from ledgerlake.operators.access import authorize_cash
 from ledgerlake.operators.ledger import balances_after, post
 from ledgerlake.session import cut_lineage
 from ledgerlake.schema import (DEFAULT_MANAGER, DEFAULT_PASSWORD_LITERAL, MAX_DEPENDENTS, PARENTESCO, PROMOTION_SALARY, REGISTRATION_DEPOSIT,
@@ -453,3 +454,25 @@ def post_fees(b: Bank, requests: DataFrame, as_of=None) -> Result:
                  .unionByName(r.where(c("_pre").isNotNull()).select("seq", c("_pre").alias("status"),
                                                                    F.lit(None).cast("double").alias("saldo_apos"))))
     return Result(decisions, {"transacao": numbered.drop("status", "saldo_apos")})
+
+
+# --------------------------------------------------- deposits and withdrawals
+
+def cash_operations(b: Bank, requests: DataFrame, as_of=None) -> Result:
+    """Deposits and withdrawals end to end: authorise (N2), post in arrival order (K1), number, new balances.
+
+    ``requests``: seq, solicitante (username), num_conta, tipo, valor. Rows: transacao (accepted
+    rows with their numbers, which continue each account's sequence) and conta (all accounts with
+    the balances after the batch).
+    """
+    c = F.col
+    auth = authorize_cash(b, requests)
+    ts = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
+    ok = auth.where(c("reason").isNull()).select(c("seq").cast("long").alias("seq"), "num_conta", "tipo", ts.alias("data_hora"), "valor")
+    posted = post(b.conta, ok, seq="seq")
+    numbered = I.assign_next(posted.accepted.drop("status", "saldo_apos"), b.transacao)
+    decisions = posted.decisions.select("seq", "status", "saldo_apos").unionByName(
+        auth.where(c("reason").isNotNull()).select(c("seq").cast("long").alias("seq"), c("reason").alias("status"),
+                                                   F.lit(None).cast("double").alias("saldo_apos")))
+    conta = balances_after(b.conta, posted).select(*b.conta.columns)
+    return Result(decisions, {"transacao": numbered, "conta": conta})

@@ -905,6 +905,15 @@ def _post_incremental(fx: Fixture):
     return first.decisions.select(*cols).unionByName(second.decisions.select(*cols))
 
 
+def _cash(fx: Fixture):
+    return RQ.cash_operations(fx.bank(), cash_requests(fx), AS_OF)
+
+
+register("cash_operations")(_of(_cash, "decisions"))
+register("cash_operations_transacao")(_of(_cash, "transacao"))
+register("cash_operations_conta")(_of(_cash, "conta"))
+
+
 register("post_incremental")(_post_incremental)
 ORACLE["post_incremental"] = ORACLE["post"]  # two batches give the decisions of one pass
 

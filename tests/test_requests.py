@@ -170,3 +170,20 @@ def test_dependents_in_arrival_order(spark):
                    8: "DUPLICATE_KEY", 9: "ACCEPTED"}
     names = sorted(x["nome_completo"] for x in r.rows["dependente"].where("matricula_func = 'MAT2040'").collect())
     assert names == ["Dep 2", "Dep 3b", "Extra", "Lia Costa", "Rui Costa"]
+
+
+def test_cash_operations(spark):
+    b = seed_bank(spark)
+    req = spark.createDataFrame([
+        (1, "MAT2041", 61007, "saque", 300.0), (2, "MAT2041", 61007, "saque", 20.0), (3, "MAT2041", 61007, "depósito", 50.0),
+        (4, "MAT2041", 61007, "saque", 20.0), (5, "MAT2041", 61008, "saque", 1.0), (6, "Admin", 61008, "saque", 200.0),
+        (7, "MAT2043", 61008, "saque", 1.0), (8, "Admin", 61008, "depósito", 0.0), (9, "Admin", 5, "depósito", 1.0),
+        (10, MARTA, 61007, "saque", 1.0)], "seq long, solicitante string, num_conta int, tipo string, valor double")
+    r = RQ.cash_operations(b, req, AS_OF)
+    got = {x["seq"]: (x["status"], x["saldo_apos"]) for x in r.decisions.collect()}
+    assert got == {1: ("ACCEPTED", 10.75), 2: ("INSUFFICIENT_FUNDS", 10.75), 3: ("ACCEPTED", 60.75), 4: ("ACCEPTED", 40.75),
+                   5: ("BRANCH_MISMATCH", None), 6: ("ACCEPTED", -110.9), 7: ("ROLE_NOT_ALLOWED", None),
+                   8: ("INVALID_AMOUNT", None), 9: ("UNKNOWN_ACCOUNT", None), 10: ("ROLE_NOT_ALLOWED", None)}
+    rows = sorted((x["num_conta"], x["num_transacao"], x["valor"]) for x in r.rows["transacao"].collect())
+    assert rows == [(61007, 3, 300.0), (61007, 4, 50.0), (61007, 5, 20.0), (61008, 2, 200.0)]
+    assert {x["num_conta"]: x["saldo"] for x in r.rows["conta"].collect()} == {61007: 40.75, 61008: -110.9}
