@@ -134,13 +134,12 @@ def mixed_documents(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
 
     Rows equal in number, text and source are told apart by their rank, and share the copies of their key.
     """
-    decided = mix(docs, seed, **how)
-    key = ["doc_id", "_h", "source"]
-    per_key = decided.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    d = row_key(docs).withColumn("_rank", F.row_number().over(
-        Window.partitionBy(*key).orderBy(F.lit(0))))
-    p = per_key.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_copies")
-    on = d["doc_id"].eqNullSafe(p["_k0"]) & (d["_h"] == p["_k1"]) & d["source"].eqNullSafe(p["_k2"])
+    # Plain equality on columns without nulls: the rank's shuffle then serves the join, too.
+    number, group = F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), F.xxhash64("_h", "source")
+    per_key = (mix(docs, seed, **how).groupBy(number.alias("_d"), group.alias("_g"))
+               .agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")))
+    d = row_key(docs).withColumn("_d", number).withColumn("_g", group)
+    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_d", "_g").orderBy(F.lit(0))))
     taken = F.element_at("_copies", F.col("_rank")).cast("int")
-    return (d.join(p, on).withColumn("_n", F.explode(F.array_repeat(F.lit(0), taken)))
+    return (d.join(per_key, ["_d", "_g"]).withColumn("_n", F.explode(F.array_repeat(F.lit(0), taken)))
             .select(*[d[c] for c in docs.columns]))
