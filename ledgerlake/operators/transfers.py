@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from ledgerlake.functions.exprs import money
 from ledgerlake.operators.access import authorize
-from ledgerlake.operators.ledger import (ACCEPTED, CREDIT_LIMIT_EXCEEDED, INSUFFICIENT_FUNDS, INVALID_TYPE,
+from ledgerlake.operators.changes import assign_next
+from ledgerlake.operators.ledger import (ACCEPTED, CREDIT_LIMIT_EXCEEDED, DUPLICATE_NUMBER, INSUFFICIENT_FUNDS, INVALID_TYPE,
                                          NULL_FIELD, SPECIAL, UNKNOWN_ACCOUNT)
 from ledgerlake.schema import CREDIT_KINDS, DEBIT_KINDS, TIPO_TRANSACAO, Bank
 from ledgerlake.session import cut_lineage
@@ -44,28 +45,33 @@ def _cents(c) -> F.Column:
 
 
 def build_legs(singles: DataFrame | None, transfers: DataFrame | None, mode: str = "as_written") -> DataFrame:
-    """Legs (seq, sub, kind, num_conta, tipo, valor, _delta, _debit) of singles and transfers."""
+    """Legs (seq, sub, kind, num_conta, num, tipo, valor, _delta, _debit) of singles and transfers.
+
+    ``num`` is the transaction number that the request gives the leg (``num_transacao`` of a single,
+    ``num_trans_origem`` / ``num_trans_destino`` of a transfer), NULL where it gives none.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     parts = []
+    number = lambda df, c: (F.col(c) if c in df.columns else F.lit(None)).cast("int").alias("num")
     if singles is not None:
         debit = F.col("tipo").isin(DEBIT_KINDS)
         amt = _cents("valor")
         parts.append(singles.select(
             F.col("seq").cast("long").alias("seq"), F.lit(0).alias("sub"), F.lit("single").alias("kind"),
-            "num_conta", "tipo", "valor",
+            "num_conta", number(singles, "num_transacao"), "tipo", "valor",
             F.when(debit, -amt).when(F.col("tipo").isin(CREDIT_KINDS), amt).otherwise(F.lit(0)).alias("_delta"),
             debit.alias("_debit")))
     if transfers is not None:
         amt = _cents("valor")
         origin = transfers.select(
             F.col("seq").cast("long").alias("seq"), F.lit(0).alias("sub"), F.lit("transfer").alias("kind"),
-            F.col("conta_origem").alias("num_conta"), F.lit("transferência").alias("tipo"), "valor",
+            F.col("conta_origem").alias("num_conta"), number(transfers, "num_trans_origem"), F.lit("transferência").alias("tipo"), "valor",
             (-amt).alias("_delta"), F.lit(True).alias("_debit"))
         dest_debit = mode == "as_written"
         dest = transfers.select(
             F.col("seq").cast("long").alias("seq"), F.lit(1).alias("sub"), F.lit("transfer").alias("kind"),
-            F.col("conta_destino").alias("num_conta"), F.lit("transferência").alias("tipo"), "valor",
+            F.col("conta_destino").alias("num_conta"), number(transfers, "num_trans_destino"), F.lit("transferência").alias("tipo"), "valor",
             (-amt if dest_debit else amt).alias("_delta"), F.lit(dest_debit).alias("_debit"))
         parts += [origin, dest]
     out = parts[0]
@@ -79,12 +85,13 @@ def _fold_accounts(batches):
 
     A leg's own test uses the balance from the legs applied before it in
     this pass; a leg is applied only when its own test passes and the other
-    legs of its request passed in the previous round. Every state column is
-    carried through, so the round needs no join back.
+    legs of its request passed in the previous round. A leg whose number an
+    applied leg of the account has taken fails. Every state column is carried
+    through, so the round needs no join back.
     """
     import numpy as np
 
-    cur = None
+    cur, taken = None, set()
     bal = 0
     bal_null = False
     for pdf in batches:
@@ -97,19 +104,26 @@ def _fold_accounts(batches):
         partner = pdf["_partner_ok"].eq(True).to_numpy()
         live = pdf["_live"].eq(True).to_numpy()
         own = np.zeros(n, dtype=bool)
+        dup = np.zeros(n, dtype=bool)
+        numbered = pdf["num"].notna().to_numpy()
+        number = pdf["num"].to_numpy()
         for i in range(n):
             if acct[i] != cur:
-                cur = acct[i]
+                cur, taken = acct[i], set()
                 bal_null = bool(np.isnan(s0[i]))
                 bal = 0 if bal_null else int(s0[i])
             if not live[i]:
                 continue
-            ok = bal_null or not (debit[i] and bal + delta[i] < floor[i])
+            dup[i] = numbered[i] and number[i] in taken
+            ok = not dup[i] and (bal_null or not (debit[i] and bal + delta[i] < floor[i]))
             own[i] = ok
-            if ok and partner[i] and not bal_null:
-                bal += int(delta[i])
+            if ok and partner[i]:
+                if numbered[i]:
+                    taken.add(number[i])
+                if not bal_null:
+                    bal += int(delta[i])
         out = pdf.drop(columns=["_partner_ok"])
-        out["_own"] = own
+        out["_own"], out["_dup"] = own, dup
         yield out
 
 
@@ -129,8 +143,8 @@ def _round(state: DataFrame) -> DataFrame:
 MERGE_EVERY = 4
 
 
-def post_transfers(accounts: DataFrame, legs: DataFrame) -> tuple[DataFrame, int]:
-    """Run the fixpoint over ``legs``; returns (legs with their result ``_own``/``_pass`` and ``_leg_reason``, rounds).
+def post_transfers(accounts: DataFrame, legs: DataFrame, existing_log: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Run the fixpoint over ``legs``; ``existing_log`` holds the numbers already taken. Returns (legs with their result ``_own``/``_pass`` and ``_leg_reason``, rounds).
 
     The first round folds every account once. Each later round folds only
     the accounts of partners of the legs that just changed, and lays their
@@ -145,8 +159,15 @@ def post_transfers(accounts: DataFrame, legs: DataFrame) -> tuple[DataFrame, int
                           F.lit(True).alias("_known"))
     pre = (F.when(F.col("num_conta").isNull() | F.col("valor").isNull() | F.col("tipo").isNull(), F.lit(NULL_FIELD))
            .when(~F.col("tipo").isin(TIPO_TRANSACAO), F.lit(INVALID_TYPE))
-           .when(F.col("_known").isNull(), F.lit(UNKNOWN_ACCOUNT)))
-    cur = (legs.join(acc, "num_conta", "left").withColumn("_pre", pre)
+           .when(F.col("_known").isNull(), F.lit(UNKNOWN_ACCOUNT))
+           .when(F.col("_used"), F.lit(DUPLICATE_NUMBER)))
+    if existing_log is not None:
+        used = (existing_log.select("num_conta", F.col("num_transacao").cast("int").alias("num")).distinct()
+                .withColumn("_used", F.lit(True)))
+        legs = legs.join(used, ["num_conta", "num"], "left").withColumn("_used", F.coalesce("_used", F.lit(False)))
+    else:
+        legs = legs.withColumn("_used", F.lit(False))
+    cur = (legs.join(acc, "num_conta", "left").withColumn("_pre", pre).drop("_used").withColumn("_dup", F.lit(False))
            .withColumn("_live", F.col("_pre").isNull())
            .withColumn("_s0", F.col("_s0").cast("double"))
            .withColumn("_own", F.col("_live")))
@@ -155,7 +176,7 @@ def post_transfers(accounts: DataFrame, legs: DataFrame) -> tuple[DataFrame, int
     rounds = 1
     base = first.drop("_prev")
     frontier = first.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
-    overlay = first.sparkSession.createDataFrame([], "seq long, sub int, _own_o boolean")
+    overlay = first.sparkSession.createDataFrame([], "seq long, sub int, _own_o boolean, _dup_o boolean")
     legs_key = base.select("seq", "sub", "num_conta")
     # Later rounds: an account's fold changes only if a partner leg's result changed, so only the accounts
     # of partners of the legs that just changed are folded again (semi-naive), over the checkpointed base.
@@ -166,7 +187,7 @@ def post_transfers(accounts: DataFrame, legs: DataFrame) -> tuple[DataFrame, int
         dirty = partners.select("num_conta").distinct()
         current = F.coalesce(F.col("_own_o"), F.col("_own"))
         d = (base.join(dirty, "num_conta", "left_semi").join(overlay, ["seq", "sub"], "left")
-             .withColumn("_own", current).drop("_own_o"))
+             .withColumn("_own", current).drop("_own_o", "_dup_o"))
         req = (base.select("seq", "sub", "_own").join(d.select("seq").distinct(), "seq", "left_semi")
                .join(overlay, ["seq", "sub"], "left")
                .groupBy("seq").agg(F.count(F.lit(1)).alias("_n"), F.sum(current.cast("int")).alias("_np")))
@@ -179,12 +200,14 @@ def post_transfers(accounts: DataFrame, legs: DataFrame) -> tuple[DataFrame, int
                              .mapInPandas(_fold_accounts, out_schema))
         frontier = folded.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
         overlay = (overlay.join(folded.select("seq", "sub"), ["seq", "sub"], "left_anti")
-                   .unionByName(folded.select("seq", "sub", F.col("_own").alias("_own_o"))))
+                   .unionByName(folded.select("seq", "sub", F.col("_own").alias("_own_o"), F.col("_dup").alias("_dup_o"))))
         if rounds % MERGE_EVERY == 0:
             overlay = cut_lineage(overlay)
     cur = (base.join(overlay, ["seq", "sub"], "left")
-           .withColumn("_own", F.coalesce(F.col("_own_o"), F.col("_own"))).drop("_own_o"))
+           .withColumn("_own", F.coalesce(F.col("_own_o"), F.col("_own")))
+           .withColumn("_dup", F.coalesce(F.col("_dup_o"), F.col("_dup"))).drop("_own_o", "_dup_o"))
     reason = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
+              .when(F.col("_dup"), F.lit(DUPLICATE_NUMBER))
               .when(F.col("_tipo_conta") == SPECIAL, F.lit(CREDIT_LIMIT_EXCEEDED))
               .otherwise(F.lit(INSUFFICIENT_FUNDS)))
     done = cur.withColumn("_pass", F.col("_own"))
@@ -205,6 +228,21 @@ def decisions(legs_done: DataFrame) -> DataFrame:
             .select("seq", "kind", F.when(F.col("_ok") == 1, F.lit(ACCEPTED)).otherwise(F.col("_why")).alias("status")))
 
 
+def ledger_rows(legs_done: DataFrame, log: DataFrame, as_of=None) -> DataFrame:
+    """New log rows of the accepted legs: given numbers as they are, the others continue their account's sequence.
+
+    Returns seq, sub, num_transacao, num_conta, tipo, data_hora, valor.
+    """
+    ts = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
+    ok = accepted_legs(legs_done).select("seq", "sub", F.col("num").alias("num_transacao"), "num_conta", "tipo",
+                                         ts.alias("data_hora"), "valor")
+    given = ok.where(F.col("num_transacao").isNotNull())
+    taken = log.select("num_conta", "num_transacao").unionByName(given.select("num_conta", "num_transacao"))
+    # Both legs of a transfer may lie on one account, so (seq, sub) is the order.
+    free = ok.where(F.col("num_transacao").isNull()).drop("num_transacao").withColumn("_order", F.col("seq") * 2 + F.col("sub"))
+    return given.unionByName(assign_next(free, taken, seq="_order").select(*given.columns))
+
+
 def balances(accounts: DataFrame, legs_done: DataFrame) -> DataFrame:
     """Account snapshot after the accepted legs."""
     d = accepted_legs(legs_done).groupBy("num_conta").agg(F.sum("_delta").alias("_d"))

@@ -145,3 +145,18 @@ def test_hot_account_in_chunks_equals_whole(spark):
                for r in K.post(b.conta, t, chunk_span=97).decisions.collect()}
     assert default == chunked
     assert sum(1 for k in default if k % 3 == 0) >= 400  # the hot account really is hot
+
+
+def test_transfer_numbers(spark):
+    """Numbers taken in the log or by an accepted leg of the same account are refused; rows carry their numbers."""
+    acc = spark.createDataFrame([(1, 100.0, "conta-corrente", None), (2, 100.0, "conta-corrente", None)], ACC_SCHEMA)
+    log = spark.createDataFrame([(1, 4), (2, 9)], "num_conta int, num_transacao int")
+    t = spark.createDataFrame([
+        (1, 1, 2, 10.0, 5, 10), (2, 1, 2, 10.0, 5, 11), (3, 1, 2, 10.0, 4, 12), (4, 2, 1, 500.0, 11, 6), (5, 2, 1, 1.0, 11, 6),
+        (6, 1, 2, 1.0, None, None)],
+        "seq long, conta_origem int, conta_destino int, valor double, num_trans_origem int, num_trans_destino int")
+    done, _ = K2.post_transfers(acc, K2.build_legs(None, t), log)
+    got = {r["seq"]: r["status"] for r in K2.decisions(done).collect()}
+    assert got == {1: "ACCEPTED", 2: "DUPLICATE_NUMBER", 3: "DUPLICATE_NUMBER", 4: "INSUFFICIENT_FUNDS", 5: "ACCEPTED", 6: "ACCEPTED"}
+    rows = sorted((r["seq"], r["sub"], r["num_conta"], r["num_transacao"]) for r in K2.ledger_rows(done, log).collect())
+    assert rows == [(1, 0, 1, 5), (1, 1, 2, 10), (5, 0, 2, 11), (5, 1, 1, 6), (6, 0, 1, 7), (6, 1, 2, 12)]
