@@ -4,7 +4,8 @@
 2. Shingles are ordered rare first by corpus-wide counts. Two sets that reach the similarity share a shingle of their
    prefixes, so only prefixes are joined. Length and positional bounds drop pairs, then a suffix bound: every set
    has a bitmap with the parity of its hashes in as many slots as it has elements, and two bitmaps differ in no
-   more bits than the sets do in elements.
+   more bits than the sets do in elements. Bitmaps folded to 512 slots travel with the prefixes where needed; pairs
+   that remain are held against the whole ones.
 3. Remaining pairs are verified exactly, each once, on the full sets, which are read again from the texts.
 
 The result is groups, not pairs, so pairs inside a known group need no test. Each prefix shingle's bucket is first
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import SPACE_CLASS, row_key, written
+from ledgerlake.llm.common import SPACE_CLASS, row_key, scratch, written
 from ledgerlake.llm.components import components
 from ledgerlake.llm.sketch import BITS, shingle_counts, slots
 from ledgerlake.llm.wordhash import mix, windows, words
 
 KIND = "space_lower"
 PIVOTS = 64
+SMALL_WORDS = 8
 
 
 def _row_sets(w, size: int):
@@ -58,7 +60,7 @@ def _parities(u: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, _h, a, b (128-bit signature of the set), n (its size), prefix (rarest shingles), bits."""
+    """doc_id, _h, a, b (128-bit signature of the set), n (its size), prefix (rarest shingles), bits, small (bits folded)."""
     levels = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, KIND, size))
 
     def build(batches):
@@ -80,11 +82,13 @@ def document_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     pa.array(ns, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64())),
                     pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(m) for m in maps]), pa.int32()),
-                                             pa.array(np.concatenate(maps), pa.int64()))],
-                    ["doc_id", "_h", "a", "b", "n", "prefix", "bits"])
+                                             pa.array(np.concatenate(maps), pa.int64())),
+                    pa.array([np.bitwise_xor.reduce(m.reshape(-1, min(len(m), SMALL_WORDS))) for m in maps],
+                             pa.list_(pa.int64()))],
+                    ["doc_id", "_h", "a", "b", "n", "prefix", "bits", "small"])
 
     return (row_key(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "_h", "text")
-            .mapInArrow(build, "doc_id long, _h long, a long, b long, n long, prefix array<long>, bits array<long>"))
+            .mapInArrow(build, "doc_id long, _h long, a long, b long, n long, prefix array<long>, bits array<long>, small array<long>"))
 
 
 def _reaches(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
@@ -118,16 +122,6 @@ def _pair(x: Column, y: Column) -> list[Column]:
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (x < y, distinct) that pass the suffix bound and then the exact test."""
-    info = nodes.select("id", "n", "bits")
-    p = (pairs.join(info.toDF("x", "nx", "bx"), "x").join(info.toDF("y", "ny", "by"), "y"))
-    near = _suffix_bound(F.col("nx"), F.col("bx"), F.col("ny"), F.col("by"), percent)
-    p = written(p.where(near).select("x", "y"), "pairs")
-    wanted = p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id"))).distinct()
-    rep = written(nodes.join(wanted, "id").select("id", "rep.doc_id", "rep._h"), "wanted")
-    d = row_key(docs.select("doc_id", "text"))
-    r = rep.withColumnsRenamed({"doc_id": "_d", "_h": "_k"})
-    texts = (d.join(r, d["doc_id"].eqNullSafe(r["_d"]) & (d["_h"] == r["_k"])).select("id", "text"))
-
     def read(batches):
         for batch in batches:
             for w in words(batch.column("text"), KIND):
@@ -135,9 +129,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
                     [batch.column("id")[w.first:w.first + w.rows],
                      pa.array([u.tobytes() for u in _row_sets(w, size)], pa.binary())], ["id", "u"])
 
-    sets = texts.mapInArrow(read, "id long, u binary").groupBy("id").agg(F.first("u").alias("u"))
-    sets = written(sets, "sets")
-
     def test(batches):
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
@@ -147,51 +138,68 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
                 good[i] = 100 * both >= percent * (len(u) + len(v) - both)
             yield batch.select(["x", "y"]).filter(pa.array(good))
 
-    full = p.join(sets.toDF("x", "ux"), "x").join(sets.toDF("y", "uy"), "y")
-    return written(full.mapInArrow(test, "x long, y long"), "verified")
+    with scratch(docs.sparkSession):
+        info = nodes.select("id", "n", "bits")
+        p = (pairs.join(info.toDF("x", "nx", "bx"), "x").join(info.toDF("y", "ny", "by"), "y"))
+        near = _suffix_bound(F.col("nx"), F.col("bx"), F.col("ny"), F.col("by"), percent)
+        p = written(p.where(near).select("x", "y"), "pairs")
+        wanted = p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id"))).distinct()
+        rep = written(nodes.join(wanted, "id").select("id", "rep.doc_id", "rep._h"), "wanted")
+        d = row_key(docs.select("doc_id", "text"))
+        r = rep.withColumnsRenamed({"doc_id": "_d", "_h": "_k"})
+        texts = (d.join(r, d["doc_id"].eqNullSafe(r["_d"]) & (d["_h"] == r["_k"])).select("id", "text"))
+        sets = texts.mapInArrow(read, "id long, u binary").groupBy("id").agg(F.first("u").alias("u"))
+        sets = written(sets, "sets")
+        full = p.join(sets.toDF("x", "ux"), "x").join(sets.toDF("y", "uy"), "y")
+        return written(full.mapInArrow(test, "x long, y long"), "verified", keep=True)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """Per row of ``docs``: doc_id, _h, n_shingles, component_id (smallest number of its group), group (a key of it)."""
-    sets = written(document_sets(docs, size, percent), "document-sets")
-    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h"))
-    nodes = written(sets.where("n > 0").groupBy("a", "b").agg(
-        rep.alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-        .withColumn("id", F.monotonically_increasing_id()), "nodes")
-    postings = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.select("token", F.struct("id", "n", "pos").alias("p"))
-    buckets = postings.groupBy("token").agg(F.min("p").alias("pivot"), F.count("*").alias("k")).where("k > 1")
-    shared = written(postings.join(buckets, "token"), "shared")
-    links = known = written(postings.sparkSession.createDataFrame([], "x long, y long"), "links")
-    groups = links.toDF("node", "component")
-    for step in (_pivots_of_buckets, _pivots_between_components, _all_between_components):
-        if shared.isEmpty():
-            break
-        pairs = step(shared, percent).distinct()
-        pairs = written(pairs.join(known, ["x", "y"], "left_anti"), "candidates")
-        known = known.unionByName(pairs)
-        found = verified(pairs, nodes, docs, size, percent)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            groups = written(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
-        if step is not _all_between_components:
-            shared = _open_buckets(shared, groups, nodes)
-    named = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    first = written(named.groupBy("component").agg(F.min("rep.doc_id").alias("smallest")), "smallest")
-    label = written(named.join(first, "component").select("a", "b", "smallest", F.col("component").alias("group")), "labels")
-    out = sets.select("doc_id", "_h", "a", "b", "n").join(label, ["a", "b"], "left")
+    with scratch(docs.sparkSession):
+        with scratch(docs.sparkSession):
+            sets = written(document_sets(docs, size, percent), "document-sets")
+            rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h"))
+            nodes = written(sets.where("n > 0").groupBy("a", "b").agg(
+                rep.alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
+                F.first("small").alias("small")).withColumn("id", F.monotonically_increasing_id()), "nodes", keep=True)
+            rows = written(sets.select("doc_id", "_h", "a", "b", "n"), "rows", keep=True)
+        postings = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+        postings = postings.select("token", F.struct("id", "n", "pos").alias("p"))
+        buckets = postings.groupBy("token").agg(F.min("p").alias("pivot"), F.count("*").alias("k")).where("k > 1")
+        shared = written(postings.join(buckets, "token"), "shared")
+        links = known = written(postings.sparkSession.createDataFrame([], "x long, y long"), "links")
+        groups = links.toDF("node", "component")
+        for step in (_pivots_of_buckets, _pivots_between_components, _all_between_components):
+            if shared.isEmpty():
+                break
+            pairs = step(shared, percent).distinct()
+            pairs = written(pairs.join(known, ["x", "y"], "left_anti"), "candidates")
+            known = known.unionByName(pairs)
+            found = verified(pairs, nodes, docs, size, percent)
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                groups = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+            if step is not _all_between_components:
+                shared = _open_buckets(shared, groups, nodes)
+        named = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
+            "component", F.coalesce("component", "id"))
+        first = written(named.groupBy("component").agg(F.min("rep.doc_id").alias("smallest")), "smallest")
+        label = written(named.join(first, "component").select("a", "b", "smallest", F.col("component").alias("group")), "labels", keep=True)
+        rows = written(rows, "rows", keep=True)
+    out = rows.join(label, ["a", "b"], "left")
     return out.select("doc_id", "_h", F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each group, the one with the smallest number; rows without shingles stay."""
-    found = written(near_duplicates(docs, size, percent), "near-duplicates")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
-    kept = found.where("n_shingles > 0").groupBy("group").agg(F.min(order).alias("r")).select(
-        F.coalesce("r.doc_id", F.lit(0)).alias("_d"), F.col("r._h").alias("_h"))
-    kept = written(kept, "kept").withColumnRenamed("_h", "_k").withColumnRenamed("_d", "_e")
+    with scratch(docs.sparkSession):
+        found = written(near_duplicates(docs, size, percent), "near-duplicates")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
+        kept = found.where("n_shingles > 0").groupBy("group").agg(F.min(order).alias("r")).select(
+            F.coalesce("r.doc_id", F.lit(0)).alias("_d"), F.col("r._h").alias("_h"))
+        kept = written(kept, "kept", keep=True).withColumnRenamed("_h", "_k").withColumnRenamed("_d", "_e")
     d = row_key(docs).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
     has_words = F.col("text").rlike(f"[^{SPACE_CLASS}]")
     one = d.where(has_words).join(kept, (F.col("_d") == F.col("_e")) & (F.col("_h") == F.col("_k"))).dropDuplicates(["_d", "_h"])
@@ -199,7 +207,7 @@ def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
 
 
 def _open_buckets(shared: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Buckets that still hold members of different components: token, p, bits, component, major (the largest one).
+    """Buckets that still hold members of different components: token, p, small, component, major (the largest one).
 
     A pivot that was compared with its whole bucket leaves it.
     """
@@ -210,7 +218,7 @@ def _open_buckets(shared: DataFrame, groups: DataFrame, nodes: DataFrame) -> Dat
     left = written(left, "members")
     sizes = left.groupBy("token", "component").agg(F.count("*").alias("c"))
     state = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("major"), F.count("*").alias("k"))
-    bits = nodes.select(F.col("id").alias("_id"), "bits")
+    bits = nodes.select(F.col("id").alias("_id"), "small")
     return written(left.join(state.where("k > 1").drop("k"), "token").join(bits, F.col("p.id") == F.col("_id")).drop("_id"),
                    "shared")
 
@@ -223,24 +231,24 @@ def _pivots_of_buckets(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _met(rows: DataFrame, others: DataFrame, percent: int, once: Column) -> DataFrame:
-    """Pairs of different components in a bucket that pass all bounds; ``others`` has q, other and other_bits."""
+    """Pairs of different components in a bucket that pass all bounds; ``others`` has q, other and other_small."""
     met = rows.join(others, "token").where(
         (F.col("component") != F.col("other")) & once
         & _bounds(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"), percent)
-        & _suffix_bound(F.col("p.n"), F.col("bits"), F.col("q.n"), F.col("other_bits"), percent))
+        & _suffix_bound(F.col("p.n"), F.col("small"), F.col("q.n"), F.col("other_small"), percent))
     return met.select(*_pair(F.col("p.id"), F.col("q.id")))
 
 
 def _pivots_between_components(shared: DataFrame, percent: int) -> DataFrame:
     """Every member with up to ``PIVOTS`` members of its bucket, the smallest of each slot, of other components."""
     slot = F.pmod(F.xxhash64("p.id"), F.lit(PIVOTS))
-    pivots = shared.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("p", "component", "bits")).alias("v"))
-    pivots = pivots.select("token", F.col("v.p").alias("q"), F.col("v.component").alias("other"), F.col("v.bits").alias("other_bits"))
+    pivots = shared.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("p", "component", "small")).alias("v"))
+    pivots = pivots.select("token", F.col("v.p").alias("q"), F.col("v.component").alias("other"), F.col("v.small").alias("other_small"))
     return _met(shared, pivots, percent, F.lit(True))
 
 
 def _all_between_components(shared: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket whose components differ: members outside its largest component against all."""
     minor = shared.where("component <> major").select(
-        "token", F.col("p").alias("q"), F.col("component").alias("other"), F.col("bits").alias("other_bits"))
+        "token", F.col("p").alias("q"), F.col("component").alias("other"), F.col("small").alias("other_small"))
     return _met(shared, minor, percent, (F.col("component") == F.col("major")) | (F.col("p.id") < F.col("q.id")))
