@@ -70,6 +70,36 @@ def test_furniture_is_learned_per_host(spark):
     assert all(r.n >= 0.5 * r.n_host for r in classes) and all(len(r.tokens) == 2 for r in classes)
 
 
+MARKED = [
+    ("<body class='has-sidebar'><p>text</p><div class='sidebar'>no</div></body>", "text"),
+    ("<body class='page sidebar'><main id='menu'><p>text</p></main></body>", "text"),
+    ("<article class='post has-comments'><div class='entry-header'><h1>Title</h1></div><p>text</p></article>", "Title\ntext"),
+    ("<div class='content-with-sidebar'><p>text</p></div><div class='site-header'>no</div>", "text"),
+    ("<div class='post-header'><h2>Title</h2></div><div class='post-header share'>no</div>", "Title"),
+    ("<div class='entry-header-menu'>no</div><div class='related-posts'>no</div><p>text", "text"),
+]
+
+
+def test_marks_of_the_layout_drop_nothing(spark):
+    from ledgerlake.llm.html_extract import extract
+
+    rows = [(i, f"http://m{i}.net/", page) for i, (page, _) in enumerate(MARKED)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(MARKED)}
+
+
+def test_copied_pages_and_passages_keep_their_text(spark):
+    from ledgerlake.llm.html_extract import extract
+
+    copy = "<body><div><p>one story</p><p>its end</p></div></body>"
+    rows = [(i, f"http://copy.net/{i}", copy) for i in range(8)]
+    shared = "<article><p>story {0}</p><p>The same licence everywhere</p></article>".format
+    rows += [(100 + i, f"http://passage.net/{i}", shared(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i] == "one story\nits end" for i in range(8))
+    assert all(got[100 + i] == f"story {i}\nThe same licence everywhere" for i in range(8))
+
+
 # --- op4
 
 
