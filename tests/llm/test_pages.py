@@ -100,6 +100,26 @@ def test_copied_pages_and_passages_keep_their_text(spark):
     assert all(got[100 + i] == f"story {i}\nThe same licence everywhere" for i in range(8))
 
 
+def test_slots_of_links_are_found_without_names(spark):
+    """Menus and related links that vary from page to page, on a host of nameless elements."""
+    from ledgerlake.llm.html_extract import extract
+
+    def page(i):
+        link = "<a href='/{0}'>{1} {0}</a>".format
+        menu = "".join(f"<p>{link(i * 7 + k, 'go')}</p>" for k in range(1 + i % 3))
+        body = "".join(f"<p>text {i} {k} with {link(i, 'one link')} in many plain words</p>" for k in range(2 + i % 4))
+        more = "".join(f"<p>{link(i * 5 + k, 'read on')}</p>" for k in range(2 + i % 2))
+        text = "\n".join(f"text {i} {k} with one link {i} in many plain words" for k in range(2 + i % 4))
+        return f"<body><div>{menu}</div><div>{body}</div><div>{more}</div></body>", text
+
+    rows = [(i, f"http://plain.net/{i}", page(i)[0]) for i in range(30)]
+    rows += [(100 + i, f"http://few.net/{i}", page(i)[0]) for i in range(3)]  # too few pages for a template
+    rows += [(200 + i, f"http://list.net/{i}", f"<article><p><a>only link {i}</a></p></article>") for i in range(30)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i] == page(i)[1] for i in range(30))
+    assert "go 7" in got[101] and all(got[200 + i] == f"only link {i}" for i in range(30))
+
+
 # --- op4
 
 
