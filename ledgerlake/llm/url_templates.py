@@ -2,9 +2,10 @@
 
 Each url's path is cut into segments. Level by level, a segment stays literal if it is frequent among the children of
 its parent; otherwise it becomes a wildcard of its shape (digits and letters generalised), and rare shapes the
-general wildcard. Templates of the same parent whose labelled pages do not differ significantly are
-merged. A branch is rejected if the share of bad pages among its labelled ones, smoothed towards its host and
-the whole table, reaches ``REJECT``. Fixed rules on host and path come first.
+general wildcard. Templates of the same parent are taken by their share of bad labelled pages; each joins the branch
+before it unless it differs significantly from all of that branch. A branch is rejected if the share of bad pages
+among its labelled ones, smoothed towards its host and the whole table, reaches ``REJECT``. Templates without labelled
+pages take the share of all their siblings. Fixed rules on host and path come first.
 
 Everything is counted by partial aggregates, so a host with a third of all urls is no heavier than others. A null
 url, or one without ://, has empty host and path. Paths deeper than ``DEPTH`` segments share one last segment.
@@ -84,25 +85,45 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows.drop("_parts").withColumn("parent", F.coalesce("parent", F.lit("")))
 
 
+def _starts(sequence: str) -> Column:
+    """Places in an ordered array of (n, b) where a new branch starts: the next differs from all of the branch so far."""
+    def add(acc: Column, x: Column) -> Column:
+        n = F.greatest(acc["n"], F.lit(1))
+        pooled = (acc["b"] + x["b"] + 0.5) / (n + x["n"] + 1.0)
+        gap = (x["b"] / x["n"] - acc["b"] / n) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / x["n"]))
+        new = (acc["n"] > 0) & (gap >= Z)
+        return F.struct(F.when(new, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"),
+                        F.when(new, x["b"]).otherwise(acc["b"] + x["b"]).alias("b"), (acc["i"] + 1).alias("i"),
+                        F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("i"),
+                    F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(sequence, zero, add, lambda acc: acc["starts"])
+
+
 def branch_purity(rows: DataFrame) -> DataFrame:
-    """host, parent, template, branch, bad_share: rows have ``bad`` (1, 0 or null for unlabelled)."""
-    leaf = rows.groupBy("host", "parent", "template").agg(
-        F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    order = Window.partitionBy("host", "parent").orderBy("_rate", "template")
-    rate = (F.col("b") + 0.5) / (F.col("n") + 1.0)
-    prev = F.lag(F.struct("n", "b")).over(order)
-    pooled = (F.col("b") + prev["b"] + 0.5) / (F.col("n") + prev["n"] + 1.0)
-    gap = ((F.col("b") / F.greatest("n", F.lit(1)) - prev["b"] / F.greatest(prev["n"], F.lit(1)))
-           / F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("n", F.lit(1)) + 1 / F.greatest(prev["n"], F.lit(1)))))
-    own = (F.col("n") > 0) & (prev["n"] > 0) & (gap >= Z)
-    branch = F.sum(F.when(own, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    leaf = leaf.withColumn("_rate", rate).withColumn("branch", branch)
+    """host, parent, template, branch, bad_share: rows have ``bad`` (1, 0 or null for unlabelled).
+
+    ``branch`` is null for templates without labelled pages.
+    """
+    leaf = written(rows.groupBy("host", "parent", "template").agg(
+        F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b")), "leaves")
+    rate = ((F.col("b") + 0.5) / (F.col("n") + 1.0)).alias("_rate")
+    ordered = leaf.where("n > 0").groupBy("host", "parent").agg(
+        F.array_sort(F.collect_list(F.struct(rate, "template", "n", "b"))).alias("_all"))
+    split = (ordered.withColumn("_starts", _starts("_all")).select("host", "parent", "_starts", F.posexplode("_all"))
+             .select("host", "parent", F.col("col.template").alias("template"), F.col("col.n").alias("n"), F.col("col.b").alias("b"),
+                     F.size(F.filter("_starts", lambda at: at <= F.col("pos"))).alias("branch")))
+    none = leaf.where("n = 0").select("host", "parent", "template", "n", "b", F.lit(None).cast("int").alias("branch"))
+    whole = Window.partitionBy("host", "parent")
     group = Window.partitionBy("host", "parent", "branch")
+    total = lambda c: F.when(F.col("branch").isNull(), F.sum(c).over(whole)).otherwise(F.sum(c).over(group))
     host = leaf.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("_hn"), F.sum("b").alias("_hb"))
     every = leaf.agg((F.coalesce(F.sum("b"), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("r")).first().r or 0.0
     towards = (F.col("_hb") + SMOOTHING * F.lit(float(every))) / (F.col("_hn") + SMOOTHING)
-    share = (F.sum("b").over(group) + SMOOTHING * towards) / (F.sum("n").over(group) + SMOOTHING)
-    return (leaf.join(host, F.col("host") == F.col("_host")).withColumn("bad_share", share)
+    share = (total("b") + SMOOTHING * towards) / (total("n") + SMOOTHING)
+    judged = split.unionByName(none)
+    return (judged.join(host, F.col("host") == F.col("_host")).withColumn("bad_share", share)
             .select("host", "parent", "template", "branch", "bad_share"))
 
 

@@ -165,3 +165,29 @@ def test_url_templates_and_purity(spark):
     assert by[9006].host == "e.net:80" and by[9006].path == ""
     assert all(r.verdict == "allow" for r in judge(df, lab.limit(0)).collect() if r.rule is None)
     assert judge(df.limit(0), lab).count() == 0
+
+
+def _judged(spark, rows, labels):
+    from ledgerlake.llm.url_templates import judge
+
+    out = judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "key long, bad int"))
+    return {r.page_id: r for r in out.collect()}
+
+
+def test_unlabelled_siblings_join_no_branches(spark):
+    """A clean and a bad template, and beside them one whose pages have no number."""
+    rows = [(i, f"https://s.net/{'p' if i < 500 else 'q'}{i}") for i in range(600)]
+    rows += [(900 + i, "https://s.net/about") for i in range(60)]
+    for many, few in ((0, 1), (1, 0)):
+        got = _judged(spark, rows, [(i, many if i < 500 else few) for i in range(600)])
+        assert {got[i].verdict for i in range(500)} == {("allow", "block")[many]}
+        assert {got[i].verdict for i in range(500, 600)} == {("allow", "block")[few]}
+        smoothed = round(got[900].bad_share, 6)
+        assert smoothed == round((100 * few + 500 * many) / 600, 6)
+
+
+def test_small_steps_do_not_chain_into_one_branch(spark):
+    rows = [(100 * k + i, f"https://s.net/x{chr(97 + k)}{100 * k + i}") for k in range(21) for i in range(20)]
+    got = _judged(spark, rows, [(100 * k + i, int(i < k)) for k in range(21) for i in range(20)])
+    assert {got[i].verdict for i in range(20)} == {"allow"}
+    assert {got[2000 + i].verdict for i in range(20)} == {"block"}
