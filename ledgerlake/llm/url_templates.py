@@ -1,6 +1,6 @@
 """Path templates per host as a tree, judged by labelled purity, in DataFrame operations only.
 
-Each url's path is cut into segments. Level by level, a segment stays literal if it is frequent among the children of
+Each url's path is cut into segments. Level by level, a segment stays literal if it has ``LEAST_COUNT`` pages below
 its parent; otherwise it becomes a wildcard of its shape (digits and letters generalised), and rare shapes the
 general wildcard. Templates of the same parent are taken by their share of bad labelled pages; each joins the branch
 before it unless it differs significantly from all of that branch. A branch is rejected if the share of bad pages
@@ -8,7 +8,8 @@ among its labelled ones, smoothed towards its host and the whole table, reaches
 pages take the share of all their siblings. Fixed rules on host and path come first.
 
 Everything is counted by partial aggregates, so a host with a third of all urls is no heavier than others. A null
-url, or one without ://, has empty host and path. Paths deeper than ``DEPTH`` segments share one last segment.
+url, or one without ://, has empty host and path. Paths may be of any depth: the levels end where no node has
+``LEAST_COUNT`` deeper pages, as every segment from there on is a general wildcard.
 Repeated rows count as often as they occur and get the same verdict. Empty tables give no rows; without labels
 nothing is rejected by the method.
 """
@@ -24,8 +25,7 @@ from ledgerlake.llm.html_extract import host_of
 # Host and path rules with their verdicts.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
-DEPTH = 6
-LEAST_COUNT, LEAST_SHARE = 20, 0.02
+LEAST_COUNT = 20
 Z = 1.96
 SMOOTHING = 20.0
 REJECT = 0.5
@@ -52,22 +52,20 @@ def _shape(segment: Column) -> Column:
     return F.concat(F.lit("{"), F.regexp_replace(stem, r"[\p{L}_-]{4,}", "a"), F.lit("}"))
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame) -> DataFrame:
     """``urls`` (host, path, ...) with parent and template (strings of segments)."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    cut = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("{...}")))).otherwise(parts)
-    rows = urls.withColumn("_parts", cut).withColumn("parent", F.lit(None).cast("string")).withColumn("template", F.lit(""))
-    for level in range(depth):
+    rows = urls.withColumn("_parts", parts).withColumn("parent", F.lit(None).cast("string")).withColumn("template", F.lit(""))
+    level = 0
+    while True:
         seg = F.get("_parts", F.lit(level))
         rows = rows.withColumn("_seg", seg).withColumn("_shape", F.when(seg.isNotNull(), _shape(seg)))
         n = written(rows.where("_seg is not null").groupBy("host", "template", "_seg", "_shape").agg(
             F.count("*").alias("_n")), "children")
-        total = n.groupBy("host", "template").agg(F.sum("_n").alias("_all"))
-        frequent = lambda c: (F.col(c) >= LEAST_COUNT) & (F.col(c) >= LEAST_SHARE * F.col("_all"))
         shapes = n.groupBy("host", "template", "_shape").agg(F.sum("_n").alias("_of_shape"))
-        literal = (n.join(total, ["host", "template"]).where(frequent("_n") & ~F.col("_seg").rlike("^[0-9]+$"))
+        literal = (n.where((F.col("_n") >= LEAST_COUNT) & ~F.col("_seg").rlike("^[0-9]+$"))
                    .select(F.col("host").alias("_lh"), F.col("template").alias("_lt"), F.col("_seg").alias("_ls")))
-        shaped = (shapes.join(total, ["host", "template"]).where(frequent("_of_shape"))
+        shaped = (shapes.where(F.col("_of_shape") >= LEAST_COUNT)
                   .select(F.col("host").alias("_sh"), F.col("template").alias("_st"), F.col("_shape").alias("_ss")))
         literal, shaped = written(literal, "literals"), written(shaped, "shapes")
         rows = (rows.join(literal, (F.col("host") == F.col("_lh")) & (F.col("template") == F.col("_lt"))
@@ -80,8 +78,14 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
                 .withColumn("template", F.when(more, F.concat("template", F.lit("/"), node)).otherwise(F.col("template")))
                 .drop("_ls", "_lh", "_lt", "_ss", "_sh", "_st", "_seg", "_shape"))
         rows = written(rows, "level")
-        if rows.where(F.size("_parts") > level + 1).isEmpty():
+        level += 1
+        deeper = rows.where(F.size("_parts") > level).groupBy("host", "template").count()
+        if deeper.where(F.col("count") >= LEAST_COUNT).isEmpty():
             break
+    # Below such nodes no segment and no shape is frequent.
+    left = F.size("_parts") - level
+    rows = (rows.withColumn("parent", F.when(left > 0, F.concat("template", F.repeat(F.lit("/{*}"), left - 1))).otherwise(F.col("parent")))
+            .withColumn("template", F.when(left > 0, F.concat("template", F.repeat(F.lit("/{*}"), left))).otherwise(F.col("template"))))
     return rows.drop("_parts").withColumn("parent", F.coalesce("parent", F.lit("")))
 
 

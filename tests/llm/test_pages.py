@@ -191,3 +191,15 @@ def test_small_steps_do_not_chain_into_one_branch(spark):
     got = _judged(spark, rows, [(100 * k + i, int(i < k)) for k in range(21) for i in range(20)])
     assert {got[i].verdict for i in range(20)} == {"allow"}
     assert {got[2000 + i].verdict for i in range(20)} == {"block"}
+
+
+def test_deep_paths_and_small_sections_keep_their_own_verdict(spark):
+    deep = [(i, f"https://deep.net/a/2020/01/02/cat/{'spam' if i % 2 else 'good'}/x/y/{i}") for i in range(200)]
+    big = [(1000 + i, f"https://big.net/main/{1000 + i}") for i in range(8000)]
+    parts = [(10_000 + 100 * k + i, f"https://big.net/section{'abcdefghij'[k]}/{10_000 + 100 * k + i}") for k in range(10) for i in range(100)]
+    lone = [(20_000, "https://deep.net" + "/z" * 300 + "/20000")]
+    labels = [(i, i % 2) for i in range(200)] + [(i, 0) for i, _ in big] + [(i, int(10_000 <= i < 10_100)) for i, _ in parts]
+    got = _judged(spark, deep + big + parts + lone, labels)
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i, _ in deep)
+    assert all(got[i].verdict == ("block" if 10_000 <= i < 10_100 else "allow") for i, _ in big + parts)
+    assert got[20_000].template.endswith("/{*}" * 300)
