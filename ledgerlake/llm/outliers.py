@@ -28,7 +28,8 @@ LIMIT = 35.888187
 # Consistency factor of the 0.75-support estimate in 5 dimensions: 0.75 / P(chi-square_7 <= 6.625680).
 CONSISTENCY = 0.75 / 0.531212
 # Smallest spread of each component: statistics that are constant in clean text would else reject any deviation.
-FLOOR = (0.30, 0.10, 0.05, 0.15, 0.15)
+# Each is small enough for a row that is odd in one component only to pass the limit.
+FLOOR = (0.30, 0.10, 0.05, 0.10, 0.10)
 DIM = 5
 
 
@@ -92,14 +93,14 @@ def transformed() -> list[Column]:
 
 
 def _factor(scale: float) -> list[tuple[str, Column]]:
-    """Cholesky factor l_ij of scale * scatter + floor, column by column from the moments s_i, s_ij and n."""
+    """Cholesky factor l_ij of scale * scatter with variances of at least floor, column by column from the moments s_i, s_ij and n."""
     steps: list[tuple[str, Column]] = []
     mean = lambda i: F.col(f"s{i}") / F.col("n")
     for j in range(DIM):
         for i in range(j, DIM):
             cov = (F.col(f"s{j}{i}") / F.col("n") - mean(i) * mean(j)) * scale
             if i == j:
-                cov = cov + FLOOR[i] ** 2
+                cov = F.greatest(cov, F.lit(FLOOR[i] ** 2))
             for k in range(j):
                 cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             steps.append((f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-9))) if i == j else cov / F.col(f"l{j}{j}")))
@@ -180,7 +181,7 @@ def _start(used: DataFrame, names: list[str]) -> DataFrame:
                                      .alias(f"q{i}") for i in range(DIM)])
     spread = [((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) for i in range(DIM)]
     return med.select(*names, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)],
-                      *[(F.sqrt(spread[i] * spread[i] + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
+                      *[(F.greatest(spread[i], F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
                         for j in range(DIM) for i in range(j, DIM)])
 
 

@@ -202,6 +202,25 @@ def test_robust_estimate_ignores_a_large_minority(spark):
     assert all(r.outlier == r.far for r in out)
 
 
+@pytest.mark.parametrize("odd", range(5))
+def test_a_row_odd_in_one_statistic_is_rejected(spark, odd):
+    """Clean text has no symbols, repeated lines or repeated words; the odd rows pass the base rule."""
+    from ledgerlake.llm.outliers import base_failed, robust_outliers
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1010):
+        far = i < 10
+        words = 60_000 if far and odd == 0 else int(np.exp(rng.normal(6, 0.4)))
+        chars = int(words * (9.5 if far and odd == 1 else rng.normal(5, 0.1)))
+        symbols, lines, repeats = (share * words // 100 if far and odd == k else 0 for k, share in ((2, 10), (3, 5), (4, 40)))
+        rows.append((i, "en", "a", words, chars, symbols, lines, repeats, far))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, "
+                                        "n_symbols long, n_dup_lines long, n_repeat_words long, far boolean")
+    out = robust_outliers(stats, ~base_failed()).collect()
+    assert all(r.outlier for r in out if r.far) and sum(r.outlier for r in out if not r.far) <= 5
+
+
 # --- op5
 
 
