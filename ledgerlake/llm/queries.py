@@ -104,6 +104,27 @@ def op8_html_extract(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    from ledgerlake.llm.conversations import repair_digests
+
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_simhash_balls(spark, sf_dir):
+    from ledgerlake.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_ns_bounds(spark, sf_dir):
+    from ledgerlake.llm.kmeans import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
