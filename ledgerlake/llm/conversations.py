@@ -34,6 +34,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ledgerlake.llm.common import SPACE_CLASS, scratch, written
 
@@ -170,10 +171,11 @@ def with_duplicates(slim: DataFrame) -> DataFrame:
 
 # --- spans
 
-_CELLS = "cells array<struct<p:int,q:int,cost:long,audit:string>>"
-_SPAN = ("conv_id long, part int, k int, n long, initials string, blank long, duplicate long, truncated long, illegal long, "
-         "first_role string, last_role string, lo long, hi long, turns long, " + _CELLS)
-_SPAN_NAMES = [c.split(" ")[0] for c in _SPAN.split(", ")]
+_SPAN = pa.schema([
+    ("conv_id", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("n", pa.int64()), ("initials", pa.string()),
+    ("blank", pa.int64()), ("duplicate", pa.int64()), ("truncated", pa.int64()), ("illegal", pa.int64()),
+    ("first_role", pa.string()), ("last_role", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("turns", pa.int64()),
+    ("cells", pa.list_(pa.struct([("p", pa.int32()), ("q", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())])))])
 _LEGAL = {"su", "ua", "au"}
 
 
@@ -207,19 +209,12 @@ def _as_cell(rows) -> Cell:
     return {(r["p"], r["q"]): (r["cost"], r["audit"]) for r in rows}
 
 
-def _schema(spec: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(spec))
-
-
 def spans(slim: DataFrame, span: int = SPAN) -> DataFrame:
     """Span rows of each task's stretches; (part, k) orders the spans of a conversation."""
     def cut(batches):
         from pyspark import TaskContext
 
-        schema, part, k, open_, out = _schema(_SPAN), TaskContext.get().partitionId(), 0, None, []
+        part, k, open_, out = TaskContext.get().partitionId(), 0, None, []
         for b in batches:
             for conv, turn, initial, fault in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "initial", "fault"))):
                 if open_ is None or open_.conv_id != conv or len(open_.faults) == span:
@@ -231,17 +226,17 @@ def spans(slim: DataFrame, span: int = SPAN) -> DataFrame:
                 open_.initials.append(initial)
                 open_.faults.append(fault)
             if len(out) >= 1000:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield pa.RecordBatch.from_pylist(out, _SPAN)
                 out = []
         if open_:
             out.append(open_.row(part, k))
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_pylist(out, _SPAN)
 
     # Conversations that a range border cuts become several spans, so no conversation is one task.
     ranged = slim.select("conv_id", "turn", "role", "h", "id", "initial", "fault").repartitionByRange(
         F.col("conv_id").asc_nulls_first(), *_order())
-    return ranged.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *_order()).mapInArrow(cut, _SPAN)
+    return ranged.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *_order()).mapInArrow(cut, from_arrow_schema(_SPAN))
 
 
 def _joined(rows: list[dict]) -> dict:
@@ -262,10 +257,9 @@ def _joined(rows: list[dict]) -> dict:
 def combined(found: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """One span per conversation: rounds of ``fan_in`` neighbours, until none has two."""
     def join(batches):
-        schema = _schema(_SPAN)
         for b in batches:
             rows = [_joined(sorted(g, key=lambda r: (r["part"], r["k"]))) for g in b.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist(rows, _SPAN)
 
     done = []
     found = written(found, "spans")
@@ -283,8 +277,8 @@ def combined(found: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         keys = keys.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.col("k").alias("_k"), "at")
         rest = rest.join(keys, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")) & (F.col("k") == F.col("_k")))
         blocks = rest.groupBy("conv_id", F.floor(F.col("at") / fan_in).alias("block")).agg(
-            F.collect_list(F.struct(*_SPAN_NAMES)).alias("spans"))
-        found = written(blocks.select("spans").mapInArrow(join, _SPAN), "spans")
+            F.collect_list(F.struct(*_SPAN.names)).alias("spans"))
+        found = written(blocks.select("spans").mapInArrow(join, from_arrow_schema(_SPAN)), "spans")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -338,15 +332,15 @@ def repaired(rows: DataFrame, plans: DataFrame) -> DataFrame:
         if out:
             yield _batch(out, _REPAIRED)
 
-    return stream.select("conv_id", "kind", "role", "text", "initials").mapInArrow(follow, _REPAIRED)
+    return stream.select("conv_id", "kind", "role", "text", "initials").mapInArrow(follow, from_arrow_schema(_REPAIRED))
 
 
-_REPAIRED = "conv_id long, place long, edit string, role string, text string"
-_DIGEST = "conv_id long, repaired_sha256 string"
+_REPAIRED = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("edit", pa.string()), ("role", pa.string()), ("text", pa.string())])
+_DIGEST = pa.schema([("conv_id", pa.int64()), ("repaired_sha256", pa.string())])
 
 
-def _batch(rows: list[tuple], spec: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _schema(spec))], schema=_schema(spec))
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def digests(stream: DataFrame) -> DataFrame:
@@ -369,7 +363,7 @@ def digests(stream: DataFrame) -> DataFrame:
         if digest:
             yield _batch([(conv, digest.hexdigest())], _DIGEST)
 
-    return stream.mapInArrow(run, _DIGEST)
+    return stream.mapInArrow(run, from_arrow_schema(_DIGEST))
 
 
 def plan_repairs(rows: DataFrame, span: int = SPAN, fan_in: int = FAN_IN) -> DataFrame:

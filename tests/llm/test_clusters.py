@@ -121,7 +121,7 @@ def test_audits_are_the_least_of_all_edit_sequences():
                         bad |= fault in ("blank", "duplicate")
                         total += 3 * (fault == "truncated")
                     if e != "D":
-                        slots.append([role[:1]] if e == "K" else ["u", "a"])
+                        slots.append([role[:1] or "-"] if e == "K" else ["u", "a"])
                 if not bad and any(pattern.fullmatch("".join(p)) for p in itertools.product(*slots)):
                     found = min(found or (total, audit), (total, audit))
         return found
@@ -183,7 +183,11 @@ def test_long_conversation_is_cut_over_tasks(spark):
 
     rows = spark.range(20_000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('t', id, '.') text")
     slim = with_duplicates(messages(damage(rows)).drop("text"))
-    found = spans(slim).select("part", "n").collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = spans(slim).select("part", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len({r.part for r in found}) > 1 and max(r.n for r in found) <= 4096
 
 
@@ -342,4 +346,4 @@ def test_ns_bounds_awkward(spark):
     few = d.where("vec_id < 5")
     _same(clustered(few).drop("centroid").collect(), lloyd([r for r in exact if r[0] is not None and r[0] < 5]))
     huge = spark.createDataFrame([(1, [3e38] * 64), (2, [-3e38] * 64)], "vec_id long, embedding array<float>")
-    assert [r.distance for r in clustered(huge, k=1).collect()] == [2 ** 60, 2 ** 60] or True
+    assert [r.distance for r in clustered(huge, k=1).collect()] == [2 ** 60, 2 ** 60]
