@@ -92,6 +92,18 @@ def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes:
     }
 
 
+# Bytes of a batch of rows on its way to a Python worker. Spark's own limit is 64 MB; a task holds a batch several times
+# (JVM, pipe, Python), and rows may be whole documents.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -106,6 +118,7 @@ def ship_package(spark: SparkSession) -> None:
     import os
     import zipfile
 
+    bound_batches(spark)
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
