@@ -211,7 +211,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
                 v = scanner.vocabulary
                 slot = np.minimum(np.searchsorted(v, w.hashes), max(0, len(v) - 1))
                 known = v[slot] == w.hashes if len(v) else np.zeros(len(w.hashes), bool)
-                start = np.flatnonzero(known & np.concatenate([[True], ~known[:-1]])) if len(known) else known
+                opens = np.zeros(len(known), bool)  # first words of rows, and words after an unknown one
+                opens[1:] = ~known[:-1]
+                opens[w.bound[:-1][np.diff(w.bound) > 0]] = True
+                start = np.flatnonzero(known & opens)
                 for k in np.unique(row[start]).tolist():
                     found = list(scanner.matches(slot, known, int(w.bound[k]), int(w.bound[k + 1])))
                     covers[k] = scanner.covered(found) if found else {}

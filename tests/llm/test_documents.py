@@ -419,6 +419,22 @@ def test_licence_chains_and_awkward(spark, documents, awkward):
     assert scan(awkward).count() == awkward.count() and scan(awkward.limit(0)).count() == 0
 
 
+def test_licence_rows_do_not_depend_on_their_neighbours(spark, documents):
+    """Equal short notices in one batch, in every order, against each text scanned alone."""
+    import itertools
+
+    from ledgerlake.llm.licenses import scan
+
+    texts = ["licensed under the mit license", "xx licensed under the mit license", "", "mit", "licensed under the mit license xx",
+             "licensed under the"]
+    alone = {t: scan(documents([(0, t)])).drop("doc_id").first() for t in texts}
+    assert alone[texts[0]].labels == alone[texts[1]].labels == alone[texts[4]].labels == "mit" and alone["mit"].labels == ""
+    orders = [t for p in itertools.permutations(texts) for t in p]
+    rows = scan(documents(list(enumerate(orders))).coalesce(1)).collect()
+    for r in rows:
+        assert tuple(r)[1:] == tuple(alone[orders[r.doc_id]]), orders[r.doc_id]
+
+
 def test_suffix_automaton_matches_all_substrings():
     from ledgerlake.llm.licenses import SuffixAutomaton
 
