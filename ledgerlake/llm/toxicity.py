@@ -313,20 +313,20 @@ def score_features(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (all columns, as given) with score and predicted."""
     lexicon, automaton = model.lexicon(), grammar()
-    names = docs.columns
+    names, text = docs.columns, docs.columns.index("text")
     weights, bias = np.array(model.weights), model.bias
 
     def run(batches):
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for w in words(batch.column("_text"), KIND):
+            for w in words(batch.column(text), KIND):
                 z = _matches(w, lexicon, automaton) @ weights + bias
                 scores[w.first:w.first + w.rows] = np.exp(-np.logaddexp(0, -z))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
+                [*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
                 [*(f"c{i}" for i in range(len(names))), "score", "predicted"])
 
-    given = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], docs["text"].alias("_text"))
+    given = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
                        + ["score double", "predicted int"])
     return given.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "score", "predicted")

@@ -36,9 +36,9 @@ def shingle_set(text, size=4):
     return frozenset(zip(*(w[i:] for i in range(size))))
 
 
-def near_groups(docs, percent=85):
+def near_groups(docs, percent=85, size=4):
     """doc number: (set size, smallest number reachable)."""
-    sets = {i: shingle_set(t) for i, t in docs}
+    sets = {i: shingle_set(t, size) for i, t in docs}
     by = collections.defaultdict(list)
     for i, s in sets.items():
         by[s].append(i)

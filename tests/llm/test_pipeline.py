@@ -34,7 +34,7 @@ def test_stages_take_effect(spark):
     toxic = [i for i, _ in start if i in label and label[i].toxic == 1]
     fine = [i for i, _ in start if i in label and label[i].toxic == 0]
     assert sum(i not in left for i in toxic) > 0.5 * len(toxic) and sum(i in left for i in fine) > 0.98 * len(fine)
-    groups = models.near_groups(calm)
+    groups = models.near_groups(calm, percent=80, size=5)
     assert sorted(i for i, _ in single) == sorted(i for i, (_, c) in groups.items() if i == c)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hit = models.contaminated(single, items)
