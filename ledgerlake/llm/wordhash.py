@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE, _SEQ_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
