@@ -51,13 +51,14 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, and gives Catalyst the table's real
-    size, so that it broadcasts only what is below ``spark.sql.autoBroadcastJoinThreshold``.
+    size, so that it broadcasts only what is below ``spark.sql.autoBroadcastJoinThreshold``. The codec is zstd:
+    Parquet's snappy codec holds whole pages in direct buffers, outside the heap, until a collection frees them.
     """
     path = new_folder(df.sparkSession, name)
     scopes = _SCOPES[:-1] if keep else _SCOPES
     if scopes:
         scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

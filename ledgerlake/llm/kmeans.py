@@ -184,7 +184,7 @@ def cluster(vectors: DataFrame, starts: np.ndarray, rounds: int) -> tuple[DataFr
                 history = np.concatenate([history, _moved_centroids(state, history[-1])[None]])
             state = _next_round(state, history) if r else _first_round(vectors, history)
             old, folder = folder, new_folder(spark, f"bounds-{r}")
-            state.write.parquet(folder)
+            state.write.option("compression", "zstd").parquet(folder)
             state = spark.read.schema(_STATE).parquet(folder)
             if old:
                 delete_folder(spark, old)
