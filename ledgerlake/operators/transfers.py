@@ -21,6 +21,18 @@ again, and their results overlay the checkpointed first round, so a round
 costs a scan of that base plus work proportional to what changed. Each
 round is cut with a reliable checkpoint in the session's checkpoint folder,
 so a lost executor recomputes one round, not the whole chain.
+
+Deep chains. A round settles one step of every chain of dependent transfers,
+so a chain of n accounts alone would take n rounds. After ``PATIENCE`` rounds
+without an end the rest is therefore decided by conflict components. All
+requests before the first leg that changed last are settled (a decision
+depends on earlier requests only). Accounts linked by later transfers form
+components; those that hold a leg still in doubt are folded one by one, each
+in arrival order with the balances of all its accounts (``_fold_components``,
+partitioned by component). A component of more than ``FOLD_LEGS`` legs is
+folded up to that many, which settles this stretch, and the rounds go on
+behind it. So memory is bounded by ``FOLD_LEGS`` and a chain of any depth ends
+in a number of jobs that grows with its legs / ``FOLD_LEGS``.
 """
 
 from __future__ import annotations
@@ -33,7 +45,7 @@ from ledgerlake.functions.exprs import money
 from ledgerlake.operators.access import authorize
 from ledgerlake.operators.changes import assign_next
 from ledgerlake.operators.ledger import (ACCEPTED, CREDIT_LIMIT_EXCEEDED, DUPLICATE_NUMBER, INSUFFICIENT_FUNDS, INVALID_TYPE,
-                                         NULL_FIELD, SPECIAL, UNKNOWN_ACCOUNT)
+                                         NULL_FIELD, SAME_ACCOUNT, SPECIAL, UNKNOWN_ACCOUNT)
 from ledgerlake.schema import CREDIT_KINDS, DEBIT_KINDS, TIPO_TRANSACAO, Bank
 from ledgerlake.session import cut_lineage
 
@@ -45,7 +57,7 @@ def _cents(c) -> F.Column:
 
 
 def build_legs(singles: DataFrame | None, transfers: DataFrame | None, mode: str = "as_written") -> DataFrame:
-    """Legs (seq, sub, kind, num_conta, num, tipo, valor, _delta, _debit) of singles and transfers.
+    """Legs (seq, sub, kind, num_conta, num, tipo, valor, _delta, _debit, _same) of singles and transfers.
 
     ``num`` is the transaction number that the request gives the leg (``num_transacao`` of a single,
     ``num_trans_origem`` / ``num_trans_destino`` of a transfer), NULL where it gives none.
@@ -61,18 +73,19 @@ def build_legs(singles: DataFrame | None, transfers: DataFrame | None, mode: str
             F.col("seq").cast("long").alias("seq"), F.lit(0).alias("sub"), F.lit("single").alias("kind"),
             "num_conta", number(singles, "num_transacao"), "tipo", "valor",
             F.when(debit, -amt).when(F.col("tipo").isin(CREDIT_KINDS), amt).otherwise(F.lit(0)).alias("_delta"),
-            debit.alias("_debit")))
+            debit.alias("_debit"), F.lit(False).alias("_same")))
     if transfers is not None:
         amt = _cents("valor")
+        same = F.coalesce(F.col("conta_origem") == F.col("conta_destino"), F.lit(False)).alias("_same")
         origin = transfers.select(
             F.col("seq").cast("long").alias("seq"), F.lit(0).alias("sub"), F.lit("transfer").alias("kind"),
             F.col("conta_origem").alias("num_conta"), number(transfers, "num_trans_origem"), F.lit("transferência").alias("tipo"), "valor",
-            (-amt).alias("_delta"), F.lit(True).alias("_debit"))
+            (-amt).alias("_delta"), F.lit(True).alias("_debit"), same)
         dest_debit = mode == "as_written"
         dest = transfers.select(
             F.col("seq").cast("long").alias("seq"), F.lit(1).alias("sub"), F.lit("transfer").alias("kind"),
             F.col("conta_destino").alias("num_conta"), number(transfers, "num_trans_destino"), F.lit("transferência").alias("tipo"), "valor",
-            (-amt if dest_debit else amt).alias("_delta"), F.lit(dest_debit).alias("_debit"))
+            (-amt if dest_debit else amt).alias("_delta"), F.lit(dest_debit).alias("_debit"), same)
         parts += [origin, dest]
     out = parts[0]
     for p in parts[1:]:
@@ -143,14 +156,124 @@ def _round(state: DataFrame) -> DataFrame:
 MERGE_EVERY = 4
 
 
-def post_transfers(accounts: DataFrame, legs: DataFrame, existing_log: DataFrame | None = None) -> tuple[DataFrame, int]:
+PATIENCE = 8
+FOLD_LEGS = 1_000_000
+
+
+def _fold_components(batches):
+    """Sequential pass over the requests of a component, sorted by (component, seq, sub).
+
+    One balance and one set of numbers per account; both are dropped when the component ends. A request's
+    legs may arrive in different batches, so the last request is held back until the next one begins.
+    """
+    import pandas as pd
+
+    cur, bal, taken = None, {}, {}
+
+    def decide(pdf):
+        nonlocal cur, bal, taken
+        n = len(pdf)
+        comp, seq, acct = (pdf[c].tolist() for c in ("_component", "seq", "num_conta"))
+        delta, debit, floor, start = (pdf[c].tolist() for c in ("_delta", "_debit", "_floor", "_start"))
+        live, used, num, can = (pdf[c].tolist() for c in ("_live", "_taken", "num", "_can"))
+        own, dup, i = [False] * n, [False] * n, 0
+        while i < n:
+            if comp[i] != cur:
+                cur, bal, taken = comp[i], {}, {}
+            j = i
+            while j < n and seq[j] == seq[i]:
+                a = acct[j]
+                if live[j] is True:
+                    if a not in bal:
+                        bal[a] = None if pd.isna(start[j]) else int(start[j])
+                    dup[j] = not pd.isna(num[j]) and (used[j] is True or num[j] in taken.get(a, ()))
+                    own[j] = not dup[j] and (bal[a] is None or not (debit[j] and bal[a] + delta[j] < floor[j]))
+                j += 1
+            if can[i] and all(own[i:j]):
+                for k in range(i, j):
+                    if bal[acct[k]] is not None:
+                        bal[acct[k]] += int(delta[k])
+                    if not pd.isna(num[k]):
+                        taken.setdefault(acct[k], set()).add(num[k])
+            i = j
+        return pdf[["seq", "sub"]].assign(_own=own, _dup=dup)
+
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        last = (pdf["_component"].iloc[-1], pdf["seq"].iloc[-1])
+        whole = ~((pdf["_component"] == last[0]) & (pdf["seq"] == last[1]))
+        held = pdf[~whole]
+        if whole.any():
+            yield decide(pdf[whole])
+    if held is not None and len(held):
+        yield decide(held)
+
+
+def _first_stretches(legs: DataFrame, fold_legs: int) -> DataFrame:
+    """_component, _end: the seq up to which a component of more than ``fold_legs`` legs is folded now.
+
+    Cuts at a quantile until the stretch is short enough; a cut is a seq of the component, so it holds one request at least.
+    """
+    def cuts(rows):
+        size = rows.groupBy("_component").agg(F.count(F.lit(1)).alias("_legs"), F.percentile_approx(
+            "seq", [k / 256 for k in range(1, 256)], 2000).alias("_cuts"))
+        part = F.least(F.greatest(F.floor(256.0 * fold_legs / F.col("_legs")), F.lit(1)), F.lit(255)).cast("int")
+        return size.select("_component", "_legs", F.element_at("_cuts", part).alias("_end"))
+
+    found = cut_lineage(cuts(legs).where(F.col("_legs") > fold_legs).drop("_legs"))
+    while True:
+        again = cuts(legs.join(found, "_component").where(F.col("seq") <= F.col("_end")).drop("_end"))
+        again = cut_lineage(again.where(F.col("_legs") > 2 * fold_legs).select("_component", F.col("_end").alias("_new")))
+        if again.isEmpty():
+            return found
+        found = cut_lineage(found.join(again, "_component", "left").select("_component", F.coalesce("_new", "_end").alias("_end")))
+
+
+def _by_component(current: DataFrame, settled: int, dirty: DataFrame, fold_legs: int) -> tuple[DataFrame, DataFrame]:
+    """Exact results of the components in doubt (seq, sub, _own, _dup), and the accounts of those folded in part only.
+
+    ``current`` holds all legs with their present results; requests before ``settled`` are final.
+    """
+    from ledgerlake.operators.conflicts import components
+
+    later = current.where(F.col("seq") >= settled)
+    # A request with a leg that cannot pass links nothing and moves nothing; its other leg is still tested.
+    requests = later.groupBy("seq").agg(F.min("num_conta").alias("u"), F.max("num_conta").alias("v"), F.min("_live").alias("_can"))
+    named = components(requests.where(F.col("_can") & (F.col("u") < F.col("v"))).select("u", "v")).withColumnRenamed("node", "num_conta")
+    member = (later.where("num_conta is not null").select("num_conta").distinct().join(named, "num_conta", "left")
+              .select("num_conta", F.coalesce("component", "num_conta").alias("_component")))
+    doubt = member.join(dirty, "num_conta", "left_semi").select("_component").distinct()
+    member = cut_lineage(member.join(doubt, "_component", "left_semi"))
+    legs = later.join(member, "num_conta").join(requests.select("seq", "_can"), "seq")
+    ends = _first_stretches(legs, fold_legs)
+    legs = legs.join(ends, "_component", "left").where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
+    # Balances and numbers that the settled requests leave behind, for the accounts in doubt.
+    past = current.where(F.col("seq") < settled)
+    applied = past.groupBy("seq").agg(F.min("_own").alias("_ok")).where("_ok").select("seq")
+    gone = past.join(member.select("num_conta"), "num_conta", "left_semi").join(applied, "seq", "left_semi")
+    moved = gone.groupBy("num_conta").agg(F.sum("_delta").alias("_moved"))
+    numbers = gone.where("num is not null").select("num_conta", "num").distinct().withColumn("_taken", F.lit(True))
+    legs = (legs.join(moved, "num_conta", "left").join(numbers, ["num_conta", "num"], "left")
+            .withColumn("_start", F.col("_s0") + F.coalesce("_moved", F.lit(0))))
+    rows = legs.select("_component", "seq", "sub", "num_conta", "num", "_delta", "_debit", "_floor", "_start", "_live", "_can",
+                       F.coalesce("_taken", F.lit(False)).alias("_taken"))
+    folded = (rows.repartition("_component").sortWithinPartitions("_component", "seq", "sub")
+              .mapInPandas(_fold_components, "seq long, sub int, _own boolean, _dup boolean"))
+    return folded, member.join(ends, "_component", "left_semi").select("num_conta")
+
+
+def post_transfers(accounts: DataFrame, legs: DataFrame, existing_log: DataFrame | None = None, patience: int = PATIENCE,
+                   fold_legs: int = FOLD_LEGS) -> tuple[DataFrame, int]:
     """Run the fixpoint over ``legs``; ``existing_log`` holds the numbers already taken. Returns (legs with their result ``_own``/``_pass`` and ``_leg_reason``, rounds).
 
     The first round folds every account once. Each later round folds only
     the accounts of partners of the legs that just changed, and lays their
-    results over the first round's. Rounds go on until no leg changes. The
-    overlay is written out every ``MERGE_EVERY`` rounds, so plans stay short
-    however deep the chain of transfers is.
+    results over the first round's. After ``patience`` such rounds the rest
+    is decided by conflict components (see above), which counts as a round.
+    Rounds go on until no leg changes. The overlay is written out every
+    ``MERGE_EVERY`` rounds, so plans stay short however deep the chain of
+    transfers is.
     """
     acc = accounts.select("num_conta", _cents("saldo").alias("_s0"), F.col("tipo_conta").alias("_tipo_conta"),
                           F.when(F.col("tipo_conta") == SPECIAL,
@@ -159,6 +282,7 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, existing_log: DataFrame
                           F.lit(True).alias("_known"))
     pre = (F.when(F.col("num_conta").isNull() | F.col("valor").isNull() | F.col("tipo").isNull(), F.lit(NULL_FIELD))
            .when(~F.col("tipo").isin(TIPO_TRANSACAO), F.lit(INVALID_TYPE))
+           .when(F.col("_same"), F.lit(SAME_ACCOUNT))  # neither leg could be judged on its own
            .when(F.col("_known").isNull(), F.lit(UNKNOWN_ACCOUNT))
            .when(F.col("_used"), F.lit(DUPLICATE_NUMBER)))
     if existing_log is not None:
@@ -167,7 +291,7 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, existing_log: DataFrame
         legs = legs.join(used, ["num_conta", "num"], "left").withColumn("_used", F.coalesce("_used", F.lit(False)))
     else:
         legs = legs.withColumn("_used", F.lit(False))
-    cur = (legs.join(acc, "num_conta", "left").withColumn("_pre", pre).drop("_used").withColumn("_dup", F.lit(False))
+    cur = (legs.join(acc, "num_conta", "left").withColumn("_pre", pre).drop("_used", "_same").withColumn("_dup", F.lit(False))
            .withColumn("_live", F.col("_pre").isNull())
            .withColumn("_s0", F.col("_s0").cast("double"))
            .withColumn("_own", F.col("_live")))
@@ -178,34 +302,47 @@ def post_transfers(accounts: DataFrame, legs: DataFrame, existing_log: DataFrame
     frontier = first.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
     overlay = first.sparkSession.createDataFrame([], "seq long, sub int, _own_o boolean, _dup_o boolean")
     legs_key = base.select("seq", "sub", "num_conta")
+    own_now, dup_now = F.coalesce(F.col("_own_o"), F.col("_own")), F.coalesce(F.col("_dup_o"), F.col("_dup"))
+
+    def laid_over(rows: DataFrame) -> DataFrame:
+        return (rows.join(overlay, ["seq", "sub"], "left").withColumn("_own", own_now).withColumn("_dup", dup_now)
+                .drop("_own_o", "_dup_o"))
+
     # Later rounds: an account's fold changes only if a partner leg's result changed, so only the accounts
     # of partners of the legs that just changed are folded again (semi-naive), over the checkpointed base.
-    while not frontier.isEmpty():
+    def partners() -> DataFrame:
+        return (legs_key.join(frontier.select("seq").distinct(), "seq", "left_semi")
+                .join(frontier, ["seq", "sub"], "left_anti").select("num_conta").distinct())
+
+    waited, fresh, dirty = 0, True, partners()
+    while not dirty.isEmpty():
         rounds += 1
-        partners = (legs_key.join(frontier.select("seq").distinct(), "seq", "left_semi")
-                    .join(frontier, ["seq", "sub"], "left_anti"))
-        dirty = partners.select("num_conta").distinct()
-        current = F.coalesce(F.col("_own_o"), F.col("_own"))
-        d = (base.join(dirty, "num_conta", "left_semi").join(overlay, ["seq", "sub"], "left")
-             .withColumn("_own", current).drop("_own_o", "_dup_o"))
-        req = (base.select("seq", "sub", "_own").join(d.select("seq").distinct(), "seq", "left_semi")
-               .join(overlay, ["seq", "sub"], "left")
-               .groupBy("seq").agg(F.count(F.lit(1)).alias("_n"), F.sum(current.cast("int")).alias("_np")))
-        d = (d.join(req, "seq")
-             .withColumn("_partner_ok", F.col("_np") - F.col("_own").cast("int") == F.col("_n") - 1)
-             .drop("_n", "_np").withColumnRenamed("_own", "_prev"))
-        out_schema = T.StructType([f for f in d.schema.fields if f.name != "_partner_ok"]
-                                  + [T.StructField("_own", T.BooleanType())])
-        folded = cut_lineage(d.repartition("num_conta").sortWithinPartitions("num_conta", "seq", "sub")
-                             .mapInPandas(_fold_accounts, out_schema))
-        frontier = folded.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
+        waited += 1
+        if waited > patience and fresh:
+            waited, fresh = 0, False  # what a stretch leaves in doubt shows in the next round's frontier
+            overlay = cut_lineage(overlay)
+            settled = frontier.agg(F.min("seq")).first()[0]
+            folded, open_accounts = _by_component(laid_over(base), settled, dirty, fold_legs)
+            folded, dirty = cut_lineage(folded), cut_lineage(open_accounts)
+        else:
+            d = laid_over(base.join(dirty, "num_conta", "left_semi"))
+            req = (base.select("seq", "sub", "_own").join(d.select("seq").distinct(), "seq", "left_semi")
+                   .join(overlay, ["seq", "sub"], "left")
+                   .groupBy("seq").agg(F.count(F.lit(1)).alias("_n"), F.sum(own_now.cast("int")).alias("_np")))
+            d = (d.join(req, "seq")
+                 .withColumn("_partner_ok", F.col("_np") - F.col("_own").cast("int") == F.col("_n") - 1)
+                 .drop("_n", "_np").withColumnRenamed("_own", "_prev"))
+            out_schema = T.StructType([f for f in d.schema.fields if f.name != "_partner_ok"]
+                                      + [T.StructField("_own", T.BooleanType())])
+            folded = cut_lineage(d.repartition("num_conta").sortWithinPartitions("num_conta", "seq", "sub")
+                                 .mapInPandas(_fold_accounts, out_schema))
+            frontier = folded.where(F.col("_own") != F.col("_prev")).select("seq", "sub")
+            dirty, fresh = partners(), True
         overlay = (overlay.join(folded.select("seq", "sub"), ["seq", "sub"], "left_anti")
                    .unionByName(folded.select("seq", "sub", F.col("_own").alias("_own_o"), F.col("_dup").alias("_dup_o"))))
         if rounds % MERGE_EVERY == 0:
             overlay = cut_lineage(overlay)
-    cur = (base.join(overlay, ["seq", "sub"], "left")
-           .withColumn("_own", F.coalesce(F.col("_own_o"), F.col("_own")))
-           .withColumn("_dup", F.coalesce(F.col("_dup_o"), F.col("_dup"))).drop("_own_o", "_dup_o"))
+    cur = laid_over(base)
     reason = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
               .when(F.col("_dup"), F.lit(DUPLICATE_NUMBER))
               .when(F.col("_tipo_conta") == SPECIAL, F.lit(CREDIT_LIMIT_EXCEEDED))
