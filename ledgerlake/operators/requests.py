@@ -419,7 +419,8 @@ def apply_dependents(b: Bank, requests: DataFrame, as_of) -> Result:
 def post_fees(b: Bank, requests: DataFrame, as_of=None) -> Result:
     """Fees debited as 'pagamento' after checks: the authoriser is an employee user and
     not the requester; the account exists; the amount is positive. Numbers continue each
-    account's sequence and are taken by accepted rows only.
+    account's sequence and are taken by accepted rows only. Rows: transacao (the accepted fees) and
+    conta (all accounts with the balances after them).
 
     ``requests``: seq, num_conta, valor, requester_matricula, authorizer_username.
     """
@@ -447,13 +448,14 @@ def post_fees(b: Bank, requests: DataFrame, as_of=None) -> Result:
     ts = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
     ok = r.where(c("_pre").isNull()).select("seq", "num_conta", F.lit("pagamento").alias("tipo"),
                                            ts.alias("data_hora"), "valor")
-    posted = post(b.conta, ok, seq="seq").decisions
-    accepted = posted.where(c("status") == ACCEPTED)
-    numbered = I.assign_next(accepted, b.transacao)
+    posting = post(b.conta, ok, seq="seq")
+    posted = posting.decisions
+    numbered = I.assign_next(posting.accepted, b.transacao)
     decisions = (posted.select("seq", "status", "saldo_apos")
                  .unionByName(r.where(c("_pre").isNotNull()).select("seq", c("_pre").alias("status"),
                                                                    F.lit(None).cast("double").alias("saldo_apos"))))
-    return Result(decisions, {"transacao": numbered.drop("status", "saldo_apos")})
+    conta = balances_after(b.conta, posting).select(*b.conta.columns)
+    return Result(decisions, {"transacao": numbered.drop("status", "saldo_apos"), "conta": conta})
 
 
 # --------------------------------------------------- deposits and withdrawals

@@ -457,6 +457,28 @@ def _post_transfers(fx: Fixture, mode: str = "as_written"):
     return out
 
 
+def _post_transfer_chain(fx: Fixture):
+    """Every account passes money to the next one: each transfer depends on the one before it (checking accounts of 100.00)."""
+    n = F.col("num_conta")
+    acc = fx.bank().conta.select(n, F.lit(100.0).alias("saldo"), F.lit("conta-corrente").alias("tipo_conta"),
+                                 F.lit(None).cast("double").alias("limite_credito"))
+    has_next = acc.select((n - 1).alias("num_conta"))
+    req = acc.join(has_next, "num_conta", "left_semi").select(
+        n.cast("long").alias("seq"), n.alias("conta_origem"), (n + 1).alias("conta_destino"),
+        (F.lit(40.0) + n.cast("long") * 7919 % 50).alias("valor"))
+    done, _ = K2.post_transfers(acc, K2.build_legs(None, req))
+    return K2.decisions(done)
+
+
+register("post_transfer_chain")(_post_transfer_chain)
+# As written, both accounts are debited, so only the balance that the transfer before leaves matters.
+ORACLE["post_transfer_chain"] = "WITH RECURSIVE" + oracle_with("SELECT 1", ["conta"]).rsplit("\nSELECT 1", 1)[0][len("WITH"):] + """
+, t AS (SELECT CAST(num_conta AS BIGINT) AS seq, 40 + CAST(num_conta AS BIGINT) * 7919 % 50 AS v FROM conta c
+        WHERE EXISTS (SELECT 1 FROM conta n WHERE n.num_conta = c.num_conta + 1)),
+r AS (SELECT seq, TRUE AS ok, 100 - v AS rest FROM t WHERE NOT EXISTS (SELECT 1 FROM t p WHERE p.seq = t.seq - 1)
+  UNION ALL SELECT t.seq, t.v <= r.rest, CASE WHEN t.v <= r.rest THEN 100 - t.v ELSE 100 END FROM r JOIN t ON t.seq = r.seq + 1)
+SELECT seq, 'transfer' AS kind, CASE WHEN ok THEN 'ACCEPTED' ELSE 'INSUFFICIENT_FUNDS' END AS status FROM r
+"""
 register("post_transfers")(_post_transfers)
 register("post_transfers_double_entry")(lambda fx: _post_transfers(fx, "double_entry"))
 
@@ -536,15 +558,14 @@ register("next_numbers",
 
 def _global_numbers(fx: Fixture):
     b = fx.bank()
-    req = b.cliente.where("CAST(rg_numero AS BIGINT) % 10 = 0").select(
-        F.col("rg_numero").cast("long").alias("seq"), "cpf")
+    req = b.cliente.select(F.col("rg_numero").cast("long").alias("seq"), "cpf")
     return I.assign_global(req, I.next_account_base(b.conta).scalar(), out="num_conta_nova")
 
 
 register("global_numbers",
          "SELECT seq, cpf, (SELECT CASE WHEN COALESCE(max(num_conta), 0) = 0 THEN 50501 ELSE max(num_conta) END "
          "FROM conta) + row_number() OVER (ORDER BY seq) AS num_conta_nova FROM "
-         "(SELECT CAST(rg_numero AS BIGINT) AS seq, cpf FROM cliente WHERE CAST(rg_numero AS BIGINT) % 10 = 0) r")(
+         "(SELECT CAST(rg_numero AS BIGINT) AS seq, cpf FROM cliente) r")(
     _global_numbers)
 
 register("account_terms",
@@ -784,7 +805,7 @@ for _name, _make, _parts in (
         ("apply_employees", lambda fx: RQ.apply_employees(fx.bank(), employee_requests(fx)), ("funcionario", "usuario", "agencia")),
         ("apply_promotions", lambda fx: RQ.apply_promotions(fx.bank(), promotion_requests(fx)), ("funcionario", "usuario")),
         ("apply_dependents", lambda fx: RQ.apply_dependents(fx.bank(), dependent_requests(fx), AS_OF), ("dependente",)),
-        ("post_fees", lambda fx: RQ.post_fees(fx.bank(), fee_requests(fx), AS_OF), ("transacao",))):
+        ("post_fees", lambda fx: RQ.post_fees(fx.bank(), fee_requests(fx), AS_OF), ("transacao", "conta"))):
     register(_name)(_of(_make, "decisions"))
     for _part in _parts:
         register(f"{_name}_{_part}")(_of(_make, _part))
@@ -792,6 +813,37 @@ from ledgerlake.plans.change_oracles import change_oracles  # noqa: E402
 
 ORACLE.update(change_oracles())
 
+# Fees: the checks before the posting rule, then the recursion of ``post`` over what passes them.
+_FEES = """
+, fee AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CAST(50501 + o_custkey AS INT) AS num_conta, round(o_totalprice / 1000, 2) AS valor,
+    CASE o_orderkey % 10 WHEN 0 THEN 'MAT1002' WHEN 3 THEN lpad(CAST(o_custkey AS VARCHAR), 11, '0') WHEN 7 THEN 'nobody'
+         ELSE 'MAT1005' END AS who FROM orders),
+names AS (SELECT 'n' AS k, username AS v, id, matricula FROM usuario UNION ALL SELECT 'n', matricula, id, matricula FROM usuario
+    UNION ALL SELECT 'c', cpf, id, matricula FROM usuario),
+asked AS (SELECT DISTINCT who FROM fee),
+staff AS (SELECT who, arg_min(COALESCE(matricula, ''), id) AS matricula FROM asked JOIN names
+    ON (k = 'n' AND v = who) OR (k = 'c' AND v = regexp_replace(who, '[^0-9]', '', 'g')) GROUP BY who),
+judged AS (SELECT f.*, CASE WHEN COALESCE(s.matricula, '') = '' THEN 'AUTHORIZER_NOT_EMPLOYEE'
+    WHEN s.matricula = 'MAT1002' THEN 'SELF_AUTHORIZATION'
+    WHEN NOT EXISTS (SELECT 1 FROM conta c WHERE c.num_conta = f.num_conta) THEN 'UNKNOWN_ACCOUNT'
+    WHEN f.valor IS NULL OR f.valor <= 0 THEN 'INVALID_AMOUNT' END AS why FROM fee f LEFT JOIN staff s ON s.who = f.who),
+due AS (SELECT seq AS id_transacao, num_conta, 'pagamento' AS tipo, valor FROM judged WHERE why IS NULL)"""
+
+
+def _fee_oracle(tail: str) -> str:
+    base = oracle_with("SELECT 1", ["conta", "usuario"]).rsplit("\nSELECT 1", 1)[0]
+    posted = POST_SQL.replace("FROM transacao)", "FROM due)", 1)
+    cut = posted.index("\nSELECT x.id_transacao")
+    return f"WITH RECURSIVE{base[len('WITH'):]}{_FEES}{posted[:cut]},\ndone AS ({posted[cut:]})\n{tail}"
+
+
+ORACLE["post_fees"] = _fee_oracle("SELECT id_transacao AS seq, status, saldo_apos FROM done "
+                                  "UNION ALL SELECT seq, why, CAST(NULL AS DOUBLE) FROM judged WHERE why IS NOT NULL")
+ORACLE["post_fees_conta"] = _fee_oracle(
+    "SELECT c.* REPLACE (CAST(CAST(c.saldo AS DECIMAL(18,2)) - COALESCE(p.v, 0) AS DOUBLE) AS saldo) FROM conta c LEFT JOIN "
+    "(SELECT num_conta, SUM(CAST(valor AS DECIMAL(18,2))) AS v FROM done WHERE status = 'ACCEPTED' GROUP BY num_conta) p "
+    "ON p.num_conta = c.num_conta")
+
 
 # ------------------------------------------------------ more inventory items
 
