@@ -437,6 +437,19 @@ def _post_spark(fx: Fixture):
 register("post")(_post_spark)
 ORACLE["post"] = _post_oracle()
 
+
+def _post_hot_account(fx: Fixture):
+    """A third of all transactions on one account, which is cut into chunks of 1,024 ids and decided by chunk summaries."""
+    b = fx.bank()
+    t = b.transacao.select("id_transacao", F.when(F.col("id_transacao") % 3 == 0, F.lit(P["account"])).otherwise(F.col("num_conta"))
+                           .cast("int").alias("num_conta"), "tipo", "valor")
+    return K.post(b.conta, t, seq="id_transacao", chunk_span=1024).decisions
+
+
+register("post_hot_account")(_post_hot_account)
+ORACLE["post_hot_account"] = _post_oracle().replace("FROM transacao)", "FROM (SELECT * REPLACE (CAST(CASE WHEN id_transacao % 3 = 0 "
+                                                    f"THEN {P['account']} ELSE num_conta END AS INT) AS num_conta) FROM transacao) t)", 1)
+
 register("running_balance",
          f"SELECT id_transacao, num_conta, CAST(SUM({_SIGNED_SQL}) OVER (PARTITION BY num_conta "
          "ORDER BY id_transacao ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS saldo_corrente "
