@@ -46,6 +46,7 @@ from ledgerlake.operators.access import authorize
 from ledgerlake.operators.changes import assign_next
 from ledgerlake.operators.ledger import (ACCEPTED, CREDIT_LIMIT_EXCEEDED, DUPLICATE_NUMBER, INSUFFICIENT_FUNDS, INVALID_TYPE,
                                          NULL_FIELD, SAME_ACCOUNT, SPECIAL, UNKNOWN_ACCOUNT)
+from ledgerlake.operators.requests import Result
 from ledgerlake.schema import CREDIT_KINDS, DEBIT_KINDS, TIPO_TRANSACAO, Bank
 from ledgerlake.session import cut_lineage
 
@@ -389,17 +390,35 @@ def balances(accounts: DataFrame, legs_done: DataFrame) -> DataFrame:
             .drop("_d"))
 
 
-def run_transfers(b: Bank, singles: DataFrame | None, transfer_requests: DataFrame,
-                  mode: str = "as_written") -> tuple[DataFrame, int]:
+def run_transfers(b: Bank, singles: DataFrame | None, transfer_requests: DataFrame, mode: str = "as_written",
+                  log: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Authorize transfer requests (N2), then post them with the singles (K2).
 
     Returns (one row per request with ``status``, rounds). Requests refused
-    by authorization keep their authorization reason.
+    by authorization keep their authorization reason. ``log`` (num_conta,
+    num_transacao) holds the numbers already taken; give the stored log to
+    refuse requests that bring one of them (DUPLICATE_NUMBER).
     """
+    done, refused, rounds = _authorized(b, singles, transfer_requests, mode, log)
+    return decisions(done).unionByName(refused), rounds
+
+
+def _authorized(b: Bank, singles, transfer_requests, mode, log) -> tuple[DataFrame, DataFrame, int]:
     auth = authorize(b, transfer_requests)
     ok = auth.where(F.col("reason").isNull()).drop("reason")
     refused = auth.where(F.col("reason").isNotNull()).select(
         F.col("seq").cast("long").alias("seq"), F.lit("transfer").alias("kind"), F.col("reason").alias("status"))
     legs = build_legs(singles, ok, mode)
-    done, rounds = post_transfers(b.conta, legs)
-    return decisions(done).unionByName(refused), rounds
+    done, rounds = post_transfers(b.conta, legs, log)
+    return done, refused, rounds
+
+
+def apply_transfers(b: Bank, singles: DataFrame | None, transfer_requests: DataFrame, mode: str = "as_written", as_of=None) -> Result:
+    """Transfers end to end against the stored log: decisions, the new log rows (transacao) and all balances after them (conta).
+
+    Numbers that requests bring are refused if the log has them; the others continue their account's sequence.
+    """
+    done, refused, _ = _authorized(b, singles, transfer_requests, mode, b.transacao.select("num_conta", "num_transacao"))
+    rows = ledger_rows(done, b.transacao, as_of)
+    return Result(decisions(done).unionByName(refused),
+                  {"transacao": rows, "conta": balances(b.conta, done).select(*b.conta.columns)})

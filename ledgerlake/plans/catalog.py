@@ -682,6 +682,17 @@ def _post_transfers_stream(fx: Fixture):
     return fx.spark.read.parquet(f"{out}/decisions").select("seq", "kind", "status", "batch")
 
 
+def _post_stream_state(fx: Fixture):
+    """State store v2, with the transactions' numbers."""
+    from ledgerlake.streaming.stateful import post_stream_state, rocksdb
+
+    src = stream_view(fx.spark, fx.sf_dir, "transacao").withColumnRenamed("id_transacao", "seq")
+    with rocksdb(fx.spark):
+        return L.run_to_table(post_stream_state(src, fx.bank().conta), "post-stream-state")
+
+
+register("post_stream_state")(_post_stream_state)
+ORACLE["post_stream_state"] = f"SELECT id_transacao AS seq, num_conta, tipo, valor, status, saldo_apos FROM ({ORACLE['post']}) p"
 register("post_stream")(_post_stream)
 register("post_stream_stateful")(_post_stream_stateful)
 for _name in ("post_stream", "post_stream_stateful"):  # the same rule as the batch form, with id_transacao named seq
@@ -974,6 +985,18 @@ def _cash(fx: Fixture):
     return RQ.cash_operations(fx.bank(), cash_requests(fx), AS_OF)
 
 
+def _apply_transfers(fx: Fixture):
+    """All transfer requests against the stored log; some bring a number, which the log or another request may have taken."""
+    k = F.col("seq")
+    req = fx.view("transfer_req").withColumn("valor", F.round(F.col("valor") / 1000, 2))
+    req = req.withColumn("num_trans_origem", F.when(k % 5 == 0, (k % 40).cast("int"))).withColumn(
+        "num_trans_destino", F.when(k % 7 == 0, (10_000 + k % 50).cast("int")))
+    return K2.apply_transfers(fx.bank(), None, req, "double_entry", AS_OF)
+
+
+register("apply_transfers")(_of(_apply_transfers, "decisions"))
+register("apply_transfers_transacao")(_of(_apply_transfers, "transacao"))
+register("apply_transfers_conta")(_of(_apply_transfers, "conta"))
 register("cash_operations")(_of(_cash, "decisions"))
 register("cash_operations_transacao")(_of(_cash, "transacao"))
 register("cash_operations_conta")(_of(_cash, "conta"))

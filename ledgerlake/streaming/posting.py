@@ -168,29 +168,32 @@ def post_stream_versioned(txn_stream: DataFrame, accounts: DataFrame, seq: str =
     Micro-batch n writes ``decisions/batch=<n>`` once, reads it back for the
     new balances (see ``versions``) and refuses transaction numbers (column
     ``num_transacao``, if the stream has it) that an earlier batch has
-    accepted. Give ``folder`` to be able to stop and resume: the same folder
+    accepted (see ``registry``: a batch reads the buckets of its accounts). Give ``folder`` to be able to stop and resume: the same folder
     continues after the last finished batch, and a replayed batch rewrites
     the same files. Per-key state is avoided: a per-group Python call per
     account costs far more than one vectorised pass over the batch. Returns
     the output folder.
     """
-    from ledgerlake.operators.ledger import ACCEPTED, Posting, balances_after, post
+    from ledgerlake.operators.ledger import Posting, balances_after, post
+    from ledgerlake.streaming.registry import numbers_before, write_numbers
     from ledgerlake.streaming.versions import ACCOUNT_COLS, balances_before, write_balances
 
     spark = txn_stream.sparkSession
     out, ckpt = stream_folders(spark, f"{name}-out", folder)
     initial = accounts.select(*ACCOUNT_COLS)
-    cols = [seq, "num_conta", "tipo", "valor"] + ["num_transacao"] * ("num_transacao" in txn_stream.columns)
+    numbered = "num_transacao" in txn_stream.columns
+    cols = [seq, "num_conta", "tipo", "valor"] + ["num_transacao"] * numbered
 
     def run_batch(df: DataFrame, batch_id: int) -> None:
         acc = balances_before(initial, out, batch_id)
-        log = None
-        if batch_id and "num_transacao" in cols:
-            log = spark.read.parquet(*[f"{out}/decisions/batch={i}" for i in range(batch_id)]).where(F.col("status") == ACCEPTED)
+        log = numbers_before(df, out, batch_id) if numbered else None
         decided = post(acc, df.select(*cols), seq=seq, existing_log=log).decisions
         at = f"{out}/decisions/batch={batch_id}"
         decided.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(at)
-        write_balances(acc, balances_after(acc, Posting(spark.read.parquet(at))), out, batch_id)
+        done = Posting(spark.read.parquet(at))
+        write_balances(acc, balances_after(acc, done), out, batch_id)
+        if numbered:
+            write_numbers(done.accepted.select("num_conta", "num_transacao"), out, batch_id)
 
     q = (txn_stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
          .foreachBatch(run_batch).start())
