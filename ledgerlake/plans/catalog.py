@@ -686,7 +686,8 @@ def _post_stream_state(fx: Fixture):
     """State store v2, with the transactions' numbers."""
     from ledgerlake.streaming.stateful import post_stream_state, rocksdb
 
-    src = stream_view(fx.spark, fx.sf_dir, "transacao").withColumnRenamed("id_transacao", "seq")
+    src = stream_view(fx.spark, fx.sf_dir, "transacao", drop=("num_transacao",)).withColumnRenamed("id_transacao", "seq")
+    src = src.withColumn("num_transacao", F.col("seq").cast("int"))  # a number of its own for every transaction
     with rocksdb(fx.spark):
         return L.run_to_table(post_stream_state(src, fx.bank().conta), "post-stream-state")
 
@@ -839,7 +840,7 @@ ORACLE.update(change_oracles())
 
 # Fees: the checks before the posting rule, then the recursion of ``post`` over what passes them.
 _FEES = """
-, fee AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CAST(50501 + o_custkey AS INT) AS num_conta, round(o_totalprice / 1000, 2) AS valor,
+, fee AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CAST(50501 + o_custkey AS INT) AS num_conta, (CAST(round(o_totalprice * 100) AS BIGINT) + 500) // 1000 / 100.0 AS valor,
     CASE o_orderkey % 10 WHEN 0 THEN 'MAT1002' WHEN 3 THEN lpad(CAST(o_custkey AS VARCHAR), 11, '0') WHEN 7 THEN 'nobody'
          ELSE 'MAT1005' END AS who FROM orders),
 names AS (SELECT 'n' AS k, username AS v, id, matricula FROM usuario UNION ALL SELECT 'n', matricula, id, matricula FROM usuario
