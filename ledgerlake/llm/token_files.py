@@ -37,7 +37,7 @@ from ledgerlake.llm.common import new_folder, written
 SEQ_LEN = 2048
 END_ID = 1
 MANIFEST = "shard int, name string, n_docs long, n_tokens long, n_sequences long"
-# What an encoder remembers, in bytes (an entry counts its key, its ids and ``ENTRY_BYTES``); longer words are not remembered.
+# What an encoder remembers, in bytes (an entry counts twice its length and ``ENTRY_BYTES``); longer words are forgotten after a call.
 CACHE_BYTES = 96 << 20
 ENTRY_BYTES = 160
 LONGEST_WORD = 256
@@ -53,7 +53,7 @@ class Encoder:
 
     A tokenizer that lower-cases, drops white space and cuts at word ends encodes each piece alone, so
     pieces of plain Latin text are encoded once and remembered (a cache bounded by bytes). Other texts, and any text
-    with a special token's name or a very long word, go through ``encode`` whole. Both ways give the same ids.
+    with a special token's name, go through ``encode`` whole. Both ways give the same ids.
     """
 
     def __init__(self, path: str):
@@ -73,7 +73,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.long = 0, []
 
     def _learn(self, words: list[str]) -> None:
         cut = [_PIECES.findall(w) for w in words]
@@ -85,21 +85,28 @@ class Encoder:
             parts = np.split(ids, np.flatnonzero(ids == self.mark))
             for i, (p, got) in enumerate(zip(some, parts, strict=True)):
                 self.pieces[p] = got[i > 0:].tobytes()
-                self.held += len(p) + len(self.pieces[p]) + ENTRY_BYTES
         for w, ps in zip(words, cut):
             self.words[w] = b"".join([self.pieces[p] for p in ps])
-            self.held += len(w) + len(self.words[w]) + ENTRY_BYTES
+        self.held += sum(2 * sum(map(len, some)) + ENTRY_BYTES * len(some) for some in (new, words))
+        self.long += [(known, x) for known, some in ((self.pieces, new), (self.words, words)) for x in some if len(x) > LONGEST_WORD]
+
+    def _forget(self) -> None:
+        """Drop the very long words of the call before, and everything once it is too much."""
+        for known, x in self.long:
+            known.pop(x, None)
+            self.held -= 2 * len(x) + ENTRY_BYTES
+        self.long = []
+        if self.held > CACHE_BYTES:
+            self.words.clear()
+            self.pieces.clear()
+            self.held = 0
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian bytes."""
         plain = [self.by_piece and _PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special)
                  for t in texts]
         split = [t.lower().split() if ok else None for t, ok in zip(texts, plain)]
-        split = [ws if ws and max(map(len, ws)) <= LONGEST_WORD else None if ws else ws for ws in split]
-        if self.held > CACHE_BYTES:
-            self.words.clear()
-            self.pieces.clear()
-            self.held = 0
+        self._forget()
         self._learn(list({w for ws in split if ws for w in ws if w not in self.words}))
         known = self.words
         for t, ws in zip(texts, split):

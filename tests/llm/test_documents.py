@@ -74,6 +74,20 @@ def test_token_files_awkward(spark, awkward):
     assert read_documents(*encode_documents(awkward.limit(0), tokenizer_path())).count() == 0
 
 
+def test_encoder_memory_is_bounded_by_bytes(monkeypatch):
+    """Small cache, very long words: the same ids, and neither long words nor more than the bound is remembered."""
+    from ledgerlake.llm import token_files
+
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 20_000)
+    enc = token_files.Encoder(tokenizer_path())
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) + " " + "ab" * (300 + i) + "-" + "q" * 400 for i in range(30)]
+    for t in texts + texts:
+        assert list(enc.encode([t]))[0] == np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()
+        assert enc.held < 20_000 + 40_000
+    enc._forget()
+    assert all(len(w) <= token_files.LONGEST_WORD for w in [*enc.words, *enc.pieces])
+
+
 def test_piecewise_encoding_equals_whole_encoding():
     from ledgerlake.llm.token_files import Encoder
 
