@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.exprs import trailing_number
+from ledgerlake.operators.conflicts import fold_unique
 from ledgerlake.operators.prefix import DEFAULT_CHUNK_SPAN, prefix_sum
 from ledgerlake.schema import (DEFAULT_PASSWORD_LITERAL, FIRST_ACCOUNT_NUMBER, FIRST_MATRICULA_NUMBER,
                                MAX_DEPENDENTS, Bank)
@@ -146,6 +147,8 @@ def conform_account_terms(df: DataFrame) -> DataFrame:
 # ----------------------------------------------------------- greedy
 
 MERGE_EVERY = 8
+PATIENCE = 8  # rounds before deep chains are decided by conflict components
+FOLD_ROWS = 1_000_000  # rows of a component that one task folds at a time
 
 
 class _Decided:
@@ -167,20 +170,21 @@ class _Decided:
         return reduce(DataFrame.unionByName, [p for level in self.levels for p in level])
 
 
-def greedy_unique(requests: DataFrame, seq: str, keys: list[list[str]]) -> tuple[DataFrame, int]:
+def greedy_unique(requests: DataFrame, seq: str, keys: list[list[str]], patience: int = PATIENCE,
+                  fold_rows: int = FOLD_ROWS, clashes: bool = True) -> tuple[DataFrame, int]:
     """Accept requests in ``seq`` order, refusing any that shares a key with an earlier accepted one.
 
     ``keys`` is a list of key column groups; NULL key parts never clash.
     One key group needs no rounds: the smallest ``seq`` per value wins.
     Otherwise, per round: among pending rows accept those minimal in ``seq``
     on every key they hold, refuse pending rows sharing a key with a newly
-    accepted row, and carry on with the rest until none is left. The first
-    pending row overall is always accepted, so every round makes progress,
-    whatever the depth of the chain. A round touches pending rows only: per
-    key, a partial aggregate and a distinct of newly taken values, joined
-    back, and a reliable checkpoint. Returns (requests with boolean
-    ``accepted`` and ``_clash``, the index of the key that an earlier
-    accepted request had taken first; rounds).
+    accepted row, and carry on with the rest. A round touches pending rows
+    only: per key, a partial aggregate and a distinct of newly taken values,
+    joined back, and a reliable checkpoint. What ``patience`` rounds leave
+    pending lies in deep chains and is decided by conflict components (see
+    ``conflicts.fold_unique``), which counts as a round. Returns (requests
+    with boolean ``accepted`` and, unless ``clashes`` is false, ``_clash``,
+    the index of the first key that an earlier accepted request holds; rounds).
     """
     ids = [f"_k{i}" for i in range(len(keys))]
     cur = requests
@@ -194,25 +198,36 @@ def greedy_unique(requests: DataFrame, seq: str, keys: list[list[str]]) -> tuple
         return out.withColumn("_clash", F.when(~won, F.lit(0))).drop("_k0", "_min"), 1
     pending = cut_lineage(cur)
     decided, rounds = _Decided(), 0
-    decided.add(pending.where("false").withColumn("accepted", F.lit(True)).withColumn("_clash", F.lit(None).cast("int")))
+    decided.add(pending.where("false").withColumn("accepted", F.lit(True)))
     while not pending.isEmpty():
         rounds += 1
-        step, minimal, clash = pending, F.lit(True), F.lit(None).cast("int")
+        if rounds > patience:
+            decided.add(fold_unique(pending, seq, ids, fold_rows))
+            break
+        step, minimal = pending, F.lit(True)
         for k in ids:
             mins = pending.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(seq).alias(f"_min{k}"))
             step = step.join(mins, k, "left")
             minimal = minimal & (F.col(k).isNull() | (F.col(f"_min{k}") == F.col(seq)))
         step = step.withColumn("accepted", minimal).drop(*[f"_min{k}" for k in ids])
-        for i, k in reversed(list(enumerate(ids))):
-            taken = (step.where(F.col("accepted") & F.col(k).isNotNull()).groupBy(k).agg(F.min(seq).alias(f"_t{k}")))
+        gone = F.lit(False)
+        for k in ids:
+            taken = step.where(F.col("accepted") & F.col(k).isNotNull()).select(k, F.lit(True).alias(f"_t{k}"))
             step = step.join(taken, k, "left")
-            clash = F.when(F.col(f"_t{k}").isNotNull(), F.lit(i)).otherwise(clash)
-        step = step.withColumn("_clash", F.when(~F.col("accepted"), clash)).drop(*[f"_t{k}" for k in ids])
+            gone = gone | F.col(f"_t{k}").isNotNull()
+        step = step.withColumn("_gone", gone & ~F.col("accepted")).drop(*[f"_t{k}" for k in ids])
         step = cut_lineage(step)
-        done = F.col("accepted") | F.col("_clash").isNotNull()
-        decided.add(step.where(done))
-        pending = step.where(~done).drop("accepted", "_clash")
-    return decided.rows().drop(*ids), rounds
+        done = F.col("accepted") | F.col("_gone")
+        decided.add(step.where(done).drop("_gone"))
+        pending = step.where(~done).drop("accepted", "_gone")
+    out = decided.rows()
+    if clashes:
+        first, held = F.lit(None).cast("int"), out.where("accepted")
+        for i, k in reversed(list(enumerate(ids))):
+            out = out.join(held.where(F.col(k).isNotNull()).select(k, F.col(seq).alias(f"_w{i}")), k, "left")
+            first = F.when(F.col(f"_w{i}") < F.col(seq), F.lit(i)).otherwise(first)
+        out = out.withColumn("_clash", F.when(~F.col("accepted"), first)).drop(*[f"_w{i}" for i in range(len(ids))])
+    return out.drop(*ids), rounds
 
 
 def accept_holders(b: Bank, requests: DataFrame, seq: str = "seq") -> tuple[DataFrame, int]:
@@ -244,10 +259,8 @@ def accept_holders(b: Bank, requests: DataFrame, seq: str = "seq") -> tuple[Data
     live, rounds = greedy_unique(r.where(F.col("_pre").isNull()), seq,
                                  [["cpf_cliente", "num_ag"], ["num_conta", "tipo_titular"]])
     # Of two taken keys the branch rule is reported: an earlier accepted request of the customer in the branch.
-    won = live.where("accepted").groupBy("cpf_cliente", "num_ag").agg(F.min(seq).alias("_won"))
-    live = live.join(won, ["cpf_cliente", "num_ag"], "left").withColumn(
-        "reason", F.when(F.col("accepted"), F.lit(None)).when(F.col("_won") < F.col(seq), F.lit("ONE_ACCOUNT_PER_BRANCH"))
-        .otherwise(F.lit("SLOT_TAKEN")))
+    live = live.withColumn("reason", F.when(F.col("accepted"), F.lit(None)).when(F.col("_clash") == 0, F.lit("ONE_ACCOUNT_PER_BRANCH"))
+                           .otherwise(F.lit("SLOT_TAKEN")))
     out_cols = list(requests.columns) + ["accepted", "reason"]
     refused = r.where(F.col("_pre").isNotNull()).withColumn("accepted", F.lit(False)).withColumn("reason", F.col("_pre"))
     return live.select(*out_cols).unionByName(refused.select(*out_cols)), rounds
@@ -320,7 +333,7 @@ def sync_users(b: Bank, default_secret_digest: F.Column | None = None) -> DataFr
         F.lit(None).cast("string").alias("cpf"), F.lit(None).cast("string").alias("matricula"))
     rows = emp.unionByName(cli).unionByName(admin)
     ranked = global_rank(rows.withColumn("_key", F.struct("_src", "_ord")), "_key", "_seq").drop("_key")
-    kept, _ = greedy_unique(ranked, "_seq", [["username"], ["cpf"], ["matricula"]])
+    kept, _ = greedy_unique(ranked, "_seq", [["username"], ["cpf"], ["matricula"]], clashes=False)
     kept = kept.where("accepted")
     return (global_rank(kept, "_seq", "id")
             .select("id", "username", "nome", "senha", "role", "cpf", "matricula"))

@@ -1,4 +1,4 @@
-"""Connected components of accounts that transfers link (K2's conflict components), with skew-safe joins only.
+"""Conflict components: of accounts that transfers link (K2), and of requests that compete for unique keys.
 
 Large-star and small-star steps rewire links towards the smallest neighbour until every component is a star around its
 smallest account. A step is a minimum per account (a partial aggregate) joined back, so an account with a third of all
@@ -8,9 +8,13 @@ with the logarithm of the longest chain.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.prefix import prefix_sum
 from ledgerlake.session import cut_lineage
 
 
@@ -40,3 +44,57 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _fold_keys(batches):
+    """Rows sorted by (component, seq): accept a row unless one of its keys is taken; one component's keys are held at a time."""
+    component, taken = None, set()
+    for pdf in batches:
+        accepted = []
+        for comp, keys, gone in zip(pdf["_component"], pdf["_keys"], pdf["_gone"]):
+            if comp != component:
+                component, taken = comp, set()
+            ok = not gone and taken.isdisjoint(keys)
+            if ok:
+                taken.update(keys)
+            accepted.append(ok)
+        yield pd.DataFrame({"_seq": pdf["_seq"], "accepted": accepted})
+
+
+def fold_unique(pending: DataFrame, seq: str, keys: list[str], fold_rows: int) -> DataFrame:
+    """``pending`` with boolean ``accepted``: greedy acceptance in ``seq`` order, component by component.
+
+    Requests that hold a common key value, directly or through others, form a component; components are independent
+    and folded in parallel. A component is folded ``fold_rows`` rows at a time, so a task holds the keys of at most that
+    many rows; between such stretches the keys taken so far are joined to the rest. Key values link by 64-bit hashes,
+    where a collision could only join two components; the fold compares the values. Rows without a key are accepted.
+    ``seq`` is unique and integral.
+    """
+    values = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.to_json(k))) for i, k in enumerate(keys)]))
+    rows = pending.withColumn("_keys", values).withColumn("_nodes", F.transform("_keys", lambda x: F.xxhash64(x)))
+    links = rows.select(F.explode(F.transform(F.slice("_nodes", 2, len(keys)), lambda x: F.struct(
+        F.get("_nodes", 0).alias("u"), x.alias("v")))).alias("l")).select("l.u", "l.v").distinct()
+    named = components(links).withColumnRenamed("node", "_node")
+    rows = rows.withColumn("_node", F.get("_nodes", 0)).join(named, "_node", "left").withColumn("_component", F.coalesce("component", "_node", F.lit(0)))
+    ranked = prefix_sum(rows.select(F.col(seq).alias("_seq"), "_component", "_keys"), "_component", "_seq", F.lit(1).cast("long"), "_rank")
+    ranked = cut_lineage(ranked.withColumn("_stretch", F.floor((F.col("_rank") - 1) / fold_rows).cast("int")).drop("_rank"))
+    last = ranked.agg(F.max("_stretch")).first()[0]
+    parts: list[DataFrame] = []
+    held = None  # keys that earlier stretches took
+    for s in range(last + 1):
+        part = ranked.where(F.col("_stretch") == s)
+        if held is None:
+            part = part.withColumn("_gone", F.lit(False))
+        else:
+            lost = part.select("_seq", F.explode("_keys").alias("_key")).join(held, "_key", "left_semi").select("_seq").distinct()
+            part = part.join(lost.withColumn("_lost", F.lit(True)), "_seq", "left").withColumn("_gone", F.col("_lost").isNotNull())
+        folded = cut_lineage(part.select("_component", "_seq", "_keys", "_gone").repartition("_component")
+                             .sortWithinPartitions("_component", "_seq").mapInPandas(_fold_keys, "_seq long, accepted boolean"))
+        parts.append(folded)
+        if s < last:
+            won = ranked.where(F.col("_stretch") == s).join(folded.where("accepted"), "_seq", "left_semi")
+            # Only components that go on need their keys.
+            more = ranked.where(F.col("_stretch") > s).select("_component").distinct()
+            fresh = won.join(more, "_component", "left_semi").select(F.explode("_keys").alias("_key"))
+            held = cut_lineage(fresh if held is None else held.unionByName(fresh))
+    return cut_lineage(pending.join(reduce(DataFrame.unionByName, parts), pending[seq] == F.col("_seq")).drop("_seq"))

@@ -615,6 +615,30 @@ def _accept_holders(fx: Fixture):
 register("accept_holders")(_accept_holders)
 
 
+def _holder_chain(fx: Fixture):
+    """Every order as a request for a customer and an account, each shared with the request before or after it: one chain
+    over all orders, broken where the price in cents is a multiple of 1,001 (no account asked for)."""
+    orders = fx.spark.read.parquet(f"{fx.sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    n = F.col("_grank") - 1
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    asked = I.global_rank(orders, "o_orderkey").select(
+        F.col("o_orderkey").cast("long").alias("seq"), F.floor((n + 1) / 2).cast("long").alias("cliente"),
+        F.when(cents % 1001 != 0, F.floor(n / 2).cast("long")).alias("conta"))
+    out, _ = I.greedy_unique(asked, "seq", [["cliente"], ["conta"]])
+    return out.select("seq", "cliente", "conta", "accepted", "_clash").withColumnRenamed("_clash", "clash")
+
+
+# A request shares its customer (even n) or its account (odd n) with the one before it. Without the shared key a run
+# starts anew; inside a run every other request is accepted.
+register("holder_chain",
+         "SELECT seq, cliente, conta, place % 2 = 0 AS accepted, CAST(CASE WHEN place % 2 = 1 THEN CASE WHEN n % 2 = 0 THEN 0 ELSE 1 END END AS INT) "
+         "AS clash FROM (SELECT *, n - max(CASE WHEN starts THEN n END) OVER (ORDER BY n) AS place FROM "
+         "(SELECT *, n = 0 OR (n % 2 = 1 AND (conta IS NULL OR lag(conta) OVER (ORDER BY n) IS NULL)) AS starts FROM "
+         "(SELECT CAST(o_orderkey AS BIGINT) AS seq, n, (n + 1) // 2 AS cliente, CASE WHEN CAST(round(o_totalprice * 100) AS BIGINT) % 1001 <> 0 "
+         "THEN n // 2 END AS conta FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders))))")(
+    _holder_chain)
+
+
 # ---------------------------------------------------------------- streaming
 
 from ledgerlake.sources.fixture import stream_view  # noqa: E402

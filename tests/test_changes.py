@@ -124,3 +124,38 @@ def test_greedy_unique_follows_deep_chains(spark):
     assert rounds > I.MERGE_EVERY  # decided rows were merged on the way
     one, _ = I.greedy_unique(spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None)], "seq long, a string"), "seq", [["a"]])
     assert {r["seq"] for r in one.where("accepted").collect()} == {1, 3, 4}
+
+
+def _clash_model(rows):
+    taken, out = set(), {}
+    for seq, *ks in sorted(rows):
+        held = [(i, k) for i, k in enumerate(ks) if k is not None]
+        clash = next((i for i, k in held if (i, k) in taken), None)
+        out[seq] = (clash is None, clash)
+        if clash is None:
+            taken.update(held)
+    return out
+
+
+def test_chain_of_5000_requests_ends_in_a_few_rounds(spark):
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}" if i % 97 else None) for i in range(5000)]
+    out, rounds = I.greedy_unique(spark.createDataFrame(rows, "seq long, a string, b string"), "seq", [["a"], ["b"]])
+    assert {r["seq"]: (r["accepted"], r["_clash"]) for r in out.collect()} == _clash_model(rows)
+    assert rounds == I.PATIENCE + 1
+
+
+@pytest.mark.parametrize("patience, fold_rows", [(0, 10**6), (1, 12), (10**6, 1)])
+def test_components_of_requests_equal_the_model(spark, patience, fold_rows):
+    """Components at once, in small stretches, after a round, and rounds only: the same decisions and the same clashing key."""
+    rng = random.Random(patience + fold_rows)
+    pick = lambda n: None if rng.random() < 0.2 else rng.randint(1, n)
+    rows = [(s, pick(8), pick(30), f'"{pick(12)}"') for s in rng.sample(range(10_000), 70)]
+    df = spark.createDataFrame(rows, "seq long, a int, b int, c string").withColumn("z", F.lit("x"))
+    out, _ = I.greedy_unique(df, "seq", [["a"], ["b", "z"], ["c"]], patience=patience, fold_rows=fold_rows)
+    assert {r["seq"]: (r["accepted"], r["_clash"]) for r in out.collect()} == _clash_model(rows)
+    assert out.columns == df.columns + ["accepted", "_clash"]
+
+
+def test_greedy_unique_of_nothing(spark):
+    out, rounds = I.greedy_unique(spark.createDataFrame([], "seq long, a int, b int"), "seq", [["a"], ["b"]])
+    assert out.count() == 0 and rounds == 0
