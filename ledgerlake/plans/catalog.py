@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import reports as R
+from ledgerlake.schema import TABLES
 from ledgerlake.session import ship_package
 from ledgerlake.sources.fixture import AS_OF, PARAMS, Fixture, oracle_with
 
@@ -862,6 +863,37 @@ from ledgerlake.plans.change_oracles import change_oracles  # noqa: E402
 
 ORACLE.update(change_oracles())
 
+
+def _versioned_bank(fx: Fixture):
+    """The bank as version 1, the account openings of a batch as version 2 (accounts, holders, customers and log at once),
+    read back through that version: every account with its balance, holders and log rows."""
+    from ledgerlake.sources.snapshots import commit, read_bank
+
+    root = L.scratch_path(fx.spark, "versions")
+    whole = fx.bank()
+    first = commit(fx.spark, root, {t: getattr(whole, t) for t in TABLES}, base=0, batch=("load", 0))
+    made = RQ.open_accounts(read_bank(fx.spark, root, first), open_account_requests(fx), AS_OF).rows
+    second = commit(fx.spark, root, appends={t: made[t] for t in ("conta", "titularidade_conta", "cliente", "transacao")},
+                    base=first, batch=("openings", 0))
+    b = read_bank(fx.spark, root, second)
+    holders = b.titularidade_conta.groupBy("num_conta").agg(F.count(F.lit(1)).alias("titulares"))
+    log = b.transacao.groupBy("num_conta").agg(F.count(F.lit(1)).alias("transacoes"))
+    none = F.lit(0).cast("long")
+    return (b.conta.join(holders, "num_conta", "left").join(log, "num_conta", "left")
+            .select("num_conta", "saldo", "tipo_conta", F.coalesce("titulares", none).alias("titulares"),
+                    F.coalesce("transacoes", none).alias("transacoes")))
+
+
+register("versioned_bank")(_versioned_bank)
+_MADE = {t: f"({ORACLE[f'open_accounts_{t}']})" for t in ("conta", "titularidade_conta", "transacao")}
+ORACLE["versioned_bank"] = oracle_with(
+    f"SELECT c.num_conta, c.saldo, c.tipo_conta, COALESCE(h.n, 0) AS titulares, COALESCE(t.n, 0) AS transacoes "
+    f"FROM (SELECT num_conta, saldo, tipo_conta FROM conta UNION ALL SELECT num_conta, saldo, tipo_conta FROM {_MADE['conta']}) c "
+    f"LEFT JOIN (SELECT num_conta, count(*) AS n FROM (SELECT num_conta FROM titularidade_conta UNION ALL "
+    f"SELECT num_conta FROM {_MADE['titularidade_conta']}) GROUP BY num_conta) h ON h.num_conta = c.num_conta "
+    f"LEFT JOIN (SELECT num_conta, count(*) AS n FROM (SELECT num_conta FROM transacao UNION ALL "
+    f"SELECT num_conta FROM {_MADE['transacao']}) GROUP BY num_conta) t ON t.num_conta = c.num_conta")
+
 # Fees: the checks before the posting rule, then the recursion of ``post`` over what passes them.
 _FEES = """
 , fee AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CAST(50501 + o_custkey AS INT) AS num_conta, (CAST(round(o_totalprice * 100) AS BIGINT) + 500) // 1000 / 100.0 AS valor,

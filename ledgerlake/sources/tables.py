@@ -91,23 +91,24 @@ def month_key(col) -> "F.Column":
     return (F.year(c) * 100 + F.month(c)).cast("int")
 
 
-def write_bank(bank: Bank, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
-    """Write the ten tables under ``<path>/<table>``; ``transacao`` partitioned by month.
+def write_table(df: DataFrame, name: str, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
+    """Write one table; ``transacao`` partitioned by month and range-clustered by account inside each month.
 
-    Rows of one month are clustered by account inside each file (sorted
-    within partitions), which keeps per-account reads and row-group
-    statistics on ``num_conta`` tight.
+    Ranges of (month, account) give a task one month, or neighbouring ones, so a month gets about as many files as it
+    fills partitions, not one from every task; a month with most rows is cut by account.
     """
+    if name != "transacao":
+        df.write.mode(mode).format(fmt).save(path)
+        return
+    rows = df.withColumn(PARTITION_COLUMN, month_key("data_hora"))
+    (rows.repartitionByRange(PARTITION_COLUMN, "num_conta").sortWithinPartitions(PARTITION_COLUMN, "num_conta", "id_transacao")
+     .write.mode(mode).format(fmt).partitionBy(PARTITION_COLUMN).save(path))
+
+
+def write_bank(bank: Bank, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
+    """Write the ten tables under ``<path>/<table>`` (see ``write_table``; several tables as one: ``snapshots.commit``)."""
     for name in TABLES:
-        df = getattr(bank, name)
-        w = df
-        if name == "transacao":
-            w = (df.withColumn(PARTITION_COLUMN, month_key("data_hora"))
-                 .repartition(PARTITION_COLUMN, "num_conta")
-                 .sortWithinPartitions("num_conta", "id_transacao"))
-            w.write.mode(mode).format(fmt).partitionBy(PARTITION_COLUMN).save(f"{path.rstrip('/')}/{name}")
-        else:
-            w.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
+        write_table(getattr(bank, name), name, f"{path.rstrip('/')}/{name}", mode, fmt)
 
 
 def load_written_bank(spark: SparkSession, path: str, fmt: str = "parquet") -> Bank:
