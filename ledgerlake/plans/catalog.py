@@ -645,7 +645,7 @@ register("holder_chain",
 from ledgerlake.sources.fixture import stream_view  # noqa: E402
 from ledgerlake.streaming import posting as L  # noqa: E402
 from ledgerlake.streaming import transfers as L3  # noqa: E402
-from ledgerlake.streaming.staging import stage_in_order  # noqa: E402
+from ledgerlake.streaming.staging import staged_ranges  # noqa: E402
 
 
 def _post_stream_stateful(fx: Fixture):
@@ -680,9 +680,24 @@ def payroll_changes(fx: Fixture):
 
 def _payroll_stream(fx: Fixture):
     cdc = payroll_changes(fx)
-    staged = stage_in_order(cdc, "seq", [1 << 40, 2 << 40], "payroll-cdc")
-    src = fx.spark.readStream.schema(cdc.schema).option("maxFilesPerTrigger", 1).parquet(staged)
-    return L.run_to_table(L.payroll_stream(src), "payroll-stream", mode="complete")
+    folder = L.scratch_path(fx.spark, "payroll-stream")
+    for staged in staged_ranges(cdc, "seq", [1 << 40, 2 << 40], "payroll-cdc"):
+        src = fx.spark.readStream.schema(cdc.schema).parquet(staged)
+        out = L.run_to_table(L.payroll_stream(src), "payroll-stream", mode="complete", folder=folder)
+    return out
+
+
+def _payroll_replayed(fx: Fixture):
+    """The same change log with records delivered again: every fifth in its own batch, every third in the batch after."""
+    from ledgerlake.streaming.payroll import payroll_totals, run_payroll
+
+    cdc, span = payroll_changes(fx), 1 << 40
+    sent = cdc.withColumn("at", F.col("seq"))
+    sent = (sent.unionByName(sent.where("seq % 5 = 0")).unionByName(sent.where("seq % 3 = 0").withColumn("at", F.col("seq") + span)))
+    folder = L.scratch_path(fx.spark, "payroll-replayed")
+    for staged in staged_ranges(sent, "at", [span, 2 * span, 3 * span], "payroll-replayed"):
+        out = run_payroll(fx.spark.readStream.schema(sent.schema).parquet(staged).drop("at"), folder)
+    return payroll_totals(fx.spark, out)
 
 
 def transfer_requests(fx: Fixture):
@@ -701,9 +716,10 @@ def transfer_requests(fx: Fixture):
 def _post_transfers_stream(fx: Fixture):
     req = transfer_requests(fx)
     mid = req.agg(F.percentile_approx("seq", 0.5)).collect()[0][0]
-    staged = stage_in_order(req, "seq", [int(mid)], "transfer-req")
-    src = fx.spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(staged)
-    out = L3.post_transfers_stream(fx.bank(), src)
+    folder = L.scratch_path(fx.spark, "transfer-stream")
+    for staged in staged_ranges(req, "seq", [int(mid)], "transfer-req"):
+        src = fx.spark.readStream.schema(req.schema).parquet(staged)
+        out = L3.post_transfers_stream(fx.bank(), src, folder=folder)
     return fx.spark.read.parquet(f"{out}/decisions").select("seq", "kind", "status", "batch")
 
 
@@ -732,6 +748,8 @@ register("payroll_stream",
          "-CAST(CASE WHEN CAST(cep AS BIGINT) % 4 = 0 THEN salario + 100 ELSE salario END AS DECIMAL(18, 2)) FROM funcionario "
          "WHERE CAST(cep AS BIGINT) % 9 = 0) "
          "SELECT num_ag, CAST(SUM(s) AS DOUBLE) AS sal_total FROM d GROUP BY num_ag")(_payroll_stream)
+register("payroll_replayed")(_payroll_replayed)
+ORACLE["payroll_replayed"] = ORACLE["payroll_stream"]
 register("post_transfers_stream")(_post_transfers_stream)
 
 

@@ -131,16 +131,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/ledgerlake-{name}-{uuid.uuid4().hex}"
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", fmt: str = "parquet") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
+                 folder: str | None = None) -> DataFrame:
     """Run a streaming query over everything available now; return the written table as a DataFrame.
 
     Append queries write to a file sink; Update/Complete aggregates are
     written per micro-batch with ``foreachBatch`` (overwrite, idempotent on
-    replay).
+    replay). The same ``folder`` resumes a stopped stream.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    out, ckpt = stream_folders(spark, name, folder)
     w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format(fmt).option("path", out).start()

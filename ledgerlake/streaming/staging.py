@@ -1,8 +1,8 @@
-"""Stage a DataFrame as an ordered sequence of files for a file stream (tests and fixture queries)."""
+"""Feed a DataFrame to a file stream, range by range."""
 
 from __future__ import annotations
 
-import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,20 +10,16 @@ from pyspark.sql import functions as F
 from ledgerlake.streaming.posting import scratch_path
 
 
-def stage_in_order(df: DataFrame, seq: str, cuts: list[int], name: str) -> str:
-    """Write ``df`` in ``seq`` ranges split at ``cuts``, one write per range, oldest first.
+def staged_ranges(df: DataFrame, seq: str, cuts: list[int], name: str) -> Iterator[str]:
+    """Write ``df`` in ``seq`` ranges split at ``cuts``, oldest first, to one folder; yields it after each range.
 
-    A file stream with ``maxFilesPerTrigger=1`` then sees one range per
-    micro-batch, in ``seq`` order (files are taken by modification time).
+    Every range is written by all its tasks in parallel. A stream that is run
+    to completion after each yield, in the same checkpoint folder, takes the
+    files of one range as one micro-batch.
     """
     path = scratch_path(df.sparkSession, name)
-    bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        part = df
-        if lo is not None:
-            part = part.where(F.col(seq) >= lo)
-        if hi is not None:
-            part = part.where(F.col(seq) < hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-        time.sleep(1.1)
-    return path
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        low = F.lit(True) if lo is None else F.col(seq) >= lo
+        high = F.lit(True) if hi is None else F.col(seq) < hi
+        df.where(low & high).write.mode("append").parquet(path)
+        yield path

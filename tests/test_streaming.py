@@ -10,7 +10,9 @@ from ledgerlake.operators.reports import branch_payroll
 from ledgerlake.plans.catalog import QUERIES, _post_transfers, payroll_changes
 from ledgerlake.sources.fixture import Fixture
 from ledgerlake.streaming import posting as L
-from ledgerlake.streaming.staging import stage_in_order
+from ledgerlake.streaming.payroll import payroll_totals, run_payroll
+from ledgerlake.streaming.staging import staged_ranges
+from tests.staging import stage_in_order
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -81,3 +83,36 @@ def test_post_stream_stops_and_resumes(spark, tmp_path):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in exp.items()}
     assert {k: v for k, v in got.items() if v[0] != "DUPLICATE_NUMBER"} == {k: v for k, v in exp.items() if v[0] != "DUPLICATE_NUMBER"}
     assert any(v[0] == "DUPLICATE_NUMBER" for v in got.values())
+
+
+def test_ranges_are_one_batch_each_and_written_in_parallel(spark):
+    rows = spark.range(0, 1000).select(F.col("id").alias("seq")).repartition(6)
+    folder = L.scratch_path(spark, "test-ranges")
+    seen = []
+    for path in staged_ranges(rows, "seq", [300, 800], "test-ranges"):
+        src = spark.readStream.schema(rows.schema).parquet(path)
+        q = (src.writeStream.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True)
+             .foreachBatch(lambda df, i: seen.append((i, df.count(), df.agg(F.min("seq")).first()[0], df.rdd.getNumPartitions()))).start())
+        q.awaitTermination()
+    assert [s[:3] for s in seen] == [(0, 300, 0), (1, 500, 300), (2, 200, 800)]
+    assert all(s[3] > 1 for s in seen)
+
+
+def test_payroll_with_repeated_records(spark):
+    """Records repeated in their own batch, in later batches and after a restart count once."""
+    cols = "seq long, op string, old_num_ag int, old_salario double, new_num_ag int, new_salario double"
+    first = [(i, "I", None, None, i % 3, 100.25 + i) for i in range(5000)]
+    second = [(5000 + i, "U", i % 3, 100.25 + i, 1, 7.5) for i in range(0, 5000, 7)] + [(9999, "D", 1, 7.5, None, None)]
+    again = first[100:200] + second[:50]
+    odd = [(None, "I", None, None, 1, 2.0), (20_000, "I", None, None, None, 5.0), (20_001, "I", None, None, 2, None), (20_002, "x", 1, 1.0, 1, 1.0)]
+    folder, source = L.scratch_path(spark, "test-payroll"), L.scratch_path(spark, "test-payroll-in")
+    for part in (first + first[:10], second + first[4000:], again + odd + odd[:1], second):
+        spark.createDataFrame(part, cols).repartition(4).write.mode("append").parquet(source)
+        out = run_payroll(spark.readStream.schema(cols).parquet(source), folder)
+    exp = {}
+    for _, _, old, was, new, now in first + second + odd[:1] * 2:
+        for ag, delta in ((old, -was if was else None), (new, now)):
+            if ag is not None and delta is not None:
+                exp[ag] = exp.get(ag, 0) + round(delta * 100)
+    assert {r["num_ag"]: r["sal_total"] for r in payroll_totals(spark, out).collect()} == {k: v / 100 for k, v in exp.items()}
+    assert len(spark.read.parquet(f"{out}/sums").select("batch").distinct().collect()) == 4
