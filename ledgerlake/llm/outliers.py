@@ -3,18 +3,21 @@
 ``text_statistics`` counts, per document and inside its row (no shuffle of words): words, their characters,
 symbols, repeated lines, and words in repeated three-word windows. ``robust_outliers`` transforms statistics
 into a vector and estimates location and scatter per language and source by minimum covariance determinant:
-concentration steps keep the ``SUPPORT`` share of rows nearest by Mahalanobis distance and refit on them. Each
-step is one partial aggregate per group, so a source with a third of all rows is no larger than any other.
-Rows whose squared distance exceeds the chi-square limit are outliers.
+concentration steps keep the ``SUPPORT`` share of rows nearest by Mahalanobis distance and refit on them, from
+``STARTS`` deterministic starts; the estimate of smallest determinant is taken. Each step is one partial aggregate per
+group, so a source with a third of all rows is no larger than any other. Rows whose squared distance exceeds the
+chi-square limit are outliers.
 
-Groups with fewer than ``LEAST_ROWS`` usable rows are judged by their language, and languages with fewer by all
-rows. Null languages and sources are groups of their own. Documents without words have zero statistics, fail
+Rows of groups with fewer than ``LEAST_ROWS`` usable rows are judged by all rows of their language, and those of
+languages with fewer by all rows. Null languages and sources are groups of their own. Documents without words have zero statistics, fail
 the base rule and take no part in the estimates. Null texts are empty. Repeated rows count as often as they
 occur. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from ledgerlake.llm.common import SPACE_CLASS, written
 
 SUPPORT = 0.75
 STEPS = 4
+STARTS = 2
 LEAST_ROWS = 200
 # Fixed value: the chi-square quantile with 5 degrees of freedom that a clean row exceeds once in a million.
 LIMIT = 35.888187
@@ -84,9 +88,8 @@ def base_failed(few: int = 50, most_repeat_percent: int = 50) -> Column:
 
 
 def transformed() -> list[Column]:
-    """The statistics as a vector of similar scales: log length, mean word length, log odds of the shares."""
+    """The statistics as a vector of similar scales: log length, log mean word length, square roots of the shares."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    share = lambda c, of: F.log((c + 0.5) / (of + 1.0))
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     return [F.log(n), F.log(chars / n), F.sqrt(F.col("n_symbols") / chars) * 4.0,
             F.sqrt(F.col("n_dup_lines") / n) * 4.0, F.sqrt(F.col("n_repeat_words") / n)]
@@ -118,13 +121,20 @@ def _estimate(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
                       *[f"l{i}{j}" for j in range(DIM) for i in range(j, DIM)])
 
 
+def _on_keys(rows: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equal keys, where null equals null; ``right`` has them with a leading underscore."""
+    return reduce(lambda a, b: a & b, [rows[k].eqNullSafe(right[f"_{k}"]) for k in keys])
+
+
+def _joined(rows: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows`` with the other columns of ``right`` (one row per key)."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return rows.join(other, _on_keys(rows, other, keys), how).drop(*[f"_{k}" for k in keys])
+
+
 def _with_distance(rows: DataFrame, est: DataFrame, keys: list[str], name: str = "d2") -> DataFrame:
     """Squared Mahalanobis distance by forward substitution; groups that are null match null."""
-    right = est.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in est.columns if c not in keys])
-    on = None
-    for k in keys:
-        on = rows[k].eqNullSafe(right[f"_{k}"]) if on is None else on & rows[k].eqNullSafe(right[f"_{k}"])
-    joined = rows.join(right, on, "left")
+    joined = _joined(rows, est, keys)
     total = F.lit(0.0)
     for i in range(DIM):
         z = F.col(f"x{i}") - F.col(f"m{i}")
@@ -135,54 +145,77 @@ def _with_distance(rows: DataFrame, est: DataFrame, keys: list[str], name: str =
     return joined.withColumn(name, total).select(*rows.columns, name)
 
 
+def _levels(counts: DataFrame, names: list[str], least_rows: int) -> DataFrame:
+    """Per group of all keys: _level, how many of its keys it is judged by, and _parts, the levels that its rows are needed for.
+
+    ``counts``: the keys and _n. A level has ``least_rows`` rows, counted over everything that shares its keys; level 0 is all rows.
+    """
+    groups = counts.withColumn("_level", F.lit(0))
+    for d in range(1, len(names) + 1):
+        size = counts.groupBy(*names[:d]).agg(F.sum("_n").alias("_size"))
+        groups = _joined(groups, size, names[:d]).withColumn(
+            "_level", F.when(F.col("_size") >= least_rows, F.lit(d)).otherwise(F.col("_level"))).drop("_size")
+    groups = written(groups, "groups")
+    whole = not groups.where("_level = 0").isEmpty()
+    parts, out = [F.lit(0 if whole else None).cast("int")], groups
+    for d in range(1, len(names) + 1):
+        need = groups.where(F.col("_level") == d).select(*names[:d]).distinct().withColumn(f"_need{d}", F.lit(d))
+        out = _joined(out, need, names[:d])
+        parts.append(F.col(f"_need{d}"))
+    return out.select(*names, "_level", F.array_compact(F.array(*parts)).alias("_parts"))
+
+
 def robust_outliers(stats: DataFrame, usable: Column, keys: tuple[str, ...] = ("lang", "source"),
                     support: float = SUPPORT, steps: int = STEPS, least_rows: int = LEAST_ROWS,
                     limit: float = LIMIT) -> DataFrame:
     """``stats`` with d2 (robust squared distance) and outlier (boolean; false where not usable).
 
-    The group of a row is its keys as long as the group has ``least_rows`` usable rows, else fewer of the keys.
+    A row is judged by the first of: its keys, fewer of them, all rows, that has ``least_rows`` usable rows; each is
+    estimated from all its usable rows. Where even all rows are fewer, they are the group.
     """
-    names = [f"_g{i}" for i in range(len(keys))]
+    full = [f"_g{i}" for i in range(len(keys))]
     rows = stats.withColumn("_use", usable)
     for i, x in enumerate(transformed()):
         rows = rows.withColumn(f"x{i}", x)
-    for n, k in zip(names, keys):
+    for n, k in zip(full, keys):
         rows = rows.withColumn(n, F.col(k))
-    # Small groups fall back to fewer keys: the dropped ones become the marker "*" (beside the null group).
-    for depth in range(len(keys), 0, -1):
-        own = written(rows.where("_use").groupBy(*names).agg(F.count("*").alias("_n"))
-                      .where(F.col("_n") >= least_rows).select(*[F.col(n).alias(f"_{n}") for n in names]), "groups")
-        on = None
-        for n in names:
-            on = rows[n].eqNullSafe(own[f"_{n}"]) if on is None else on & rows[n].eqNullSafe(own[f"_{n}"])
-        rows = (rows.join(own.withColumn("_big", F.lit(True)), on, "left")
-                .withColumn(names[depth - 1], F.when(F.col("_big"), F.col(names[depth - 1])).otherwise(F.lit("*")))
-                .drop("_big", *[f"_{n}" for n in names]))
     rows = written(rows, "vectors")
-    used = rows.where("_use")
-    est = written(_start(used, names), "estimate")
+    counts = written(rows.where("_use").groupBy(*full).agg(F.count("*").alias("_n")), "counts")
+    groups = written(_levels(counts, full, least_rows), "levels")
+    names = ["_level", *full]
+    at_level = lambda df: df.withColumns({n: F.when(F.col("_level") > i, F.col(n)) for i, n in enumerate(full)})
+    used = _joined(rows.where("_use").select(*full, *[f"x{i}" for i in range(DIM)]), groups.select(*full, "_parts"), full, "inner")
+    used = written(at_level(used.withColumn("_level", F.explode("_parts")).drop("_parts")), "used")
+    est = written(_starts(used, names), "estimate")
+    tried = [*names, "_start"]
     for step in range(steps):
-        near = _with_distance(used, est, names)
-        cut = written(near.groupBy(*names).agg(F.percentile_approx("d2", support, 2000).alias("_cut")), "cut")
-        right = cut.select(*[F.col(n).alias(f"_{n}") for n in names], "_cut")
-        on = None
-        for n in names:
-            on = near[n].eqNullSafe(right[f"_{n}"]) if on is None else on & near[n].eqNullSafe(right[f"_{n}"])
-        nearest = near.join(right, on).where(F.col("d2") <= F.col("_cut"))
-        est = written(_estimate(nearest, names, CONSISTENCY), "estimate")
-    judged = _with_distance(rows, est, names)
+        near = _with_distance(used.withColumn("_start", F.explode(F.array(*map(F.lit, range(STARTS))))), est, tried)
+        cut = written(near.groupBy(*tried).agg(F.percentile_approx("d2", support, 2000).alias("_cut")), "cut")
+        nearest = _joined(near, cut, tried, "inner").where(F.col("d2") <= F.col("_cut"))
+        est = written(_estimate(nearest, tried, CONSISTENCY), "estimate")
+    volume = reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") for i in range(DIM)])  # root of the determinant
+    kept = [c for c in est.columns if c not in tried]
+    best = est.groupBy(*names).agg(F.min_by(F.struct(*kept), F.struct(volume, "_start")).alias("_e")).select(*names, "_e.*")
+    judged = at_level(_joined(rows, groups.select(*full, "_level"), full))
+    judged = _with_distance(judged, written(best, "best"), names)
     return (judged.withColumn("outlier", F.col("_use") & F.coalesce(F.col("d2") > limit, F.lit(False)))
             .select(*stats.columns, "d2", "outlier"))
 
 
-def _start(used: DataFrame, names: list[str]) -> DataFrame:
-    """First estimate: medians and median-based spreads of each component, without correlation."""
+def _starts(used: DataFrame, names: list[str]) -> DataFrame:
+    """Two first estimates per group: medians with median-based spreads, and the scatter of the spatial signs around them."""
     med = used.groupBy(*names).agg(*[F.percentile_approx(f"x{i}", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000)
                                      .alias(f"q{i}") for i in range(DIM)])
-    spread = [((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) for i in range(DIM)]
-    return med.select(*names, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)],
-                      *[(F.greatest(spread[i], F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
-                        for j in range(DIM) for i in range(j, DIM)])
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(DIM)]
+    med = written(med.select(*names, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)],
+                             *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for j in range(DIM) for i in range(j, DIM)]), "medians")
+    signs = _joined(used, med, names, "inner")
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"l{i}{i}") for i in range(DIM)]
+    length = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
+    signs = signs.withColumn("_r", F.when(length > 0, F.lit(DIM ** 0.5) / length).otherwise(F.lit(0.0)))
+    signs = signs.select(*names, *[(F.col(f"m{i}") + z[i] * F.col("_r") * F.col(f"l{i}{i}")).alias(f"x{i}") for i in range(DIM)])
+    return (med.withColumn("_start", F.lit(0))
+            .unionByName(_estimate(signs, names, 1.0).withColumn("_start", F.lit(1))))
 
 
 def quality_verdicts(docs: DataFrame, **how) -> DataFrame:

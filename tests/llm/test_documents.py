@@ -289,6 +289,29 @@ def test_mix_plan_has_no_python(spark):
 # --- op6
 
 
+def test_small_groups_are_judged_by_all_rows_of_their_language(spark):
+    """A lone row of a source, a lone language and a null source: odd rows go, ordinary ones stay, whatever their group's size."""
+    from ledgerlake.llm.outliers import base_failed, robust_outliers
+
+    rng = np.random.default_rng(8)
+
+    def row(i, lang, source, symbols=0.0):
+        words = int(np.exp(rng.normal(6, 0.4)))
+        chars = int(words * rng.normal(5, 0.1))
+        return (i, lang, source, words, chars, int(symbols * chars), 0, 0, symbols > 0)
+
+    rows = [row(i, ("en", "de")[i % 2], ("a", "b", None)[i % 3]) for i in range(1500)]
+    rows += [row(2000, "en", "lone", 0.6), row(2001, "en", "few"), row(2002, "xx", "lone", 0.6), row(2003, "yy", "a"), row(2004, None, None, 0.6),
+             row(2005, None, None), row(2006, "en", None, 0.6)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, "
+                                        "n_symbols long, n_dup_lines long, n_repeat_words long, far boolean")
+    out = robust_outliers(stats, ~base_failed()).collect()
+    assert len(out) == len(rows)
+    assert all(r.outlier for r in out if r.far) and not any(r.outlier for r in out if r.doc_id >= 2000 and not r.far)
+    assert sum(r.outlier for r in out) <= 4 + 5
+
+
+
 def test_near_groups(spark, whole):
     rows = QUERIES["op6_jaccard_join"](spark, SF).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == models.near_groups(whole)
