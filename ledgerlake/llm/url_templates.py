@@ -1,6 +1,6 @@
 """Path templates per host as a tree, judged by labelled purity, in DataFrame operations only.
 
-Each url's path is cut into segments. Level by level, a segment stays literal if it has ``LEAST_COUNT`` pages below
+Each url's path is cut into segments. Level by level, a segment (of digits or not) stays literal if it has ``LEAST_COUNT`` pages below
 its parent; otherwise it becomes a wildcard of its shape (digits and letters generalised), and rare shapes the
 general wildcard. Templates of the same parent are taken by their share of bad labelled pages; each joins the branch
 before it unless it differs significantly from all of that branch. A branch is rejected if the share of bad pages
@@ -63,7 +63,7 @@ def templates(urls: DataFrame) -> DataFrame:
         n = written(rows.where("_seg is not null").groupBy("host", "template", "_seg", "_shape").agg(
             F.count("*").alias("_n")), "children")
         shapes = n.groupBy("host", "template", "_shape").agg(F.sum("_n").alias("_of_shape"))
-        literal = (n.where((F.col("_n") >= LEAST_COUNT) & ~F.col("_seg").rlike("^[0-9]+$"))
+        literal = (n.where(F.col("_n") >= LEAST_COUNT)
                    .select(F.col("host").alias("_lh"), F.col("template").alias("_lt"), F.col("_seg").alias("_ls")))
         shaped = (shapes.where(F.col("_of_shape") >= LEAST_COUNT)
                   .select(F.col("host").alias("_sh"), F.col("template").alias("_st"), F.col("_shape").alias("_ss")))

@@ -203,3 +203,17 @@ def test_deep_paths_and_small_sections_keep_their_own_verdict(spark):
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i, _ in deep)
     assert all(got[i].verdict == ("block" if 10_000 <= i < 10_100 else "allow") for i, _ in big + parts)
     assert got[20_000].template.endswith("/{*}" * 300)
+
+
+def test_frequent_numbers_are_sections_of_their_own(spark):
+    """Years and numbered categories with enough pages; numbers without support still share a shape."""
+    rows, labels = [], []
+    for i in range(800):
+        kind, bad = (("2020", 0), ("2019", 1), ("cat/3", 0), ("cat/4", 1))[i % 4]
+        rows.append((i, f"https://n.net/{kind}/{i}"))
+        labels.append((i, bad))
+    rows += [(5000 + i, f"https://n.net/{3000 + i}/{5000 + i}") for i in range(60)]
+    got = _judged(spark, rows, labels + [(5000 + i, 0) for i in range(60)])
+    assert {got[i].verdict for i in range(800) if i % 2} == {"block"}
+    assert {got[i].verdict for i in range(0, 800, 2)} == {"allow"}
+    assert {got[5000 + i].template for i in range(60)} == {"/{9}/{9}"}
