@@ -187,3 +187,22 @@ def test_cash_operations(spark):
     rows = sorted((x["num_conta"], x["num_transacao"], x["valor"]) for x in r.rows["transacao"].collect())
     assert rows == [(61007, 3, 300.0), (61007, 4, 50.0), (61007, 5, 20.0), (61008, 2, 200.0)]
     assert {x["num_conta"]: x["saldo"] for x in r.rows["conta"].collect()} == {61007: 40.75, 61008: -110.9}
+
+
+def test_many_dependents_of_one_employee(spark):
+    """Each of 40,000 stored names is renamed or removed: the time of a request does not grow with the employee's rows."""
+    import time
+
+    b = seed_bank(spark)
+    n = 40_000
+    stored = spark.range(n).select(F.concat(F.lit("Dep "), F.col("id").cast("string")).alias("nome_completo"),
+                                   F.lit("MAT2041").alias("matricula_func"), F.lit(D).alias("data_nascimento"),
+                                   F.lit("filho(a)").alias("parentesco"), F.lit(1).alias("idade"))
+    req = stored.withColumn("seq", F.substring("nome_completo", 5, 9).cast("long")).select(
+        "seq", F.when(F.col("seq") % 4 == 0, "delete").otherwise("edit").alias("op"), "matricula_func", F.col("nome_completo").alias("nome_antigo"),
+        F.concat("nome_completo", F.lit(" Jr")).alias("nome_completo"), "data_nascimento", "parentesco")
+    start = time.time()
+    r = RQ.apply_dependents(b.with_tables(dependente=stored), req, AS_OF)
+    assert time.time() - start < 30
+    assert r.decisions.where("status = 'ACCEPTED'").count() == n
+    assert r.rows["dependente"].where("nome_completo like '% Jr'").count() == r.rows["dependente"].count() == n * 3 // 4
