@@ -75,3 +75,23 @@ def test_name_sort_is_case_and_accent_insensitive(spark):
         "id long, username string, nome string, senha string, role string, cpf string, matricula string")
     out = [r["nome"] for r in R.user_directory(b.with_tables(usuario=users)).collect()]
     assert out == ["Álvaro", "ana", "Bruno"]
+
+
+def test_statements_of_tellers_multiply_last(spark):
+    """No exchange moves a row per teller and account or transaction; equal rows and null branches as a plain join has them."""
+    from ledgerlake.operators import access as N
+
+    b = seed_bank(spark, {"usuario": [(8, "MAT2044", "Ana", "x", "caixa", None, "MAT2041")]})
+    b = b.with_tables(conta=b.conta.withColumn("num_ag", F.when(F.col("num_ag") == 3, F.col("num_ag"))),
+                      transacao=b.transacao.unionByName(b.transacao.where("id_transacao = 1")))
+    df = N.statements_for(b, b.usuario.where("role = 'caixa'"))
+    got = sorted((r["username"], r["scope"], r["num_conta"], r["num_transacao"]) for r in df.collect())
+    assert got == sorted((u, "agencia", 61007, n) for u in ("MAT2041", "MAT2044") for n in (1, 1, 2))
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    at, top = next((i, x) for i, x in enumerate(lines) if "Join Inner, (num_ag" in x)
+    above, least = [], depth(top)
+    for x in reversed(lines[:at]):
+        if depth(x) < least:
+            above, least = above + [x], depth(x)
+    assert not any("Join" in x or "Repartition" in x for x in above)
