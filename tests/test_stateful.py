@@ -52,3 +52,32 @@ def test_stream_with_state_equals_batch(spark, tmp_path, cuts):
     got = _rows(out)
     assert got == exp
     assert {"DUPLICATE_NUMBER", "UNKNOWN_ACCOUNT", "NULL_FIELD", "INVALID_TYPE", "ACCEPTED"} <= {s for s, _ in got.values()}
+
+
+@pytest.mark.parametrize("kind", ["state", "group"])
+def test_neighbouring_accounts_share_one_call(spark, tmp_path, kind, monkeypatch):
+    """300 accounts in two groups and rows without an account: three calls of Python, and each account decided as in the batch."""
+    from ledgerlake.streaming import posting as L
+
+    n = F.col("id")
+    accounts = spark.range(1024, 1324).select(n.cast("int").alias("num_conta"), F.lit(100.0).alias("saldo"),
+                                              F.when(n % 3 == 0, "conta especial").otherwise("conta-corrente").alias("tipo_conta"),
+                                              F.when(n % 3 == 0, 50.0).alias("limite_credito"))
+    t = spark.range(3000).select(n.alias("seq"), F.when(n % 50 != 7, 1020 + n % 300).cast("int").alias("num_conta"),
+                                 F.when(n % 4 == 0, "depósito").otherwise("saque").alias("tipo"), (n % 60).cast("double").alias("valor"))
+    t.write.parquet(f"{tmp_path}/source")
+    src = spark.readStream.schema(t.schema).parquet(f"{tmp_path}/source")
+    if kind == "state":
+        out = _drain(post_stream_state(src, accounts), tmp_path)
+    else:
+        calls, plain = f"{tmp_path}/calls", L._post_group
+        os.mkdir(calls)
+
+        def counted(key, pdfs, state):
+            open(f"{calls}/{key[0]}", "x").close()
+            yield from plain(key, pdfs, state)
+
+        monkeypatch.setattr(L, "_post_group", counted)
+        out = L.run_to_table(L.post_stream(src, accounts), "grouped", folder=f"{tmp_path}/grouped")
+        assert sorted(os.listdir(calls)) == ["3", "4", "5", "None"] or len(os.listdir(calls)) <= 4
+    assert _rows(out) == _rows(K.post(accounts, t, seq="seq").decisions)
