@@ -37,8 +37,8 @@ from ledgerlake.llm.common import new_folder, written
 SEQ_LEN = 2048
 END_ID = 1
 MANIFEST = "shard int, name string, n_docs long, n_tokens long, n_sequences long"
-# What an encoder remembers, in bytes (an entry counts twice its length and ``ENTRY_BYTES``); longer words are forgotten after a call.
-CACHE_BYTES = 96 << 20
+# What an encoder remembers, in bytes (an entry counts twice its length and ``ENTRY_BYTES``, more than it takes); longer words are forgotten after a call.
+CACHE_BYTES = 160 << 20
 ENTRY_BYTES = 160
 LONGEST_WORD = 256
 

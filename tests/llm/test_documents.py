@@ -522,3 +522,19 @@ def test_contamination_short_items_and_awkward(spark, documents, awkward):
     assert [r.contaminated for r in out if r.doc_id == 7 and r.text.startswith("the same")] == [True, True]
     assert contamination(awkward, bench.limit(0)).where("contaminated").count() == 0
     assert contamination(awkward.limit(0), bench).count() == 0
+
+
+def test_encoder_keeps_a_large_vocabulary():
+    """400,000 distinct words fit what an encoder remembers: texts that use them again are not learned anew."""
+    import itertools
+    import string
+
+    import public_tokenizers
+    from ledgerlake.llm.token_files import Encoder
+
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["q" + "".join(x) for x in itertools.islice(itertools.product(string.ascii_lowercase, repeat=5), 400_000)]
+    first = [x for k in range(0, len(words), 20_000) for x in enc.encode([" ".join(words[k:k + 20_000])])]
+    list(enc.encode(["one more"]))
+    assert len(enc.words) == 400_002
+    assert list(enc.encode([" ".join(words[:20_000])])) == first[:1]
