@@ -10,12 +10,13 @@ furniture (notices, captions, repeated lines of the layout). What stands between
 A token that occurs equally often on at least ``LEAST_SHARE`` of a host's pages is an anchor there, each occurrence
 with a role of its own (the first ``div``, the second ``div``). The text blocks that follow an anchor up to the next
 one, under one element path, fill one slot. Slots are judged over all distinct pages of their host by the share of
-their characters inside links: a slot above ``MOST_LINKED`` is a menu or a list of related pages.
+their characters inside links: a slot above ``MOST_LINKED`` is a menu or a list of related pages. Inside ``article`` and
+``main`` only links within the host count, so a list of references to other sites stays text of the article.
 
-Extraction reads each page once more, walking its host's template. Slots inside an ``article`` (else ``main``, else
-the page's body) are kept; those inside menus, headers, footers, sidebars, forms, scripts, styles, adverts, notices and
-reader comments are not, by element name or by the words of class, id and role, and outside ``article`` and ``main``
-linked slots are not either, unless the page has no others. Character references are decoded, white space inside a block becomes one space, and
+Extraction reads each page once more, walking its host's template, whatever elements the page has. Slots inside menus,
+headers, footers, sidebars, forms, scripts, styles, adverts, notices and reader comments are left out, by element name or
+by the words of class, id and role, and so are linked slots. Of the rest, those inside an ``article`` (else ``main``, else
+the page's body) are kept; a page with nothing else keeps its linked slots. Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by line ends. Comments of readers with neither such words nor links look like text and are kept.
 
 Broken markup is read as it comes: unclosed elements end with their parent, unclosed comments and scripts with the
@@ -31,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ from ledgerlake.llm.common import written
 LEAST_PAGES = 5
 LEAST_SHARE = 0.5
 MOST_LINKED = 0.5
+LONGEST_PATH = 256
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,7 +74,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPACE = re.compile(r"\s+")
+# The site that a link leads to; without one it stays on its page's own.
+_SITE = re.compile(r"\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\s\"'>]*)", re.I)
 
 
 @dataclass
@@ -81,6 +85,7 @@ class Block:
     aside: bool    # inside an element that never holds main text
     inside: str    # "article", "main" or ""
     linked: int    # its characters inside links, but for white space
+    own: int       # those of them inside links within the page's host
 
 
 def _aside(name: str, attributes: str, path: list[tuple]) -> bool:
@@ -99,28 +104,34 @@ def _aside_name(mark: str) -> bool:
     return (words & ASIDE_WORDS) > (words & {"header"} if words & OF_TEXT else set()) and words.isdisjoint(MODIFIERS)
 
 
-def parse(page: str) -> Iterator[tuple[str, Block | str]]:
+def parse(page: str, host: str = "") -> Iterator[tuple[str, Block | str]]:
     """("tag", path) for each opening tag and ("block", Block) for each text block, in page order."""
-    stack: list[tuple[str, bool, str]] = []  # name, aside, inside
+    stack: list[tuple[str, bool, str, str, str, bool]] = []  # name, aside, inside, path, path of block elements, link within the host
     text: list[str] = []
-    links: list[str] = []
+    links: list[tuple[str, bool]] = []
     at = depth = 0  # depth: open links
 
     def block():
-        words = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-        linked = len("".join(html.unescape("".join(links)).split())) if links else 0
+        words = " ".join(html.unescape("".join(text)).split())
+        linked = own = 0
+        if links:
+            linked = len("".join(html.unescape("".join([x for x, _ in links])).split()))
+            own = len("".join(html.unescape("".join([x for x, within in links if within])).split()))
         text.clear()
         links.clear()
         if words:
-            top = stack[-1] if stack else ("", False, "")
-            return Block("/".join(s[0] for s in stack if s[0] in BLOCK), words, top[1], top[2], linked)
+            _, aside, inside, _, path, _ = stack[-1] if stack else _PAGE
+            return Block(path, words, aside, inside, linked, own)
         return None
 
+    def open_links():
+        return sum(s[0] == "a" for s in stack) if depth else 0
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text.append(page[at:m.start()])
             if depth:
-                links.append(page[at:m.start()])
+                links.append((text[-1], next(s[5] for s in reversed(stack) if s[0] == "a")))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -128,39 +139,56 @@ def parse(page: str) -> Iterator[tuple[str, Block | str]]:
         if name == "br":
             text.append(" ")
             continue
-        if name in BLOCK:
+        if name in BLOCK and text:
             if b := block():
                 yield "block", b
         if m[2]:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-                depth = sum(s[0] == "a" for s in stack) if depth else 0
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    del stack[k:]
+                    depth = open_links()
+                    break
             continue
         if name in _CLOSES:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in _CLOSES[name]:
                     del stack[k:]
-                    depth = sum(s[0] == "a" for s in stack) if depth else 0
+                    depth = open_links()
                     break
                 if stack[k][0] in _STOP:
                     break
-        up = stack[-1] if stack else ("", False, "")
-        inside = "article" if name == "article" or up[2] == "article" else "main" if name == "main" or up[2] == "main" else ""
-        entry = (name, up[1] or _aside(name, m[4], stack), inside)
-        yield "tag", "/".join(s[0] for s in stack) + "/" + name
+        _, aside, inside, path, blocks, _ = stack[-1] if stack else _PAGE
+        inside = "article" if name == "article" or inside == "article" else "main" if name == "main" or inside == "main" else ""
+        yield "tag", f"{path}/{name}"
         if name not in VOID and not m[4].endswith("/"):
-            stack.append(entry)
-            depth += name == "a"
+            within = False
+            if name == "a":
+                site = _SITE.search(m[4])
+                within = site is None or site[1].lower() == host
+                depth += 1
+            path = f"{path}/{name}" if path else name
+            if name in BLOCK:
+                blocks = f"{blocks}/{name}" if blocks else name
+            stack.append((name, aside or _aside(name, m[4], stack), inside, path, blocks, within))
     if at < len(page):
         text.append(re.sub(r"<[a-z/!?][^>]*\Z", "", page[at:], flags=re.I))
     if b := block():
         yield "block", b
 
 
+_PAGE = ("", False, "", "", "", False)  # around all elements
+
+
+@lru_cache(maxsize=1 << 16)
+def _tag_token(path: str) -> int:
+    return xxhash.xxh64_intdigest(f"t {path}".encode())
+
+
 def _token(kind: str, value: Block | str) -> int:
-    key = f"t {value}" if kind == "tag" else f"b {value.path} {value.text}"
-    return xxhash.xxh64_intdigest(key.encode())
+    if kind == "tag":
+        # Few paths on many pages; a deep one of broken markup is not remembered.
+        return _tag_token(value) if len(value) <= LONGEST_PATH else _tag_token.__wrapped__(value)
+    return xxhash.xxh64_intdigest(f"b {value.path} {value.text}".encode())
 
 
 def host_of(url: Column) -> Column:
@@ -241,13 +269,9 @@ class Template:
     linked: frozenset[int] = frozenset()                   # slots of menus and lists of links
 
 
-def content(page: str, template: Template) -> tuple[str, list[tuple[int, Block]]]:
-    """The innermost kind of container that the page has, and its (slot, block) without asides and (but in articles) furniture."""
-    found = list(parse(page))
-    blocks = [v for kind, v in found if kind == "block"]
-    for want in ("article", "main"):
-        if kept := [b for b in blocks if b.inside == want]:
-            return want, [(0, b) for b in kept if not b.aside and (want == "article" or _token("block", b) not in template.furniture)]
+def content(page: str, template: Template, host: str = "") -> list[tuple[int, Block]]:
+    """(slot, block) of the page in its host's template, without asides and (but in articles) furniture."""
+    found = list(parse(page, host))
     tokens = [_token(kind, v) for kind, v in found]
     times = Counter(tokens)
     seen: Counter = Counter()
@@ -256,23 +280,22 @@ def content(page: str, template: Template) -> tuple[str, list[tuple[int, Block]]
         if template.anchors.get(token) == times[token]:
             seen[token] += 1
             role = (token, seen[token])
-        if kind == "block" and not v.aside and token not in template.furniture:
-            out.append((xxhash.xxh64_intdigest(f"{role} {v.path}".encode()), v))
-    return "", out
+        if kind == "block" and not v.aside and (v.inside == "article" or token not in template.furniture):
+            out.append((xxhash.xxh64_intdigest(f"{role[0]} {role[1]} {v.path}".encode()), v))
+    return out
 
 
 def linked_slots(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """host, linked: the slots outside articles and mains whose text is mostly links, on enough of a host's distinct pages."""
+    """host, linked: the slots whose text is mostly links (in articles and mains, links within the host), on enough of a host's distinct pages."""
     def count(batches):
         for batch in batches:
             found: dict[tuple[str, int], list[int]] = {}
             for host, page, template in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), _templates(batch)):
-                want, slots = content(page, template)
                 n: dict[int, list[int]] = {}
-                for slot, b in slots if not want else ():
+                for slot, b in content(page, template, host):
                     at = n.setdefault(slot, [1, 0, 0])
                     at[1] += len(b.text) - b.text.count(" ")
-                    at[2] += b.linked
+                    at[2] += b.own if b.inside else b.linked
                 for slot, v in n.items():
                     row = found.setdefault((host, slot), [0, 0, 0])
                     for i in range(3):
@@ -312,10 +335,14 @@ def _templates(batch: pa.RecordBatch) -> Iterator[Template]:
         yield known[host]
 
 
-def main_text(page: str, template: Template) -> str:
-    """The page's content in its host's template, without the slots of links unless it has no others."""
-    slots = content(page, template)[1]
-    return "\n".join(b.text for _, b in [x for x in slots if x[0] not in template.linked] or slots)
+def main_text(page: str, template: Template, host: str = "") -> str:
+    """The innermost kind of container with slots that are kept, of them; the slots of links only if the page has no others."""
+    slots = content(page, template, host)
+    for some in ([b for slot, b in slots if slot not in template.linked], [b for _, b in slots]):
+        for want in ("article", "main", ""):
+            if kept := [b.text for b in some if not want or b.inside == want]:
+                return "\n".join(kept)
+    return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -328,8 +355,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(page or "", template)
-                     for page, template in zip(batch.column("html").to_pylist(), _templates(batch))]
+            texts = [main_text(page or "", template, host) for page, host, template in zip(
+                batch.column("html").to_pylist(), batch.column("host").to_pylist(), _templates(batch))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("page_id", "url", "host")]
                 + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),

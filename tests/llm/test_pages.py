@@ -120,6 +120,28 @@ def test_slots_of_links_are_found_without_names(spark):
     assert "go 7" in got[101] and all(got[200 + i] == f"only link {i}" for i in range(30))
 
 
+def test_template_decides_inside_articles_and_mains(spark):
+    """Lists of links that vary from page to page, without names: related pages go, references to other sites stay."""
+    from ledgerlake.llm.html_extract import extract
+
+    def page(i, site):
+        body = "".join(f"<p>story {i} {k} in many plain words</p>" for k in range(2 + i % 3))
+        more = "".join(f"<li><a href='{('', '//Own.net', 'http://own.net')[k % 3]}/{i}'>read on {i} {k}</a></li>" for k in range(2 + i % 4))
+        refs = "".join(f"<dd><a href='https://other.org/{i}'>source {i} {k}</a></dd>" for k in range(1 + i % 3))
+        return f"<body><{site}><div>{body}</div><ul>{more}</ul><dl>{refs}</dl></{site}></body>"
+
+    def text(i):
+        return "\n".join([f"story {i} {k} in many plain words" for k in range(2 + i % 3)] + [f"source {i} {k}" for k in range(1 + i % 3)])
+
+    teaser = "<body><main><p>the story {0}</p><p>goes on {0}</p></main><article><p><a href='/{0}'>another story {0}</a></p></article></body>".format
+    rows = [(i, f"http://own.net/{i}", page(i, "article")) for i in range(30)]
+    rows += [(100 + i, f"http://own.net/m{i}", page(i, "main")) for i in range(30)]
+    rows += [(200 + i, f"http://teaser.net/{i}", teaser(i)) for i in range(30)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i] == got[100 + i] == text(i) for i in range(30))
+    assert all(got[200 + i] == f"the story {i}\ngoes on {i}" for i in range(30))
+
+
 # --- op4
 
 
