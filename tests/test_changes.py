@@ -144,6 +144,14 @@ def test_chain_of_5000_requests_ends_in_a_few_rounds(spark):
     assert rounds == I.PATIENCE + 1
 
 
+def test_long_chains_of_many_requests_end_rounds_early(spark, monkeypatch):
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}" if i % 97 else None) for i in range(3000)]
+    monkeypatch.setattr(I, "ROUND_ROWS", 100)
+    out, rounds = I.greedy_unique(spark.createDataFrame(rows, "seq long, a string, b string"), "seq", [["a"], ["b"]])
+    assert {r["seq"]: (r["accepted"], r["_clash"]) for r in out.collect()} == _clash_model(rows)
+    assert rounds == 2
+
+
 @pytest.mark.parametrize("patience, fold_rows", [(0, 10**6), (1, 12), (10**6, 1)])
 def test_components_of_requests_equal_the_model(spark, patience, fold_rows):
     """Components at once, in small stretches, after a round, and rounds only: the same decisions and the same clashing key."""
