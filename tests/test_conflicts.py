@@ -79,3 +79,25 @@ def test_numbers_in_components(spark):
 def test_transfer_to_the_same_account_is_refused(spark):
     got, _ = _run(spark, {1: (100.0, "conta-corrente", None)}, [(1, 1, "saque", 10.0)], [(2, 1, 1, 60.0), (3, 1, 1, 1.0)])
     assert got == {1: "ACCEPTED", 2: "SAME_ACCOUNT", 3: "SAME_ACCOUNT"}
+
+
+def test_steps_of_components_keep_real_sizes(spark):
+    """The planner's size of the result must not grow with every step (it multiplies at joins)."""
+    links = [(i, i + 1) for i in range(3000)] + [(9000, 9000 + i) for i in range(1, 300)]
+    random.Random(2).shuffle(links)
+    out = components(spark.createDataFrame(links, "u long, v long"))
+    assert {r["node"]: r["component"] for r in out.collect()} == {**{i: 0 for i in range(3001)}, **{9000 + i: 9000 for i in range(300)}}
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 1000
+
+
+def test_deep_chains_of_many_transfers_end_rounds_early(spark, monkeypatch):
+    """Rounds that change many legs, and hardly fewer each time, give way to components, a stretch at a time."""
+    rng = random.Random(5)
+    accounts = {i: (100.0, "conta-corrente", None) for i in range(2001)}
+    transfers = [(i, i, i + 1, float(rng.randint(40, 60) if i % 2 else 45)) for i in range(2000)]
+    monkeypatch.setattr(K2, "ROUND_LEGS", 20)
+    got, rounds = _run(spark, accounts, [], transfers, fold_legs=1500)
+    assert got == transfers_model(accounts, [], transfers)
+    monkeypatch.setattr(K2, "ROUND_LEGS", 10**9)
+    same, more = _run(spark, accounts, [], transfers, fold_legs=1500)
+    assert same == got and rounds < more
