@@ -22,11 +22,12 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -42,18 +43,23 @@ CACHE_BYTES = 160 << 20
 ENTRY_BYTES = 160
 LONGEST_WORD = 256
 
-# How the word tokenizer's own pattern cuts lower-cased text of these characters.
-_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-_MARK = "\x01"
+# A call encodes documents of so many bytes of text, or a single longer one.
+CHUNK_BYTES = 8 << 20
+
+# What is not plain in a word, and how the word tokenizer's own pattern cuts lower-cased plain words.
+_ODD = r"[^!-~À-ÖØ-öø-ÿ]"
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
+_SAMPLE = "It's the Éclair, 42 times: don't  (stop)!\n“Ναὶς” e\u0301te\u0301 文字٣x \x1c a\xa0b \u0301\u0327c"
 
 
 class Encoder:
     """Texts to ids with a ``tokenizers`` file.
 
-    A tokenizer that lower-cases, drops white space and cuts at word ends encodes each piece alone, so
-    pieces of plain Latin text are encoded once and remembered (a cache bounded by bytes). Other texts, and any text
-    with a special token's name, go through ``encode`` whole. Both ways give the same ids.
+    A tokenizer that lower-cases, drops white space and cuts at word ends encodes each word alone, so words are
+    encoded once and remembered, and those of plain Latin characters are made of pieces that are remembered too (a
+    cache bounded by bytes). Words are cut, told apart and put together as Arrow columns; only distinct ones are looked
+    up one by one. Any text with a special token's name, and every text of another kind of tokenizer, goes through
+    ``encode`` whole. Both ways give the same ids.
     """
 
     def __init__(self, path: str):
@@ -65,30 +71,69 @@ class Encoder:
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        mark = self.bare.encode(_MARK, add_special_tokens=False).ids
-        sample = "It's the Éclair, 42 times: don't (stop)!"
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.by_piece = self.mark is not None and self.tokenizer.encode(sample, add_special_tokens=False).ids == [
-            i for p in _PIECES.findall(sample.lower()) for i in self.bare.encode(p, add_special_tokens=False).ids]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Ids that stand at a piece's end only.
+        vocab, suffix = self.bare.get_vocab(), getattr(self.bare.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix) and t not in self.special]] = True
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.held, self.long = 0, []
-
-    def _learn(self, words: list[str]) -> None:
-        cut = [_PIECES.findall(w) for w in words]
-        new = [p for p in dict.fromkeys(p for ps in cut for p in ps) if p not in self.pieces]
-        for k in range(0, len(new), 2000):
-            some = new[k:k + 2000]
-            ids = np.array(self.bare.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids,
-                           self.dtype)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            for i, (p, got) in enumerate(zip(some, parts, strict=True)):
-                self.pieces[p] = got[i > 0:].tobytes()
-        for w, ps in zip(words, cut):
-            self.words[w] = b"".join([self.pieces[p] for p in ps])
-        self.held += sum(2 * sum(map(len, some)) + ENTRY_BYTES * len(some) for some in (new, words))
-        self.long += [(known, x) for known, some in ((self.pieces, new), (self.words, words)) for x in some if len(x) > LONGEST_WORD]
+        self.by_word = b"".join(self._by_word(pa.array([_SAMPLE], pa.large_string()))) == self._whole(_SAMPLE)
+        self._clear()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _by_word(self, texts: pa.Array) -> list[bytes]:
+        return self._joined(pc.ascii_split_whitespace(texts), self.words, self._spell_words)
+
+    def _joined(self, lists: pa.ListArray, known: dict[str, bytes],
+                spell: Callable[[pa.Array], list[bytes]]) -> list[bytes]:
+        """The ids of each list's strings behind each other; strings that are not ``known`` are spelled and remembered."""
+        found = lists.flatten().dictionary_encode()
+        keys = _objects(found.dictionary)
+        got = list(map(known.get, keys))
+        fresh = [ids is None and k != "" for ids, k in zip(got, keys)]
+        if any(fresh):
+            new = found.dictionary.filter(pa.array(fresh))
+            names, spelled = _objects(new), spell(new)
+            known.update(zip(names, spelled, strict=True))
+            self.held += 2 * sum(map(len, names)) + ENTRY_BYTES * len(names)
+            self.long += [(known, k) for k in names if len(k) > LONGEST_WORD]
+            rest = iter(spelled)
+            got = [next(rest) if f else ids for f, ids in zip(fresh, got)]
+        ids = pa.array(got, pa.large_binary()).take(found.indices)
+        # The taken strings lie behind each other in one buffer: a list's ids reach from its first string to its last.
+        _, ends, data = ids.buffers()
+        places = lists.offsets.to_numpy()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1)[places - places[0]]
+        return _objects(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data]))
+
+    def _spell_words(self, words: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(words, _ODD)
+        lower = pc.utf8_lower(words.filter(pc.invert(odd)))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _PIECE, r"\0 "))
+        plain, whole = iter(self._joined(cut, self.pieces, self._spell_pieces)), iter(words.filter(odd).to_pylist())
+        return [self._whole(next(whole)) if o else next(plain) for o in odd.to_pylist()]
+
+    def _spell_pieces(self, pieces: pa.Array) -> list[bytes]:
+        out, size = [], self.dtype.itemsize
+        for k in range(0, len(pieces), 2000):
+            some = _objects(pieces.slice(k, 2000))
+            ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * size
+            if len(ends) == len(some):
+                raw, ends = ids.tobytes(), ends.tolist()
+                out += [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
+            else:  # pieces' ends do not show in the ids
+                out += [np.array(self.bare.encode(p, add_special_tokens=False).ids, self.dtype).tobytes() for p in some]
+        return out
+
+    def _clear(self) -> None:
+        self.words.clear()
+        self.pieces.clear()
+        self.held, self.long = 0, []
 
     def _forget(self) -> None:
         """Drop the very long words of the call before, and everything once it is too much."""
@@ -97,23 +142,28 @@ class Encoder:
             self.held -= 2 * len(x) + ENTRY_BYTES
         self.long = []
         if self.held > CACHE_BYTES:
-            self.words.clear()
-            self.pieces.clear()
-            self.held = 0
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian bytes."""
-        plain = [self.by_piece and _PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special)
-                 for t in texts]
-        split = [t.lower().split() if ok else None for t, ok in zip(texts, plain)]
+            self._clear()
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """Ids of each text (null: none) as little-endian bytes."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        whole = np.full(len(texts), not self.by_word)
+        for name in self.special:
+            whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
         self._forget()
-        self._learn(list({w for ws in split if ws for w in ws if w not in self.words}))
-        known = self.words
-        for t, ws in zip(texts, split):
-            if ws is None:
-                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
-            else:
-                yield b"".join([known[w] for w in ws])
+        by_word = iter(self._by_word(texts.filter(pa.array(~whole))))
+        for t, w in zip(texts, whole.tolist()):
+            yield self._whole(t.as_py()) if w else next(by_word)
+
+
+def _objects(strings: pa.Array) -> list:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of stretches that end within ``most`` bytes of each other."""
+    cuts = (np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1).tolist()
+    yield from ((lo, hi - lo) for lo, hi in zip([0, *cuts], [*cuts, len(sizes)]) if hi > lo)
 
 
 @lru_cache(maxsize=2)
@@ -235,9 +285,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, folder: str | None =
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             writer = writer or _ShardWriter(folder, name, seq_len, enc.dtype)
-            for lo in range(0, b.num_rows, 200):
-                numbers, texts = (c.to_pylist() for c in b.slice(lo, 200).columns)
-                for number, ids in zip(numbers, enc.encode([t or "" for t in texts])):
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for lo, n in _chunks(sizes, CHUNK_BYTES):
+                numbers, texts = b.slice(lo, n).columns
+                for number, ids in zip(numbers.to_pylist(), enc.encode(texts)):
                     writer.add(number, ids + end)
         if writer:
             writer.close()

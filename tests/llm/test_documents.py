@@ -538,3 +538,58 @@ def test_encoder_keeps_a_large_vocabulary():
     list(enc.encode(["one more"]))
     assert len(enc.words) == 400_002
     assert list(enc.encode([" ".join(words[:20_000])])) == first[:1]
+
+
+class _Counted:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode(self, text, **how):
+        self.texts.append(text)
+        return self.tokenizer.encode(text, **how)
+
+
+def test_encoder_gives_the_tokenizer_distinct_words_only():
+    """Characters beyond plain Latin send their own word to the whole tokenizer, once, and never the document around it."""
+    from ledgerlake.llm.token_files import Encoder
+
+    enc = Encoder(tokenizer_path())
+    rng = random.Random(3)
+    odd = ["“quoted”", "it’s", "ΝαῚΣ", "été", "文字", "a\xa0b", "́x", "İ"]
+    texts = [" ".join(rng.choices([*odd, "The", "the", "naïve,", "x1y22"], k=50)) for _ in range(200)]
+    expect = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    enc.tokenizer, enc.bare = whole, bare = _Counted(enc.tokenizer), _Counted(enc.bare)
+    assert list(enc.encode(texts)) == expect
+    assert sorted(whole.texts) == sorted(odd)
+    assert sorted(" ".join(bare.texts).split()) == sorted(["the", "naïve", ",", "x", "1", "y", "2"])
+    assert list(enc.encode(texts)) == expect
+    assert len(whole.texts) == len(odd)
+
+
+def test_encoder_takes_columns():
+    """A slice of an Arrow column, with nulls, empty texts and spaces at both ends; an empty column; another kind of tokenizer."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from ledgerlake.llm.token_files import Encoder
+
+    texts = ["left out", None, "", " \n", "  two words\t", "a<|endoftext|>b c", "“x” " * 50, "'s't''", "last"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = Encoder(public_tokenizers.path(name))
+        expect = [np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts[1:]]
+        for kind in (pa.string(), pa.large_string()):
+            assert list(enc.encode(pa.array(texts, kind).slice(1))) == expect
+        assert list(enc.encode(pa.array([], pa.string()))) == []
+
+
+def test_batches_are_encoded_by_bytes():
+    from ledgerlake.llm.token_files import _chunks
+
+    rng = random.Random(8)
+    for _ in range(50):
+        sizes = np.array([rng.choice([0, 1, 30, 99, 100, 500]) for _ in range(rng.randrange(0, 60))], np.int32)
+        got = list(_chunks(sizes, 100))
+        assert [i for lo, n in got for i in range(lo, lo + n)] == list(range(len(sizes)))
+        assert all(n and sizes[lo + 1:lo + n].sum() < 200 for lo, n in got)
