@@ -44,7 +44,7 @@ ENTRY_BYTES = 160
 LONGEST_WORD = 256
 
 # A call encodes documents of so many bytes of text, or a single longer one.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 # What is not plain in a word, and how the word tokenizer's own pattern cuts lower-cased plain words.
 _ODD = r"[^!-~À-ÖØ-öø-ÿ]"
@@ -98,8 +98,11 @@ class Encoder:
         if any(fresh):
             new = found.dictionary.filter(pa.array(fresh))
             names, spelled = _objects(new), spell(new)
+            cost = 2 * sum(map(len, names)) + ENTRY_BYTES * len(names)
+            if self.held + cost > CACHE_BYTES:  # ``got`` and ``spelled`` have what this call needs
+                self._clear()
             known.update(zip(names, spelled, strict=True))
-            self.held += 2 * sum(map(len, names)) + ENTRY_BYTES * len(names)
+            self.held += cost
             self.long += [(known, k) for k in names if len(k) > LONGEST_WORD]
             rest = iter(spelled)
             got = [next(rest) if f else ids for f, ids in zip(fresh, got)]

@@ -593,3 +593,15 @@ def test_batches_are_encoded_by_bytes():
         got = list(_chunks(sizes, 100))
         assert [i for lo, n in got for i in range(lo, lo + n)] == list(range(len(sizes)))
         assert all(n and sizes[lo + 1:lo + n].sum() < 200 for lo, n in got)
+
+
+def test_encoder_memory_stays_within_its_bound(monkeypatch):
+    """Calls of new words, each of which fits the bound: what is remembered never exceeds it, and the ids stay right."""
+    from ledgerlake.llm import token_files
+
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 60_000)
+    enc = token_files.Encoder(tokenizer_path())
+    for k in range(30):
+        t = " ".join("q" + "abcdefghij"[k % 10] * (i % 7) + "xyz"[k // 10] * (i // 7) for i in range(100))
+        assert list(enc.encode([t, t])) == [enc._whole(t)] * 2
+        assert 0 < enc.held <= 60_000
