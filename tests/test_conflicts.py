@@ -3,7 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlake import session
+from ledgerlake.operators import changes, conflicts
 from ledgerlake.operators import transfers as K2
 from ledgerlake.operators.conflicts import components
 from tests.models import transfers_model
@@ -98,3 +101,42 @@ def test_deep_chains_of_many_transfers_end_rounds_early(spark, monkeypatch):
     got, rounds = _run(spark, accounts, [], transfers)
     assert got == transfers_model(accounts, [], transfers)
     assert rounds < K2.PATIENCE
+
+
+def _plans(monkeypatch, *modules):
+    """The plans of all frames that the modules cut, as they are before they run."""
+    found, cut = [], session.cut_and_count
+
+    def seen(df):
+        found.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    for m in (session, *modules):
+        monkeypatch.setattr(m, "cut_and_count", seen)
+    return found
+
+
+def test_frames_of_many_rows_are_not_broadcast_for_their_small_files(spark):
+    """200,000 numbers in order: well below the threshold as files, not as a hash table on the driver."""
+    many = session.cut_to_files(spark.range(200_000).withColumn("ok", F.col("id") % 2 == 0))
+    other = spark.range(1000, 400_000)
+    for side in (many, many.where("ok"), many.select("id").distinct(), many.groupBy("id").agg(F.max("ok"))):
+        assert "BroadcastHashJoin" not in other.join(side, "id", "left")._jdf.queryExecution().executedPlan().toString()
+    few = session.cut_to_files(spark.range(200))
+    assert "BroadcastHashJoin" in other.join(few, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_rounds_and_fold_broadcast_no_rows(spark, monkeypatch):
+    """holder_chain's job, where every frame counts as large: only the list of large keys may be broadcast."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    plans = _plans(monkeypatch, conflicts, changes)
+    asked = spark.createDataFrame([(n, (n + 1) // 2, n // 2 if n % 101 else None) for n in range(600)], "seq long, a long, b long")
+    out, _ = changes.greedy_unique(asked, "seq", [["a"], ["b"]], patience=1)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    start, want = 0, {}
+    for n in range(600):
+        if n % 2 and (n % 101 == 0 or (n - 1) % 101 == 0):  # no account shared with the request before
+            start = n
+        want[n] = (n - start) % 2 == 0
+    assert {r["seq"]: r["accepted"] for r in out.collect()} == want
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastHashJoin" in p and "_large" not in p]
