@@ -1,5 +1,6 @@
 """K2 on deep chains: conflict components against the sequential model, and the number of rounds."""
 
+import os
 import random
 
 import pytest
@@ -8,8 +9,13 @@ from pyspark.sql import functions as F
 from ledgerlake import session
 from ledgerlake.operators import changes, conflicts
 from ledgerlake.operators import transfers as K2
+from ledgerlake.operators.access import authorize
 from ledgerlake.operators.conflicts import components
+from ledgerlake.plans.catalog import QUERIES
 from tests.models import transfers_model
+from tests.seed import seed_bank
+
+SF = "/root/testdata/sf0.001"
 
 ACC = "num_conta int, saldo double, tipo_conta string, limite_credito double"
 REQ = "seq long, conta_origem int, conta_destino int, valor double"
@@ -130,13 +136,50 @@ def test_greedy_rounds_and_fold_broadcast_no_rows(spark, monkeypatch):
     """holder_chain's job, where every frame counts as large: only the list of large keys may be broadcast."""
     monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     plans = _plans(monkeypatch, conflicts, changes)
-    asked = spark.createDataFrame([(n, (n + 1) // 2, n // 2 if n % 101 else None) for n in range(600)], "seq long, a long, b long")
+    asked = spark.createDataFrame([(n, (n + 1) // 2, n // 2 if n % 31 else None) for n in range(120)], "seq long, a long, b long")
     out, _ = changes.greedy_unique(asked, "seq", [["a"], ["b"]], patience=1)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     start, want = 0, {}
-    for n in range(600):
-        if n % 2 and (n % 101 == 0 or (n - 1) % 101 == 0):  # no account shared with the request before
+    for n in range(120):
+        if n % 2 and (n % 31 == 0 or (n - 1) % 31 == 0):  # no account shared with the request before
             start = n
         want[n] = (n - start) % 2 == 0
     assert {r["seq"]: r["accepted"] for r in out.collect()} == want
     assert len(plans) > 10 and not [p for p in plans if "BroadcastHashJoin" in p and "_large" not in p]
+
+
+def test_transfers_broadcast_no_rows_that_were_not_counted(spark, monkeypatch):
+    """Where every frame counts as large, nothing is broadcast: not the accounts, the overlay, the changes or the components."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
+    plans = _plans(monkeypatch, conflicts, K2)
+    accounts = {i: (100.0, "conta-corrente", None) for i in range(31)}
+    transfers = [(i, i, i + 1, 40.0 + i * 7919 % 50) for i in range(30)]
+    got, _ = _run(spark, accounts, [], transfers, patience=1)
+    assert got == transfers_model(accounts, [], transfers)
+    # A stretch's end is one row per component of a million legs; components in doubt are measured when they are joined.
+    assert len(plans) > 10
+    assert not [p for p in plans if "BroadcastHashJoin" in p.replace("BroadcastHashJoin [_component", "") and "_end" not in p]
+
+
+def test_authorization_broadcasts_no_table_of_the_bank(spark):
+    b = seed_bank(spark)
+    req = spark.createDataFrame([(1, "desconhecido", 1, 2, 10.0)], "seq long, solicitante string, conta_origem int, conta_destino int, valor double")
+    out = authorize(b, req)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["reason"] for r in out.collect()] == ["USER_NOT_FOUND"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+@pytest.mark.parametrize("name", ["post_transfer_chain", "post_transfers"])
+def test_inputs_of_transfers_broadcast_no_accounts(spark, monkeypatch, name):
+    """All accounts of a bank are small as files: the first plan (requests, authorization, accounts) joins them by shuffle."""
+    class Seen(Exception):
+        pass
+
+    def first(df):
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(K2, "cut_to_files", first)
+    with pytest.raises(Seen) as plan:
+        QUERIES[name](spark, SF)
+    assert "SortMergeJoin" in str(plan.value) and "BroadcastHashJoin" not in str(plan.value)
